@@ -1,4 +1,4 @@
 """Import every plan module so its queries register."""
 
-from cinder.plans import clean_q, coarse_q, flagship  # noqa: F401
+from cinder.plans import clean_q, coarse_q, flagship, metrics_q, sample_q  # noqa: F401
 from cinder.plans.registry import ORACLE, QUERIES  # noqa: F401
