@@ -91,10 +91,8 @@ def area_error_report(pred: DataFrame, ref: DataFrame, keys=("ecoregion",),
         ref.select(*keys, "year", F.col(value_col).alias("ref")), [*keys, "year"], "full")
     g = j.rollup(*keys).agg(F.sum(F.coalesce("pred", F.lit(0.0))).alias("pred_mha"),
                             F.sum(F.coalesce("ref", F.lit(0.0))).alias("ref_mha"))
-    return g.select(*keys, F.round("pred_mha", 8).alias("pred_mha"), F.round("ref_mha", 8).alias("ref_mha"),
-                    F.round(F.col("pred_mha") - F.col("ref_mha"), 8).alias("diff_mha"),
-                    F.round(F.try_divide(F.col("pred_mha") - F.col("ref_mha"), F.col("ref_mha")) * 100, 6)
-                    .alias("pct_error"))
+    return g.select(*keys, "pred_mha", "ref_mha", (F.col("pred_mha") - F.col("ref_mha")).alias("diff_mha"),
+                    (F.try_divide(F.col("pred_mha") - F.col("ref_mha"), F.col("ref_mha")) * 100).alias("pct_error"))
 
 
 def fire_share_by_zone(labelled: DataFrame, zone_col: str = "ecoregion",
