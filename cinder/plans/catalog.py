@@ -1,5 +1,5 @@
 """Import every plan module so its queries register."""
 
-from cinder.plans import (clean_q, coarse_q, diag_q, flagship, geo_q, metrics_q, sample_q,  # noqa: F401
+from cinder.plans import (clean_q, coarse_q, diag_q, flagship, geo_q, metrics_q, sample_q, source_q,  # noqa: F401
                           zonal_q)
 from cinder.plans.registry import ORACLE, QUERIES  # noqa: F401
