@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinder.session import broadcast_if_small
+from cinder.session import broadcast_if_small, small_or_shuffle
 
 TARGET_ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 65_536
@@ -49,12 +49,12 @@ def _bucketed(df: DataFrame, g: list[str], key: Column, weight: Column | None =
                                                             * F.col("_nb")).cast("int"))).otherwise(0)
     # one row per group: broadcast when checked small, so a hot group never
     # lands on one shuffle partition
-    stats = broadcast_if_small(stats.select(*g, "_n", "_kmin", "_kmax", "_nb"), STATS_BROADCAST_ROWS)
+    stats = small_or_shuffle(stats.select(*g, "_n", "_kmin", "_kmax", "_nb"), STATS_BROADCAST_ROWS)
     d = d.join(stats, g).withColumn("_b", b)
     bc = d.groupBy(*g, "_b").agg(F.sum("_w").alias("_bw"))
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bc = bc.withColumn("_pre", F.coalesce(F.sum("_bw").over(wb), F.lit(0)))
-    bc = broadcast_if_small(bc.select(*g, "_b", "_pre", "_bw"), STATS_BROADCAST_ROWS)
+    bc = small_or_shuffle(bc.select(*g, "_b", "_pre", "_bw"), STATS_BROADCAST_ROWS)
     return d.join(bc, [*g, "_b"]).drop("_kmin", "_kmax", "_nb")
 
 
@@ -113,13 +113,13 @@ def weighted_cumsum(df: DataFrame, group_cols, order_col: str, sum_cols: list[st
     span = F.col("_kmax").cast("double") - F.col("_kmin").cast("double")
     b = F.when(span > 0, F.least(F.col("_nb") - 1, F.floor((F.col("_k").cast("double") - F.col("_kmin"))
                                                             / span * F.col("_nb")).cast("int"))).otherwise(0)
-    stats = broadcast_if_small(stats.select(*g, "_kmin", "_kmax", "_nb"), STATS_BROADCAST_ROWS)
+    stats = small_or_shuffle(stats.select(*g, "_kmin", "_kmax", "_nb"), STATS_BROADCAST_ROWS)
     d = d.join(stats, g).withColumn("_b", b).drop("_kmin", "_kmax", "_nb")
     bc = d.groupBy(*g, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bc = bc.select(*g, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_p_{c}")
                                for c in sum_cols])
-    d = d.join(broadcast_if_small(bc, STATS_BROADCAST_ROWS), [*g, "_b"])
+    d = d.join(small_or_shuffle(bc, STATS_BROADCAST_ROWS), [*g, "_b"])
     w = Window.partitionBy(*g, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({f"{c}{suffix}": F.col(f"_p_{c}") + F.sum(c).over(w) for c in sum_cols})
     drop = ["_k", "_b", *[f"_p_{c}" for c in sum_cols]] + ([] if list(group_cols) else [_G])
@@ -152,7 +152,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
         F.struct(F.lit("lo").alias("s"), F.col("_lo").alias("r")),
         F.struct(F.lit("hi").alias("s"), F.col("_hi").alias("r")))).alias("_x")).select(
         *g, "_i", F.col("_x.s").alias("_s"), F.col("_x.r").alias("_r"))
-    ranks = broadcast_if_small(ranks, 1_000_000)
+    ranks = small_or_shuffle(ranks, 1_000_000)
     hit = (cum.join(ranks, g)
               .where((F.col("_c_cum") - F.col("_c") < F.col("_r")) & (F.col("_r") <= F.col("_c_cum")))
               .select(*g, "_i", "_s", "_v"))

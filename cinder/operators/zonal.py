@@ -29,9 +29,8 @@ def pixel_zone(pixels: DataFrame, zones: DataFrame, key=PIXEL_KEY, lon_col: str
 
 def zone_years(zones: DataFrame, facts: DataFrame, year_col: str = "year") -> DataFrame:
     """Every zone for every year from the first to the last year in ``facts``."""
-    lo = facts.select(F.min(year_col)).scalar()
-    hi = facts.select(F.max(year_col)).scalar()
-    return zones.select("zone_id", "ecoregion", F.explode(F.sequence(lo, hi)).alias(year_col))
+    years = facts.select(F.sequence(F.min(year_col), F.max(year_col))).scalar()   # one scalar subquery
+    return zones.select("zone_id", "ecoregion", F.explode(years).alias(year_col))
 
 
 def zonal_burned_area(mask: DataFrame, pixels: DataFrame, zones: DataFrame,

@@ -86,6 +86,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
+def small_or_shuffle(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Evaluate a small derived table once.
+
+    Reads at most ``max_rows + 1`` rows; if the table fits, it comes back as a
+    local relation hinted for broadcast, so later joins neither shuffle the big
+    side nor recompute the table.  Beyond the bound the original frame is
+    returned and joins shuffle on their keys (AQE splits skewed partitions)."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def bounded_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a frame whose size is bounded by construction.
 
