@@ -35,31 +35,44 @@ def _groups(df: DataFrame, group_cols) -> tuple[DataFrame, list[str]]:
     return df, g
 
 
+def attach_small(d: DataFrame, small: DataFrame, keys: list[str], max_rows: int = STATS_BROADCAST_ROWS) -> DataFrame:
+    """Join a small per-group table onto ``d``.
+
+    Without keys the table has one row: its values are inlined as literals
+    (no join at all).  With keys it is read once and broadcast if it holds at
+    most ``max_rows`` rows, else joined with a shuffle on the keys."""
+    if not keys:
+        row = small.first()
+        cols = small.columns
+        return d.withColumns({c: F.lit(row[c] if row is not None else None).cast(small.schema[c].dataType)
+                              for c in cols})
+    return d.join(small_or_shuffle(small, max_rows), keys)
+
+
 def _bucketed(df: DataFrame, g: list[str], key: Column, weight: Column | None = None) -> DataFrame:
-    """Add ``_k`` (key), ``_w`` (weight), ``_b`` (bucket) and ``_pre`` (weight of
-    all earlier buckets of the group) and ``_n`` (group total weight)."""
+    """Add ``_k`` (key), ``_w`` (weight), ``_b`` (bucket), ``_pre`` (weight of
+    all earlier buckets of the group), ``_bw`` (bucket weight) and ``_n``."""
     d = df.withColumns({"_k": key, "_w": weight if weight is not None else F.lit(1).cast("bigint")})
-    stats = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_n"),
-                              F.min("_k").alias("_kmin"), F.max("_k").alias("_kmax"))
+    aggs = [F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_n"), F.min("_k").alias("_kmin"),
+            F.max("_k").alias("_kmax")]
+    stats = d.groupBy(*g).agg(*aggs) if g else d.agg(*aggs)
     stats = stats.withColumn("_nb", F.least(F.lit(MAX_BUCKETS), F.greatest(
-        F.lit(1), F.ceil(F.col("_rows") / F.lit(TARGET_ROWS_PER_BUCKET)))).cast("int"))
+        F.lit(1), F.ceil(F.col("_rows") / F.lit(TARGET_ROWS_PER_BUCKET)))).cast("int")).drop("_rows")
     kd = F.col("_k").cast("double")
     span = F.col("_kmax").cast("double") - F.col("_kmin").cast("double")
     b = F.when(span > 0, F.least(F.col("_nb") - 1, F.floor((kd - F.col("_kmin").cast("double")) / span
                                                             * F.col("_nb")).cast("int"))).otherwise(0)
-    # one row per group: broadcast when checked small, so a hot group never
-    # lands on one shuffle partition
-    stats = small_or_shuffle(stats.select(*g, "_n", "_kmin", "_kmax", "_nb"), STATS_BROADCAST_ROWS)
-    d = d.join(stats, g).withColumn("_b", b)
+    # one row per group: inlined or broadcast, so a hot group never lands on
+    # one shuffle partition
+    d = attach_small(d, stats, g).withColumn("_b", b)
     bc = d.groupBy(*g, "_b").agg(F.sum("_w").alias("_bw"))
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bc = bc.withColumn("_pre", F.coalesce(F.sum("_bw").over(wb), F.lit(0)))
-    bc = small_or_shuffle(bc.select(*g, "_b", "_pre", "_bw"), STATS_BROADCAST_ROWS)
-    return d.join(bc, [*g, "_b"]).drop("_kmin", "_kmax", "_nb")
+    bc = bc.withColumn("_pre", F.coalesce(F.sum("_bw").over(wb), F.lit(0)))   # <= 65,536 rows per group
+    return attach_small(d, bc.select(*g, "_b", "_pre", "_bw"), [*g, "_b"]).drop("_kmin", "_kmax", "_nb")
 
 
 def _drop(df: DataFrame, group_cols) -> DataFrame:
-    extra = ["_k", "_w", "_b", "_pre", "_bw", "_n"] + ([] if list(group_cols) else [_G])
+    extra = ["_k", "_w", "_b", "_pre", "_bw", "_n"]
     return df.drop(*[c for c in extra if c in df.columns])
 
 
@@ -67,9 +80,9 @@ def bucketed_rank(df: DataFrame, group_cols, key: Column, tie_cols=(), out: str
                   descending: bool = False) -> DataFrame:
     """Exact 1-based ``row_number`` per group ordered by ``key`` (then
     ``tie_cols``), computed bucket by bucket."""
-    d, g = _groups(df, group_cols)
+    g = list(group_cols)
     k = -key if descending else key
-    b = _bucketed(d, g, k)
+    b = _bucketed(df, g, k)
     w = Window.partitionBy(*g, "_b").orderBy("_k", *tie_cols)
     return _drop(b.withColumn(out, (F.col("_pre") + F.row_number().over(w)).cast("bigint")), group_cols)
 
@@ -82,11 +95,10 @@ def first_n(df: DataFrame, group_cols, key: Column, tie_cols, quota: DataFrame |
     quota_col`` (one row per group; groups absent get nothing).  Buckets wholly
     below the quota pass through a filter; only the one boundary bucket per group
     is ordered by a window."""
-    d, g = _groups(df, group_cols)
-    b = _bucketed(d, g, key)
+    g = list(group_cols)
+    b = _bucketed(df, g, key)
     if isinstance(quota, DataFrame):
-        qd = quota if list(group_cols) else quota.withColumn(_G, F.lit(0))
-        b = b.join(qd.select(*g, F.col(quota_col).alias("_q")), g)
+        b = attach_small(b, quota.select(*g, F.col(quota_col).alias("_q")), g)
     else:
         b = b.withColumn("_q", F.lit(quota).cast("double"))
     q = F.col("_q")
@@ -103,63 +115,80 @@ def weighted_cumsum(df: DataFrame, group_cols, order_col: str, sum_cols: list[st
 
     Rows should already be distinct on ``group_cols + order_col`` (e.g. counts
     per distinct score), so running sums are well defined without ties."""
-    d, g = _groups(df, group_cols)
+    g = list(group_cols)
     k = -F.col(order_col) if descending else F.col(order_col)
-    d = d.withColumn("_k", k)
-    stats = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"), F.min("_k").alias("_kmin"),
-                              F.max("_k").alias("_kmax"))
+    d = df.withColumn("_k", k)
+    aggs = [F.count(F.lit(1)).alias("_rows"), F.min("_k").alias("_kmin"), F.max("_k").alias("_kmax")]
+    stats = d.groupBy(*g).agg(*aggs) if g else d.agg(*aggs)
     stats = stats.withColumn("_nb", F.least(F.lit(MAX_BUCKETS), F.greatest(
-        F.lit(1), F.ceil(F.col("_rows") / F.lit(TARGET_ROWS_PER_BUCKET)))).cast("int"))
+        F.lit(1), F.ceil(F.col("_rows") / F.lit(TARGET_ROWS_PER_BUCKET)))).cast("int")).drop("_rows")
     span = F.col("_kmax").cast("double") - F.col("_kmin").cast("double")
     b = F.when(span > 0, F.least(F.col("_nb") - 1, F.floor((F.col("_k").cast("double") - F.col("_kmin"))
                                                             / span * F.col("_nb")).cast("int"))).otherwise(0)
-    stats = small_or_shuffle(stats.select(*g, "_kmin", "_kmax", "_nb"), STATS_BROADCAST_ROWS)
-    d = d.join(stats, g).withColumn("_b", b).drop("_kmin", "_kmax", "_nb")
+    d = attach_small(d, stats, g).withColumn("_b", b).drop("_kmin", "_kmax", "_nb")
     bc = d.groupBy(*g, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bc = bc.select(*g, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_p_{c}")
                                for c in sum_cols])
-    d = d.join(small_or_shuffle(bc, STATS_BROADCAST_ROWS), [*g, "_b"])
+    d = attach_small(d, bc, [*g, "_b"])
     w = Window.partitionBy(*g, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({f"{c}{suffix}": F.col(f"_p_{c}") + F.sum(c).over(w) for c in sum_cols})
-    drop = ["_k", "_b", *[f"_p_{c}" for c in sum_cols]] + ([] if list(group_cols) else [_G])
-    return d.drop(*drop)
+    return d.drop("_k", "_b", *[f"_p_{c}" for c in sum_cols])
+
+
+def order_stats(df: DataFrame, value_col: str, positions: DataFrame, group_cols=()) -> DataFrame:
+    """Linear-interpolation quantiles at 0-based fractional ``_pos`` per
+    (group, ``_i``) from a (value, count) running sum: only the two order
+    statistics around each position are looked up.
+
+    ``positions`` has ``group_cols + _i + _pos``.  With groups the lookup is
+    an equi-join on the group plus a range check; without groups the handful
+    of target ranks are inlined as literals and matched by an array filter on
+    each distinct value (a generator, no join)."""
+    g = list(group_cols)
+    v = F.col(value_col).cast("double")
+    dv = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*g, v.alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    cum = weighted_cumsum(dv, g, "_v", ["_c"])            # _c_cum inclusive
+    t = positions.withColumns({"_lo": F.floor("_pos").cast("bigint") + 1, "_hi": F.ceil("_pos").cast("bigint") + 1})
+    inside = lambda r: (F.col("_c_cum") - F.col("_c") < r) & (r <= F.col("_c_cum"))
+    if g:
+        ranks = t.select(*g, "_i", F.explode(F.array(
+            F.struct(F.lit("lo").alias("s"), F.col("_lo").alias("r")),
+            F.struct(F.lit("hi").alias("s"), F.col("_hi").alias("r")))).alias("_x")).select(
+            *g, "_i", F.col("_x.s").alias("_s"), F.col("_x.r").alias("_r"))
+        hit = (cum.join(small_or_shuffle(ranks, 1_000_000), g).where(inside(F.col("_r")))
+                  .select(*g, "_i", "_s", "_v"))
+    else:
+        targets = [(r["_i"], s_, r[c]) for r in t.collect() for s_, c in (("lo", "_lo"), ("hi", "_hi"))]
+        arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s_).alias("s"), F.lit(rk).cast("bigint").alias("r"))
+                        for i, s_, rk in targets])
+        hit = (cum.select("_v", "_c", "_c_cum", F.explode(F.filter(arr, lambda x: inside(x["r"]))).alias("_x"))
+                  .select(F.col("_x.i").alias("_i"), F.col("_x.s").alias("_s"), "_v"))
+    lohi = hit.groupBy(*g, "_i").agg(F.max(F.when(F.col("_s") == "lo", F.col("_v"))).alias("_vlo"),
+                                     F.max(F.when(F.col("_s") == "hi", F.col("_v"))).alias("_vhi"))
+    res = attach_small(lohi, t, [*g, "_i"]) if g else lohi.join(F.broadcast(
+        df.sparkSession.createDataFrame(t.collect(), t.schema)), "_i")
+    return res.select(*g, "_i", (F.col("_vlo") + (F.col("_pos") - (F.col("_lo") - 1))
+                                 * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
+
+
+def _totals(df: DataFrame, value_col: str, g: list[str]) -> DataFrame:
+    v = F.col(value_col).cast("double")
+    d = df.where(v.isNotNull() & ~F.isnan(v))
+    return d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) if g else d.agg(F.count(F.lit(1)).alias("_n"))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=(),
                     prefix: str = "q") -> DataFrame:
     """Linear-interpolation percentiles (``numpy.percentile`` default,
     DuckDB ``quantile_cont``) per group, one row per group with columns
-    ``{prefix}0..`` in the order of ``probs``.
-
-    Values are first collapsed to (value, count) with a partial aggregate, then
-    ranked by the bucketed running sum; only the two order statistics around
-    each position are looked up (an equi-join on the group plus a range check,
-    against a target table of 2 x len(probs) rows per group)."""
-    d, g = _groups(df, group_cols)
-    v = F.col(value_col).cast("double")
-    dv = (d.where(v.isNotNull() & ~F.isnan(v)).groupBy(*g, v.alias("_v"))
-           .agg(F.count(F.lit(1)).alias("_c")))
-    cum = weighted_cumsum(dv, g, "_v", ["_c"])            # _c_cum inclusive
-    tot = dv.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    ``{prefix}0..`` in the order of ``probs``."""
+    g = list(group_cols)
     pos = [F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1).cast("double") * F.lit(float(p))).alias("pos"))
            for i, p in enumerate(probs)]
-    targets = (tot.select(*g, F.explode(F.array(*pos)).alias("_t"))
-                  .select(*g, F.col("_t.i").alias("_i"), F.col("_t.pos").alias("_pos"))
-                  .withColumns({"_lo": F.floor("_pos").cast("bigint") + 1,
-                                "_hi": F.ceil("_pos").cast("bigint") + 1}))
-    ranks = targets.select(*g, "_i", F.explode(F.array(
-        F.struct(F.lit("lo").alias("s"), F.col("_lo").alias("r")),
-        F.struct(F.lit("hi").alias("s"), F.col("_hi").alias("r")))).alias("_x")).select(
-        *g, "_i", F.col("_x.s").alias("_s"), F.col("_x.r").alias("_r"))
-    ranks = small_or_shuffle(ranks, 1_000_000)
-    hit = (cum.join(ranks, g)
-              .where((F.col("_c_cum") - F.col("_c") < F.col("_r")) & (F.col("_r") <= F.col("_c_cum")))
-              .select(*g, "_i", "_s", "_v"))
-    lohi = hit.groupBy(*g, "_i").agg(F.max(F.when(F.col("_s") == "lo", F.col("_v"))).alias("_vlo"),
-                                     F.max(F.when(F.col("_s") == "hi", F.col("_v"))).alias("_vhi"))
-    res = lohi.join(targets, [*g, "_i"]).withColumn(
-        "_q", F.col("_vlo") + (F.col("_pos") - (F.col("_lo") - 1)) * (F.col("_vhi") - F.col("_vlo")))
-    out = res.groupBy(*g).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}")
-                                for i in range(len(probs))])
-    return out if list(group_cols) else out.drop(_G)
+    t = (_totals(df, value_col, g).select(*g, F.explode(F.array(*pos)).alias("_t"))
+         .select(*g, F.col("_t.i").alias("_i"), F.col("_t.pos").alias("_pos")))
+    q = order_stats(df, value_col, t, g)
+    aggs = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
+    return q.groupBy(*g).agg(*aggs) if g else q.agg(*aggs)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinder.functions.hashing import hash32
-from cinder.operators.ranking import bucketed_rank, first_n
+from cinder.operators.ranking import attach_small, bucketed_rank, first_n
 from cinder.schema import NEG_POS_RATIO_FULL
 
 CHECKSUM_MOD = 65521   # keeps key checksums inside BIGINT at any row count below 1e14
@@ -69,26 +69,32 @@ def nested_negative_sweep(df: DataFrame, key_cols, steps: list, quota_of, label_
     ``quota_of(step, n_pos, n_neg) -> Column`` gives the negative quota.  The
     result is one row per (group, step) with positive/negative counts and an
     order-free checksum of the chosen keys, so a caller can materialise any one
-    step with :func:`first_n` on the same hash."""
-    from cinder.operators.ranking import _groups
-    df, g = _groups(df, group_cols)
-    counts = df.groupBy(*g).agg(F.sum(F.col(label_col)).cast("bigint").alias("n_pos"),
-                                F.sum(1 - F.col(label_col)).cast("bigint").alias("n_neg"))
-    steps_arr = F.array(*[F.lit(s) for s in steps])
-    q = counts.select(*g, "n_pos", "n_neg", F.explode(steps_arr).alias("step"))
-    q = q.withColumn("quota", quota_of(F.col("step"), F.col("n_pos"), F.col("n_neg")).cast("bigint"))
-    qmax = q.groupBy(*g).agg(F.max("quota").alias("quota"))
+    step with :func:`first_n` on the same hash.  Negatives beyond the largest
+    quota are cut by :func:`first_n`; the rest are ranked once and every step
+    is a conditional count over that rank (steps are a short list)."""
+    g = list(group_cols)
+    aggs = [F.sum(F.col(label_col)).cast("bigint").alias("n_pos"),
+            F.sum(1 - F.col(label_col)).cast("bigint").alias("n_neg")]
+    counts = df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs)
+    quotas = counts.select(*g, "n_pos", *[quota_of(F.lit(s), F.col("n_pos"), F.col("n_neg")).cast("bigint")
+                                          .alias(f"_q{i}") for i, s in enumerate(steps)])
+    qmax = quotas.select(*g, F.greatest(*[F.col(f"_q{i}") for i in range(len(steps))]).alias("quota"))
     neg = df.where(F.col(label_col) == 0).withColumn("_h", hash32(salt, *key_cols))
     pool = first_n(neg, g, F.col("_h"), list(key_cols), qmax)            # largest step only
     ranked = bucketed_rank(pool, g, F.col("_h"), list(key_cols), out="_r")
-    # per group: count and checksum of the first r negatives for every r needed
-    per = ranked.join(q.select(*g, "step", "quota"), g).where(F.col("_r") <= F.col("quota"))
-    agg = per.groupBy(*g, "step").agg(F.count(F.lit(1)).alias("n_neg_selected"),
-                                      F.sum(F.pmod("_h", F.lit(CHECKSUM_MOD))).alias("neg_key_checksum"))
-    out = q.join(agg, [*g, "step"], "left").select(
-        *g, "step", "n_pos", F.coalesce("n_neg_selected", F.lit(0)).alias("n_neg_selected"),
-        F.coalesce("neg_key_checksum", F.lit(0).cast("bigint")).alias("neg_key_checksum"))
-    return out if list(group_cols) else out.drop(*g)
+    ranked = attach_small(ranked, quotas.drop("n_pos"), g)
+    per = []
+    for i in range(len(steps)):
+        sel = F.col("_r") <= F.col(f"_q{i}")
+        per += [F.sum(sel.cast("int")).cast("bigint").alias(f"_n{i}"),
+                F.sum(F.when(sel, F.pmod("_h", F.lit(CHECKSUM_MOD))).otherwise(0)).cast("bigint").alias(f"_c{i}")]
+    agg = ranked.groupBy(*g).agg(*per) if g else ranked.agg(*per)
+    lit = lambda v: f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else f"CAST({v!r} AS INT)"
+    stack = ", ".join(f"{lit(s)}, _n{i}, _c{i}" for i, s in enumerate(steps))
+    long = agg.selectExpr(*g, f"stack({len(steps)}, {stack}) AS (step, n_neg_selected, neg_key_checksum)")
+    out = long.join(counts.select(*g, "n_pos"), g, "right") if g else attach_small(long, counts.select("n_pos"), [])
+    return out.select(*g, "step", "n_pos", F.coalesce("n_neg_selected", F.lit(0)).cast("bigint").alias("n_neg_selected"),
+                      F.coalesce("neg_key_checksum", F.lit(0)).cast("bigint").alias("neg_key_checksum"))
 
 
 def stratified_split(df: DataFrame, key_cols, label_col: str = "label", test_frac: float = 0.1,

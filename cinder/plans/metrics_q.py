@@ -156,9 +156,9 @@ def q_prevalence_threshold(spark, sf):
     """K7: percentile of test scores at the validation prevalence (top-K area)."""
     s = _scored(spark, sf)
     prev = s.where("year <= 1998").select(F.sum("label") / F.count(F.lit(1))).scalar()
-    test = s.where("year > 1998").withColumn("g", F.lit(1))
-    probs = test.select("g").distinct().select("g", (1 - prev).alias("prob"))
-    return round_doubles(quantile_at(test, "p", probs, ["g"]).select(F.col("quantile").alias("threshold")))
+    test = s.where("year > 1998")
+    probs = spark.range(1).select((1 - prev).alias("prob"))
+    return round_doubles(quantile_at(test, "p", probs, []).select(F.col("quantile").alias("threshold")))
 
 
 @query("loyo_summary", with_obs(f"""

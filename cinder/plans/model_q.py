@@ -301,9 +301,9 @@ def q_stage2_ranked(spark, sf):
     train, test = _temporal(spark, sf)
     m = fit_pipeline(train, gbt_classifier(LABEL))
     prev = train.select(F.avg(LABEL)).scalar()   # scalar subquery
-    s = score(m, test).withColumn("g", F.lit(1))
-    thr = quantile_at(s, "p", s.select("g").distinct().select("g", (1 - prev).alias("prob")), ["g"])
-    j = s.join(F.broadcast(thr), "g")          # one row
+    s = score(m, test)
+    thr = quantile_at(s, "p", spark.range(1).select((1 - prev).alias("prob")), []).first()["quantile"]
+    j = s.withColumn("quantile", F.lit(thr))   # one value
     return j.groupBy("year").agg(F.sum(LABEL).cast("bigint").alias("obs_pixels"),
                                  F.sum((F.col("p") >= F.col("quantile")).cast("int")).cast("bigint").alias("pred_pixels"),
                                  F.first("quantile").alias("threshold"))
