@@ -27,7 +27,8 @@ s AS (SELECT p.zone_id, m.year, sum(p.area_m2) AS m2
 def zonal_burned_area_df(spark, sf_dir):
     o = obs(spark, sf_dir)
     mask = annual_mask(o, "score", MASK_THRESHOLD)
-    return zonal_burned_area(mask, pixel_table(spark, sf_dir, o), zones(spark, sf_dir))
+    # the pixel table is derived from the mask's keys: one read of the inputs
+    return zonal_burned_area(mask, pixel_table(spark, sf_dir, mask), zones(spark, sf_dir))
 
 
 query("zonal_burned_area", ZONAL_SQL)(zonal_burned_area_df)
