@@ -160,15 +160,16 @@ def order_stats(df: DataFrame, value_col: str, positions: DataFrame, group_cols=
         hit = (cum.join(small_or_shuffle(ranks, 1_000_000), g).where(inside(F.col("_r")))
                   .select(*g, "_i", "_s", "_v"))
     else:
-        targets = [(r["_i"], s_, r[c]) for r in t.collect() for s_, c in (("lo", "_lo"), ("hi", "_hi"))]
+        t_rows = t.collect()                       # a few rows: one per requested quantile
+        t = df.sparkSession.createDataFrame(t_rows, t.schema)
+        targets = [(r["_i"], s_, r[c]) for r in t_rows for s_, c in (("lo", "_lo"), ("hi", "_hi"))]
         arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s_).alias("s"), F.lit(rk).cast("bigint").alias("r"))
                         for i, s_, rk in targets])
         hit = (cum.select("_v", "_c", "_c_cum", F.explode(F.filter(arr, lambda x: inside(x["r"]))).alias("_x"))
                   .select(F.col("_x.i").alias("_i"), F.col("_x.s").alias("_s"), "_v"))
     lohi = hit.groupBy(*g, "_i").agg(F.max(F.when(F.col("_s") == "lo", F.col("_v"))).alias("_vlo"),
                                      F.max(F.when(F.col("_s") == "hi", F.col("_v"))).alias("_vhi"))
-    res = attach_small(lohi, t, [*g, "_i"]) if g else lohi.join(F.broadcast(
-        df.sparkSession.createDataFrame(t.collect(), t.schema)), "_i")
+    res = attach_small(lohi, t, [*g, "_i"]) if g else lohi.join(F.broadcast(t), "_i")
     return res.select(*g, "_i", (F.col("_vlo") + (F.col("_pos") - (F.col("_lo") - 1))
                                  * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
 
