@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 # Rows above which a "small" side is no longer broadcast by the checked helper.
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
+# Temporary shared folders of local-mode applications that name none.
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "cinder") -> SparkSession:
@@ -46,21 +49,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and job state.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode
-    session (tests, laptop runs) without that setting gets a fresh temporary
-    folder; a cluster session without it is an error, because a machine-local
-    folder would not survive the loss of an executor.
+    session (tests, laptop runs) without that setting gets a temporary folder,
+    one per application; a cluster session without it is an error, because a
+    machine-local folder would not survive the loss of an executor.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-        return conf_dir.rstrip("/")
-    master = spark.sparkContext.master or ""
-    if not master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    local = tempfile.mkdtemp(prefix="cinder-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        if sc.applicationId not in _LOCAL_DIRS:
+            _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="cinder-ckpt-")
+        shared = _LOCAL_DIRS[sc.applicationId]
+    sc.setCheckpointDir(shared)
+    return shared.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, the
+    rows survive lost executors, and Spark plans later joins with real sizes."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
