@@ -1,0 +1,5 @@
+"""Plain helpers for the tests of this folder."""
+
+
+def plain_rows(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()
