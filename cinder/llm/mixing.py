@@ -5,9 +5,10 @@ Every source gets a share of the corpus size by its weight, at most
 all its documents plus a subset of them that fills the remaining budget:
 
 * documents are counted by (source, exact length) in one combinable aggregate;
-* each length first gives its proportional part, rounded down; the residue, which
-  is smaller than the longest documents, is fitted by a bounded-knapsack dynamic
-  programme over the lengths left (bit sets of reachable sums, exact counts);
+* each length first gives its proportional part, rounded down; the residue and
+  some 65,536 words of the shortest documents taken so far are fitted by a
+  bounded-knapsack dynamic programme over the lengths left (bit sets of reachable
+  sums, exact counts);
 * of each (source, length) the wanted number of documents is selected by a
   seeded draw: those with the smallest draws.  The cut draw is found from
   sqrt(n) buckets of about sqrt(n) rows each, so a (source, length) that holds a
@@ -33,6 +34,7 @@ from cinder.session import materialise
 WEIGHTS = (5.0, 2.0, 1.0)     # by the source's place, repeating
 MAX_REPEAT = 3
 SEED = 20
+FIT_WORDS = 1 << 16           # of each source's budget, about as many words are fitted exactly
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -87,6 +89,11 @@ def fit_budget(size: np.ndarray, n: np.ndarray, budget: int) -> np.ndarray:
         if 0 < size[i] <= left and take[i] < n[i]:
             take[i] += 1
             left -= int(size[i])
+    for i in order[::-1]:                             # give short ones back, so that the programme has a choice
+        if size[i] > 0 and left < FIT_WORDS:
+            back = min(int(take[i]), -(-(FIT_WORDS - left) // int(size[i])))
+            take[i] -= back
+            left += back * int(size[i])
     return take + _knapsack(size, n - take, left)
 
 
