@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinder.llm import decontaminate, langid, mixing, sharding, simhash
+from cinder.llm import (
+    decontaminate,
+    edit_fingerprint,
+    html_text,
+    langid,
+    license_scan,
+    mixing,
+    pii,
+    sharding,
+    simhash,
+    toxicity,
+)
 from cinder.llm.common import documents, table
 
 
@@ -13,28 +24,53 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_list(documents(spark, sf_dir))
 
 
+def op9_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.compare_next(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
+    "op4_html_text": op4_html_text,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
+    "op9_edit_fingerprint": op9_edit_fingerprint,
     "op10_decontamination": op10_decontamination,
 }
 
