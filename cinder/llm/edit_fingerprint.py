@@ -25,6 +25,7 @@ edit distance.
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -275,8 +276,8 @@ def compare_next(docs: DataFrame) -> DataFrame:
                                      "edited_fingerprint string, near_edited double, near_next double")
 
 
-BANDS, BAND_DIGITS = 21, 6
-LIKE = 0.5
+BANDS, BAND_DIGITS = 96, 5
+LIKE = 0.35
 
 
 def edit_distance_within(a: str, b: str, most: int) -> int | None:
@@ -302,8 +303,8 @@ def edit_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
     """(a, b, distance): ids a < b of different texts within an edit distance of ``share`` of the
     longer text, found by bit-sampled banding and verified exactly.
 
-    Equal texts collapse to their smallest doc_id first.  Each band is the digits
-    of 6 neighbouring bins; texts that share a band and whose fingerprints are
+    Equal texts collapse to their smallest doc_id first.  Each band is 5 digits
+    sampled with a fixed seed; texts that share a band and whose fingerprints are
     alike in at least ``LIKE`` of their digits are verified.
     """
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,8 +314,10 @@ def edit_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
     texts = (docs.where("doc_id is not null and text <> ''").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
              .select("doc_id", "text"))
     printed = materialise(texts.mapInPandas(prints, "doc_id long, text string, fingerprint string"), "edit-prints")
+    rng = random.Random(SEED)
+    picks = [rng.sample(range(1, SAMPLES + 1), BAND_DIGITS) for _ in range(BANDS)]
     bands = printed.select("doc_id", "fingerprint", F.explode(F.array(*[
-        F.concat(F.lit(f"{i}:"), F.substring("fingerprint", i * BAND_DIGITS + 1, BAND_DIGITS)) for i in range(BANDS)])).alias("band"))
+        F.concat(F.lit(f"{i}:"), *[F.substring("fingerprint", at, 1) for at in pick]) for i, pick in enumerate(picks)])).alias("band"))
     x, y = bands.alias("x"), bands.alias("y")
     alike = F.expr(f"""size(filter(sequence(1, {SAMPLES}),
         i -> substring(x.fingerprint, i, 1) = substring(y.fingerprint, i, 1))) >= {LIKE * SAMPLES}""")

@@ -2,8 +2,9 @@
 
 Only documents carry labels, so tokens are labelled from them: over all labelled
 training documents Spark counts in how many toxic and clean ones each token
-feature (the word, its first 4 and 5 letters, its last 4) occurs; a token of a
-toxic document that has a feature of strong evidence is labelled toxic, all
+feature (the word, its first 4 and 5 letters, its last 4) occurs; evidence is a
+feature of which enough toxic and hardly any clean documents have a token.  A
+token of a toxic document that has an evidence feature is labelled toxic, all
 other tokens clean.  The field has two tags, emission weights on evidence
 features and a bias, and transition weights; it is fitted by gradient ascent on
 the exact log-likelihood (forward-backward) of a bounded sample of token runs.
@@ -33,8 +34,8 @@ from cinder.llm.common import id_remainder, unit_draw
 from cinder.session import materialise
 
 FOLDS, HELD_OUT = 4, 2       # the remainder of the id's crc32 that is never learnt from
-LEAST_TOXIC = 3              # toxic documents that a feature must occur in
-EVIDENCE = 3.0               # log odds of a feature between toxic and clean documents
+LEAST_TOXIC, LEAST_SHARE = 4, 0.015    # toxic documents that a feature must occur in: so many, and this share of all
+EVIDENCE = 0.9               # share of toxic ones among the documents that hold a feature
 VOCABULARY = 50_000
 RUNS, RUN = 2_000, 48
 ROUNDS = 120
@@ -219,9 +220,10 @@ def _evidence(known: DataFrame) -> tuple[list[str], int, int]:
     clean = int(sizes["n"]) - toxic
     counts = known.select("text", "toxic").mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    rows = (counts.where(F.col("toxic") >= LEAST_TOXIC).withColumn("odds", odds).where(F.col("odds") >= EVIDENCE)
-            .orderBy(F.col("odds").desc(), "feature").limit(VOCABULARY).select("feature").collect())
+    held = F.col("toxic") + F.col("clean")
+    rows = (counts.where(F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic))
+            .withColumn("pure", (F.col("toxic") + 0.5) / (held + 1.0)).where(F.col("pure") >= EVIDENCE)
+            .orderBy(F.col("toxic").desc(), "feature").limit(VOCABULARY).select("feature").collect())
     return [r["feature"] for r in rows], toxic, clean
 
 
@@ -229,9 +231,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit the field on the labelled rows that are not held out."""
     marks = (labels.where("doc_id is not null and toxic is not null")
              .groupBy(F.col("doc_id").alias("of_doc")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
+    # Copies count once: a text repeated under many ids is no evidence for its words.
     known = materialise(
         docs.select("doc_id", "text").where(F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
-        .join(marks, F.col("doc_id") == F.col("of_doc")).select("doc_id", "text", "toxic"), "toxic-train")
+        .join(marks, F.col("doc_id") == F.col("of_doc"))
+        .groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "toxic-train")
     names, toxic, clean = _evidence(known)
     field = Field(names)
     if not names:
