@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinder.llm.common import id_remainder, unit_draw
+from cinder.session import materialise
 
 ORDER = 4
 TRAIN_DOCS = 600            # of each language
@@ -194,7 +195,9 @@ def training_sample(docs: DataFrame, train_docs: int) -> DataFrame:
     """(lang, text) of at most ``train_docs`` learnable texts of each language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                        & (id_remainder(F.col("doc_id"), HOLD_OUT) != 0))
-    sizes = known.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("n"))
+    # Written first (a row for each language), so that its real size is known and texts are
+    # filtered by the draw where they are read, before any shuffle.
+    sizes = materialise(known.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("n")), "lang-sizes")
     drawn = known.select("lang", "text", unit_draw(SEED, F.col("doc_id")).alias("draw"))
     # Twice the wanted rate first, so that only a few rows of a language reach its window.
     few = drawn.join(sizes, F.col("lang") == F.col("of_lang")).where(
