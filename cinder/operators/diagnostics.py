@@ -16,13 +16,14 @@ from cinder.schema import CONFUSION_LABELS, PIXEL_KEY
 
 
 def class_balance(df: DataFrame, label_col: str = "label", group_cols=()) -> DataFrame:
-    """Counts of each class, neg:pos ratio and positive percent in one
-    aggregate (replaces a chunked scan with running counters)."""
-    g = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_total"),
-                                    F.sum(F.col(label_col)).cast("bigint").alias("n_pos"))
-    return g.select(*group_cols, "n_total", "n_pos", (F.col("n_total") - F.col("n_pos")).alias("n_neg"),
-                    F.try_divide((F.col("n_total") - F.col("n_pos")).cast("double"), F.col("n_pos")).alias("neg_pos_ratio"),
-                    (F.col("n_pos") * 100.0 / F.col("n_total")).alias("pct_pos"))
+    """Counts of each class and of rows without a label, neg:pos ratio and
+    positive percent of the labelled rows, in one aggregate."""
+    label = F.col(label_col)
+    g = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_total"), F.count_if(label == 1).alias("n_pos"),
+                                    F.count_if(label == 0).alias("n_neg"), F.count_if(label.isNull()).alias("n_null"))
+    return g.select(*group_cols, "n_total", "n_pos", "n_neg", "n_null",
+                    F.try_divide(F.col("n_neg").cast("double"), F.col("n_pos")).alias("neg_pos_ratio"),
+                    F.try_divide(F.col("n_pos") * 100.0, F.col("n_pos") + F.col("n_neg")).alias("pct_pos"))
 
 
 def confusion_by_year(df: DataFrame, label_col: str = "pred_obs", year_col: str = "year") -> DataFrame:

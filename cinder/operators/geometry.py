@@ -89,16 +89,62 @@ def polar_stereographic_north(lon: Column, lat: Column, lat_ts: float = 70.0,
     return rho * F.sin(lam), -rho * F.cos(lam)
 
 
-def lambert_azimuthal_north(lon: Column, lat: Column, radius: float = 6371228.0,
-                            lon0: float = 0.0) -> tuple[Column, Column]:
-    """Spherical north polar Lambert azimuthal equal-area (EPSG:6931-like),
-    Snyder (1987) eqs. 24-3, 24-4 with phi1 = 90 deg."""
-    phi = F.radians(lat)
+_E2 = 2 * WGS84_F - WGS84_F**2
+_E = math.sqrt(_E2)
+_Q_POLE = 1 + (1 - _E2) / (2 * _E) * math.log((1 + _E) / (1 - _E))
+
+
+def lambert_azimuthal_north(lon: Column, lat: Column, lon0: float = 0.0) -> tuple[Column, Column]:
+    """Ellipsoidal north polar Lambert azimuthal equal-area (EPSG:6931),
+    Snyder (1987) eqs. 3-12, 24-23, 21-30, 21-31."""
+    sin = F.sin(F.radians(lat))
+    q = F.lit(1 - _E2) * (sin / (1 - F.lit(_E2) * sin * sin)
+                          - F.lit(1 / (2 * _E)) * F.log((1 - F.lit(_E) * sin) / (1 + F.lit(_E) * sin)))
     lam = F.radians(lon) - F.lit(math.radians(lon0))
-    rho = F.lit(2 * radius) * F.sin(F.lit(math.pi / 4) - phi / 2)
+    rho = F.lit(WGS84_A) * F.sqrt(F.greatest(F.lit(_Q_POLE) - q, F.lit(0.0)))
     return rho * F.sin(lam), -rho * F.cos(lam)
 
 
+def _geodetic(aux: Column, terms: tuple[float, float, float]) -> Column:
+    """Latitude from an auxiliary latitude by its series in sines of even multiples."""
+    return aux + F.lit(terms[0]) * F.sin(2 * aux) + F.lit(terms[1]) * F.sin(4 * aux) + F.lit(terms[2]) * F.sin(6 * aux)
+
+
+def _lonlat(x: Column, y: Column, phi: Column, lon0: float) -> tuple[Column, Column]:
+    lon = F.degrees(F.atan2(x, -y)) + F.lit(lon0)
+    return F.when(lon < -180, lon + 360).when(lon >= 180, lon - 360).otherwise(lon), F.degrees(phi)
+
+
+def lonlat_from_stereographic_north(x: Column, y: Column, lat_ts: float = 70.0, lon0: float = -45.0) -> tuple[Column, Column]:
+    """Inverse of :func:`polar_stereographic_north`, Snyder (1987) eqs. 3-5, 20-16, 21-39, 21-40."""
+    phic = math.radians(lat_ts)
+    mc = math.cos(phic) / math.sqrt(1 - _E2 * math.sin(phic) ** 2)
+    tc = math.tan(math.pi / 4 - phic / 2) / ((1 - _E * math.sin(phic)) / (1 + _E * math.sin(phic))) ** (_E / 2)
+    chi = F.lit(math.pi / 2) - 2 * F.atan(F.hypot(x, y) * F.lit(tc / (WGS84_A * mc)))
+    e2, e4, e6 = _E2, _E2**2, _E2**3
+    terms = (e2 / 2 + 5 * e4 / 24 + e6 / 12, 7 * e4 / 48 + 29 * e6 / 240, 7 * e6 / 120)
+    return _lonlat(x, y, _geodetic(chi, terms), lon0)
+
+
+def lonlat_from_azimuthal_north(x: Column, y: Column, lon0: float = 0.0) -> tuple[Column, Column]:
+    """Inverse of :func:`lambert_azimuthal_north`, Snyder (1987) eqs. 3-18, 24-28."""
+    q = F.lit(_Q_POLE) - (x * x + y * y) / F.lit(WGS84_A**2)
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q / F.lit(_Q_POLE))))
+    e2, e4, e6 = _E2, _E2**2, _E2**3
+    terms = (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040, 23 * e4 / 360 + 251 * e6 / 3780, 761 * e6 / 45360)
+    return _lonlat(x, y, _geodetic(beta, terms), lon0)
+
+
+def lonlat_from_xy(df: DataFrame, x_col: str, y_col: str, crs: str) -> DataFrame:
+    """Adds ``lon`` and ``lat`` (degrees) of projected coordinates in metres."""
+    x, y = F.col(x_col).cast("double"), F.col(y_col).cast("double")
+    inverse = {"EPSG:3413": lonlat_from_stereographic_north, "EPSG:6931": lonlat_from_azimuthal_north}
+    if crs.upper() not in inverse:
+        raise ValueError(f"unsupported CRS {crs}; only EPSG:3413 and EPSG:6931 are built")
+    lon, lat = inverse[crs.upper()](x, y)
+    return df.withColumns({"lon": lon, "lat": lat})
+
+
 def project_lonlat(df: DataFrame, lon_col: str, lat_col: str, crs: str) -> DataFrame:
     lon, lat = F.col(lon_col).cast("double"), F.col(lat_col).cast("double")
     if crs.upper() == "EPSG:3413":
@@ -228,8 +274,8 @@ def nearest_resample(target: DataFrame, source: DataFrame, src_grid: dict, value
 def bilinear_resample(target: DataFrame, source: DataFrame, src_grid: dict, value_col: str,
                       x_col: str = "x", y_col: str = "y", extra_keys: tuple = ()) -> DataFrame:
     """Bilinear interpolation from the four source centres around each target
-    point: one 4-way explode + equi-join + weighted sum (weights renormalised over
-    neighbours that exist)."""
+    point: one 4-way explode + equi-join + weighted sum.  Weights are renormalised
+    over the neighbours that have a value; a point without any comes back NULL."""
     fx = (F.col(x_col) - F.lit(src_grid["x0"])) / F.lit(src_grid["dx"]) - 0.5
     fy = (F.col(y_col) - F.lit(src_grid["y0"])) / F.lit(src_grid["dy"]) - 0.5
     t = target.withColumns({"_fx": fx, "_fy": fy}).withColumns({
@@ -243,10 +289,11 @@ def bilinear_resample(target: DataFrame, source: DataFrame, src_grid: dict, valu
         * F.when(F.col("_k.dr") == 1, F.col("_ty")).otherwise(1 - F.col("_ty"))})
     s = source.select(F.col("grid_row").alias("src_row"), F.col("grid_col").alias("src_col"),
                       *extra_keys, F.col(value_col).alias("_v"))
-    j = t.join(s, ["src_row", "src_col", *extra_keys], "inner")
+    j = t.join(s, ["src_row", "src_col", *extra_keys], "left")
     keep = [c for c in target.columns]
     return (j.groupBy(*keep)
-             .agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias(value_col)))
+             .agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")),
+                               F.sum(F.when(F.col("_v").isNotNull(), F.col("_w")))).alias(value_col)))
 
 
 # --- B17: grid guard ----------------------------------------------------------

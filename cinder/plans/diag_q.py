@@ -17,13 +17,15 @@ KEY = ["grid_row", "grid_col", "year", "month"]
 
 
 @query("class_balance", with_obs(f"""
-SELECT year, count(*) AS n_total, CAST(sum(label) AS BIGINT) AS n_pos, count(*) - sum(label) AS n_neg,
-       {rnd('(count(*) - sum(label)) / nullif(sum(label), 0)')} AS neg_pos_ratio,
-       {rnd('sum(label) * 100.0 / count(*)')} AS pct_pos
-FROM obs GROUP BY year"""))
+SELECT year, count(*) AS n_total, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg,
+       count(*) FILTER (label IS NULL) AS n_null,
+       {rnd('count(*) FILTER (label = 0) / nullif(count(*) FILTER (label = 1), 0)')} AS neg_pos_ratio,
+       {rnd('count(*) FILTER (label = 1) * 100.0 / nullif(count(label), 0)')} AS pct_pos
+FROM (SELECT year, CASE WHEN (grid_row * 7 + grid_col) % 13 <> 0 THEN label END AS label FROM obs) l GROUP BY year"""))
 def q_class_balance(spark, sf):
-    """Class counts, neg:pos ratio and positive share per year."""
-    return round_doubles(class_balance(obs(spark, sf), "label", ["year"]))
+    """Class counts, neg:pos ratio and positive share per year; some rows have no label."""
+    o = obs(spark, sf).withColumn("label", F.when((F.col("grid_row") * 7 + F.col("grid_col")) % 13 != 0, F.col("label")))
+    return round_doubles(class_balance(o, "label", ["year"]))
 
 
 _CONF = """(SELECT year, CASE WHEN ol IS NULL OR pl IS NULL THEN 'NA' WHEN pl = 1 AND ol = 1 THEN 'TP'

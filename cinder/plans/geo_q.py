@@ -10,7 +10,7 @@ from cinder.operators.coarse import annual_composite
 from cinder.operators.diagnostics import climatology
 from cinder.operators.geometry import (WGS84_A, WGS84_F, bilinear_resample, burn_fraction_monthly,
                                        coord_to_cell, geographic_pixel_area_m2, grid_guard,
-                                       nearest_resample, pixel_centers, project_lonlat)
+                                       lonlat_from_xy, nearest_resample, pixel_centers, project_lonlat)
 from cinder.operators.masks import annual_mask
 from cinder.plans.common import AREA_SQL, obs
 from cinder.plans.registry import query
@@ -85,9 +85,14 @@ def _stereo_sql(lon: str, lat: str) -> tuple[str, str]:
 
 
 def _laea_sql(lon: str, lat: str) -> tuple[str, str]:
-    rho = f"({2 * 6371228.0!r} * sin({math.pi / 4!r} - radians({lat}) / 2))"
-    lam = f"(radians({lon}) - 0.0)"
-    return f"{rho} * sin({lam})", f"-{rho} * cos({lam})"
+    e = math.sqrt(2 * WGS84_F - WGS84_F**2)
+
+    def q(sin: str) -> str:
+        return (f"((1 - {e * e!r}) * ({sin} / (1 - {e * e!r} * {sin} * {sin}) "
+                f"- ln((1 - {e!r} * {sin}) / (1 + {e!r} * {sin})) / {2 * e!r}))")
+
+    rho = f"({WGS84_A!r} * sqrt(greatest({q('1.0')} - {q(f'sin(radians({lat}))')}, 0.0)))"
+    return f"{rho} * sin(radians({lon}))", f"-{rho} * cos(radians({lon}))"
 
 
 _SX, _SY = _stereo_sql("longitude", "latitude")
@@ -98,7 +103,7 @@ _LX, _LY = _laea_sql("longitude", "latitude")
     f"SELECT grid_row, grid_col, {rnd(_SX, 2)} AS proj_x, {rnd(_SY, 2)} AS proj_y, {rnd(_LX, 2)} AS laea_x, "
     f"{rnd(_LY, 2)} AS laea_y FROM (SELECT DISTINCT grid_row, grid_col, longitude, latitude FROM obs) p"))
 def q_project_lonlat(spark, sf):
-    """lon/lat -> EPSG:3413 polar stereographic and EPSG:6931-style LAEA."""
+    """lon/lat -> EPSG:3413 polar stereographic and EPSG:6931 equal-area."""
     p = obs(spark, sf).select("grid_row", "grid_col", "longitude", "latitude").distinct()
     a = project_lonlat(p, "longitude", "latitude", "EPSG:3413")
     b = project_lonlat(p, "longitude", "latitude", "EPSG:6931").withColumnsRenamed({"proj_x": "laea_x",
@@ -107,6 +112,20 @@ def q_project_lonlat(spark, sf):
     return round_doubles(out.select("grid_row", "grid_col", "proj_x", "proj_y", "laea_x", "laea_y"), 2)
 
 
+@query("lonlat_from_xy", with_obs(
+    f"SELECT DISTINCT grid_row, grid_col, {rnd('longitude')} AS lon, {rnd('latitude')} AS lat, "
+    f"{rnd('longitude')} AS laea_lon, {rnd('latitude')} AS laea_lat FROM obs"))
+def q_lonlat_from_xy(spark, sf):
+    """B4 inverse: EPSG:3413 and EPSG:6931 -> lon/lat; a round trip ends where it began."""
+    p = obs(spark, sf).select("grid_row", "grid_col", "longitude", "latitude").distinct()
+    a = lonlat_from_xy(project_lonlat(p, "longitude", "latitude", "EPSG:3413"), "proj_x", "proj_y", "EPSG:3413")
+    b = project_lonlat(a.drop("proj_x", "proj_y").withColumnsRenamed({"lon": "first_lon", "lat": "first_lat"}),
+                       "longitude", "latitude", "EPSG:6931")
+    b = lonlat_from_xy(b, "proj_x", "proj_y", "EPSG:6931")
+    return round_doubles(b.select("grid_row", "grid_col", F.col("first_lon").alias("lon"), F.col("first_lat").alias("lat"),
+                                  F.col("lon").alias("laea_lon"), F.col("lat").alias("laea_lat")))
+
+
 # --- fine annual burn-date grid derived from lineitem (4x finer than obs) ---
 _FINE_SQL = f"""
 fine AS (SELECT CAST((l_partkey * 7 + l_suppkey) % {GRID_ROWS * FACTOR} AS INTEGER) AS fine_row,
@@ -178,7 +197,7 @@ def q_nearest_resample(spark, sf):
 
 
 @query("bilinear_resample", with_obs(f"""
-SELECT fine_row, fine_col, year, {rnd('sum(w * v) / sum(w)')} AS temperature_2m FROM (
+SELECT fine_row, fine_col, year, {rnd('sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0)')} AS temperature_2m FROM (
   SELECT t.fine_row, t.fine_col, t.year, cl.temperature_2m AS v,
          CASE WHEN k.dc = 1 THEN t.tx ELSE 1 - t.tx END * CASE WHEN k.dr = 1 THEN t.ty ELSE 1 - t.ty END AS w
   FROM (SELECT *, fx - c0 AS tx, fy - r0 AS ty FROM (
@@ -186,12 +205,14 @@ SELECT fine_row, fine_col, year, {rnd('sum(w * v) / sum(w)')} AS temperature_2m
             SELECT fine_row, fine_col, year, (x - ({GRID_X0})) / {GRID_DX} - 0.5 AS fx,
                    (y - {GRID_Y0}) / ({GRID_DY}) - 0.5 AS fy FROM fc) a) b) t
   CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(dr, dc)
-  JOIN cl ON cl.grid_row = t.r0 + k.dr AND cl.grid_col = t.c0 + k.dc) u
+  LEFT JOIN cl ON cl.grid_row = t.r0 + k.dr AND cl.grid_col = t.c0 + k.dc) u
 GROUP BY 1, 2, 3""", _FINE_SQL + "," + _FC_SQL + """,
-cl AS (SELECT grid_row, grid_col, avg(temperature_2m) AS temperature_2m FROM obs GROUP BY 1, 2)"""))
+cl AS (SELECT grid_row, grid_col, CASE WHEN (grid_row + grid_col) % 11 <> 0 THEN avg(temperature_2m) END AS temperature_2m
+       FROM obs GROUP BY 1, 2)"""))
 def q_bilinear_resample(spark, sf):
     """Bilinear resample of the temperature climatology onto the fine grid."""
-    cl = climatology(obs(spark, sf), ["temperature_2m"])
+    cl = climatology(obs(spark, sf), ["temperature_2m"]).withColumn(      # with cells that have no value
+        "temperature_2m", F.when((F.col("grid_row") + F.col("grid_col")) % 11 != 0, F.col("temperature_2m")))
     out = bilinear_resample(_fine_centres(spark, sf), cl, COARSE, "temperature_2m")
     return round_doubles(out.select("fine_row", "fine_col", "year", "temperature_2m"))
 

@@ -207,12 +207,12 @@ def q_regression_metrics(spark, sf):
 _FOCAL_SQL = """
 fx AS (SELECT year, label, greatest(1e-7, least(1 - 1e-7, 1 / (1 + exp(-((p - 0.5) * 8))))) AS q,
               CAST(sum(1 - label) OVER (PARTITION BY year) AS DOUBLE) / count(*) OVER (PARTITION BY year) AS a_dyn FROM s),
-fz AS (SELECT year, label, q * (1 - q) AS hess,
-  CASE WHEN label > 0.5 THEN 0.25 * pow(1 - q, 2.0) * (2.0 * (-ln(q)) * (1 - q) - 1) * (q * (1 - q))
-       ELSE (1 - 0.25) * pow(q, 2.0) * (2.0 * (-ln(1 - q)) * q + 1) * (q * (1 - q)) END AS grad,
-  CASE WHEN label > 0.5 THEN -0.25 * pow(1 - q, 2.0) * ln(q) ELSE -(1 - 0.25) * pow(q, 2.0) * ln(1 - q) END AS loss,
-  CASE WHEN label > 0.5 THEN -a_dyn * pow(1 - q, 2.0) * ln(q) ELSE -(1 - a_dyn) * pow(q, 2.0) * ln(1 - q) END AS loss_dyn
-  FROM fx)"""
+fc AS (SELECT year, label, a_dyn, CASE WHEN label > 0.5 THEN q ELSE 1 - q END AS c,
+  CASE WHEN label > 0.5 THEN 0.25 ELSE 0.75 END AS w, CASE WHEN label > 0.5 THEN a_dyn ELSE 1 - a_dyn END AS w_dyn FROM fx),
+fz AS (SELECT year, label,
+  CASE WHEN label > 0.5 THEN 1 ELSE -1 END * w * (2 * c * (1 - c) * (1 - c) * ln(c) - pow(1 - c, 3)) AS grad,
+  w * c * (1 - c) * (1 - c) * ((1 - c) * (5 + 2 * ln(c)) - 4 * c * ln(c)) AS hess,
+  -w * pow(1 - c, 2.0) * ln(c) AS loss, -w_dyn * pow(1 - c, 2.0) * ln(c) AS loss_dyn FROM fc)"""
 
 
 @query("focal_terms", with_obs(

@@ -8,7 +8,7 @@ from cinder.functions.cleaning import prefix_columns
 from cinder.functions.hashing import hash_uniform, sql_hash_uniform
 from cinder.functions.labels import confusion_label
 from cinder.operators.coarse import annual_composite, coarse_grid
-from cinder.operators.geometry import cell_mask, snap
+from cinder.operators.geometry import cell_mask, geographic_pixel_area_m2, pixel_centers, snap
 from cinder.operators.joins import (attach_bands, join_predictions, join_sources, label_to_pixels)
 from cinder.operators.masks import annual_mask, annual_mask_dynamic
 from cinder.operators.metrics import area_match_threshold
@@ -18,7 +18,7 @@ from cinder.operators.zonal import (MHA_PER_M2, area_by_year_total, area_error_r
 from cinder.plans.common import AREA_SQL, obs, pixel_table
 from cinder.plans.registry import query
 from cinder.plans.sqlgen import annual_composite_ctes, coarse_grid_ctes, rnd, round_doubles
-from cinder.sources.tables import read_table, with_obs, zones
+from cinder.sources.tables import GRID_DX, GRID_DY, GRID_X0, GRID_Y0, read_table, with_obs, zones
 
 K = "grid_row, grid_col, year, month"
 KEY = ["grid_row", "grid_col", "year", "month"]
@@ -133,8 +133,9 @@ GROUP BY 1, 2, 3"""))
 def q_area_per_cell(spark, sf):
     """Burned hectares per 1 degree cell and year, 0 where none."""
     o = obs(spark, sf)
-    pix = pixel_table(spark, sf, o).select("grid_row", "grid_col", "longitude", "latitude", "area_m2")
-    m = annual_mask(o, "score", 0.5).join(pix, ["grid_row", "grid_col"])
+    # Centre and area follow from the grid key, so pixels outside every zone count too.
+    m = pixel_centers(annual_mask(o, "score", 0.5), GRID_X0, GRID_DX, GRID_Y0, GRID_DY, x_name="longitude", y_name="latitude")
+    m = m.withColumn("area_m2", geographic_pixel_area_m2("latitude", GRID_DX, GRID_DY))
     m = m.withColumns({"big_lon": snap("longitude", 1.0), "big_lat": snap("latitude", 1.0)})
     return round_doubles(area_per_cell(m, ["year", "big_lon", "big_lat"], "burned", "area_m2"))
 

@@ -107,12 +107,3 @@ def small_or_shuffle(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> D
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a frame whose size is bounded by construction.
-
-    Use only where the caller can state the bound (e.g. one row per group,
-    or at most ``groups x 65,536`` histogram buckets).
-    """
-    return F.broadcast(df)

@@ -64,12 +64,12 @@ def check_unique_columns(df: DataFrame) -> None:
 def write_partitioned(df: DataFrame, path: str, partition_cols, mode: str = "append") -> None:
     """Append (or dynamically overwrite) a Hive-partitioned Parquet dataset.
 
-    Rows are clustered by the partition columns first so each task writes few
-    files per partition."""
+    Rows are dealt by the partition columns, so each task writes few files per
+    partition; adaptive execution splits partitions that are large."""
     check_unique_columns(df)
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (df.repartition(*partition_cols).write.mode(mode).partitionBy(*partition_cols).parquet(path))
+    (df.hint("rebalance", *partition_cols).write.mode(mode).partitionBy(*partition_cols).parquet(path))
 
 
 def safe_name(c: Column) -> Column:
@@ -82,13 +82,18 @@ def write_per_zone(df: DataFrame, path: str, zone_col: str = "ecoregion") -> Non
     write_partitioned(df.withColumn("zone_safe", safe_name(F.col(zone_col))), path, ["zone_safe"], "overwrite")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def existing_partitions(spark: SparkSession, path: str, partition_cols) -> DataFrame:
-    """Partition values already present under ``path`` (empty if absent)."""
-    try:
+    """Partition values already present under ``path``; none if nothing was written
+    there yet.  Any other failure to read is an error."""
+    if path_exists(spark, path):
         return spark.read.parquet(path).select(*partition_cols).distinct()
-    except Exception:  # path missing: nothing written yet
-        schema = T.StructType([T.StructField(c, T.IntegerType()) for c in partition_cols])
-        return spark.createDataFrame([], schema)
+    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in partition_cols])
+    return spark.createDataFrame([], schema)
 
 
 def incremental_todo(todo: DataFrame, done: DataFrame, keys) -> DataFrame:

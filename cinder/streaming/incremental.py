@@ -1,20 +1,21 @@
 """Structured Streaming jobs.
 
-S1 ``incremental_ingest``: monthly files landing in a folder are picked up by a
+S1 ``incremental_ingest``: files landing in a folder are picked up by a
 file-source stream (``Trigger.AvailableNow`` processes what has landed, then
-stops; the checkpoint remembers which files were done, so a re-run only
-processes new months).  Each micro-batch is written with dynamic partition
-overwrite, so a replayed batch rewrites the same (year, month) partitions
-instead of duplicating rows.  The landing unit is a complete month.
-
-S2 ``incremental_annual_mask``: monthly scores -> running ``max`` per (pixel,
-year) in update mode.  State is keyed by the year start timestamp with a
-watermark of 400 days, so a year's state is dropped once data more than 400 days
-newer has arrived; months arriving later than that are ignored (documented
-bound).  Each micro-batch merges the updated (pixel, year) rows into only the
-touched year partitions of a Parquet table (plain Parquet has no row upsert):
-existing rows of those years minus updated keys, plus updated rows, cut from
-their lineage (reliable checkpoint) before the partitions are overwritten.
+stops; the checkpoint remembers which files were done).  Each micro-batch is
+merged into the (year, month) partitions it touches: existing rows whose key the
+batch does not bring stay, of several rows for a key the one of the newest file
+counts.  A month may thus arrive in any number of files and runs, and a replayed
+batch changes nothing.
+
+S2 ``incremental_annual_mask``: monthly scores -> ``max`` per (pixel, year).  The
+batch's maxima are joined with the touched years of the table and the greater
+value is kept, so the stream needs no state and no watermark: a month may arrive
+at any time, years late or in any order, and replays are idempotent.
+
+Both write the merged rows to the shared folder first, because the partitions
+that are read are overwritten; rows are dealt to writers by partition values with
+large partitions split (``REBALANCE``).
 """
 
 from __future__ import annotations
@@ -23,36 +24,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinder.session import cut_lineage
+from cinder.session import materialise
 from cinder.schema import PIXEL_KEY
-
-STATE_WATERMARK = "400 days"
-
+from cinder.sources.files import path_exists
 
 def _dynamic(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
 
 def incremental_ingest(spark: SparkSession, landing: str, target: str, checkpoint: str,
-                       schema: T.StructType, partition_cols=("year", "month")) -> None:
-    """Ingest every month that has landed since the last run, then stop."""
+                       schema: T.StructType, partition_cols=("year", "month"), key=PIXEL_KEY) -> None:
+    """Ingest every file that has landed since the last run, then stop."""
     _dynamic(spark)
-    src = spark.readStream.schema(schema).parquet(landing)
+    src = spark.readStream.schema(schema).parquet(landing).select("*", "_metadata.file_modification_time")
+    keys = list(dict.fromkeys([*key, *partition_cols]))
+    rest = [c for c in schema.fieldNames() if c not in keys]
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        (batch.repartition(*partition_cols).write.mode("overwrite")
-              .partitionBy(*partition_cols).parquet(target))
+        new = (batch.groupBy(*keys)
+               .agg(F.max_by(F.struct(*rest), F.struct("file_modification_time", F.struct(*rest))).alias("_row"))
+               .select(*keys, "_row.*"))
+        if path_exists(spark, target):
+            touched = new.select(*partition_cols).distinct()
+            old = spark.read.parquet(target).join(touched, list(partition_cols), "left_semi")
+            new = old.join(new, keys, "left_anti").select(*new.columns).unionByName(new)
+        _overwrite_partitions(new, target, partition_cols)
 
     q = (src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+def _overwrite_partitions(rows: DataFrame, target: str, partition_cols) -> None:
+    (materialise(rows, "stream-merge").hint("rebalance", *partition_cols)
+     .write.mode("overwrite").partitionBy(*partition_cols).parquet(target))
 
 
 def incremental_annual_mask(spark: SparkSession, landing: str, target: str, checkpoint: str,
@@ -60,25 +65,18 @@ def incremental_annual_mask(spark: SparkSession, landing: str, target: str, chec
                             key=PIXEL_KEY) -> None:
     """Fold newly landed monthly scores into the annual max / mask table."""
     _dynamic(spark)
-    src = (spark.readStream.schema(schema).parquet(landing)
-                .withColumn("year_ts", F.make_timestamp(F.col("year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-                .withWatermark("year_ts", STATE_WATERMARK))
-    agg = src.groupBy(*key, "year", "year_ts").agg(F.max(F.nanvl(F.col(value_col).cast("double"),
-                                                                 F.lit(None).cast("double"))).alias("annual_max"))
-    out_cols = [*key, "year", "annual_max", "burned"]
+    src = spark.readStream.schema(schema).parquet(landing)
+    keys = [*key, "year"]
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        upd = batch.select(*key, "year", "annual_max",
-                           (F.col("annual_max") >= threshold).cast("int").alias("burned"))
-        if _table_exists(spark, target):
-            years = upd.select("year").distinct()
-            old = spark.read.parquet(target).join(years, "year", "left_semi")
-            keep = old.join(upd.select(*key, "year"), [*key, "year"], "left_anti")
-            merged = cut_lineage(keep.select(*out_cols).unionByName(upd.select(*out_cols)))
-        else:
-            merged = upd.select(*out_cols)
-        merged.repartition("year").write.mode("overwrite").partitionBy("year").parquet(target)
-
-    q = (agg.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
+        value = F.col(value_col).cast("double")
+        new = batch.groupBy(*keys).agg(F.max(F.when(~F.isnan(value), value)).alias("annual_max"))
+        if path_exists(spark, target):
+            old = (spark.read.parquet(target).join(new.select("year").distinct(), "year", "left_semi")
+                   .select(*keys, F.col("annual_max").alias("_old")))
+            new = new.join(old, keys, "full").select(*keys, F.greatest("annual_max", "_old").alias("annual_max"))
+        _overwrite_partitions(new.withColumn("burned", (F.col("annual_max") >= threshold).cast("int")), target, ["year"])
+
+    q = (src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
     q.awaitTermination()

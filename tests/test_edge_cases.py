@@ -114,12 +114,91 @@ def test_missing_month_rows_and_monthless_sources_skipped(spark):
     assert len(out) == 1 and out[0]["A__v"] == 5.0 and "B__v" not in out[0].asDict()
 
 
-def test_late_month_raises_annual_max(spark, tmp_path):
-    from cinder.operators.masks import annual_max
-    df = spark.createDataFrame([(0, 0, 2004, 1, 0.2)], "grid_row int, grid_col int, year int, month int, p double")
-    late = spark.createDataFrame([(0, 0, 2004, 12, 0.9)], "grid_row int, grid_col int, year int, month int, p double")
-    assert annual_max(df, "p").first()["annual_max"] == 0.2
-    assert annual_max(df.unionByName(late), "p").first()["annual_max"] == 0.9
+SCORES = "grid_row int, grid_col int, year int, month int, fraction double, p double"
+
+
+def _land(spark, folder, rows):
+    spark.createDataFrame(rows, SCORES).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_annual_mask_stream_takes_months_in_any_order(spark, tmp_path):
+    from cinder.plans.stream_q import MONTH_SCHEMA
+    from cinder.streaming.incremental import incremental_annual_mask
+    landing, target, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for rows in ([(0, 0, 2001, 1, 0.0, 0.2), (9, 9, 2001, 1, 0.0, None)], [(0, 0, 1995, 7, 0.0, 0.9)],
+                 [(0, 0, 2001, 12, 0.0, 0.7), (5, 5, 1995, 7, 0.0, 0.1)], [(0, 0, 2001, 3, 0.0, 0.6)]):
+        _land(spark, landing, rows)
+        incremental_annual_mask(spark, landing, target, ck, MONTH_SCHEMA)
+    got = {(r.grid_row, r.year): (r.annual_max, r.burned) for r in spark.read.parquet(target).collect()}
+    assert got == {(0, 2001): (0.7, 1), (9, 2001): (None, None), (0, 1995): (0.9, 1), (5, 1995): (0.1, 0)}
+
+
+def test_ingest_stream_merges_files_of_a_month(spark, tmp_path):
+    import time
+
+    from cinder.plans.stream_q import MONTH_SCHEMA
+    from cinder.streaming.incremental import incremental_ingest
+    landing, target, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for rows in ([(0, 0, 2001, 1, 0.1, 0.2)], [(5, 5, 2001, 1, 0.3, 0.4)], [(0, 0, 2001, 1, 0.9, 0.2), (1, 1, 1995, 2, 0.5, 0.5)]):
+        _land(spark, landing, rows)
+        time.sleep(1.1)                     # file times are what tells newer rows
+        incremental_ingest(spark, landing, target, ck, MONTH_SCHEMA)
+    got = {(r.grid_row, r.year): r.fraction for r in spark.read.parquet(target).collect()}
+    assert got == {(0, 2001): 0.9, (5, 2001): 0.3, (1, 1995): 0.5}
+
+
+def test_bilinear_ignores_null_neighbours_and_keeps_lonely_points(spark):
+    from cinder.operators.geometry import bilinear_resample
+    grid = {"x0": 0.0, "dx": 1.0, "y0": 0.0, "dy": 1.0}
+    source = spark.createDataFrame([(0, 0, 10.0), (0, 1, None), (1, 0, 10.0), (1, 1, 10.0)], "grid_row int, grid_col int, v double")
+    target = spark.createDataFrame([(1, 1.0, 1.0), (2, 50.0, 50.0)], "id int, x double, y double")
+    got = {r.id: r.v for r in bilinear_resample(target, source, grid, "v").collect()}
+    assert got == {1: 10.0, 2: None}
+
+
+def test_equal_area_projection_on_the_ellipsoid(spark):
+    """The square of the radius is the area of the cap over pi, here summed along the meridian."""
+    import math
+
+    from cinder.operators.geometry import WGS84_A, WGS84_F, lonlat_from_xy, project_lonlat
+    e2 = 2 * WGS84_F - WGS84_F**2
+
+    def cap(lat, n=20_000):
+        lo, hi = math.radians(lat), math.pi / 2
+        total = 0.0
+        for i in range(n):
+            phi = lo + (hi - lo) * (i + 0.5) / n
+            w = 1 - e2 * math.sin(phi) ** 2
+            total += WGS84_A**2 * (1 - e2) * math.cos(phi) / w**2
+        return 2 * total * (hi - lo) / n
+
+    lats = [45.0, 60.0, 70.0, 89.9]
+    df = project_lonlat(spark.createDataFrame([(33.0, lat) for lat in lats], "lon0 double, lat0 double"), "lon0", "lat0", "EPSG:6931")
+    for r in df.collect():
+        assert abs(math.hypot(r.proj_x, r.proj_y) - math.sqrt(cap(r.lat0))) < 0.01
+    points = spark.createDataFrame([(lon, lat) for lon in (-180.0, -45.1, 0.0, 77.7, 179.9) for lat in (31.0, 60.0, 75.5, 89.0)], "lon0 double, lat0 double")
+    for crs in ("EPSG:3413", "EPSG:6931"):
+        back = lonlat_from_xy(project_lonlat(points, "lon0", "lat0", crs), "proj_x", "proj_y", crs)
+        assert all(abs(r.lon - r.lon0) < 1e-6 and abs(r.lat - r.lat0) < 1e-6 for r in back.collect())
+
+
+def test_focal_terms_are_derivatives_of_the_loss(spark):
+    from pyspark.sql import functions as F
+
+    from cinder.operators.metrics import focal_terms
+    h = 1e-4
+    rows = [(z / 2, y) for z in range(-9, 10) for y in (0.0, 1.0)]
+    df = spark.createDataFrame(rows, "z double, y double")
+    at = {d: focal_terms(F.col("z") + d * h, F.col("y")) for d in (-1, 0, 1)}
+    for r in df.select(at[0]["grad"].alias("g"), at[0]["hess"].alias("hh"), at[0]["loss"].alias("l"),
+                       at[1]["loss"].alias("up"), at[-1]["loss"].alias("down")).collect():
+        assert abs(r.g - (r.up - r.down) / (2 * h)) < 1e-5 and abs(r.hh - (r.up - 2 * r.l + r.down) / h**2) < 1e-4
+
+
+def test_class_balance_reports_missing_labels(spark):
+    from cinder.operators.diagnostics import class_balance
+    r = class_balance(spark.createDataFrame([(1,), (0,), (None,)], "label int")).first()
+    assert (r.n_total, r.n_pos, r.n_neg, r.n_null, r.pct_pos) == (3, 1, 1, 1, 50.0)
 
 
 def test_checkpoint_dir_comes_from_session(spark):
