@@ -1,7 +1,7 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Only documents carry labels, so tokens are labelled from them: over all labelled
-training documents Spark counts in how many toxic and clean ones each token
+Only documents carry labels, so tokens are labelled from them: over the labelled
+sample Spark counts in how many toxic and clean ones each token
 feature (the word, its first 4 and 5 letters, its last 4) occurs; evidence is a
 feature of which enough toxic and hardly any clean documents have a token.  A
 token of a toxic document that has an evidence feature is labelled toxic, all
@@ -15,9 +15,10 @@ those with evidence; tokens of at least ``TAGGED`` are the offending offsets
 (code points).  Tokens without evidence share one emission, so a run of them is
 one exact power of the same 2x2 matrix, and long clean texts cost one pass.
 
-Bounds: at most ``VOCABULARY`` evidence features (those with the most evidence),
-``RUNS`` token runs of at most ``RUN`` tokens of each class for the fit.  The
-counts, and the scoring, cover all rows.
+Bounds: the classifier is fitted on a seeded sample of about ``TRAIN_DOCS``
+labelled documents, on at most ``VOCABULARY`` evidence features (those in the
+most toxic documents) and ``RUNS`` token runs of at most ``RUN`` tokens of each
+class.  The scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ FOLDS, HELD_OUT = 4, 2       # the remainder of the id's crc32 that is never lea
 LEAST_TOXIC, LEAST_SHARE = 4, 0.015    # toxic documents that a feature must occur in: so many, and this share of all
 EVIDENCE = 0.9               # share of toxic ones among the documents that hold a feature
 VOCABULARY = 50_000
+TRAIN_DOCS = 10_000
 RUNS, RUN = 2_000, 48
 ROUNDS = 120
 THRESHOLD = 0.3
@@ -206,7 +208,7 @@ class Field:
 
 
 def _evidence(known: DataFrame) -> tuple[list[str], int, int]:
-    """The evidence features, from document counts over all labelled training rows."""
+    """The evidence features, from document counts over the labelled sample."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: dict[str, list[int]] = {}
@@ -227,14 +229,17 @@ def _evidence(known: DataFrame) -> tuple[list[str], int, int]:
     return [r["feature"] for r in rows], toxic, clean
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """Fit the field on the labelled rows that are not held out."""
-    marks = (labels.where("doc_id is not null and toxic is not null")
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
+    """Fit the field on about ``train_docs`` labelled rows that are not held out."""
+    marks = (labels.where(F.col("toxic").isNotNull() & (id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
              .groupBy(F.col("doc_id").alias("of_doc")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
+    marks = materialise(marks, "toxic-labels")
+    rate = train_docs / max(1, marks.count())
+    # Bounded and written: about ``train_docs`` narrow rows, so that only their texts are moved.
+    marks = materialise(marks.where(unit_draw(SEED, F.col("of_doc")) < int(min(1.0, rate) * (1 << 52))), "toxic-sample")
     # Copies count once: a text repeated under many ids is no evidence for its words.
     known = materialise(
-        docs.select("doc_id", "text").where(F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
-        .join(marks, F.col("doc_id") == F.col("of_doc"))
+        docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(marks, F.col("doc_id") == F.col("of_doc"))
         .groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "toxic-train")
     names, toxic, clean = _evidence(known)
     field = Field(names)
