@@ -129,11 +129,11 @@ ds AS ({seeds('d', 'doc_id')}),
 bs AS ({seeds('b', 'item_id')}),
 lines AS (SELECT DISTINCT doc_id, item_id, ds.at - bs.at AS shift FROM ds JOIN bs USING (mask, k0, k1, k2, k3)),
 w AS (SELECT doc_id, item_id, shift, b.words AS iw, least(len(b.words), {WINDOW}) AS width,
-      list_transform(range(0, len(b.words)), i -> CASE WHEN i + shift >= 0
+      list_transform(range(0, len(b.words)), lambda i: CASE WHEN i + shift >= 0
         AND d.words[i + shift + 1] = b.words[i + 1] THEN 1 ELSE 0 END) AS equal
       FROM lines JOIN d USING (doc_id) JOIN b USING (item_id)),
 o AS (SELECT doc_id, item_id, shift, list_sum(equal) AS matched,
-      list_max(list_transform(range(0, len(iw) - width + 1), s -> list_sum(equal[s + 1:s + width]))) / width AS overlap
+      list_max(list_transform(range(0, len(iw) - width + 1), lambda s: list_sum(equal[s + 1:s + width]))) / width AS overlap
       FROM w)
 SELECT doc_id, item_id, count(DISTINCT shift) AS places, max(overlap) AS overlap,
        CAST(max(matched) AS BIGINT) AS matched
