@@ -2,15 +2,13 @@ import random
 
 import pytest
 
+from .helpers import words
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that operators use inside; documents may bring columns of the same names.
 CLASHING = ["fp", "rep", "label", "size", "draw", "hash", "depth", "key", "at", "words", "shift", "n", "score", "prefix"]
 
 
-def words(rng: random.Random, n: int, vocabulary: str = "abcdefg") -> str:
-    return " ".join("".join(rng.choices(vocabulary, k=rng.randint(1, 4))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """Nulls in every column, empty and very long texts, ties and repeated rows."""

@@ -2,12 +2,12 @@ import random
 import re
 from itertools import combinations
 
-from conftest import words
-from conftest_llm import plain_rows
 
 from cinder.llm import decontaminate as dc
 from cinder.llm.catalog import op10_decontamination
 
+from .helpers import plain_rows, words
+
 
 def brute(docs, items):
     """Every alignment of every item with every document, no seeds."""

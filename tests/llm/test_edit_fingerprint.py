@@ -2,11 +2,12 @@ import hashlib
 import random
 
 import pytest
-from conftest import words
 
 from cinder.llm import edit_fingerprint as ef
 from cinder.llm.catalog import op9_edit_fingerprint
 
+from .helpers import words
+
 
 def slow_trail(text):
     """The walk one step at a time: does the shared bit of (step, character) move on?"""

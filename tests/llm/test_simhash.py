@@ -2,12 +2,13 @@ import random
 from collections import defaultdict
 
 import xxhash
-from conftest_llm import plain_rows
 
 from cinder.llm import simhash
 from cinder.llm.catalog import op5_simhash
 from cinder.llm.components import connected_components
 
+from .helpers import plain_rows
+
 
 def brute_fingerprint(text):
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
