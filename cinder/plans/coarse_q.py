@@ -100,6 +100,15 @@ def q_best_threshold_row(spark, sf):
     return round_doubles(best_row(avg, ["Recall", "Precision", "F1_Score"], ["grid_size_deg", "threshold"]))
 
 
+@query("best_threshold_row_by_f1", with_obs(
+    "SELECT grid_size_deg, " + ", ".join(f"{rnd(c)} AS {c}" for c in AVG_COLS)
+    + " FROM av ORDER BY round(F1_Score, 9) DESC, round(IoU, 9) DESC, round(Precision, 9) DESC, grid_size_deg, threshold LIMIT 1", AVG_CTE))
+def q_best_threshold_row_by_f1(spark, sf):
+    """H2, second order: best row by (f1, iou, precision) descending."""
+    avg = grid_param_avg(_sweep(spark, sf))
+    return round_doubles(best_row(avg, ["F1_Score", "IoU", "Precision"], ["grid_size_deg", "threshold"]))
+
+
 @query("cell_ids", with_obs(
     "SELECT year, ID, " + rnd("big_lon") + " AS big_lon, " + rnd("big_lat") + " AS big_lat FROM cg",
     annual_composite_ctes() + ",\n" + coarse_grid_ctes()))
