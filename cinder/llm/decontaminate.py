@@ -69,8 +69,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``places``: alignments that pass; ``overlap``: the largest share of equal
     words in a window; ``matched``: the most equal words on one alignment.  Null
     texts hold nothing; rows with a null doc_id cannot be named and are left
-    out; rows that repeat a doc_id count as one document; items of fewer than 8
-    words and items without an id are left out.  Empty tables give no rows.
+    out; rows that repeat a doc_id count as one document, which holds what any of
+    them holds; items of fewer than 8 words and items without an id are left out.
+    Empty tables give no rows.
     """
     items, seeds = item_seeds(benchmark)
     n_blocks = max(1, math.ceil(seeds.count() / BLOCK_SEEDS))
@@ -86,7 +87,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             # the document's words beside the item's, from its first word inside the document on
             F.expr("slice(words, greatest(s.at - item_at, 0) + 1, item_size + least(s.at - item_at, 0))").alias("beside"))
         found = hits if found is None else found.unionByName(hits)
-    lines = found.groupBy("doc_id", "item_id", "shift").agg(F.first("beside").alias("beside"))
+    lines = found.distinct()       # rows that repeat a doc_id keep their own words
     equal = ("transform(item_words, (w, i) -> CASE WHEN i + least(shift, 0) >= 0 "
              "AND get(beside, i + least(shift, 0)) = w THEN 1 ELSE 0 END)")
     width = f"least(size(item_words), {WINDOW})"

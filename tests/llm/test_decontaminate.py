@@ -78,3 +78,12 @@ def test_odd_rows(spark, odd_docs, empty_docs, clashing_docs):
     assert kept.columns == clashing_docs.columns and kept.count() == odd_docs.count() - 2
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(odd_docs, none).count() == 0 and dc.contaminated(empty_docs, bench).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_all_looked_at(spark):
+    item = "one two three four five six seven eight nine ten"
+    half = "one two three four five six - - - -".replace("-", "other")      # shares a seed, no leak
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for texts in ([item, half], [half, item], [half, item, item, None]):
+        docs = spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string")
+        assert rows_of(dc.contaminated(docs, bench)) == {(5, 1): (1, 1.0, 10)}
