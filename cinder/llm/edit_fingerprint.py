@@ -25,12 +25,13 @@ edit distance.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinder.session import materialise
@@ -40,6 +41,7 @@ PERIOD = 4096
 CLASSES = 256
 SEED = 77
 BUCKET_DOCS = 4000           # documents of a range of ids, processed together
+MAX_RANGES = 1 << 20         # ranges hold more documents beyond 4 billion
 BLOCK_CHARS = 1 << 22        # characters walked at a time
 
 
@@ -210,33 +212,66 @@ def _compare(texts: list[str], following: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"])
 
 
+def _ranges(ids: DataFrame) -> tuple[list[int], DataFrame]:
+    """Ranges of ``ids(doc_id)`` in two levels: cuts between coarse ranges, and for each
+    coarse range a row ``(in_coarse, cuts, heads, closes)``: the cuts between its fine
+    ranges, each fine range's largest id, and the fine range that this id closes.
+
+    A fine range is numbered coarse * side + fine, ascending by id; about
+    sqrt(ranges) coarse ranges hold about as many fine ones each.
+    """
+    n = ids.count()
+    many = min(MAX_RANGES, max(1, -(-n // BUCKET_DOCS)))
+    side = max(1, math.isqrt(many - 1) + 1)
+    shares = [i / side for i in range(1, side)] or [0.5]
+    first = (ids.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []) if side > 1 else []
+    coarse_cuts = sorted(set(first))                                     # fewer than sqrt(MAX_RANGES) values
+    placed = ids.withColumn("coarse", _place(F.col("doc_id"), coarse_cuts))
+    inner = F.array_sort(F.array_distinct(F.percentile_approx("doc_id", shares, 10_000)))
+    cuts = materialise(placed.groupBy(F.col("coarse").alias("in_coarse")).agg(
+        (inner if side > 1 else F.array().cast("array<bigint>")).alias("cuts")), "edit-cuts")
+    heads = (placed.join(F.broadcast(cuts), F.col("coarse") == F.col("in_coarse"))
+             .groupBy((F.col("coarse") * side + _fine()).alias("range")).agg(F.max("doc_id").alias("head")))
+    # One row for each range.  The largest id of a range follows the smallest of the next higher one.
+    order = Window.orderBy("range")
+    heads = heads.withColumn("closes", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())))
+    by_coarse = heads.groupBy(F.floor(F.col("range") / side).cast("int").alias("of_coarse")).agg(
+        F.collect_list(F.struct("range", "head", "closes")).alias("heads"))
+    table = cuts.join(by_coarse, F.col("in_coarse") == F.col("of_coarse")).drop("of_coarse")
+    return coarse_cuts, materialise(table.withColumn("side", F.lit(side)), "edit-ranges")
+
+
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many of ``cuts`` are below ``value``."""
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < value))
+
+
+def _fine() -> Column:
+    return F.size(F.filter("cuts", lambda c: c < F.col("doc_id")))
+
+
 def next_documents(docs: DataFrame) -> DataFrame:
-    """(bucket, lead, doc_id, text): documents dealt by ranges of doc_id, in descending order,
-    each range followed by the first document of the next (``lead``), so that every
-    document's successor by descending id stands in its own range.
+    """(bucket, lead, doc_id, text): documents dealt by ranges of doc_id, each range with the
+    first document of the one after it (``lead``), so that every document's successor by
+    descending id stands in its own range.
 
-    Ranges hold about ``BUCKET_DOCS`` rows; only their bounds (one row each) are
-    gathered.  The last range is followed by the first document of all.
+    Ranges hold about ``BUCKET_DOCS`` rows; their table has at most ``MAX_RANGES``
+    entries of 24 bytes, so it is broadcast.  The last range is followed by the first
+    document of all.
     """
     ids = docs.select("doc_id").where("doc_id is not null")
-    n = ids.count()
-    many = max(1, -(-n // BUCKET_DOCS))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if many > 1 else []
-    # Bucket 0 holds the largest ids: as many buckets as cuts not below an id.
-    bucket = F.lit(len(cuts)) - (F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id")))
-                                 if cuts else F.lit(0))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").withColumn("bucket", bucket)
-    heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()
-    order = sorted((r["bucket"], r["head"]) for r in heads)
-    # A range's first document also closes the range before it (the first of all closes the last).
-    closes = {head: order[i - 1][0] for i, (_, head) in enumerate(order)}
-    if not order:
-        return dealt.select("bucket", F.lit(0).alias("lead"), "doc_id", "text")
-    marks = dealt.sparkSession.createDataFrame(list(closes.items()), "head long, closes int")
-    also = dealt.join(F.broadcast(marks), F.col("doc_id") == F.col("head")).select(
-        F.col("closes").alias("bucket"), F.lit(1).alias("lead"), "doc_id", "text").dropDuplicates(["bucket", "doc_id", "text"])
-    return dealt.select("bucket", F.lit(0).alias("lead"), "doc_id", "text").unionByName(also)
+    coarse_cuts, ranges = _ranges(ids)
+    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+            .withColumn("coarse", _place(F.col("doc_id"), coarse_cuts))
+            .join(F.broadcast(ranges), F.col("coarse") == F.col("in_coarse"))
+            .withColumn("own", F.col("coarse") * F.col("side") + _fine()))
+    own = F.struct(F.col("own").alias("bucket"), F.lit(0).alias("lead"))
+    also = F.transform(F.filter("heads", lambda h: h["head"] == F.col("doc_id")),
+                       lambda h: F.struct(h["closes"].alias("bucket"), F.lit(1).alias("lead")))
+    return (rows.select("doc_id", "text", F.explode(F.concat(F.array(own), also)).alias("at"))
+            .select("at.bucket", "at.lead", "doc_id", "text"))
 
 
 def compare_next(docs: DataFrame) -> DataFrame:
