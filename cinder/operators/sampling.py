@@ -11,7 +11,7 @@ the smaller ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinder.functions.hashing import hash32
@@ -97,20 +97,59 @@ def nested_negative_sweep(df: DataFrame, key_cols, steps: list, quota_of, label_
                       F.coalesce("neg_key_checksum", F.lit(0)).cast("bigint").alias("neg_key_checksum"))
 
 
+def _hash_bucket(key: Column) -> Column:
+    """65,536 buckets of the 32-bit hash that leads a row's key."""
+    return F.shiftright(key["h"], 16)
+
+
+def _listed(df: DataFrame) -> Column:
+    """The rows of a small table as one array (a scalar subquery: no job while a plan is built, no join)."""
+    return df.agg(F.collect_list(F.struct(*df.columns))).scalar()
+
+
+def _cuts(rows: DataFrame, edges: DataFrame, names: list[str], applies) -> Column:
+    """Keys at wanted ranks, as an array of ``names`` and ``k``.
+
+    ``edges`` (``names``, ``b``, ``before``, ``rank``) names the hash bucket that
+    holds each wanted rank; only rows of those buckets are put in order, about
+    1 / 65,536 of the input for each edge."""
+    near = rows.withColumn("_edges", _listed(edges)).withColumn("e", F.explode(F.filter(
+        "_edges", lambda e: (e["b"] == _hash_bucket(F.col("_k"))) & applies(e))))
+    names_of = [F.col("e")[n].alias(n) for n in names]
+    w = Window.partitionBy(*[F.col("e")[n] for n in names]).orderBy("_k")
+    at = near.withColumn("_r", F.row_number().over(w)).where(F.col("e.before") + F.col("_r") == F.col("e.rank"))
+    return _listed(at.select(*names_of, F.col("_k").alias("k")))
+
+
+def _cut(which) -> Column:
+    return F.get(F.filter("_cuts", which), F.lit(0))["k"]
+
+
 def stratified_split(df: DataFrame, key_cols, label_col: str = "label", test_frac: float = 0.1,
                      val_frac: float = 0.0, salt: str = "split") -> DataFrame:
     """Per class, ``ceil(test_frac * n_c)`` rows to 'test' (lowest
     hash), then ``ceil(val_frac / (1 - test_frac) * n_rest)`` of the rest to
-    'val', the remainder 'train'."""
-    h = hash32(salt, *key_cols)
-    d = bucketed_rank(df.withColumn("_h", h), [label_col], F.col("_h"), list(key_cols), out="_r")
-    n = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
-    d = d.join(F.broadcast(n), label_col)   # one row per class
-    n_test = F.ceil(F.col("_nc") * F.lit(test_frac))
-    n_val = F.ceil((F.col("_nc") - n_test) * F.lit(val_frac / (1 - test_frac))) if val_frac else F.lit(0)
-    role = (F.when(F.col("_r") <= n_test, F.lit("test"))
-             .when(F.col("_r") <= n_test + n_val, F.lit("val")).otherwise(F.lit("train")))
-    return d.withColumn("role", role).drop("_h", "_r", "_nc")
+    'val', the remainder 'train'.
+
+    The roles are a column expression over two cut keys per class, found from
+    bucket counts: no window, shuffle or join of the input.  Classes are few; a
+    NULL label is a class; rows that repeat a key share their role."""
+    key = F.struct(hash32(salt, *key_cols).alias("h"), *key_cols)
+    rows = df.select(F.col(label_col).alias("_l"), key.alias("_k"))
+    counts = rows.groupBy(F.col("_l").alias("l"), _hash_bucket(F.col("_k")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("l").orderBy("b"))          # at most 65,536 rows a class
+    n_all = F.sum("n").over(Window.partitionBy("l"))
+    n_test = F.ceil(n_all * F.lit(test_frac))
+    n_val = F.ceil((n_all - n_test) * F.lit(val_frac / (1 - test_frac)))
+    edges = (counts.select("l", "b", (upto - F.col("n")).alias("before"), upto.alias("upto"),
+                           F.array(n_test, n_test + n_val).alias("ranks"))
+             .select("l", "b", "before", "upto", F.posexplode("ranks").alias("i", "rank"))
+             .where("before < rank and rank <= upto").select("l", "i", "b", "before", "rank"))
+    cuts = _cuts(rows, edges, ["l", "i"], lambda e: e["l"].eqNullSafe(F.col("_l")))
+    of_class = lambda i: _cut(lambda c: c["l"].eqNullSafe(F.col(label_col)) & (c["i"] == i))
+    return (df.withColumn("_cuts", cuts)
+            .withColumn("role", F.when(key <= of_class(0), F.lit("test")).when(key <= of_class(1), F.lit("val"))
+                        .otherwise(F.lit("train"))).drop("_cuts"))
 
 
 def kfold_assign(df: DataFrame, key_cols, k: int = 5, label_col: str = "label", salt: str = "fold") -> DataFrame:
@@ -124,19 +163,36 @@ def loyo_folds(df: DataFrame, key_cols, label_col: str = "label", year_col: str
     """Leave-one-year-out: for each fold year, that year is 'test' and the
     other years are split stratified 80/20 into 'train'/'val'.
 
-    Folds are exploded on a narrow projection (key, year, label)."""
-    ys = df.select(F.sort_array(F.collect_set(year_col))).scalar()   # one small array of years
-    narrow = df.select(*key_cols, *([year_col] if year_col not in key_cols else []), label_col)
-    ex = narrow.withColumn("fold_year", F.explode(ys))
-    test = ex.where(F.col(year_col) == F.col("fold_year")).withColumn("role", F.lit("test"))
-    rest = ex.where(F.col(year_col) != F.col("fold_year"))
-    h = hash32(salt, *key_cols)
-    ranked = bucketed_rank(rest.withColumn("_h", h), ["fold_year", label_col], F.col("_h"), list(key_cols), out="_r")
-    n = rest.groupBy("fold_year", label_col).agg(F.count(F.lit(1)).alias("_nc"))
-    ranked = ranked.join(n, ["fold_year", label_col])
-    val = ranked.withColumn("role", F.when(F.col("_r") <= F.ceil(F.col("_nc") * F.lit(val_frac)), F.lit("val"))
-                            .otherwise(F.lit("train"))).drop("_h", "_r", "_nc")
-    return test.unionByName(val)
+    Adds ``roles``, an array of (fold_year, role) in the order of the years: one
+    cut key per fold and class, found from bucket counts of (class, year), so the
+    input is neither copied per fold nor ranked.  Rows without a year are left
+    out; rows that repeat a key share their roles."""
+    df = df.where(F.col(year_col).isNotNull())
+    years = df.select(F.sort_array(F.collect_set(year_col))).scalar()     # one small array
+    key = F.struct(hash32(salt, *key_cols).alias("h"), *key_cols)
+    rows = df.select(F.col(label_col).alias("_l"), F.col(year_col).alias("_y"), key.alias("_k"))
+    counts = (rows.groupBy(F.col("_l").alias("l"), F.col("_y").alias("y"), _hash_bucket(F.col("_k")).alias("b"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    folds = (counts.groupBy("l", "b").agg(F.sum("n").alias("all_years"), F.collect_list(F.struct("y", "n")).alias("by_year"))
+             .withColumn("f", F.explode(years)))
+    own = F.get(F.filter("by_year", lambda o: o["y"] == F.col("f")), F.lit(0))["n"]
+    folds = folds.select("l", "f", "b", (F.col("all_years") - F.coalesce(own, F.lit(0))).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("l", "f").orderBy("b"))     # at most 65,536 rows
+    edges = (folds.select("l", "f", "b", (upto - F.col("n")).alias("before"), upto.alias("upto"),
+                          F.ceil(F.sum("n").over(Window.partitionBy("l", "f")) * F.lit(val_frac)).alias("rank"))
+             .where("before < rank and rank <= upto").drop("upto"))
+    cuts = _cuts(rows, edges, ["l", "f"], lambda e: e["l"].eqNullSafe(F.col("_l")) & (e["f"] != F.col("_y")))
+    cut = lambda y: _cut(lambda c: c["l"].eqNullSafe(F.col(label_col)) & (c["f"] == y))
+    role = lambda y: (F.when(F.col(year_col) == y, F.lit("test")).when(key <= cut(y), F.lit("val"))
+                      .otherwise(F.lit("train")))
+    return (df.withColumns({"_cuts": cuts, "_years": years})
+            .withColumn("roles", F.transform("_years", lambda y: F.struct(y.alias("fold_year"), role(y).alias("role"))))
+            .drop("_cuts", "_years"))
+
+
+def role_in_fold(fold_year: int) -> Column:
+    """The role of a row of :func:`loyo_folds` in one fold."""
+    return F.get(F.filter("roles", lambda r: r["fold_year"] == fold_year), F.lit(0))["role"]
 
 
 def cap_rows(df: DataFrame, key_cols, cap: int, salt: str = "cap", group_cols=()) -> DataFrame:

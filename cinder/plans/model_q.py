@@ -25,7 +25,7 @@ from cinder.operators.models import (RecallAtThreshold, auc_pr_evaluator, catego
                                      gbt_regressor, logistic_pipeline, prepare, score, tree_prefix_margins,
                                      with_category_string)
 from cinder.operators.ranking import bucketed_rank, exact_quantiles
-from cinder.operators.sampling import balanced_sample, cap_rows, class_guard, kfold_assign, loyo_folds
+from cinder.operators.sampling import balanced_sample, cap_rows, class_guard, kfold_assign, loyo_folds, role_in_fold
 from cinder.plans.common import obs
 from cinder.plans.registry import query
 from cinder.schema import FEATURES
@@ -117,12 +117,11 @@ def _loyo_models(spark, sf, weighted: bool):
     if k in _CACHE:
         return _CACHE[k]
     t = training_table(spark, sf)
-    roles = cut_lineage(loyo_folds(t.select(*KEY, LABEL), KEY, label_col=LABEL))
+    folds = cut_lineage(loyo_folds(t, KEY, label_col=LABEL))
     years = [r[0] for r in t.select("year").distinct().orderBy("year").collect()]   # a few values
 
     def fit_one(y, _):
-        r = roles.where(F.col("fold_year") == y).drop("fold_year")
-        d = t.join(r.drop(LABEL), KEY)
+        d = folds.withColumn("role", role_in_fold(y)).drop("roles")
         train = d.where("role = 'train'")
         if weighted:
             train = class_weight_col(train, LABEL)

@@ -157,9 +157,10 @@ def q_loyo_folds(spark, sf):
     """Leave-one-year-out roles, summarised per (fold, role, class)."""
     from cinder.functions.hashing import hash32
     o = obs(spark, sf).select(*KEY, "label")
-    f = loyo_folds(o, KEY).withColumn("_h2", hash32("chk", *KEY))
-    return f.groupBy("fold_year", "role", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.pmod("_h2", F.lit(CHECKSUM_MOD))).alias("key_checksum"))
+    by_roles = (loyo_folds(o, KEY).groupBy("label", "roles").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.pmod(hash32("chk", *KEY), F.lit(CHECKSUM_MOD))).alias("c")))
+    return (by_roles.select("label", "n", "c", F.explode("roles").alias("r"))     # a few rows by now
+            .groupBy("r.fold_year", "r.role", "label").agg(F.sum("n").alias("n"), F.sum("c").alias("key_checksum")))
 
 
 @query("cap_negatives", with_obs(f"""

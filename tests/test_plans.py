@@ -23,3 +23,13 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     plan = QUERIES["scan_project"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_discount), GreaterThan(l_discount,0.05)]" in plan
     assert "l_extendedprice" not in plan
+
+
+@pytest.mark.parametrize("name", ["stratified_split", "loyo_folds"])
+def test_splits_do_not_rank_or_copy_the_input(spark, name):
+    """The main branch of the plan reads rows and adds a column; ranks live in the subqueries."""
+    from cinder.plans.catalog import QUERIES
+    obs_plan = QUERIES["annual_mask"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan
+    assert plan.count("Join ") <= obs_plan.count("Join ")
