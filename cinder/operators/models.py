@@ -23,13 +23,17 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinder.operators.sampling import stratified_split
 from cinder.schema import CATEGORICAL, FEATURES
 
 # --- fixed values: land-cover category dictionary used by every model --------
 B1_CATEGORIES = [str(i) for i in range(0, 100)]
 FIT_THREADS = 4
 MAX_BINS = 128          # >= categories + 1 (unseen bucket) so b1 stays categorical
-GBT_ITER = 8            # rounds per fit in the registered queries (production: thousands + early stop)
+MAX_ROUNDS = 3000       # of boosting; a fit ends when validation rows (``VALIDATION``) gain less than 1% by a round
+VALIDATION = "is_val"
+PERMUTATION_REPEATS = 5
+DEPENDENCE_POINTS = 30
 
 
 def category_indexer(col: str = "b1") -> StringIndexerModel:
@@ -70,17 +74,19 @@ def class_weight_col(df: DataFrame, label_col: str, out: str = "w") -> DataFrame
 
 
 def gbt_classifier(label_col: str, weight_col: str | None = None, max_depth: int = 4, min_instances: int = 100,
-                   subsample: float = 0.5, max_iter: int = GBT_ITER, step: float = 0.1,
-                   validation_col: str | None = None, seed: int = 42) -> GBTClassifier:
-    """L3 defaults: depth 4, min child 100, subsample 0.5."""
+                   subsample: float = 0.5, max_iter: int = MAX_ROUNDS, step: float = 0.1,
+                   validation_col: str = VALIDATION, seed: int = 42) -> GBTClassifier:
+    """L3 defaults: depth 4, min child 100, subsample 0.5; early stop on ``validation_col``."""
     g = GBTClassifier(labelCol=label_col, featuresCol="features", maxDepth=max_depth,
                       minInstancesPerNode=min_instances, subsamplingRate=subsample, maxIter=max_iter,
-                      stepSize=step, seed=seed, maxBins=MAX_BINS)
-    if weight_col:
-        g = g.setWeightCol(weight_col)
-    if validation_col:
-        g = g.setValidationIndicatorCol(validation_col)
-    return g
+                      stepSize=step, seed=seed, maxBins=MAX_BINS, validationIndicatorCol=validation_col)
+    return g.setWeightCol(weight_col) if weight_col else g
+
+
+def with_validation(df: DataFrame, key_cols, label_col: str, share: float = 0.2) -> DataFrame:
+    """``is_val``: a stratified hashed share of the rows, which boosting watches and does not fit."""
+    d = stratified_split(df, key_cols, label_col, test_frac=share, salt="early")
+    return d.withColumn(VALIDATION, F.col("role") == "test").drop("role")
 
 
 def fit_pipeline(train: DataFrame, estimator, features=FEATURES) -> PipelineModel:
@@ -143,9 +149,9 @@ def logistic_pipeline(label_col: str, features, reg: float = 0.01, weight_col: s
 
 
 def gbt_regressor(label_col: str, weight_col: str | None = None, max_depth: int = 4,
-                  max_iter: int = GBT_ITER) -> GBTRegressor:
+                  max_iter: int = MAX_ROUNDS, validation_col: str = VALIDATION) -> GBTRegressor:
     g = GBTRegressor(labelCol=label_col, featuresCol="features", maxDepth=max_depth, maxIter=max_iter, seed=42,
-                     maxBins=MAX_BINS)
+                     maxBins=MAX_BINS, validationIndicatorCol=validation_col)
     return g.setWeightCol(weight_col) if weight_col else g
 
 

@@ -20,16 +20,17 @@ from cinder.operators.coarse import annual_composite, coarse_grid
 from cinder.operators.masks import prob_rescale
 from cinder.operators.metrics import (area_match_threshold, curve_summary, metrics_at_thresholds, quantile_at,
                                       regression_metrics)
-from cinder.operators.models import (RecallAtThreshold, auc_pr_evaluator, category_indexer,
+from cinder.operators.models import (DEPENDENCE_POINTS, PERMUTATION_REPEATS, RecallAtThreshold, auc_pr_evaluator, category_indexer,
                                      class_weight_col, feature_stages, fit_many, fit_pipeline, gbt_classifier,
                                      gbt_regressor, logistic_pipeline, prepare, score, tree_prefix_margins,
-                                     with_category_string)
+                                     with_category_string, with_validation)
 from cinder.operators.ranking import bucketed_rank, exact_quantiles
-from cinder.operators.sampling import balanced_sample, cap_rows, class_guard, kfold_assign, loyo_folds, role_in_fold
+from cinder.operators.sampling import balanced_sample, class_guard, kfold_assign, loyo_folds, role_in_fold
 from cinder.plans.common import obs
 from cinder.plans.registry import query
 from cinder.schema import FEATURES
 from cinder.session import checkpoint_dir, cut_lineage, scratch_path
+from cinder.sources.tables import with_obs
 
 KEY = ["grid_row", "grid_col", "year", "month"]
 LABEL = "burned_pixel"
@@ -48,9 +49,10 @@ def _materialised(spark, name: str, sf: str, build):
 
 
 def training_table(spark, sf):
-    """Cleaned pixel-months with the strict ternary label (0.5 rows dropped)."""
-    return _materialised(spark, "train", sf, lambda: clean_training(obs(spark, sf)).select(
-        *KEY, "zone_id", "fraction", *FEATURES, LABEL))
+    """Cleaned pixel-months with the strict ternary label (0.5 rows dropped); ``is_val``
+    marks the rows that boosting only watches."""
+    return _materialised(spark, "train", sf, lambda: with_validation(clean_training(obs(spark, sf)).select(
+        *KEY, "zone_id", "fraction", *FEATURES, LABEL), KEY, LABEL))
 
 
 def _draws(grid: list[dict], n: int, salt: str) -> list[dict]:
@@ -59,7 +61,9 @@ def _draws(grid: list[dict], n: int, salt: str) -> list[dict]:
     return sorted(grid, key=key)[:n]
 
 
-@query("fixed_categories")
+@query("fixed_categories", with_obs(
+    "SELECT b1, CASE WHEN rint_b1 BETWEEN 0 AND 99 THEN rint_b1 ELSE 100 END AS b1_idx, count(*) AS n "
+    "FROM (SELECT b1, CAST(round_even(b1, 0) AS DOUBLE) AS rint_b1 FROM obs) t GROUP BY 1, 2"))
 def q_fixed_categories(spark, sf):
     """One fixed land-cover dictionary; unseen codes map to the extra bucket."""
     o = with_category_string(obs(spark, sf))
@@ -68,8 +72,9 @@ def q_fixed_categories(spark, sf):
 
 
 def _cells(spark, sf):
-    return _materialised(spark, "cells", sf, lambda: coarse_grid(annual_composite(obs(spark, sf)), 1.0)
-                         .withColumn("burned_label", F.col("burned_label").cast("double")))
+    return _materialised(spark, "cells", sf, lambda: with_validation(
+        coarse_grid(annual_composite(obs(spark, sf)), 1.0)
+        .withColumn("burned_label", F.col("burned_label").cast("double")), ["year", "ID"], "burned_label"))
 
 
 STAGE1_GRID = [{"maxDepth": d, "stepSize": s} for d in (2, 3, 4) for s in (0.05, 0.1, 0.2)]
@@ -78,13 +83,13 @@ STAGE1_GRID = [{"maxDepth": d, "stepSize": s} for d in (2, 3, 4) for s in (0.05,
 @query("stage1_train")
 def q_stage1_train(spark, sf):
     """L1: stage-1 cell model, hashed random search x 3-fold CV, recall-selected."""
-    cells = prepare(_cells(spark, sf))
+    cells = prepare(cut_lineage(kfold_assign(_cells(spark, sf), ["year", "ID"], 3, "burned_label")))
     gbt = gbt_classifier("burned_label", min_instances=5, subsample=1.0)
     pipe = Pipeline(stages=feature_stages() + [gbt])
     draws = _draws(STAGE1_GRID, 3, "stage1")
     maps = [{gbt.maxDepth: d["maxDepth"], gbt.stepSize: d["stepSize"]} for d in draws]
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=RecallAtThreshold("burned_label", 0.5),
-                        numFolds=3, parallelism=2, seed=42)
+                        numFolds=3, foldCol="fold", parallelism=4)
     m = cv.fit(cells)
     rows = [(i, d["maxDepth"], float(d["stepSize"]), float(v)) for i, (d, v) in enumerate(zip(draws, m.avgMetrics))]
     return spark.createDataFrame(rows, "draw int, maxDepth int, stepSize double, mean_recall double")
@@ -95,17 +100,21 @@ def _stage1_model(spark, sf):
     if k not in _CACHE:
         cells = _cells(spark, sf)
         m = fit_pipeline(cells, gbt_classifier("burned_label", min_instances=5, subsample=1.0))
-        path = scratch_path(spark, "stage1_model")
+        path, metrics = scratch_path(spark, "stage1_model"), scratch_path(spark, "stage1_metrics")
         m.write().overwrite().save(path)                       # D10: persisted pipeline
-        _CACHE[k] = path
-    return PipelineModel.load(_CACHE[k])
+        area_match_threshold(score(m, cells.where("is_val")), "burned_label", "p").write.json(metrics)
+        _CACHE[k] = path, metrics
+    path, metrics = _CACHE[k]
+    return PipelineModel.load(path), float(spark.read.json(metrics).first()["threshold"])
 
 
 @query("stage1_score")
 def q_stage1_score(spark, sf):
-    """L2: score every cell with the saved stage-1 model; label at 0.5."""
-    s = score(_stage1_model(spark, sf), _cells(spark, sf))
-    s = s.withColumns({"pred_prob": F.col("p"), "pred_label": (F.col("p") >= 0.5).cast("int")})
+    """L2: score every cell with the saved stage-1 model; label at the threshold saved
+    with it (area match on the rows that the fit did not see)."""
+    model, threshold = _stage1_model(spark, sf)
+    s = score(model, _cells(spark, sf))
+    s = s.withColumns({"pred_prob": F.col("p"), "pred_label": (F.col("p") >= threshold).cast("int")})
     return s.select("year", "ID", "pred_prob", "pred_label",
                     confusion_label(F.col("burned_label").cast("int"), "pred_label").alias("pred_obs"))
 
@@ -122,7 +131,7 @@ def _loyo_models(spark, sf, weighted: bool):
 
     def fit_one(y, _):
         d = folds.withColumn("role", role_in_fold(y)).drop("roles")
-        train = d.where("role = 'train'")
+        train = d.where("role <> 'test'").withColumn("is_val", F.col("role") == "val")
         if weighted:
             train = class_weight_col(train, LABEL)
         gbt = gbt_classifier(LABEL, "w" if weighted else None)
@@ -206,9 +215,9 @@ def q_fraction_regression_grid(spark, sf):
     gbt = gbt_regressor("fraction")
     pipe = Pipeline(stages=feature_stages() + [gbt])
     grid = ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=3, parallelism=2, seed=42,
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=3, foldCol="fold", parallelism=4,
                         evaluator=RegressionEvaluator(labelCol="fraction", metricName="rmse"))
-    m = cv.fit(prepare(train))
+    m = cv.fit(prepare(cut_lineage(kfold_assign(train, KEY, 3, LABEL))))
     return spark.createDataFrame([(3, float(m.avgMetrics[0])), (5, float(m.avgMetrics[1]))],
                                  "maxDepth int, mean_rmse double")
 
@@ -225,22 +234,24 @@ def q_random_search(spark, sf):
     draws = _draws(SEARCH_GRID, 2, "search")
     maps = [{gbt.maxDepth: d["maxDepth"], gbt.minInstancesPerNode: d["minInstancesPerNode"]} for d in draws]
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=auc_pr_evaluator(LABEL),
-                        numFolds=3, parallelism=2, seed=42)
-    m = cv.fit(prepare(train))
+                        numFolds=3, foldCol="fold", parallelism=4)
+    m = cv.fit(prepare(cut_lineage(kfold_assign(train, KEY, 3, LABEL))))
     rows = [(d["maxDepth"], d["minInstancesPerNode"], float(v)) for d, v in zip(draws, m.avgMetrics)]
     return spark.createDataFrame(rows, "maxDepth int, minInstancesPerNode int, mean_average_precision double")
 
 
 @query("logreg_by_zone")
 def q_logreg_by_zone(spark, sf):
-    """Per-zone standardised L2 logistic regression (zones with both classes)."""
-    t = training_table(spark, sf)
+    """Per-zone standardised L2 logistic regression (zones with both classes in the
+    fitted rows), scored on the rows held out of the fit."""
+    rows = training_table(spark, sf)
+    t = rows.where("not is_val")
     zones = [r[0] for r in class_guard(t, ["zone_id"], LABEL).orderBy("zone_id").collect()]   # bounded: zones
 
     def fit_one(z, _):
         d = t.where(F.col("zone_id") == z)
         m = logistic_pipeline(LABEL, NUMERIC).fit(d)
-        s = m.transform(d).withColumn("p", vector_to_array("probability")[1])
+        s = m.transform(rows.where(F.col("is_val") & (F.col("zone_id") == z))).withColumn("p", vector_to_array("probability")[1])
         c = curve_summary(s, LABEL, "p")
         return c.withColumn("zone_id", F.lit(z))
 
@@ -293,6 +304,17 @@ def _global_model(spark, sf):
     return PipelineModel.load(_CACHE[k])
 
 
+def _past_model(spark, sf):
+    """The model of all years but the test years, for what is judged on those."""
+    k = ("past", sf, checkpoint_dir(spark))
+    if k not in _CACHE:
+        train, _ = _temporal(spark, sf)
+        path = scratch_path(spark, "past_model")
+        fit_pipeline(class_weight_col(train, LABEL), gbt_classifier(LABEL, "w")).write().overwrite().save(path)
+        _CACHE[k] = path
+    return PipelineModel.load(_CACHE[k])
+
+
 @query("stage2_ranked")
 def q_stage2_ranked(spark, sf):
     """The 'ranking' variant is a binary model; threshold = percentile of
@@ -347,8 +369,8 @@ def q_transfer_score(spark, sf):
 
 @query("best_iteration")
 def q_best_iteration(spark, sf):
-    """K9: IoU of every prefix of the boosted ensemble on validation rows; argmax."""
-    m = _global_model(spark, sf)
+    """K9: IoU of every prefix of the boosted ensemble on years outside the fit; argmax."""
+    m = _past_model(spark, sf)
     gbt = m.stages[-1]
     _, test = _temporal(spark, sf)
     feats = m.transform(prepare(test)).select(LABEL, "features")
@@ -385,35 +407,39 @@ def q_oof_scores(spark, sf):
 
 @query("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """AUC drop when one feature is permuted (2 repeats); the permutation
-    pairs row ranks of two hash orders (bucketed ranks, no global sort)."""
-    m = _global_model(spark, sf)
+    """AUC drop on years outside the fit when one feature is permuted, for every
+    feature; a repeat pairs the row ranks of two hash orders (bucketed ranks, no
+    global sort) once and scores all features' variants of a row together."""
+    m = _past_model(spark, sf)
     _, test = _temporal(spark, sf)
-    base = curve_summary(score(m, test), LABEL, "p").select("roc_auc").first()[0]
-    out = []
-    for feat in ["temperature_2m", "relative_humidity", "fine_fuel_moisture_code"]:
-        for rep in range(2):
-            a = bucketed_rank(test, [], hash32(f"pa{rep}", *KEY), KEY, out="_ra")
-            b = bucketed_rank(test.select(*KEY, F.col(feat).alias("_v")), [], hash32(f"pb{rep}", *KEY), KEY,
-                              out="_ra").select("_ra", "_v")
-            perm = a.join(b, "_ra").drop(feat, "_ra").withColumnRenamed("_v", feat)
-            auc = curve_summary(score(m, perm), LABEL, "p").select("roc_auc").first()[0]
-            out.append((feat, rep, float(base), float(auc), float(base - auc)))
-    return spark.createDataFrame(out, "feature string, repeat int, base_auc double, permuted_auc double, auc_drop double")
+
+    def auc_of(rep, _):
+        a = bucketed_rank(test, [], hash32(f"pa{rep}", *KEY), KEY, out="_ra")
+        b = bucketed_rank(test, [], hash32(f"pb{rep}", *KEY), KEY, out="_ra").select(
+            "_ra", *[F.col(f).alias(f"_v_{f}") for f in FEATURES])
+        rows = a.join(b, "_ra").withColumn("feature", F.explode(F.array(*map(F.lit, ["", *FEATURES]))))
+        rows = rows.withColumns({f: F.when(F.col("feature") == f, F.col(f"_v_{f}")).otherwise(F.col(f)) for f in FEATURES})
+        return curve_summary(score(m, rows.select("feature", LABEL, *FEATURES)), LABEL, "p", ["feature"]).select(
+            "feature", F.lit(rep).alias("repeat"), F.col("roc_auc").alias("permuted_auc"))
+
+    auc = reduce(lambda a, b: a.unionByName(b), fit_many(dict.fromkeys(range(PERMUTATION_REPEATS)), auc_of).values())
+    base = auc.where("feature = ''").groupBy("repeat").agg(F.max("permuted_auc").alias("base_auc"))
+    return auc.where("feature <> ''").join(base, "repeat").select(
+        "feature", "repeat", "base_auc", "permuted_auc", (F.col("base_auc") - F.col("permuted_auc")).alias("auc_drop"))
 
 
 @query("partial_dependence")
 def q_partial_dependence(spark, sf):
-    """Partial dependence in log-odds over a 10-point quantile grid on a
-    5,000-row reproducible sample (grid exploded on the sample: a generator)."""
+    """Partial dependence in log-odds of the two weather features over a quantile
+    grid, averaged over all rows (grid exploded on the rows: a generator)."""
     m = _global_model(spark, sf)
     t = training_table(spark, sf)
-    sample = cap_rows(t, KEY, 5000, salt="pdp")
     outs = []
     for feat in ["temperature_2m", "fine_fuel_moisture_code"]:
-        qs = exact_quantiles(t, feat, [i / 9 for i in range(10)]).first()   # one row of 10 values
-        grid = F.array(*[F.lit(float(v)) for v in qs])
-        g = sample.withColumn("grid_value", F.explode(grid)).withColumn(feat, F.col("grid_value"))
+        at = [i / (DEPENDENCE_POINTS - 1) for i in range(DEPENDENCE_POINTS)]
+        qs = exact_quantiles(t, feat, at).first()                           # one row, a value for each point
+        grid = F.array(*[F.lit(v) for v in sorted({float(v) for v in qs})])
+        g = t.withColumn("grid_value", F.explode(grid)).withColumn(feat, F.col("grid_value"))
         s = score(m, g)
         p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col("p")))
         outs.append(s.groupBy("grid_value").agg(F.avg(F.log(p / (1 - p))).alias("mean_logodds"))
