@@ -2,17 +2,21 @@
 
 A plain ``row_number().over(Window.partitionBy(g).orderBy(k))`` sorts a whole
 group in one task; with a group holding a third of 100 TB that task never ends.
-Every helper here splits each group into value buckets first:
-
-1. one small aggregate per group: row count and key range;
-2. ``nb = clamp(ceil(n / 1e6), 1, 65536)`` equal-width key buckets per group;
-3. per (group, bucket) counts -> prefix sums over buckets (a window over at
-   most 65,536 rows per group);
-4. the exact order inside a bucket comes from a window partitioned by
-   (group, bucket), about ``n / nb`` rows each.
-
-Keys should be spread out (hash-uniforms, scores after collapsing duplicates
-into counts); identical keys are collapsed or tie-broken by ``tie_cols``.
+Every helper here splits each group into key buckets first:
+
+1. a row's bucket follows from its key alone: a prefix of a hash key, or its place
+   among ``CUTS`` quantiles of all keys (:func:`quantile_bucket`).  Cuts need not be
+   exact: they balance the work, ranks come from exact counts;
+2. counts (or sums) of each (group, bucket) -> prefix sums over the buckets of a
+   group, a small table;
+3. the order inside a bucket comes from a window partitioned by (group, bucket),
+   and the prefix joins on the same columns, so both share one shuffle.
+
+Everything is lazy: building a query runs no job, nothing passes through the
+driver but the cuts (a scalar subquery of ``CUTS - 1`` numbers), and no join is
+hinted, so adaptive execution chooses by measured bytes.  A value that many rows
+hold is collapsed to (value, count) first or split by ``tie_cols``.  Rows whose
+group is NULL belong to no group and are left out of grouped results.
 """
 
 from __future__ import annotations
@@ -20,164 +24,142 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinder.session import broadcast_if_small, small_or_shuffle
+CUTS = 1024          # quantile buckets; no bucket holds over twice the mean of distinct keys
+SKETCH_ACCURACY = 8  # rank error of a cut: one part in SKETCH_ACCURACY * CUTS of the rows
 
-TARGET_ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 65_536
-STATS_BROADCAST_ROWS = 2_000_000   # per-group / per-bucket tables above this shuffle instead
-_G = "_grp0"
 
+def attach_small(d: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the columns of ``small`` (one row per value of ``keys``) to ``d``.
 
-def _groups(df: DataFrame, group_cols) -> tuple[DataFrame, list[str]]:
-    g = list(group_cols)
-    if not g:
-        return df.withColumn(_G, F.lit(0)), [_G]
-    return df, g
-
-
-def attach_small(d: DataFrame, small: DataFrame, keys: list[str], max_rows: int = STATS_BROADCAST_ROWS) -> DataFrame:
-    """Join a small per-group table onto ``d``.
-
-    Without keys the table has one row: its values are inlined as literals
-    (no join at all).  With keys it is read once and broadcast if it holds at
-    most ``max_rows`` rows, else joined with a shuffle on the keys."""
-    if not keys:
-        row = small.first()
-        cols = small.columns
-        return d.withColumns({c: F.lit(row[c] if row is not None else None).cast(small.schema[c].dataType)
-                              for c in cols})
-    return d.join(small_or_shuffle(small, max_rows), keys)
-
-
-def _bucketed(df: DataFrame, g: list[str], key: Column, weight: Column | None = None) -> DataFrame:
-    """Add ``_k`` (key), ``_w`` (weight), ``_b`` (bucket), ``_pre`` (weight of
-    all earlier buckets of the group), ``_bw`` (bucket weight) and ``_n``."""
-    d = df.withColumns({"_k": key, "_w": weight if weight is not None else F.lit(1).cast("bigint")})
-    aggs = [F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_n"), F.min("_k").alias("_kmin"),
-            F.max("_k").alias("_kmax")]
-    stats = d.groupBy(*g).agg(*aggs) if g else d.agg(*aggs)
-    stats = stats.withColumn("_nb", F.least(F.lit(MAX_BUCKETS), F.greatest(
-        F.lit(1), F.ceil(F.col("_rows") / F.lit(TARGET_ROWS_PER_BUCKET)))).cast("int")).drop("_rows")
-    kd = F.col("_k").cast("double")
-    span = F.col("_kmax").cast("double") - F.col("_kmin").cast("double")
-    b = F.when(span > 0, F.least(F.col("_nb") - 1, F.floor((kd - F.col("_kmin").cast("double")) / span
-                                                            * F.col("_nb")).cast("int"))).otherwise(0)
-    # one row per group: inlined or broadcast, so a hot group never lands on
-    # one shuffle partition
-    d = attach_small(d, stats, g).withColumn("_b", b)
-    bc = d.groupBy(*g, "_b").agg(F.sum("_w").alias("_bw"))
-    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bc = bc.withColumn("_pre", F.coalesce(F.sum("_bw").over(wb), F.lit(0)))   # <= 65,536 rows per group
-    return attach_small(d, bc.select(*g, "_b", "_pre", "_bw"), [*g, "_b"]).drop("_kmin", "_kmax", "_nb")
-
-
-def _drop(df: DataFrame, group_cols) -> DataFrame:
-    extra = ["_k", "_w", "_b", "_pre", "_bw", "_n"]
-    return df.drop(*[c for c in extra if c in df.columns])
+    Without keys the one row comes as a scalar subquery: no join and no job while
+    the query is built; NULLs if ``small`` is empty."""
+    if keys:
+        return d.join(small, keys)
+    cols = small.columns
+    row = small.agg(F.first(F.struct(*cols))).scalar()
+    return d.withColumn("_row", row).withColumns({c: F.col("_row")[c] for c in cols}).drop("_row")
+
+
+def quantile_bucket(d: DataFrame, key_col: str) -> DataFrame:
+    """Add ``_b``: how many of the ``CUTS - 1`` approximate quantiles of ``key_col``
+    (over all rows, whatever their group) a row's key reaches, by binary search."""
+    n = CUTS
+    probs = ", ".join(f"{i / n!r}D" for i in range(1, n))
+    k = F.col(key_col).cast("double")
+    cuts = d.select(k.alias("_key")).agg(
+        F.expr(f"percentile_approx(_key, array({probs}), {SKETCH_ACCURACY * n})")).scalar()
+    steps = [1 << s for s in reversed(range((n - 1).bit_length()))]
+
+    def narrower(at, step):
+        # beyond the last cut (and for a NULL key) the comparison is not true
+        return F.when(F.get(F.col("_cuts"), at + step - 1) <= k, at + step).otherwise(at)
+
+    return (d.withColumn("_cuts", cuts)
+            .withColumn("_b", F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), narrower)).drop("_cuts"))
+
+
+def _before(d: DataFrame, g: list[str], sums: dict[str, Column], totals: bool = False,
+            own: bool = False) -> DataFrame:
+    """Per (group, bucket): each sum over all earlier buckets of the group, under its
+    name; with ``totals`` over the whole group too as ``{name}_total``, with ``own``
+    over the bucket itself as ``{name}_own``."""
+    per = d.groupBy(*g, "_b").agg(*[c.alias(n) for n, c in sums.items()])
+    earlier = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    out = [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums]
+    if totals:
+        out += [F.sum(n).over(Window.partitionBy(*g)).alias(f"{n}_total") for n in sums]
+    if own:
+        out += [F.col(n).alias(f"{n}_own") for n in sums]
+    return per.select(*g, "_b", *out)
 
 
 def bucketed_rank(df: DataFrame, group_cols, key: Column, tie_cols=(), out: str = "rank",
-                  descending: bool = False) -> DataFrame:
-    """Exact 1-based ``row_number`` per group ordered by ``key`` (then
-    ``tie_cols``), computed bucket by bucket."""
+                  descending: bool = False, bucket: Column | None = None,
+                  quota: DataFrame | None = None) -> DataFrame:
+    """Exact 1-based ``row_number`` per group ordered by ``key`` (then ``tie_cols``).
+
+    ``bucket``: an integer that never falls as ``key`` grows (a prefix of a hash);
+    by default quantile buckets.  ``quota`` (group columns, ``_q`` and any more
+    columns, which the rows get too) keeps ranks up to ``_q``: rows of buckets past
+    every group's quota go before anything is shuffled."""
     g = list(group_cols)
-    k = -key if descending else key
-    b = _bucketed(df, g, k)
+    d = df.withColumn("_k", -key if descending else key)
+    d = d.withColumn("_b", bucket) if bucket is not None else quantile_bucket(d, "_k")
+    before = _before(d, g, {"_pre": F.count(F.lit(1))})
+    if quota is not None:
+        before = attach_small(before, quota, g).where(F.col("_pre") < F.col("_q"))
+        d = d.where(F.col("_b") <= before.agg(F.max("_b")).scalar())
     w = Window.partitionBy(*g, "_b").orderBy("_k", *tie_cols)
-    return _drop(b.withColumn(out, (F.col("_pre") + F.row_number().over(w)).cast("bigint")), group_cols)
+    ranked = (d.join(before, [*g, "_b"])
+              .withColumn(out, (F.col("_pre") + F.row_number().over(w)).cast("bigint")).drop("_k", "_b", "_pre"))
+    return ranked if quota is None else ranked.where(F.col(out) <= F.col("_q")).drop("_q")
 
 
 def first_n(df: DataFrame, group_cols, key: Column, tie_cols, quota: DataFrame | int | float,
-            quota_col: str = "quota") -> DataFrame:
+            quota_col: str = "quota", bucket: Column | None = None) -> DataFrame:
     """Rows whose rank by ``key`` (ties by ``tie_cols``) is <= the group's quota.
 
     ``quota``: a number (same for every group) or a DataFrame ``group_cols +
-    quota_col`` (one row per group; groups absent get nothing).  Buckets wholly
-    below the quota pass through a filter; only the one boundary bucket per group
-    is ordered by a window."""
+    quota_col`` (one row per group; groups absent get nothing)."""
     g = list(group_cols)
-    b = _bucketed(df, g, key)
     if isinstance(quota, DataFrame):
-        b = attach_small(b, quota.select(*g, F.col(quota_col).alias("_q")), g)
+        quota = quota.select(*g, F.col(quota_col).alias("_q"))
     else:
-        b = b.withColumn("_q", F.lit(quota).cast("double"))
-    q = F.col("_q")
-    full = b.where(F.col("_pre") + F.col("_bw") <= q)
-    part = b.where((F.col("_pre") < q) & (F.col("_pre") + F.col("_bw") > q))
-    w = Window.partitionBy(*g, "_b").orderBy("_k", *tie_cols)
-    part = part.withColumn("_rn", F.row_number().over(w)).where(F.col("_pre") + F.col("_rn") <= q).drop("_rn")
-    return _drop(full.unionByName(part).drop("_q"), group_cols)
+        one = df.select(*g).distinct() if g else df.agg(F.count(F.lit(1)))
+        quota = one.select(*g, F.lit(quota).cast("double").alias("_q"))
+    return bucketed_rank(df, g, key, tie_cols, "_rank", bucket=bucket, quota=quota).select(*df.columns)
 
 
 def weighted_cumsum(df: DataFrame, group_cols, order_col: str, sum_cols: list[str],
-                    descending: bool = False, suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` per group in ``order_col`` order.
+                    descending: bool = False, suffix: str = "_cum", totals: bool = False) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` per group in ``order_col`` order, and
+    with ``totals`` the group's sums as ``{col}_total``.
 
     Rows should already be distinct on ``group_cols + order_col`` (e.g. counts
     per distinct score), so running sums are well defined without ties."""
     g = list(group_cols)
-    k = -F.col(order_col) if descending else F.col(order_col)
-    d = df.withColumn("_k", k)
-    aggs = [F.count(F.lit(1)).alias("_rows"), F.min("_k").alias("_kmin"), F.max("_k").alias("_kmax")]
-    stats = d.groupBy(*g).agg(*aggs) if g else d.agg(*aggs)
-    stats = stats.withColumn("_nb", F.least(F.lit(MAX_BUCKETS), F.greatest(
-        F.lit(1), F.ceil(F.col("_rows") / F.lit(TARGET_ROWS_PER_BUCKET)))).cast("int")).drop("_rows")
-    span = F.col("_kmax").cast("double") - F.col("_kmin").cast("double")
-    b = F.when(span > 0, F.least(F.col("_nb") - 1, F.floor((F.col("_k").cast("double") - F.col("_kmin"))
-                                                            / span * F.col("_nb")).cast("int"))).otherwise(0)
-    d = attach_small(d, stats, g).withColumn("_b", b).drop("_kmin", "_kmax", "_nb")
-    bc = d.groupBy(*g, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bc = bc.select(*g, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_p_{c}")
-                               for c in sum_cols])
-    d = attach_small(d, bc, [*g, "_b"])
+    d = quantile_bucket(df.withColumn("_k", -F.col(order_col) if descending else F.col(order_col)), "_k")
+    before = _before(d, g, {f"_p_{c}": F.sum(c) for c in sum_cols}, totals)
+    before = before.withColumnsRenamed({f"_p_{c}_total": f"{c}_total" for c in sum_cols})
     w = Window.partitionBy(*g, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({f"{c}{suffix}": F.col(f"_p_{c}") + F.sum(c).over(w) for c in sum_cols})
-    return d.drop("_k", "_b", *[f"_p_{c}" for c in sum_cols])
+    return (d.join(before, [*g, "_b"])
+            .withColumns({f"{c}{suffix}": F.col(f"_p_{c}") + F.sum(c).over(w) for c in sum_cols})
+            .drop("_k", "_b", *[f"_p_{c}" for c in sum_cols]))
 
 
 def order_stats(df: DataFrame, value_col: str, positions: DataFrame, group_cols=()) -> DataFrame:
-    """Linear-interpolation quantiles at 0-based fractional ``_pos`` per
-    (group, ``_i``) from a (value, count) running sum: only the two order
-    statistics around each position are looked up.
-
-    ``positions`` has ``group_cols + _i + _pos``.  With groups the lookup is
-    an equi-join on the group plus a range check; without groups the handful
-    of target ranks are inlined as literals and matched by an array filter on
-    each distinct value (a generator, no join)."""
+    """Linear-interpolation quantiles at 0-based fractional ``_pos`` per (group, ``_i``).
+
+    ``positions`` has ``group_cols + _i + _pos``.  Values are collapsed to (value,
+    count); the bucket counts tell which buckets hold the two order statistics
+    around each position, and only values of those buckets are put in order."""
     g = list(group_cols)
     v = F.col(value_col).cast("double")
-    dv = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*g, v.alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-    cum = weighted_cumsum(dv, g, "_v", ["_c"])            # _c_cum inclusive
-    t = positions.withColumns({"_lo": F.floor("_pos").cast("bigint") + 1, "_hi": F.ceil("_pos").cast("bigint") + 1})
-    inside = lambda r: (F.col("_c_cum") - F.col("_c") < r) & (r <= F.col("_c_cum"))
+    values = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*g, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    d = quantile_bucket(values, "_v")
+    lo, hi = F.floor("_pos").cast("bigint") + 1, F.ceil("_pos").cast("bigint") + 1
+    wanted = positions.select(*g, "_i", "_pos", F.explode(F.array(
+        F.struct(F.lit("lo").alias("s"), lo.alias("r")), F.struct(F.lit("hi").alias("s"), hi.alias("r")))).alias("_x"))
+    wanted = wanted.select(*g, "_i", "_pos", F.col("_x.s").alias("_s"), F.col("_x.r").alias("_r"))
+    sums = _before(d, g, {"_pre": F.sum("_c")}, own=True)
     if g:
-        ranks = t.select(*g, "_i", F.explode(F.array(
-            F.struct(F.lit("lo").alias("s"), F.col("_lo").alias("r")),
-            F.struct(F.lit("hi").alias("s"), F.col("_hi").alias("r")))).alias("_x")).select(
-            *g, "_i", F.col("_x.s").alias("_s"), F.col("_x.r").alias("_r"))
-        hit = (cum.join(small_or_shuffle(ranks, 1_000_000), g).where(inside(F.col("_r")))
-                  .select(*g, "_i", "_s", "_v"))
-    else:
-        t_rows = t.collect()                       # a few rows: one per requested quantile
-        t = df.sparkSession.createDataFrame(t_rows, t.schema)
-        targets = [(r["_i"], s_, r[c]) for r in t_rows for s_, c in (("lo", "_lo"), ("hi", "_hi"))]
-        arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s_).alias("s"), F.lit(rk).cast("bigint").alias("r"))
-                        for i, s_, rk in targets])
-        hit = (cum.select("_v", "_c", "_c_cum", F.explode(F.filter(arr, lambda x: inside(x["r"]))).alias("_x"))
-                  .select(F.col("_x.i").alias("_i"), F.col("_x.s").alias("_s"), "_v"))
-    lohi = hit.groupBy(*g, "_i").agg(F.max(F.when(F.col("_s") == "lo", F.col("_v"))).alias("_vlo"),
-                                     F.max(F.when(F.col("_s") == "hi", F.col("_v"))).alias("_vhi"))
-    res = attach_small(lohi, t, [*g, "_i"]) if g else lohi.join(F.broadcast(t), "_i")
-    return res.select(*g, "_i", (F.col("_vlo") + (F.col("_pos") - (F.col("_lo") - 1))
-                                 * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
+        held = sums.join(wanted, g)
+    else:       # a few positions: one array, matched on each bucket
+        listed = wanted.agg(F.collect_list(F.struct(*wanted.columns))).scalar()
+        held = sums.withColumn("_w", listed).select(*sums.columns, F.inline("_w"))
+    held = held.where((F.col("_pre") < F.col("_r")) & (F.col("_r") <= F.col("_pre") + F.col("_pre_own")))
+    w = Window.partitionBy(*g, "_b", "_i", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    at = (d.join(held, [*g, "_b"]).withColumn("_upto", F.col("_pre") + F.sum("_c").over(w))
+          .where((F.col("_upto") - F.col("_c") < F.col("_r")) & (F.col("_r") <= F.col("_upto"))))
+    both = at.groupBy(*g, "_i", "_pos").agg(F.max(F.when(F.col("_s") == "lo", F.col("_v"))).alias("_vlo"),
+                                            F.max(F.when(F.col("_s") == "hi", F.col("_v"))).alias("_vhi"))
+    return both.select(*g, "_i", (F.col("_vlo") + (F.col("_pos") - F.floor("_pos"))
+                                  * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
 
 
 def _totals(df: DataFrame, value_col: str, g: list[str]) -> DataFrame:
     v = F.col(value_col).cast("double")
-    d = df.where(v.isNotNull() & ~F.isnan(v))
-    return d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) if g else d.agg(F.count(F.lit(1)).alias("_n"))
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=(),
@@ -192,4 +174,4 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
          .select(*g, F.col("_t.i").alias("_i"), F.col("_t.pos").alias("_pos")))
     q = order_stats(df, value_col, t, g)
     aggs = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
-    return q.groupBy(*g).agg(*aggs) if g else q.agg(*aggs)
+    return q.groupBy(*g).agg(*aggs)

@@ -4,7 +4,7 @@ Seeded draws are replaced by hash-uniforms (``functions.hashing``): a row's
 draw depends only on its key and a salt, so results do not depend on
 partitioning and the DuckDB oracle can reproduce them.  Exact quotas ("exactly
 n negatives", "smallest bin size per bin") use :func:`ranking.first_n`, which
-orders only one boundary bucket per group instead of sorting whole groups;
+ranks inside hash buckets and shuffles no row past the last bucket of a quota;
 nested samples (sweeps) reuse one ranking so a larger step always contains
 the smaller ones.
 """
@@ -21,6 +21,16 @@ from cinder.schema import NEG_POS_RATIO_FULL
 CHECKSUM_MOD = 65521   # keeps key checksums inside BIGINT at any row count below 1e14
 
 
+def _hash_bucket(h: Column) -> Column:
+    """65,536 buckets of a 32-bit hash."""
+    return F.shiftright(h, 16)
+
+
+def _first_by_hash(df: DataFrame, group_cols, key_cols, quota, salt: str) -> DataFrame:
+    h = hash32(salt, *key_cols)
+    return first_n(df, list(group_cols), h, list(key_cols), quota, bucket=_hash_bucket(h))
+
+
 def bernoulli_split(df: DataFrame, u_test: Column, u_neg: Column, label_col: str = "label",
                     test_frac: float = 0.1, neg_keep: float | None = None) -> DataFrame:
     """``role`` = 'test' with probability ``test_frac``; otherwise 'train'
@@ -39,7 +49,7 @@ def balanced_sample(df: DataFrame, key_cols, label_col: str = "label", ratio: fl
     neg = df.where(F.col(label_col) == 0)
     n_pos = pos.select(F.count(F.lit(1)).alias("n")).withColumn("quota", F.col("n") * F.lit(ratio))
     quota = n_pos.select(F.least(F.col("quota"), neg.select(F.count(F.lit(1))).scalar()).alias("quota"))
-    chosen = first_n(neg, [], hash32(salt, *key_cols), list(key_cols), quota)
+    chosen = _first_by_hash(neg, [], key_cols, quota, salt)
     return pos.unionByName(chosen)
 
 
@@ -50,7 +60,7 @@ def equal_bins(df: DataFrame, bin_col: str, key_cols, cap: int | None = None, sa
     m = counts.select(F.min("n")).scalar()
     q = F.least(m, F.lit(cap)) if cap is not None else m
     quota = counts.select(bin_col, q.alias("quota"))
-    return first_n(df, [bin_col], hash32(salt, *key_cols), list(key_cols), quota)
+    return _first_by_hash(df, [bin_col], key_cols, quota, salt)
 
 
 def unequal_bins(df: DataFrame, bin_col: str, key_cols, salt: str = "bin") -> DataFrame:
@@ -58,7 +68,7 @@ def unequal_bins(df: DataFrame, bin_col: str, key_cols, salt: str = "bin") -> Da
     counts = df.groupBy(bin_col).agg(F.count(F.lit(1)).alias("n"))
     n1 = counts.where(F.col(bin_col) == 1).select(F.coalesce(F.max("n"), F.lit(0))).scalar()
     quota = counts.select(bin_col, F.when(F.col(bin_col) == 0, n1).otherwise(F.col("n")).alias("quota"))
-    return first_n(df, [bin_col], hash32(salt, *key_cols), list(key_cols), quota)
+    return _first_by_hash(df, [bin_col], key_cols, quota, salt)
 
 
 def nested_negative_sweep(df: DataFrame, key_cols, steps: list, quota_of, label_col: str = "label",
@@ -78,11 +88,10 @@ def nested_negative_sweep(df: DataFrame, key_cols, steps: list, quota_of, label_
     counts = df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs)
     quotas = counts.select(*g, "n_pos", *[quota_of(F.lit(s), F.col("n_pos"), F.col("n_neg")).cast("bigint")
                                           .alias(f"_q{i}") for i, s in enumerate(steps)])
-    qmax = quotas.select(*g, F.greatest(*[F.col(f"_q{i}") for i in range(len(steps))]).alias("quota"))
+    largest = F.greatest(*[F.col(f"_q{i}") for i in range(len(steps))])
     neg = df.where(F.col(label_col) == 0).withColumn("_h", hash32(salt, *key_cols))
-    pool = first_n(neg, g, F.col("_h"), list(key_cols), qmax)            # largest step only
-    ranked = bucketed_rank(pool, g, F.col("_h"), list(key_cols), out="_r")
-    ranked = attach_small(ranked, quotas.drop("n_pos"), g)
+    ranked = bucketed_rank(neg, g, F.col("_h"), list(key_cols), out="_r", bucket=_hash_bucket(F.col("_h")),
+                           quota=quotas.withColumn("_q", largest).drop("n_pos"))
     per = []
     for i in range(len(steps)):
         sel = F.col("_r") <= F.col(f"_q{i}")
@@ -97,11 +106,6 @@ def nested_negative_sweep(df: DataFrame, key_cols, steps: list, quota_of, label_
                       F.coalesce("neg_key_checksum", F.lit(0)).cast("bigint").alias("neg_key_checksum"))
 
 
-def _hash_bucket(key: Column) -> Column:
-    """65,536 buckets of the 32-bit hash that leads a row's key."""
-    return F.shiftright(key["h"], 16)
-
-
 def _listed(df: DataFrame) -> Column:
     """The rows of a small table as one array (a scalar subquery: no job while a plan is built, no join)."""
     return df.agg(F.collect_list(F.struct(*df.columns))).scalar()
@@ -114,7 +118,7 @@ def _cuts(rows: DataFrame, edges: DataFrame, names: list[str], applies) -> Colum
     holds each wanted rank; only rows of those buckets are put in order, about
     1 / 65,536 of the input for each edge."""
     near = rows.withColumn("_edges", _listed(edges)).withColumn("e", F.explode(F.filter(
-        "_edges", lambda e: (e["b"] == _hash_bucket(F.col("_k"))) & applies(e))))
+        "_edges", lambda e: (e["b"] == _hash_bucket(F.col("_k")["h"])) & applies(e))))
     names_of = [F.col("e")[n].alias(n) for n in names]
     w = Window.partitionBy(*[F.col("e")[n] for n in names]).orderBy("_k")
     at = near.withColumn("_r", F.row_number().over(w)).where(F.col("e.before") + F.col("_r") == F.col("e.rank"))
@@ -136,7 +140,7 @@ def stratified_split(df: DataFrame, key_cols, label_col: str = "label", test_fra
     NULL label is a class; rows that repeat a key share their role."""
     key = F.struct(hash32(salt, *key_cols).alias("h"), *key_cols)
     rows = df.select(F.col(label_col).alias("_l"), key.alias("_k"))
-    counts = rows.groupBy(F.col("_l").alias("l"), _hash_bucket(F.col("_k")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(F.col("_l").alias("l"), _hash_bucket(F.col("_k")["h"]).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("l").orderBy("b"))          # at most 65,536 rows a class
     n_all = F.sum("n").over(Window.partitionBy("l"))
     n_test = F.ceil(n_all * F.lit(test_frac))
@@ -154,7 +158,8 @@ def stratified_split(df: DataFrame, key_cols, label_col: str = "label", test_fra
 
 def kfold_assign(df: DataFrame, key_cols, k: int = 5, label_col: str = "label", salt: str = "fold") -> DataFrame:
     """Stratified k folds: fold = (rank within class by hash - 1) mod k."""
-    d = bucketed_rank(df, [label_col], hash32(salt, *key_cols), list(key_cols), out="_r")
+    h = hash32(salt, *key_cols)
+    d = bucketed_rank(df, [label_col], h, list(key_cols), out="_r", bucket=_hash_bucket(h))
     return d.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r")
 
 
@@ -171,7 +176,7 @@ def loyo_folds(df: DataFrame, key_cols, label_col: str = "label", year_col: str
     years = df.select(F.sort_array(F.collect_set(year_col))).scalar()     # one small array
     key = F.struct(hash32(salt, *key_cols).alias("h"), *key_cols)
     rows = df.select(F.col(label_col).alias("_l"), F.col(year_col).alias("_y"), key.alias("_k"))
-    counts = (rows.groupBy(F.col("_l").alias("l"), F.col("_y").alias("y"), _hash_bucket(F.col("_k")).alias("b"))
+    counts = (rows.groupBy(F.col("_l").alias("l"), F.col("_y").alias("y"), _hash_bucket(F.col("_k")["h"]).alias("b"))
               .agg(F.count(F.lit(1)).alias("n")))
     folds = (counts.groupBy("l", "b").agg(F.sum("n").alias("all_years"), F.collect_list(F.struct("y", "n")).alias("by_year"))
              .withColumn("f", F.explode(years)))
@@ -197,7 +202,7 @@ def role_in_fold(fold_year: int) -> Column:
 
 def cap_rows(df: DataFrame, key_cols, cap: int, salt: str = "cap", group_cols=()) -> DataFrame:
     """At most ``cap`` rows (per group), lowest hash first."""
-    return first_n(df, list(group_cols), hash32(salt, *key_cols), list(key_cols), cap)
+    return _first_by_hash(df, group_cols, key_cols, cap, salt)
 
 
 def class_guard(df: DataFrame, group_cols, label_col: str = "label") -> DataFrame:

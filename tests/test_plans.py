@@ -42,3 +42,24 @@ def test_splits_do_not_rank_copy_or_join_the_input(spark, name):
     assert own.count("Join") == rows.count("Join")
     # loyo_folds' summary explodes a few aggregated rows, above its aggregate
     assert "Generate" not in own or own.index("Generate") < own.index("Aggregate", own.index("Generate"))
+
+
+def test_ranking_helpers_run_no_job_while_a_query_is_built(spark):
+    from cinder.operators import metrics, ranking, sampling
+    from cinder.plans.common import obs
+    o = obs(spark, SF_SMALL).select("grid_row", "grid_col", "year", "month", "label", "score")
+    key = ["grid_row", "grid_col", "year", "month"]
+    spark.sparkContext.setJobGroup("building", "no job expected")
+    try:
+        sampling.balanced_sample(o, key)
+        sampling.equal_bins(o, "label", key)
+        sampling.kfold_assign(o, key)
+        sampling.cap_rows(o, key, 100)
+        metrics.pr_curve(o, "label", "score", ["year"])
+        metrics.curve_summary(o, "label", "score")
+        metrics.area_match_threshold(o, "label", "score")
+        metrics.area_match_threshold(o, "label", "score", ["year"])
+        ranking.exact_quantiles(o, "score", [0.1, 0.9])
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

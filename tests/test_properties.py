@@ -9,8 +9,8 @@ from conftest import SF_SMALL
 
 def test_bucketed_rank_and_quota_match_pandas(spark):
     import cinder.operators.ranking as R
-    old = R.TARGET_ROWS_PER_BUCKET
-    R.TARGET_ROWS_PER_BUCKET = 300          # force many buckets on small data
+    old = R.CUTS
+    R.CUTS = 16
     try:
         df = spark.range(0, 5000).withColumn("g", (F.col("id") % 3).cast("int")) \
             .withColumn("v", F.round(F.rand(3) * 10, 2))
@@ -24,7 +24,7 @@ def test_bucketed_rank_and_quota_match_pandas(spark):
         for g, sub in pdf.groupby("g"):
             assert np.allclose(qs[qs.g == g].iloc[0, 1:].astype(float), np.percentile(sub.v, [2, 50, 98]))
     finally:
-        R.TARGET_ROWS_PER_BUCKET = old
+        R.CUTS = old
 
 
 def test_coarse_counts_sum_to_pixels_and_area_monotone(spark):
@@ -57,3 +57,31 @@ def test_folds_partition_rows_and_samples_nest(spark):
     from cinder.plans.catalog import QUERIES
     sw = QUERIES["neg_ratio_sweep"](spark, SF_SMALL).toPandas().sort_values("step")
     assert (np.diff(sw["n_neg_selected"].to_numpy()) >= 0).all()
+
+
+def test_quantile_buckets_are_even_on_skewed_scores(spark):
+    """Scores packed near 0, and one value that half the rows hold."""
+    import cinder.operators.ranking as R
+    old, R.CUTS = R.CUTS, 100
+    try:
+        skewed = spark.range(100_000).select(F.pow(F.rand(7), 12).alias("p"))
+        sizes = [r["count"] for r in R.quantile_bucket(skewed, "p").groupBy("_b").count().collect()]
+        assert len(sizes) == 100 and max(sizes) <= 2 * sum(sizes) / 100
+        half = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, 0.5).otherwise(F.rand(7)).alias("p"))
+        got = R.exact_quantiles(half, "p", [0.1, 0.5, 0.9]).first()
+        assert np.allclose(list(got), np.percentile(half.toPandas()["p"], [10, 50, 90]))
+        assert R.weighted_cumsum(half.distinct().withColumn("c", F.lit(1)), [], "p", ["c"]) \
+                .agg(F.max("c_cum")).first()[0] == half.distinct().count()
+    finally:
+        R.CUTS = old
+
+
+def test_ranking_of_empty_and_null_input(spark):
+    import cinder.operators.ranking as R
+    none = spark.createDataFrame([], "g int, v double, id long")
+    assert R.bucketed_rank(none, ["g"], F.col("v"), ["id"]).count() == 0
+    assert R.first_n(none, [], F.col("v"), ["id"], 5).count() == 0
+    assert R.exact_quantiles(none, "v", [0.5]).first()[0] is None
+    some = spark.createDataFrame([(1, None, 1), (1, 2.0, 2), (1, float("nan"), 3)], none.schema)
+    assert R.exact_quantiles(some, "v", [0.5], ["g"]).first()[1] == 2.0
+    assert R.bucketed_rank(some, ["g"], F.col("v"), ["id"]).count() == 3
