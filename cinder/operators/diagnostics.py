@@ -73,7 +73,7 @@ def hist_by_class(df: DataFrame, value_col: str, class_col: str, lo: float, widt
     b = F.least(F.lit(nbins - 1), F.greatest(F.lit(0), F.floor((F.col(value_col) - lo) / width).cast("int")))
     h = df.where(F.col(value_col).isNotNull()).groupBy(class_col, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     tot = h.groupBy(class_col).agg(F.sum("n").alias("_t"))
-    return h.join(F.broadcast(tot), class_col).select(   # one row per class
+    return h.join(tot, class_col).select(
         class_col, "bin", (F.lit(lo) + F.col("bin") * width).alias("bin_start"), "n",
         (F.col("n") / F.col("_t")).alias("share"))
 
@@ -88,19 +88,25 @@ def missing_rate(df: DataFrame, cols) -> DataFrame:
 def covariate_shift(df: DataFrame, features, split_col: str = "split", train: str = "train",
                     test: str = "test", flag_pct: float = 10.0) -> DataFrame:
     """Clip each feature to the train [p1 - 10% range, p99 + 10% range],
-    compare clipped means of test vs train, flag shifts above 10%."""
-    long = unpivot(df.select(split_col, *features), [split_col], features)
-    bounds = exact_quantiles(long.where(F.col(split_col) == train), "value", [0.01, 0.99], ["feature"])
+    compare clipped means of test vs train, flag shifts above 10%.  A feature without
+    a value in the train part has no row."""
+    fit = unpivot(df.where(F.col(split_col) == train).select(*features), [], features)
+    bounds = exact_quantiles(fit, "value", [0.01, 0.99], ["feature"])
     bounds = bounds.select("feature", (F.col("q0") - (F.col("q1") - F.col("q0")) * 0.1).alias("xmin"),
                            (F.col("q1") + (F.col("q1") - F.col("q0")) * 0.1).alias("xmax"))
-    clipped = long.join(F.broadcast(bounds), "feature").withColumn(   # one row per feature
-        "value", F.greatest(F.col("xmin"), F.least(F.col("xmax"), F.col("value"))))
-    m = clipped.groupBy("feature").agg(
-        F.avg(F.when(F.col(split_col) == train, F.col("value"))).alias("mean_train"),
-        F.avg(F.when(F.col(split_col) == test, F.col("value"))).alias("mean_test"))
+    # one entry per feature, as a map: the rows are neither unpivoted again nor joined
+    listed = bounds.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("xmin", "xmax"))))).scalar()
+    rows = df.select(split_col, *features).withColumn("_bounds", listed)
+    bound = lambda f: F.try_element_at("_bounds", F.lit(f))
+    clipped = lambda f: F.when(bound(f).isNotNull() & F.col(f).isNotNull(),
+                               F.greatest(bound(f)["xmin"], F.least(bound(f)["xmax"], F.col(f))))
+    mean = lambda f, part: F.avg(F.when(F.col(split_col) == part, clipped(f)))
+    wide = rows.agg(*[F.struct(F.lit(f).alias("feature"), F.first(bound(f)["xmin"], True).alias("xmin"),
+                               F.first(bound(f)["xmax"], True).alias("xmax"), mean(f, train).alias("mean_train"),
+                               mean(f, test).alias("mean_test")).alias(f"_{i}") for i, f in enumerate(features)])
+    m = wide.select(F.inline(F.array(*[f"_{i}" for i in range(len(features))])))
     diff = (F.col("mean_test") - F.col("mean_train")) / (F.col("mean_train") + 1e-6) * 100
-    return m.join(bounds, "feature").select("feature", "xmin", "xmax", "mean_train", "mean_test",
-                                            diff.alias("diff_pct"), (F.abs(diff) > flag_pct).alias("shifted"))
+    return m.where("xmin IS NOT NULL").withColumns({"diff_pct": diff, "shifted": F.abs(diff) > flag_pct})
 
 
 def unique_burned_pixels(df: DataFrame, label_col: str = "label", key=PIXEL_KEY) -> DataFrame:

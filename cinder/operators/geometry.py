@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinder.schema import METRES_PER_DEGREE
-from cinder.session import broadcast_if_small
 
 
 # --- B2 / B3: affine transform ------------------------------------------------
@@ -158,19 +157,13 @@ def project_lonlat(df: DataFrame, lon_col: str, lat_col: str, crs: str) -> DataF
 
 # --- B12 / E6: bucketed point-in-polygon -------------------------------------
 
-def _ring_bbox(ring: Column) -> dict[str, Column]:
-    xs = F.transform(ring, lambda p: p["x"])
-    ys = F.transform(ring, lambda p: p["y"])
-    return {"minx": F.array_min(xs), "maxx": F.array_max(xs),
-            "miny": F.array_min(ys), "maxy": F.array_max(ys)}
-
-
 def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
     """Even-odd ray cast over ring edges (first vertex repeated at the end).
 
     Boundary rule: ``>=`` on y makes top edges inside and bottom edges outside;
     ``<`` on x makes left edges inside and right edges outside (left/top
-    inclusive, so adjacent polygons never both claim a shared edge)."""
+    inclusive, so adjacent polygons never both claim a shared edge).  A ring of
+    fewer than two vertices holds nothing."""
     n = F.size(ring)
 
     def step(acc, i):
@@ -180,36 +173,38 @@ def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
         xint = (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]
         return acc != (crosses & (px < xint))
 
-    return F.aggregate(F.sequence(F.lit(0), n - 2), F.lit(False), step)
+    return F.when(n >= 2, F.aggregate(F.sequence(F.lit(0), n - 2), F.lit(False), step)).otherwise(F.lit(False))
+
+
+def point_in_rings(px: Column, py: Column, rings: Column) -> Column:
+    """Even-odd rule over all rings of a zone: parts add, holes cut out."""
+    return F.aggregate(rings, F.lit(False), lambda inside, ring: inside != point_in_ring(px, py, ring))
 
 
 def polygon_zone(points: DataFrame, x_col: str, y_col: str, zones: DataFrame,
-                 bucket_deg: float = 1.0, zone_cols=("zone_id",),
-                 max_broadcast_rows: int = 500_000) -> DataFrame:
-    """Assign each point the zone whose ring contains it (inner semantics).
-
-    Plan: explode every zone bbox into the ``bucket_deg`` grid buckets it covers,
-    equi-join points to buckets on ``(bx, by)``, keep bbox hits, then run the
-    exact ray cast.  The bucket table is broadcast only if its row count is
-    checked to be under ``max_broadcast_rows``; otherwise both sides shuffle on
-    the bucket key.
+                 bucket_deg: float = 1.0, zone_cols=("zone_id",)) -> DataFrame:
+    """Assign each point the zones whose ``rings`` contain it (inner semantics).
+
+    ``zones``: ``zone_cols`` (one row per zone) and ``rings``, an array of closed
+    rings: any number of parts and holes.  Zones without a ring hold no point.
+
+    Plan: explode the bbox of every zone into the ``bucket_deg`` buckets it covers,
+    equi-join points to buckets on ``(bx, by)``, keep bbox hits, and only then join
+    the rings by zone for the exact ray cast, so no bucket row carries a ring.  No
+    join is hinted: Spark broadcasts a side by its bytes or shuffles both.
     """
-    b = float(bucket_deg)
-    bb = zones.select(*zone_cols, "ring", *[v.alias(k) for k, v in _ring_bbox(F.col("ring")).items()])
-    zb = (bb.withColumn("bx", F.explode(F.sequence(F.floor(F.col("minx") / b).cast("int"),
-                                                   F.floor(F.col("maxx") / b).cast("int"))))
-            .withColumn("by", F.explode(F.sequence(F.floor(F.col("miny") / b).cast("int"),
-                                                   F.floor(F.col("maxy") / b).cast("int")))))
-    zb = broadcast_if_small(zb, max_broadcast_rows)
-    pts = points.withColumns({
-        "bx": F.floor(F.col(x_col) / b).cast("int"),
-        "by": F.floor(F.col(y_col) / b).cast("int"),
-    })
+    b, keys = float(bucket_deg), list(zone_cols)
+    span = lambda axis: F.transform(F.flatten("rings"), lambda p: p[axis])
+    box = zones.select(*keys, F.array_min(span("x")).alias("minx"), F.array_max(span("x")).alias("maxx"),
+                       F.array_min(span("y")).alias("miny"), F.array_max(span("y")).alias("maxy"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / b).cast("int"), F.floor(F.col(hi) / b).cast("int")))
+    box = box.withColumn("bx", cells("minx", "maxx")).withColumn("by", cells("miny", "maxy"))
     px, py = F.col(x_col), F.col(y_col)
-    j = pts.join(zb, ["bx", "by"])
-    j = j.where(px.between(F.col("minx"), F.col("maxx")) & py.between(F.col("miny"), F.col("maxy")))
-    j = j.where(point_in_ring(px, py, F.col("ring")))
-    return j.drop("bx", "by", "ring", "minx", "maxx", "miny", "maxy")
+    near = (points.withColumns({"bx": F.floor(px / b).cast("int"), "by": F.floor(py / b).cast("int")})
+            .join(box, ["bx", "by"])
+            .where(px.between(F.col("minx"), F.col("maxx")) & py.between(F.col("miny"), F.col("maxy"))))
+    inside = near.join(zones.select(*keys, "rings"), keys).where(point_in_rings(px, py, F.col("rings")))
+    return inside.select(*points.columns, *keys)
 
 
 # --- B13 / B14: square-cell masks --------------------------------------------

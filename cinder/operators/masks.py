@@ -37,9 +37,9 @@ def annual_mask_dynamic(df: DataFrame, value_col: str, thresholds: DataFrame, ke
                         year_col: str = "year", out_col: str = "burned") -> DataFrame:
     """Per-year threshold from a (year, threshold) table joined on year.
 
-    The threshold table has one row per year (bounded), so it is broadcast."""
+    The threshold table has one row per year; Spark broadcasts it by its bytes."""
     m = annual_max(df, value_col, key, year_col, "_amax")
-    j = m.join(F.broadcast(thresholds.select(year_col, "threshold")), year_col)
+    j = m.join(thresholds.select(year_col, "threshold"), year_col)
     return j.select(*key, year_col, (F.col("_amax") >= F.col("threshold")).cast("int").alias(out_col))
 
 
@@ -49,10 +49,6 @@ def prob_rescale(p: Column | str, k: float = RESCALE_K) -> Column:
     return F.coalesce(F.try_divide(p, p + F.lit(k) * (1 - p)), F.lit(0.0))
 
 
-def threshold_array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
 def area_multi_threshold(annual: DataFrame, value_col: str, area_col: str, thresholds,
                          group_cols=("year",)) -> DataFrame:
     """Area with ``annual value >= t`` for each t, long form.

@@ -24,7 +24,7 @@ def pixel_zone(pixels: DataFrame, zones: DataFrame, key=PIXEL_KEY, lon_col: str
                lat_col: str = "latitude") -> DataFrame:
     """One row per distinct pixel inside a zone: ``key + zone_id``."""
     pts = pixels.select(*key, lon_col, lat_col).dropDuplicates(list(key))
-    return polygon_zone(pts, lon_col, lat_col, zones.select("zone_id", "ring")).select(*key, "zone_id")
+    return polygon_zone(pts, lon_col, lat_col, zones.select("zone_id", "rings")).select(*key, "zone_id")
 
 
 def zone_years(zones: DataFrame, facts: DataFrame, year_col: str = "year") -> DataFrame:
@@ -40,28 +40,31 @@ def zonal_burned_area(mask: DataFrame, pixels: DataFrame, zones: DataFrame,
 
     ``mask``: key + year + flag; ``pixels``: key + zone_id + area (one row per
     pixel, e.g. from :func:`pixel_zone` joined to a pixel-area column)."""
-    burned = (mask.where(F.col(flag_col) == 1).select(*key, "year")
+    return zonal_burned_areas(mask, pixels, zones, {out_col: flag_col}, key, area_col)
+
+
+def zonal_burned_areas(mask: DataFrame, pixels: DataFrame, zones: DataFrame, flags: dict[str, str],
+                       key=PIXEL_KEY, area_col: str = "area_m2") -> DataFrame:
+    """G11 for several masks of one pixel-year table: ``flags`` maps an output column
+    to its flag column.  One join to the pixels and one grouped sum serve all."""
+    any_flag = reduce(lambda a, b: a | b, [F.col(f) == 1 for f in flags.values()])
+    burned = (mask.where(any_flag).select(*key, "year", *dict.fromkeys(flags.values()))
                   .join(pixels.select(*key, "zone_id", area_col), list(key)))
-    sums = burned.groupBy("zone_id", "year").agg(F.sum(area_col).alias("_m2"))
-    frame = zone_years(zones, mask)
-    out = frame.join(sums, ["zone_id", "year"], "left")
-    return out.select("zone_id", "ecoregion", "year",
-                      F.round(F.coalesce(F.col("_m2"), F.lit(0.0)) * MHA_PER_M2, 8).alias(out_col))
+    sums = burned.groupBy("zone_id", "year").agg(
+        *[F.sum(F.when(F.col(f) == 1, F.col(area_col))).alias(f"_m2_{out}") for out, f in flags.items()])
+    out = zone_years(zones, mask).join(sums, ["zone_id", "year"], "left")
+    return out.select("zone_id", "ecoregion", "year", *[
+        F.round(F.coalesce(F.col(f"_m2_{c}"), F.lit(0.0)) * MHA_PER_M2, 8).alias(c) for c in flags])
 
 
-def area_products_outer(products: dict[str, DataFrame], keys=("ecoregion", "year"),
-                        value_col: str = "ba_mha") -> DataFrame:
-    """Full outer merge of several product tables keyed (zone, year), 0-filled.
+def area_products_outer(products: list[DataFrame], keys=("ecoregion", "year")) -> DataFrame:
+    """Full outer merge of product tables keyed (zone, year), 0-filled; every
+    other column is one product's area.
 
     Expressed as a union + one grouped aggregate (one shuffle) instead of a
     chain of full outer joins (one shuffle per product)."""
-    names = list(products)
-    parts = [df.select(*keys, F.lit(n).alias("_p"), F.col(value_col).alias("_v"))
-             for n, df in products.items()]
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    aggs = [F.coalesce(F.sum(F.when(F.col("_p") == n, F.col("_v"))), F.lit(0.0)).alias(f"ba_{n}_Mha")
-            for n in names]
-    return u.groupBy(*keys).agg(*aggs)
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), products)
+    return u.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in u.columns if c not in keys])
 
 
 def compare_products(base: DataFrame, others: dict[str, DataFrame], keys=("ecoregion", "year"),
@@ -81,15 +84,13 @@ def area_by_year_total(zonal: DataFrame, value_col: str, exclude=None) -> DataFr
     return df.groupBy("year").agg(F.round(F.sum(value_col), 8).alias("total_mha"))
 
 
-def area_error_report(pred: DataFrame, ref: DataFrame, keys=("ecoregion",),
-                      value_col: str = "ba_mha") -> DataFrame:
-    """Per-zone and grand-total predicted vs reference area, diff and % error.
+def area_error_report(areas: DataFrame, pred_col: str, ref_col: str, keys=("ecoregion",)) -> DataFrame:
+    """Per-zone and grand-total predicted vs reference area, diff and % error,
+    of one table with both areas (e.g. from :func:`area_products_outer`).
 
     ``rollup`` yields the grand-total row (zone NULL) in the same aggregate."""
-    j = pred.select(*keys, "year", F.col(value_col).alias("pred")).join(
-        ref.select(*keys, "year", F.col(value_col).alias("ref")), [*keys, "year"], "full")
-    g = j.rollup(*keys).agg(F.sum(F.coalesce("pred", F.lit(0.0))).alias("pred_mha"),
-                            F.sum(F.coalesce("ref", F.lit(0.0))).alias("ref_mha"))
+    g = areas.rollup(*keys).agg(F.sum(F.coalesce(pred_col, F.lit(0.0))).alias("pred_mha"),
+                                F.sum(F.coalesce(ref_col, F.lit(0.0))).alias("ref_mha"))
     return g.select(*keys, "pred_mha", "ref_mha", (F.col("pred_mha") - F.col("ref_mha")).alias("diff_mha"),
                     (F.try_divide(F.col("pred_mha") - F.col("ref_mha"), F.col("ref_mha")) * 100).alias("pct_error"))
 

@@ -32,6 +32,6 @@ def pixel_table(spark: SparkSession, sf_dir: str, o: DataFrame | None = None) ->
     keys = o.select("grid_row", "grid_col").distinct()
     pix = pixel_centers(keys, GRID_X0, GRID_DX, GRID_Y0, GRID_DY, x_name="longitude", y_name="latitude")
     # point-in-polygon keeps the point columns, so no join back to ``pix``
-    pz = polygon_zone(pix, "longitude", "latitude", zones(spark, sf_dir).select("zone_id", "ring"))
+    pz = polygon_zone(pix, "longitude", "latitude", zones(spark, sf_dir).select("zone_id", "rings"))
     return (pz
                .withColumn("area_m2", geographic_pixel_area_m2("latitude", GRID_DX, GRID_DY)))

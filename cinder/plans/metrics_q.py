@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cinder.operators.masks import annual_max, area_multi_threshold
 from cinder.operators.metrics import (area_match_threshold, curve_summary, focal_terms,
-                                      metrics_at_thresholds, pr_curve, quantile_at, regression_metrics,
-                                      threshold_choice, weighted_logloss)
+                                      leave_out_area_match, metrics_at_thresholds, pr_curve, quantile_at,
+                                      regression_metrics, threshold_choice, weighted_logloss)
 from cinder.operators.geometry import geographic_pixel_area_m2
 from cinder.plans.common import AREA_SQL, obs
 from cinder.plans.registry import query
@@ -177,10 +177,8 @@ def q_loyo_summary(spark, sf):
     """K8: per held-out year, area-match threshold from the other years, observed
     vs predicted pixel counts, expected count ``sum(p)`` and % error."""
     s = _scored(spark, sf)
-    ys = s.select(F.sort_array(F.collect_set("year"))).scalar()
-    folds = s.select("p", "label", "year").withColumn("fold_year", F.explode(ys)).where("year <> fold_year")
-    thr = area_match_threshold(folds, "label", "p", ["fold_year"]).withColumnRenamed("threshold", "val_threshold")
-    j = s.join(F.broadcast(thr), s["year"] == thr["fold_year"])   # one row per year
+    thr = leave_out_area_match(s, "label", "p", "year").withColumnRenamed("threshold", "val_threshold")
+    j = s.join(thr, "year")
     y = j.groupBy("year", "val_threshold").agg(
         F.sum("label").alias("obs_n"), F.sum((F.col("p") >= F.col("val_threshold")).cast("int")).alias("pred_n"),
         F.sum("p").alias("expected"))
@@ -224,7 +222,7 @@ def q_focal_terms(spark, sf):
     with dynamic alpha = n_neg / n per year."""
     s = _scored(spark, sf)
     a = s.groupBy("year").agg((F.sum(1 - F.col("label")).cast("double") / F.count(F.lit(1))).alias("a_dyn"))
-    s = s.join(F.broadcast(a), "year")   # one row per year
+    s = s.join(a, "year")
     m = (F.col("p") - 0.5) * 8
     t = focal_terms(m, F.col("label"))
     td = focal_terms(m, F.col("label"), alpha=F.col("a_dyn"))

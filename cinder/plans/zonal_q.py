@@ -14,7 +14,7 @@ from cinder.operators.masks import annual_mask, annual_mask_dynamic
 from cinder.operators.metrics import area_match_threshold
 from cinder.operators.zonal import (MHA_PER_M2, area_by_year_total, area_error_report, area_per_cell,
                                    area_products_outer, compare_products, fire_share_by_zone, pixel_zone,
-                                   zonal_burned_area)
+                                   zonal_burned_areas)
 from cinder.plans.common import AREA_SQL, obs, pixel_table
 from cinder.plans.registry import query
 from cinder.plans.sqlgen import annual_composite_ctes, coarse_grid_ctes, rnd, round_doubles
@@ -46,20 +46,25 @@ alt AS (SELECT n.n_name AS ecoregion, CAST(year(o.o_orderdate) AS INTEGER) AS ye
         GROUP BY 1, 2)"""
 
 
-def _products(spark, sf):
-    o = obs(spark, sf)
-    pix = pixel_table(spark, sf, o)
-    z = zones(spark, sf)
-    pred = zonal_burned_area(annual_mask(o, "score", 0.5), pix, z, out_col="ba_mha")
-    obsp = zonal_burned_area(annual_mask(o, "label", 1.0), pix, z, out_col="ba_mha")
+def _own_products(spark, sf):
+    """Predicted and observed burned area per (zone, year): one annual aggregate of
+    both, one pixel table from its keys, one zonal sum."""
+    annual = obs(spark, sf).groupBy("grid_row", "grid_col", "year").agg(
+        (F.max("score") >= 0.5).cast("int").alias("pred_mask"), F.max("label").alias("obs_mask"))
+    both = zonal_burned_areas(annual, pixel_table(spark, sf, annual), zones(spark, sf),
+                              {"pred_mha": "pred_mask", "obs_mha": "obs_mask"})
+    return both.drop("zone_id")
+
+
+def _alt_product(spark, sf):
+    """The second product, keyed like the first."""
     orders = read_table(spark, sf, "orders")
     cust = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     nation = read_table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("ecoregion"))
-    alt = (orders.join(cust, orders.o_custkey == cust.c_custkey)
-                 .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-                 .groupBy("ecoregion", F.year("o_orderdate").alias("year"))
-                 .agg((F.count(F.when(F.col("o_orderstatus") == "F", 1)) * 0.001).alias("ba_mha")))
-    return pred.drop("zone_id"), obsp.drop("zone_id"), alt
+    return (orders.join(cust, orders.o_custkey == cust.c_custkey)
+                  .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+                  .groupBy("ecoregion", F.year("o_orderdate").alias("year"))
+                  .agg((F.count(F.when(F.col("o_orderstatus") == "F", 1)) * 0.001).alias("ba_mha")))
 
 
 @query("compare_products", with_obs(f"""
@@ -69,10 +74,8 @@ FROM pred p LEFT JOIN obsp o ON p.ecoregion = o.ecoregion AND p.year = o.year
 LEFT JOIN alt a ON p.ecoregion = a.ecoregion AND p.year = a.year""", _BASE_CTES))
 def q_compare_products(spark, sf):
     """One column per product left-merged on (zone, year)."""
-    pred, obsp, alt = _products(spark, sf)
-    base = pred.select("ecoregion", "year", F.col("ba_mha").alias("ba_pred_Mha"))
-    out = compare_products(base, {"obs": obsp, "alt": alt})
-    return round_doubles(out, 8)
+    base = _own_products(spark, sf).withColumnsRenamed({"pred_mha": "ba_pred_Mha", "obs_mha": "ba_obs_Mha"})
+    return round_doubles(compare_products(base, {"alt": _alt_product(spark, sf)}), 8)
 
 
 @query("area_products_outer", with_obs(f"""
@@ -83,8 +86,9 @@ FROM (SELECT ecoregion, year, 1 AS pr, ba_mha AS v FROM pred UNION ALL SELECT ec
       UNION ALL SELECT ecoregion, year, 3, ba_mha FROM alt) u GROUP BY 1, 2""", _BASE_CTES))
 def q_area_products_outer(spark, sf):
     """Full outer merge of products keyed (zone, year), 0-filled."""
-    pred, obsp, alt = _products(spark, sf)
-    return round_doubles(area_products_outer({"pred": pred, "obs": obsp, "alt": alt}), 8)
+    own = _own_products(spark, sf).withColumnsRenamed({"pred_mha": "ba_pred_Mha", "obs_mha": "ba_obs_Mha"})
+    alt = _alt_product(spark, sf).withColumnRenamed("ba_mha", "ba_alt_Mha")
+    return round_doubles(area_products_outer([own, alt]), 8)
 
 
 @query("area_by_year_total", with_obs(
@@ -92,8 +96,7 @@ def q_area_products_outer(spark, sf):
     f"({', '.join(repr(e) for e in EXCLUDE)}) GROUP BY year", _BASE_CTES))
 def q_area_by_year_total(spark, sf):
     """Annual totals across zones without the excluded zones."""
-    pred, _, _ = _products(spark, sf)
-    return round_doubles(area_by_year_total(pred, "ba_mha", EXCLUDE), 8)
+    return round_doubles(area_by_year_total(_own_products(spark, sf), "pred_mha", EXCLUDE), 8)
 
 
 @query("area_error_report", with_obs(f"""
@@ -107,10 +110,8 @@ GROUP BY ROLLUP (ecoregion)""", _BASE_CTES))
 def q_area_error_report(spark, sf):
     """Predicted vs reference area for the test years, per zone plus a
     grand-total row, with difference and % error."""
-    pred, obsp, _ = _products(spark, sf)
-    t = [1999, 2000]
-    rep = area_error_report(pred.where(F.col("year").isin(t)), obsp.where(F.col("year").isin(t)))
-    return round_doubles(rep, 8)
+    test = _own_products(spark, sf).where(F.col("year").isin([1999, 2000]))
+    return round_doubles(area_error_report(test, "pred_mha", "obs_mha"), 8)
 
 
 @query("fire_share_by_zone", with_obs(f"""

@@ -1,8 +1,7 @@
-"""Session helpers: building a session, the shared checkpoint folder and
-size-checked broadcasts.
+"""Session helpers: building a session, the shared checkpoint folder, lineage cuts.
 
-Nothing here changes how Spark plans a query; the helpers only encode the
-repository's rules for lineage cuts and broadcasts in one place.
+Nothing here changes how Spark plans a query.  Derived tables are joined without
+hints: Spark broadcasts a side by its bytes, else it shuffles.
 """
 
 from __future__ import annotations
@@ -11,10 +10,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows above which a "small" side is no longer broadcast by the checked helper.
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
 # Temporary shared folders of local-mode applications that name none.
 _LOCAL_DIRS: dict[str, str] = {}
@@ -83,27 +78,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared folder, survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the frame is
-    returned unhinted and Spark falls back to a shuffle join (AQE may still
-    convert it at run time from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def small_or_shuffle(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Evaluate a small derived table once.
-
-    Reads at most ``max_rows + 1`` rows; if the table fits, it comes back as a
-    local relation hinted for broadcast, so later joins neither shuffle the big
-    side nor recompute the table.  Beyond the bound the original frame is
-    returned and joins shuffle on their keys (AQE splits skewed partitions)."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

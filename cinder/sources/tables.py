@@ -137,10 +137,10 @@ def with_obs(sql_body: str, extra_ctes: str = "") -> str:
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zone polygons from ``nation``: one closed ring (lon/lat) per nation key.
+    """Zone polygons from ``nation``: one part without holes per nation key.
 
-    ``ring`` is ARRAY<STRUCT<x DOUBLE, y DOUBLE>> listing the corners
-    counter-clockwise with the first vertex repeated at the end.
+    ``rings`` is ARRAY<ARRAY<STRUCT<x DOUBLE, y DOUBLE>>>; each ring lists its
+    corners with the first vertex repeated at the end.
     """
     n = read_table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("int").alias("zone_id"), F.col("n_name").alias("ecoregion"))
@@ -155,4 +155,4 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
     return n.select("zone_id", "ecoregion",
-                    F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1), pt(x0, y0)).alias("ring"))
+                    F.array(F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1), pt(x0, y0))).alias("rings"))

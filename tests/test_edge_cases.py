@@ -70,6 +70,19 @@ def test_point_on_edge_left_top_inclusive(spark):
     assert got == [True, False, True, False, True]   # left in, right out, top in, bottom out
 
 
+def test_zones_with_holes_and_parts(spark):
+    from cinder.operators.geometry import polygon_zone
+    square = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    zones = spark.createDataFrame([
+        (1, [square(0.0, 0.0, 4.0, 4.0), square(1.0, 1.0, 3.0, 3.0)]),      # a hole
+        (2, [square(1.5, 1.5, 2.5, 2.5), square(10.0, 0.0, 11.0, 1.0)]),    # in the hole, and a far part
+        (3, []), (4, None)], "zone_id int, rings array<array<struct<x double, y double>>>")
+    pts = spark.createDataFrame([("edge", 0.5, 0.5), ("hole", 1.2, 1.2), ("island", 2.0, 2.0), ("far", 10.5, 0.5),
+                                 ("between", 6.0, 0.5), ("none", None, 0.5)], "name string, x double, y double")
+    got = {r["name"]: r["zone_id"] for r in polygon_zone(pts, "x", "y", zones).collect()}
+    assert got == {"edge": 1, "island": 2, "far": 2}
+
+
 def test_duplicate_prediction_ids_raise(spark):
     from cinder.operators.joins import CardinalityError, join_predictions
     cells = spark.createDataFrame([(1,), (2,)], "ID long")
