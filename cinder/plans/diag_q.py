@@ -11,6 +11,7 @@ from cinder.operators.diagnostics import (box_stats, class_balance, climatology,
 from cinder.plans.common import obs
 from cinder.plans.registry import query
 from cinder.plans.sqlgen import rnd, round_doubles
+from cinder.schema import FEATURES
 from cinder.sources.tables import with_obs
 
 KEY = ["grid_row", "grid_col", "year", "month"]
@@ -52,34 +53,31 @@ def q_confusion_by_year(spark, sf):
 
 
 @query("climatology", with_obs(
-    f"SELECT grid_row, grid_col, {rnd('avg(temperature_2m)')} AS temperature_2m, "
-    f"{rnd('avg(relative_humidity)')} AS relative_humidity FROM obs GROUP BY 1, 2"))
+    f"SELECT grid_row, grid_col, {', '.join(f'{rnd(f"avg({c})")} AS {c}' for c in FEATURES)} FROM obs GROUP BY 1, 2"))
 def q_climatology(spark, sf):
     """Mean over all months per pixel (NaN skipped)."""
-    return round_doubles(climatology(obs(spark, sf), ["temperature_2m", "relative_humidity"]))
+    return round_doubles(climatology(obs(spark, sf), FEATURES))
 
 
-_SUMMER_SQL = ("SELECT grid_row, grid_col, year, avg(temperature_2m) AS temperature_2m, "
-               "avg(relative_humidity) AS relative_humidity FROM obs WHERE month IN (6, 7, 8) GROUP BY 1, 2, 3")
+_SUMMER_SQL = (f"SELECT grid_row, grid_col, year, {', '.join(f'avg({c}) AS {c}' for c in FEATURES)} "
+               "FROM obs WHERE month IN (6, 7, 8) GROUP BY 1, 2, 3")
 
 
 @query("summer_means", with_obs(
-    f"SELECT grid_row, grid_col, year, {rnd('temperature_2m')} AS temperature_2m, "
-    f"{rnd('relative_humidity')} AS relative_humidity FROM ({_SUMMER_SQL}) t"))
+    f"SELECT grid_row, grid_col, year, {', '.join(f'{rnd(c)} AS {c}' for c in FEATURES)} FROM ({_SUMMER_SQL}) t"))
 def q_summer_means(spark, sf):
     """June-August means per pixel and year."""
-    return round_doubles(summer_means(obs(spark, sf), ["temperature_2m", "relative_humidity"]))
+    return round_doubles(summer_means(obs(spark, sf), FEATURES))
 
 
 @query("robust_scale", with_obs(f"""
 SELECT feature, {rnd('min(p2)')} AS vmin, {rnd('max(p98)')} AS vmax FROM (
   SELECT feature, year, quantile_cont(value, 0.02) AS p2, quantile_cont(value, 0.98) AS p98
-  FROM (UNPIVOT ({_SUMMER_SQL}) ON temperature_2m, relative_humidity INTO NAME feature VALUE value) u
+  FROM (UNPIVOT ({_SUMMER_SQL}) ON {', '.join(FEATURES)} INTO NAME feature VALUE value) u
   GROUP BY 1, 2) t GROUP BY feature"""))
 def q_robust_scale(spark, sf):
     """Global colour scale from yearly 2nd / 98th percentiles."""
-    cols = ["temperature_2m", "relative_humidity"]
-    return round_doubles(robust_scale(summer_means(obs(spark, sf), cols), cols))
+    return round_doubles(robust_scale(summer_means(obs(spark, sf), FEATURES), FEATURES))
 
 
 @query("box_stats", with_obs(f"""
@@ -100,20 +98,21 @@ def q_hist_by_class(spark, sf):
     return round_doubles(hist_by_class(obs(spark, sf), "temperature_2m", "label", 260.0, 5.0, 10))
 
 
-_MISS_SRC = ("(SELECT CASE WHEN fraction > 0.5 THEN 1 WHEN fraction < 0.5 THEN 0 END AS burned_pixel, "
-             "CASE WHEN grid_col % 9 = 0 THEN NULL ELSE fire_weather_index END AS fwi, DEM FROM obs)")
+_MISS = ["burned_pixel", "fwi", *FEATURES]
+_MISS_SRC = ("(SELECT CASE WHEN fraction > 0.5 THEN 1.0 WHEN fraction < 0.5 THEN 0.0 END AS burned_pixel, "
+             "CASE WHEN grid_col % 9 = 0 THEN NULL ELSE fire_weather_index END AS fwi, "
+             f"{', '.join(FEATURES)} FROM obs)")
 
 
 @query("missing_rate", with_obs(f"""
 SELECT "column", {rnd('missing_rate')} AS missing_rate FROM (UNPIVOT (
-  SELECT avg(CAST(burned_pixel IS NULL AS DOUBLE)) AS burned_pixel, avg(CAST(fwi IS NULL OR isnan(fwi) AS DOUBLE)) AS fwi,
-         avg(CAST(DEM IS NULL OR isnan(DEM) AS DOUBLE)) AS DEM FROM {_MISS_SRC} s)
-  ON burned_pixel, fwi, DEM INTO NAME "column" VALUE missing_rate) u"""))
+  SELECT {', '.join(f'avg(CAST({c} IS NULL OR isnan({c}) AS DOUBLE)) AS {c}' for c in _MISS)} FROM {_MISS_SRC} s)
+  ON {', '.join(_MISS)} INTO NAME "column" VALUE missing_rate) u"""))
 def q_missing_rate(spark, sf):
     """Missing share per column."""
     o = obs(spark, sf).select(ternary_label("fraction").alias("burned_pixel"),
-                              F.when(F.col("grid_col") % 9 != 0, F.col("fire_weather_index")).alias("fwi"), "DEM")
-    return round_doubles(missing_rate(o, ["burned_pixel", "fwi", "DEM"]))
+                              F.when(F.col("grid_col") % 9 != 0, F.col("fire_weather_index")).alias("fwi"), *FEATURES)
+    return round_doubles(missing_rate(o, _MISS))
 
 
 @query("obs_vs_pred_by_year", with_obs(
@@ -125,9 +124,6 @@ def q_obs_vs_pred_by_year(spark, sf):
     return obs_vs_pred_by_year(o, "label", "pred")
 
 
-_SHIFT_FEATS = ["temperature_2m", "relative_humidity", "fine_fuel_moisture_code", "DEM"]
-
-
 @query("covariate_shift", with_obs(f"""
 SELECT l.feature, {rnd('b.xmin')} AS xmin, {rnd('b.xmax')} AS xmax,
        {rnd("avg(CASE WHEN split = 'train' THEN greatest(b.xmin, least(b.xmax, value)) END)")} AS mean_train,
@@ -135,14 +131,14 @@ SELECT l.feature, {rnd('b.xmin')} AS xmin, {rnd('b.xmax')} AS xmax,
        {rnd("(avg(CASE WHEN split = 'test' THEN greatest(b.xmin, least(b.xmax, value)) END) - avg(CASE WHEN split = 'train' THEN greatest(b.xmin, least(b.xmax, value)) END)) / (avg(CASE WHEN split = 'train' THEN greatest(b.xmin, least(b.xmax, value)) END) + 1e-6) * 100")} AS diff_pct,
        abs((avg(CASE WHEN split = 'test' THEN greatest(b.xmin, least(b.xmax, value)) END) - avg(CASE WHEN split = 'train' THEN greatest(b.xmin, least(b.xmax, value)) END)) / (avg(CASE WHEN split = 'train' THEN greatest(b.xmin, least(b.xmax, value)) END) + 1e-6) * 100) > 10.0 AS shifted
 FROM l JOIN b ON l.feature = b.feature GROUP BY l.feature, b.xmin, b.xmax""", f"""
-l AS (UNPIVOT (SELECT CASE WHEN year IN (1999, 2000) THEN 'test' ELSE 'train' END AS split, {', '.join(_SHIFT_FEATS)} FROM obs)
-      ON {', '.join(_SHIFT_FEATS)} INTO NAME feature VALUE value),
+l AS (UNPIVOT (SELECT CASE WHEN year IN (1999, 2000) THEN 'test' ELSE 'train' END AS split, {', '.join(FEATURES)} FROM obs)
+      ON {', '.join(FEATURES)} INTO NAME feature VALUE value),
 b0 AS (SELECT feature, quantile_cont(value, 0.01) AS p1, quantile_cont(value, 0.99) AS p99 FROM l WHERE split = 'train' GROUP BY 1),
 b AS (SELECT feature, p1 - (p99 - p1) * 0.1 AS xmin, p99 + (p99 - p1) * 0.1 AS xmax FROM b0)"""))
 def q_covariate_shift(spark, sf):
     """Train-range clipping and mean-shift flags for test years."""
     o = obs(spark, sf).withColumn("split", F.when(F.col("year").isin(1999, 2000), "test").otherwise("train"))
-    return round_doubles(covariate_shift(o, _SHIFT_FEATS))
+    return round_doubles(covariate_shift(o, FEATURES))
 
 
 @query("unique_burned_pixels", with_obs(
