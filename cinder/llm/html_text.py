@@ -37,11 +37,37 @@ IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option":
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist")}
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>?", re.S)
-_HIDING = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
-_SPAN = re.compile(r"colspan\s*=\s*[\"']?\s*(\d{1,3})", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
+_CSS_OPAQUE = re.compile(r"/\*.*?(?:\*/|$)|\"(?:[^\"\\]|\\.)*\"?|'(?:[^'\\]|\\.)*'?|\([^()]*\)?", re.S)
+_SPAN = re.compile(r"\s*(\d{1,3})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+def _attributes(rest: str) -> dict[str, str]:
+    """Names (lower case) and values of a start tag's attributes; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def _style(value: str) -> dict[str, str]:
+    """The first word of ``display`` and ``visibility`` as a style attribute sets them: the last one, important ones first."""
+    out: dict[str, str] = {}
+    firm: set[str] = set()
+    for declaration in _CSS_OPAQUE.sub(" ", value).lower().split(";"):
+        name, _, rest = declaration.partition(":")
+        name, words = name.strip(), rest.replace("!", " !").split()
+        if name not in ("display", "visibility") or not words:
+            continue
+        important = "".join(words).endswith("!important")
+        if important or name not in firm:
+            out[name] = words[0]
+            if important:
+                firm.add(name)
+    return out
+
+
 class _Box:
     """A block being filled: finished lines, the open line, and what lists and tables need."""
 
@@ -101,12 +127,13 @@ def render(page: str | None) -> str:
     page = page or ""
     root = _Box("root", False)
     boxes = [root]
-    opened: list[tuple[str, bool, bool]] = []          # tag, has a box, hides
+    opened: list[tuple[str, bool, bool, bool]] = []    # tag, has a box, hides, unseen around it
     hidden = 0
+    unseen = False                                     # by visibility, which an inner element may set again
 
     def close() -> None:
-        nonlocal hidden
-        tag, boxed, hides = opened.pop()
+        nonlocal hidden, unseen
+        tag, boxed, hides, unseen = opened.pop()
         hidden -= hides
         if not boxed:
             return
@@ -161,7 +188,7 @@ def render(page: str | None) -> str:
         lt = page.find("<", at)
         token = _TOKEN.match(page, lt) if lt >= 0 else None
         end = lt if token else len(page) if lt < 0 else lt + 1
-        if end > at and not hidden:
+        if end > at and not hidden and not unseen:
             text = html.unescape(page[at:end])
             boxes[-1].inline.append(text.replace("\0", ""))
         at = end
@@ -189,7 +216,7 @@ def render(page: str | None) -> str:
         elif opened and opened[-1][0] == "head" and name in BLOCK:
             close()                                    # a block starts the body
         if name in ("td", "th") and (not opened or opened[-1][0] != "tr"):
-            opened.append(("tr", True, False))         # implied row
+            opened.append(("tr", True, False, unseen))         # implied row
             boxes.append(_Box("tr", False))
         if name in VOID:
             if not hidden:
@@ -199,18 +226,22 @@ def render(page: str | None) -> str:
                     boxes[-1].flush()
                     boxes[-1].gap = True
             continue
-        hides = name in UNSEEN or bool(_HIDING.search(rest))
+        attributes = _attributes(rest) if rest else {}
+        style = _style(attributes.get("style", ""))
+        hides = name in UNSEEN or style.get("display", "none" if "hidden" in attributes else "") == "none"
         if name in RAW:                                # its content is no markup
             stop = re.compile(f"</{name}", re.I).search(page, at)
             at = stop.start() if stop else len(page)
         boxed = name in BLOCK
         if boxed:
             box = _Box(name, name == "pre" or (boxes[-1].pre))
-            if name in ("td", "th") and (span := _SPAN.search(rest)):
+            if name in ("td", "th") and (span := _SPAN.match(attributes.get("colspan", ""))):
                 box.span = max(1, int(span[1]))
             boxes.append(box)
-        opened.append((name, boxed, hides))
+        opened.append((name, boxed, hides, unseen))
         hidden += hides
+        if "visibility" in style and style["visibility"] in ("hidden", "collapse", "visible"):
+            unseen = style["visibility"] != "visible"
     while opened:
         close()
     root.flush()

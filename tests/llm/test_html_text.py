@@ -27,6 +27,30 @@ def test_render(page, want):
     assert render(page) == want
 
 
+@pytest.mark.parametrize("attributes", [
+    'title="a hidden gem"', 'aria-label="show hidden items"', 'class="card hidden md:block"', "class='x' data-hidden",
+    'style="overflow: hidden auto"', 'data-style="display:none"', "title='style=\"display:none\"'", 'alt="x hidden" class=hidden',
+    'style="display:none; display:block"', 'style="background:url(a;display:none)"', 'style="--x:\'display:none\'"',
+    'hidden style="display:block"', 'style="/* display:none */ color:red"', 'style="-x-display:none"', "href=/hidden",
+])
+def test_values_of_other_attributes_hide_nothing(attributes):
+    assert render(f"<body {attributes}>shown <b>too</b></body>") == "shown too"
+
+
+@pytest.mark.parametrize("attributes", [
+    "hidden", "HIDDEN", 'hidden=""', "class=x hidden", 'title="a>b" hidden', "style=display:none", 'style="color:red;DISPLAY : NONE !important;display:block"',
+    'style="display&#58;none"', "style='visibility:collapse'", 'style="display:none" style="display:block"',
+])
+def test_what_hides(attributes):
+    assert render(f"<p {attributes}>no <b>no</b></p>yes") == "yes"
+
+
+def test_visibility_is_set_again_inside():
+    assert render("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</div>after") == "yes\nafter"
+    assert render("<div style='display:none'>no <b style='visibility:visible;display:inline'>no</b></div>after") == "after"
+    assert render("<table><tr><td data-colspan=2>a<td>b<tr><td colspan='2'>wide<td>c</table>") == "a  b\nwide  c"
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert render("<p>word " * 50_000).count("word") == 50_000
