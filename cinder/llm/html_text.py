@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noembed noframes xmp iframe".split())
 UNSEEN = frozenset("head script style template noscript noembed noframes iframe title datalist select textarea svg math object audio video canvas".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())    # all else ends the head
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form li dt dd tr td th caption thead tbody tfoot center details summary figcaption legend menu dialog hgroup search option".split())
 CLOSES_P = (BLOCK - frozenset("html body tr td th caption thead tbody tfoot option legend".split()))
@@ -188,6 +189,8 @@ def render(page: str | None) -> str:
         lt = page.find("<", at)
         token = _TOKEN.match(page, lt) if lt >= 0 else None
         end = lt if token else len(page) if lt < 0 else lt + 1
+        if end > at and opened and opened[-1][0] == "head" and page[at:end].strip(" \t\n\r\f"):
+            close()                                    # text starts the body
         if end > at and not hidden and not unseen:
             text = html.unescape(page[at:end])
             boxes[-1].inline.append(text.replace("\0", ""))
@@ -200,6 +203,8 @@ def render(page: str | None) -> str:
             continue
         if token[1]:                                   # an end tag
             if name == "br":
+                if opened and opened[-1][0] == "head":
+                    close()
                 boxes[-1].inline.append("" if hidden else "\n" if boxes[-1].pre else "\0")
             elif any(o[0] == name for o in opened):
                 while opened[-1][0] != name:
@@ -213,8 +218,8 @@ def render(page: str | None) -> str:
             close_to(IMPLIED_END[name], SCOPE.get(name, ("table",)))
         if name == "body":
             close_to(("head",), ())
-        elif opened and opened[-1][0] == "head" and name in BLOCK:
-            close()                                    # a block starts the body
+        elif opened and opened[-1][0] == "head" and name not in IN_HEAD:
+            close()                                    # so does any other element
         if name in ("td", "th") and (not opened or opened[-1][0] != "tr"):
             opened.append(("tr", True, False, unseen))         # implied row
             boxes.append(_Box("tr", False))
@@ -229,8 +234,8 @@ def render(page: str | None) -> str:
         attributes = _attributes(rest) if rest else {}
         style = _style(attributes.get("style", ""))
         hides = name in UNSEEN or style.get("display", "none" if "hidden" in attributes else "") == "none"
-        if name in RAW:                                # its content is no markup
-            stop = re.compile(f"</{name}", re.I).search(page, at)
+        if name in RAW or name == "title":       # its content is no markup
+            stop = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
             at = stop.start() if stop else len(page)
         boxed = name in BLOCK
         if boxed:

@@ -45,6 +45,18 @@ def test_what_hides(attributes):
     assert render(f"<p {attributes}>no <b>no</b></p>yes") == "yes"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<head><title>T</title>Hello <p>x", "Hello\n\nx"),
+    ("<head><title>T</title><span><p>all of the page</p></span>", "all of the page"),
+    *[(f"<html><head><meta charset=x><title>T</title>\n<{e}>one</{e}> two<div>three</div>", "one two\nthree") for e in ("a", "b", "strong", "font", "label", "button")],
+    ("<head><link rel=x><img src=y>text", "text"), ("<head> \n &nbsp;a", "\xa0a"), ("<head></br>a", "a"),
+    ("<head><style>no</style> <script>no</script><noscript>no<p>no</p></noscript><template><p>no</template><base><title>no</title></head>a", "a"),
+    ("<head><title>the <body> tag and <b>more</title><p>a", "a"), ("<title>no</titles>no</title>a", "a"),
+])
+def test_the_head_ends_where_a_browser_ends_it(page, want):
+    assert render(page) == want
+
+
 def test_visibility_is_set_again_inside():
     assert render("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</div>after") == "yes\nafter"
     assert render("<div style='display:none'>no <b style='visibility:visible;display:inline'>no</b></div>after") == "after"
