@@ -4,9 +4,18 @@ A tree builder with implied start and end tags folds each element, when it
 closes, into its parent's lines: blocks start lines, paragraphs, headings, lists
 and tables keep a blank line around them, list items are marked and indented,
 table cells are aligned in columns, ``pre`` keeps its spaces, other white space
-collapses.  Everything a browser shows as text is emitted (navigation and footers
-too); what it does not show is left out: ``head``, scripts, styles, templates,
-comments, ``hidden`` elements and styles that hide.
+collapses.  Everything a browser shows as text is emitted (navigation and footers,
+``textarea`` and ``xmp`` content, the chosen option of a ``select`` or all options
+of a list box, the text of ``svg`` and ``math``); what it does not show is left
+out: ``head``, scripts, styles, templates, comments, ``hidden`` elements and
+styles that hide, definitions and descriptions of drawings, annotations of
+formulas.
+
+Left out by decision: ``noscript`` (pages are taken as with scripts), the fallback
+inside ``iframe``, ``audio``, ``video``, ``canvas``, ``noembed``, ``noframes`` and an
+``object`` that loads data, suggestions of a ``datalist``, and texts in attributes
+(``alt``, ``value``, ``placeholder``, ``title``), style sheets unread.  ``details``
+and ``dialog`` count as open.
 
 No recursion, so depth is no limit; pages are rendered one by one inside Arrow
 batches.
@@ -23,12 +32,17 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard: elements by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noembed noframes xmp iframe".split())
-UNSEEN = frozenset("head script style template noscript noembed noframes iframe title datalist select textarea svg math object audio video canvas".split())
+RAW = frozenset("script style noembed noframes xmp iframe textarea title".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes iframe title datalist audio video canvas annotation annotation-xml".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())    # all else ends the head
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
-BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form li dt dd tr td th caption thead tbody tfoot center details summary figcaption legend menu dialog hgroup search option".split())
-CLOSES_P = (BLOCK - frozenset("html body tr td th caption thead tbody tfoot option legend".split()))
+# In a drawing: what it only defines or describes, and what shows its text.  HTML elements that end an open drawing or formula.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+DRAWN_TEXT = frozenset("text foreignobject".split())
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = DRAWN_TEXT | frozenset("desc title annotation-xml mi mo mn ms mtext".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure hr fieldset".split())
+BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form li dt dd tr td th caption thead tbody tfoot center details summary figcaption legend menu dialog hgroup search option textarea".split())
+CLOSES_P = (BLOCK - frozenset("html body tr td th caption thead tbody tfoot option legend textarea".split()))
 # An element of the key is closed by the start of the listed ones, within the nearest scope element.
 IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",),
                "tr": ("tr", "td", "th", "caption"), "td": ("td", "th"), "th": ("td", "th"),
@@ -41,6 +55,7 @@ _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 _ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
 _CSS_OPAQUE = re.compile(r"/\*.*?(?:\*/|$)|\"(?:[^\"\\]|\\.)*\"?|'(?:[^'\\]|\\.)*'?|\([^()]*\)?", re.S)
 _SPAN = re.compile(r"\s*(\d{1,3})")
+_SELECT_END = re.compile(r"<(/?)(?:select|input|textarea|keygen)(?=[\s/>])", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -72,7 +87,7 @@ def _style(value: str) -> dict[str, str]:
 class _Box:
     """A block being filled: finished lines, the open line, and what lists and tables need."""
 
-    __slots__ = ("cells", "gap", "inline", "item", "lines", "pre", "rows", "span", "tag")
+    __slots__ = ("cells", "chosen", "gap", "inline", "item", "lines", "options", "pre", "rows", "span", "tag", "whole")
 
     def __init__(self, tag: str, pre: bool) -> None:
         self.tag, self.pre = tag, pre
@@ -83,6 +98,8 @@ class _Box:
         self.rows: list[list[tuple[list[str], int]]] = []
         self.cells: list[tuple[list[str], int]] = []
         self.span = 1
+        self.options: list[tuple[str, bool, bool]] = []      # of a select: text, chosen, may be chosen unasked
+        self.chosen = self.whole = False                     # a list box, or a chosen option; a select with an end tag
 
     def flush(self) -> None:
         if self.inline:
@@ -128,17 +145,30 @@ def render(page: str | None) -> str:
     page = page or ""
     root = _Box("root", False)
     boxes = [root]
-    opened: list[tuple[str, bool, bool, bool]] = []    # tag, has a box, hides, unseen around it
+    opened: list[tuple[str, bool, int, bool]] = []     # tag, has a box, hides (-1: shows again), unseen around it
     hidden = 0
+    drawings: list[bool] = []                          # open svg elements: inside a part that shows text?
+    foreign = 0                                        # open svg and math elements
+    selects: list[_Box] = []                           # the open select
+    next_end: re.Match[str] | None = None              # where the last select seen ends
     unseen = False                                     # by visibility, which an inner element may set again
 
     def close() -> None:
-        nonlocal hidden, unseen
+        nonlocal hidden, unseen, foreign
         tag, boxed, hides, unseen = opened.pop()
+        if hides < 0 and not hidden:
+            boxes[-1].inline.append(" ")
         hidden -= hides
+        foreign -= tag in ("svg", "math")
+        if tag == "svg":
+            drawings.pop()
+        elif hides < 0:
+            drawings[-1] = False
         if not boxed:
             return
         box = boxes.pop()
+        if tag == "select":
+            selects.pop()
         box.flush()
         if not opened or not hidden:
             place(box, boxes[-1])
@@ -158,6 +188,16 @@ def render(page: str | None) -> str:
                 box.rows.append(box.cells)
             into.flush()
             into.add(lines + _table(box.rows), True)
+        elif tag == "select":
+            texts = [text for text, _, _ in box.options]
+            if box.chosen:                             # a list box shows them all
+                into.flush()
+                into.add([text for text in texts if text], False)
+            else:
+                into.inline += [text for text, chosen, _ in box.options if chosen][-1:] or [
+                    text for text, _, free in box.options if free][:1]
+        elif tag == "option" and into.tag == "select":
+            into.options.append((" ".join(lines), box.chosen, box.whole))
         else:
             if box.rows or box.cells:                  # cells outside a table
                 box.add(_table([*box.rows, box.cells] if box.cells else box.rows), False)
@@ -191,6 +231,11 @@ def render(page: str | None) -> str:
         end = lt if token else len(page) if lt < 0 else lt + 1
         if end > at and opened and opened[-1][0] == "head" and page[at:end].strip(" \t\n\r\f"):
             close()                                    # text starts the body
+        if end > at and selects and boxes[-1] is selects[-1]:
+            if not selects[-1].whole and page[at:end].strip():
+                close_to(("select",), ())              # never closed: what follows its options is the page
+            else:
+                at = end                               # a browser shows nothing but options
         if end > at and not hidden and not unseen:
             text = html.unescape(page[at:end])
             boxes[-1].inline.append(text.replace("\0", ""))
@@ -201,6 +246,11 @@ def render(page: str | None) -> str:
         name = (token[2] or "").lower()
         if not name:
             continue
+        if selects and name not in ("option", "optgroup", "script", "style", "template"):
+            if selects[-1].whole and name not in ("select", "input", "textarea", "keygen"):
+                continue                               # no other element stands in a select
+            if not token[1]:
+                close_to(("select",), ())
         if token[1]:                                   # an end tag
             if name == "br":
                 if opened and opened[-1][0] == "head":
@@ -212,6 +262,15 @@ def render(page: str | None) -> str:
                 close()
             continue
         rest = token[3] or ""
+        if foreign and name in BREAKS_OUT:
+            for i in range(len(opened) - 1, -1, -1):
+                if opened[i][0] in HOLDS_HTML or opened[i][0] in BREAKS_OUT or not foreign:
+                    break
+                if opened[i][0] in ("svg", "math"):
+                    while len(opened) > i:
+                        close()
+        if foreign and rest.endswith("/") and (name in UNDRAWN or name in DRAWN_TEXT or name not in BLOCK):
+            continue                                   # closes itself
         if name in CLOSES_P:
             close_to(("p",), ("table", "td", "th", "button", "caption"))
         if name in IMPLIED_END:
@@ -233,13 +292,34 @@ def render(page: str | None) -> str:
             continue
         attributes = _attributes(rest) if rest else {}
         style = _style(attributes.get("style", ""))
-        hides = name in UNSEEN or style.get("display", "none" if "hidden" in attributes else "") == "none"
-        if name in RAW or name == "title":       # its content is no markup
+        hides = int(name in UNSEEN or style.get("display", "none" if "hidden" in attributes else "") == "none"
+                    or name == "object" and "data" in attributes)
+        if selects and name == "option":
+            hides = 0                                  # a closed select shows its choice in any case
+        if drawings and not hides:
+            if name in UNDRAWN:
+                hides = 1
+            elif name in DRAWN_TEXT and not drawings[-1]:
+                hides, drawings[-1] = -1, True
+        if name == "svg":
+            hides += 1
+            drawings.append(False)
+        foreign += name in ("svg", "math")
+        if name in RAW and not (foreign and name == "title"):          # its content is no markup
             stop = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
-            at = stop.start() if stop else len(page)
-        boxed = name in BLOCK
+            content, at = at, stop.start() if stop else len(page)
+        boxed = name in BLOCK or name == "select"
         if boxed:
-            box = _Box(name, name == "pre" or (boxes[-1].pre))
+            box = _Box(name, name in ("pre", "xmp", "textarea") or (boxes[-1].pre and not selects))
+            if name == "select":
+                if not next_end or next_end.start() < at:
+                    next_end = _SELECT_END.search(page, at)
+                box.whole = bool(next_end and next_end[1])
+                rows = re.match(r"\s*(\d+)", attributes.get("size", ""))
+                box.chosen = "multiple" in attributes or bool(rows and int(rows[1]) > 1)
+                selects.append(box)
+            elif name == "option":
+                box.chosen, box.whole = "selected" in attributes, "disabled" not in attributes
             if name in ("td", "th") and (span := _SPAN.match(attributes.get("colspan", ""))):
                 box.span = max(1, int(span[1]))
             boxes.append(box)
@@ -247,6 +327,9 @@ def render(page: str | None) -> str:
         hidden += hides
         if "visibility" in style and style["visibility"] in ("hidden", "collapse", "visible"):
             unseen = style["visibility"] != "visible"
+        if name in ("textarea", "xmp") and not hidden and not unseen:
+            text = page[content:at] if name == "xmp" else html.unescape(page[content:at])
+            boxes[-1].inline.append(text.replace("\0", "").replace("\r\n", "\n").removeprefix("\n"))
     while opened:
         close()
     root.flush()

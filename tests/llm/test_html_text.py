@@ -57,6 +57,31 @@ def test_the_head_ends_where_a_browser_ends_it(page, want):
     assert render(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("a <textarea>one  <b>&amp; two\n three</textarea> b", "a\none  <b>& two\n three\nb"),
+    ("<p>a<xmp><b>x</b> &amp;  y\nz</xmp>b", "a\n\n<b>x</b> &amp;  y\nz\n\nb"),
+    ("in <select name=x><option>one<option selected value=2>two</option><option>three</select> now", "in two now"),
+    ("in <select><option disabled>pick<optgroup label=g><option>one</optgroup></select> now", "in one now"),
+    ("<select><option hidden selected>pick</option><option>one</select>", "pick"),
+    ("<select multiple><option>one<option>two</select>", "one\ntwo"),
+    ("<div><select><option>one<option>two<p>rest</div>after", "one\n\nrest\nafter"),
+    ("<select><option>one</option> rest", "one rest"),
+    ("<select><option>one <b>bold</b></option></select><select><option>two", "one boldtwo"),
+    ("<select><option>one</option><select><option>two</select> x", "onetwo x"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.", "so x=1."),
+    ("<math><semantics><mi>x</mi><annotation encoding=t>\\no</annotation></semantics></math> y", "x y"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><g><text x=1>one</text><text>two <tspan>three</tspan></text></g></svg>b",
+     "aone two three b"),
+    ("<svg><path d=''/><defs/><text>t</text></svg>b", "t b"), ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"),
+    ("<div><svg><path d=''>lost<p>rest</div>after", "rest\nafter"), ("<div><math><mi>x<p>rest</div>after", "x\n\nrest\nafter"),
+    ("<svg><g><svg><g><div>rest", "rest"), ("<div hidden><svg><text>no</text></svg></div>yes", "yes"),
+    ("<object><p>shown</object>", "shown"), ("<object>shown", "shown"), ("<object data=x>no</object>yes", "yes"),
+    ("<div hidden><select><option>no</select><textarea>no</textarea><xmp>no</xmp></div>yes", "yes"),
+])
+def test_elements_that_browsers_show(page, want):
+    assert render(page) == want
+
+
 def test_visibility_is_set_again_inside():
     assert render("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</div>after") == "yes\nafter"
     assert render("<div style='display:none'>no <b style='visibility:visible;display:inline'>no</b></div>after") == "after"
