@@ -57,6 +57,10 @@ def op9_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.compare_next(documents(spark, sf_dir))
 
 
+def op9_edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.edit_pairs(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_edit_fingerprint": op9_edit_fingerprint,
+    "op9_edit_pairs": op9_edit_pairs,
     "op10_decontamination": op10_decontamination,
 }
 

@@ -18,8 +18,9 @@ with character class c the next character starts at j + jump[j mod period][c].
 The walk is vectorised over the texts of an Arrow batch and reads every
 character; between records of the sampled steps nothing is kept.
 
-``edit_pairs`` bands the fingerprints and verifies candidates by their exact
-edit distance.
+``edit_pairs`` bands the fingerprints, adds the pairs that share a piece of text
+which no allowed edits can avoid, and verifies candidates by their exact edit
+distance.  The bands alone are lossy; with the pieces no pair is lost.
 """
 
 from __future__ import annotations
@@ -315,33 +316,172 @@ BANDS, BAND_DIGITS = 96, 5
 LIKE = 0.35
 
 
+PIECE_CLASSES = (1, 100, 400)     # lengths of the longer text from which longer pieces are certain
+FEW_EDITS = 50
+LONGEST_RUN = 64                  # windows of pieces are no longer, also where longer runs are certain
+
+
+def _same(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def _may_be_within(a: str, b: str, most: int) -> bool:
+    """False only if ``b`` has more pieces that ``a`` has nowhere than ``most`` edits can touch."""
+    size = 10
+    if len(b) // size <= most or len(a) < size:
+        return True
+    grams = []
+    for points in (_points(a), _points(b)):
+        gram = np.zeros(len(points) - size + 1, np.uint64)
+        for o in range(size):
+            gram = gram * np.uint64(0x9E3779B97F4A7C15) + points[o:len(points) - size + 1 + o]
+        grams.append(gram)
+    return int((~np.isin(grams[1][::size], grams[0])).sum()) <= most
+
+
+def _few_edits(a: str, b: str, most: int) -> int | None:
+    """Edit distance if at most ``most``, by the farthest places reached on each diagonal (for few edits)."""
+    goal = len(b) - len(a)
+
+    def run(i: int, j: int) -> int:
+        step = 16
+        while a[i:i + step] == b[j:j + step]:
+            i, j, step = i + step, j + step, step * 2
+            if i >= len(a) or j >= len(b):
+                return min(len(a), len(b) - j + i)
+        return i + _same(a[i:i + step], b[j:j + step])
+
+    reach = {0: run(0, 0)}
+    for edits in range(most + 1):
+        if reach.get(goal, -1) >= len(a):
+            return edits
+        after = {}
+        for d in range(max(-edits - 1, -len(a)), min(edits + 1, len(b)) + 1):        # j - i
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
+            i = min(i, len(a), len(b) - d)
+            if i >= max(0, -d):
+                after[d] = run(i, i + d)
+        reach = after
+    return None
+
+
 def edit_distance_within(a: str, b: str, most: int) -> int | None:
-    """Edit distance of two texts if at most ``most``, else None (banded dynamic programme)."""
-    if abs(len(a) - len(b)) > most:
+    """Edit distance of two texts if at most ``most``, else None.
+
+    What both texts begin and end with is cut off first.  A few edits are looked for
+    along diagonals; for more, the columns of the distance matrix are bit vectors in
+    integers (Myers, Hyyro).
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > most:
+        return None
+    same = _same(a, b)
+    a, b = a[same:], b[same:]
+    same = _same(a[::-1], b[::-1])
+    a, b = a[:len(a) - same], b[:len(b) - same]
+    if not a:
+        return len(b)
+    if not _may_be_within(a, b, most):
         return None
-    far = most + 1
-    row = [min(j, far) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        new = [far] * (len(b) + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(low, high + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1, far)
-        row = new
-        if min(row[max(0, low - 1):high + 1]) > most:
+    few = min(most, FEW_EDITS)
+    if (found := _few_edits(a, b, few)) is not None or few == most:
+        return found
+    held: dict[str, int] = {}
+    for c in set(a) & set(b):
+        held[c] = int("".join("1" if x == c else "0" for x in reversed(a)), 2)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, score, left = full, 0, len(a), len(b)
+    for c in b:
+        equal = held.get(c, 0)
+        down = equal | minus
+        across = (((equal & plus) + plus) ^ plus) | equal
+        up, lower = minus | (full & ~(across | plus)), plus & across
+        score += bool(up & top) - bool(lower & top)
+        left -= 1
+        if score - left > most:
             return None
-    return row[len(b)] if row[len(b)] <= most else None
+        up = (up << 1 | 1) & full
+        lower = lower << 1 & full
+        plus, minus = lower | (full & ~(down | up)), up & down
+    return score
+
+
+def certain_run(least: int, share: float) -> int:
+    """Length of an exact piece that any two texts within ``share`` of the longer one's length must share,
+    if that length is at least ``least``: k edits leave at least n - k characters in at most k + 1 runs."""
+    many = max(4000, 2 * least)
+    runs = [-(-(n - k) // (k + 1)) for n in range(least, many) if (k := int(share * n))]
+    return min([*runs, math.ceil((1 - share) * many / (share * many + 1) - 1e-9), LONGEST_RUN])
+
+
+def _pieces(points: np.ndarray, share: float, runs: list[int]) -> dict[int, tuple[int, int]]:
+    """Keys of a text, each with its first and last place: of every window of a certain run the piece of smallest hash.
+
+    A run in two texts has the same windows and so the same smallest pieces, as far
+    apart in the texts as the run.  A text has keys for each class of lengths that
+    the longer text of a pair may have.
+    """
+    out: dict[int, tuple[int, int]] = {}
+    n = len(points)
+    longest = int(n / (1 - share)) + 2
+    for number, run in enumerate(runs):
+        above = PIECE_CLASSES[number + 1] if number + 1 < len(runs) else longest + 1
+        if longest < PIECE_CLASSES[number] or n >= above or not int(share * longest) or n < run:
+            continue
+        size = run // 2 + 1
+        gram = np.zeros(n - size + 1, np.uint64)
+        for o in range(size):
+            gram = gram * np.uint64(0x9E3779B97F4A7C15) + points[o:n - size + 1 + o]
+        gram = _hash(gram, 10 + number)
+        windows = np.lib.stride_tricks.sliding_window_view(gram, run - size + 1)
+        places = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
+        keys, which = np.unique(gram[places], return_inverse=True)
+        first, last = np.full(len(keys), n), np.zeros(len(keys), np.int64)
+        np.minimum.at(first, which, places)
+        np.maximum.at(last, which, places)
+        out.update(zip(keys.view(np.int64).tolist(), zip(first.tolist(), last.tolist(), strict=True), strict=True))
+    return out
+
+
+def _piece_pairs(texts: DataFrame, share: float) -> DataFrame:
+    """(a, b): all texts that share a certain piece at places and with lengths that the distance allows."""
+    runs = [certain_run(least, share) for least in PIECE_CLASSES]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                rows = []
+                for doc, text in zip(batch["doc_id"][at:at + 200], batch["text"][at:at + 200], strict=True):
+                    n = len(text)
+                    rows += [(key, doc, n, first, last)
+                             for key, (first, last) in _pieces(_points(text), share, runs).items()]
+                yield pd.DataFrame(rows, columns=["key", "doc_id", "n", "first", "last"])
+
+    pieces = texts.mapInPandas(cut, "key long, doc_id long, n int, first int, last int")
+    most = f"cast({float(share)!r}D * greatest(x.n, y.n) as int)"
+    x, y = pieces.alias("x"), pieces.alias("y")
+    return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & F.expr(
+        f"abs(x.n - y.n) <= {most} and x.first - y.last <= {most} and y.first - x.last <= {most}"))
+        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")))
 
 
 def edit_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
     """(a, b, distance): ids a < b of different texts within an edit distance of ``share`` of the
-    longer text, found by bit-sampled banding and verified exactly.
+    longer text, found by bit-sampled banding and by certain pieces, and verified exactly.
 
     Equal texts collapse to their smallest doc_id first.  Each band is 5 digits
     sampled with a fixed seed; texts that share a band and whose fingerprints are
-    alike in at least ``LIKE`` of their digits are verified.
+    alike in at least ``LIKE`` of their digits are verified, and so are all that share
+    a piece which the allowed edits cannot avoid, so that every pair is found.
     """
+    if not 0 <= share < 1:
+        raise ValueError("share must be at least 0 and below 1")
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(fingerprint=fingerprints_of(list(batch["text"]))[0])
@@ -357,7 +497,8 @@ def edit_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
     alike = F.expr(f"""size(filter(sequence(1, {SAMPLES}),
         i -> substring(x.fingerprint, i, 1) = substring(y.fingerprint, i, 1))) >= {LIKE * SAMPLES}""")
     pairs = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & alike)
-             .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
+             .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+             .unionByName(_piece_pairs(printed.select("doc_id", "text"), share)).distinct())
     left = printed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = printed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 

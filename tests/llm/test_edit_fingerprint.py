@@ -72,6 +72,72 @@ def test_edit_pairs_are_verified(spark):
     assert set(got) <= want and len(got) >= 8 and all(d <= 5 for d in got.values())
 
 
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def edited(rng, text, edits):
+    """``edits`` letters replaced, put in or left out, spread as evenly as hurts most, or at random."""
+    places = sorted(rng.sample(range(len(text)), edits)) if rng.random() < 0.5 else [(2 * i + 1) * len(text) // (2 * edits) for i in range(edits)]
+    out, last = [], 0
+    for at in places:
+        out += [text[last:at], rng.choice(["", "#", "#" + text[at]])]
+        last = at + 1
+    return "".join(out) + text[last:]
+
+
+@pytest.mark.parametrize("few", [0, 3, 50])
+def test_distance_equals_the_whole_matrix(few, monkeypatch):
+    monkeypatch.setattr(ef, "FEW_EDITS", few)
+    rng = random.Random(6)
+    for _ in range(600):
+        a = "".join(rng.choices("abé", k=rng.randint(0, 40)))
+        b = edited(rng, a, rng.randint(1, min(6, len(a)))) if a and rng.random() < 0.7 else "".join(rng.choices("abé", k=rng.randint(0, 40)))
+        most, d = rng.randint(0, 12), slow_distance(a, b)
+        assert ef.edit_distance_within(a, b, most) == (d if d <= most else None)
+
+
+def test_edit_pairs_find_every_pair_within_the_share(spark):
+    rng = random.Random(7)
+    docs, near = [], []
+    for i, chars in enumerate([20, 25, 39, 40, 60, 95, 99, 100, 104, 199, 380, 399, 400, 420, 1500, 1500, 1500, 6000, 6000, 6000] * 2):
+        a = words(rng, chars, "abcdefghijklmnopqrstuvwxyz")[:chars]
+        docs += [(2 * i, a), (2 * i + 1, edited(rng, a, max(1, int(0.05 * chars))))]
+        near.append((2 * i, 2 * i + 1))
+    text = dict(docs)
+    want = {}
+    for a, b in near:
+        d, most = slow_distance(text[a], text[b]) if len(text[a]) < 1000 else None, int(0.05 * max(len(text[a]), len(text[b])))
+        if d is None:
+            d = ef.edit_distance_within(text[a], text[b], most)
+        if d is not None and 0 < d <= most:
+            want[a, b] = d
+    got = {(r.a, r.b): r.distance for r in ef.edit_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    print("recall", len(set(got) & set(want)) / len(want), len(want))
+    assert got == want and len(want) > 30
+
+
+def test_edit_pairs_of_the_documents_equal_brute_force(spark):
+    from cinder.llm.catalog import op9_edit_pairs
+    texts = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        if r.text:
+            texts[r.text] = min(r.doc_id, texts.get(r.text, r.doc_id))
+    rows = sorted((d, t) for t, d in texts.items())
+    want = {}
+    for i, (a, s) in enumerate(rows):
+        for b, t in rows[i + 1:]:
+            if (d := ef.edit_distance_within(s, t, int(0.05 * max(len(s), len(t))))) is not None:
+                want[a, b] = d
+    assert {(r.a, r.b): r.distance for r in op9_edit_pairs(spark, "/root/testdata/sf0.001").collect()} == want
+
+
 def test_odd_rows(odd_docs, odd_rows, empty_docs, clashing_docs):
     got = ef.compare_next(clashing_docs).collect()
     assert len(got) == len([r for r in odd_rows if r[0] is not None])
