@@ -65,6 +65,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op10_short_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.short_copies(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_license_scan": op2_license_scan,
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_edit_fingerprint": op9_edit_fingerprint,
     "op9_edit_pairs": op9_edit_pairs,
     "op10_decontamination": op10_decontamination,
+    "op10_short_items": op10_short_items,
 }
 
 ORACLE = {

@@ -29,7 +29,7 @@ from cinder.session import materialise
 
 MASKS = ((0, 1, 2, 4), (0, 3, 5, 6))
 WINDOW = 16
-LEAST_WORDS = 8             # shorter items are no evidence of a leak
+LEAST_WORDS = 8             # shorter items are left to short_copies
 SHARE = 0.8
 BLOCK_SEEDS = 500_000
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -70,8 +70,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words in a window; ``matched``: the most equal words on one alignment.  Null
     texts hold nothing; rows with a null doc_id cannot be named and are left
     out; rows that repeat a doc_id count as one document, which holds what any of
-    them holds; items of fewer than 8 words and items without an id are left out.
-    Empty tables give no rows.
+    them holds; items of fewer than 8 words (see ``short_copies``) and items without an
+    id are left out.  Empty tables give no rows.
     """
     items, seeds = item_seeds(benchmark)
     n_blocks = max(1, math.ceil(seeds.count() / BLOCK_SEEDS))
@@ -104,11 +104,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                  F.max("matched").cast("long").alias("matched")))
 
 
+def short_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, places, overlap, matched) for each document that holds all words, in
+    order, of an item of fewer than ``LEAST_WORDS`` words: what ``contaminated`` leaves out.
+
+    Documents' runs of each length that such items have join the items' words.  Without
+    such items the documents are not read.  Null ids and texts as in ``contaminated``.
+    """
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_words")).where(
+        F.col("item_id").isNotNull() & (F.size("item_words") > 0) & (F.size("item_words") < LEAST_WORDS))
+    items = materialise(items.select("item_id", F.size("item_words").alias("item_size"),
+                                     F.concat_ws(" ", "item_words").alias("run")).distinct(), "bench-short")
+    sizes = sorted(r["item_size"] for r in items.select("item_size").distinct().collect())      # at most 7 values
+    n_blocks = max(1, math.ceil(items.count() / BLOCK_SEEDS))
+    runs = " ".join(f"WHEN {n} THEN transform(sequence(0, size(words) - {n}), "
+                    f"i -> named_struct('run', concat_ws(' ', slice(words, i + 1, {n})), 'at', i))" for n in sizes)
+    none = "cast(array() AS array<struct<run: string, at: int>>)"
+    probes = docs.select("doc_id", tokens(F.col("text")).alias("words")).where("doc_id is not null")
+    if not sizes:
+        probes = probes.limit(0)
+    probes = probes.select("doc_id", "words", F.explode(F.array(*[F.lit(n) for n in sizes or [0]])).alias("size")).select(
+        "doc_id", F.explode(F.expr(f"CASE WHEN size(words) >= size THEN CASE size {runs} END ELSE {none} END" if sizes else none)).alias("r"))
+    found = None
+    for block in range(n_blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "run"), F.lit(n_blocks)) == block)
+        # Bounded: at most about BLOCK_SEEDS rows whatever the benchmark's size.
+        hits = probes.join(F.broadcast(part), F.col("r.run") == F.col("run")).select("doc_id", "item_id", F.col("r.at").alias("at"), "item_size")
+        found = hits if found is None else found.unionByName(hits)
+    return (found.groupBy("doc_id", "item_id", "at").agg(F.max("item_size").alias("item_size"))
+            .groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("places"), F.lit(1.0).alias("overlap"),
+                                              F.max("item_size").cast("long").alias("matched")))
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
+    """``docs`` without the documents that hold a benchmark item of at least ``LEAST_WORDS`` words."""
     return drop_ids(docs, materialise(contaminated(docs, benchmark).select("doc_id").distinct(), "bench-leaks"))
 
 
+def keep_without_short(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the documents that hold a whole benchmark item of fewer words."""
+    return drop_ids(docs, materialise(short_copies(docs, benchmark).select("doc_id").distinct(), "bench-short-leaks"))
+
+
 _WORDS_SQL = ("regexp_extract_all(lower(coalesce(text, '')), "
               "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 

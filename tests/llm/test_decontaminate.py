@@ -87,3 +87,36 @@ def test_rows_that_repeat_an_id_are_all_looked_at(spark):
     for texts in ([item, half], [half, item], [half, item, item, None]):
         docs = spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string")
         assert rows_of(dc.contaminated(docs, bench)) == {(5, 1): (1, 1.0, 10)}
+
+
+def test_exact_copies_of_short_items(spark, empty_docs, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, words(rng, n, "ab")) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 7, 8])]
+    items += [(20, "世界のすべて"), (21, "What is, the Capital?"), (None, "a"), (22, ""), (23, None), (24, "a")]
+    docs = [(d, words(rng, rng.randint(0, 40), "ab")) for d in range(40)] + [
+        (50, f"x {items[6][1].upper()}. y"), (51, "so: what is the capital of"), (52, "a 世界のすべて b"), (53, "世界のすべてx"),
+        (54, None), (55, "what is the"), (55, "other what is the capital"), (None, "a")]
+    docs.append((56, " ".join([items[7][1]] * 3)))
+    want = {}
+    for d, text in docs:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        for i, passage in items:
+            it = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (passage or "").lower())
+            at = {s for s in range(len(own) - len(it) + 1) if own[s:s + len(it)] == it}
+            if None not in (d, i) and 0 < len(it) < dc.LEAST_WORDS and at:
+                want.setdefault((d, i), (set(), len(it)))[0].update(at)
+    want = {k: (len(at), 1.0, n) for k, (at, n) in want.items()}
+    monkeypatch.setattr(dc, "BLOCK_SEEDS", 4)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert rows_of(dc.short_copies(frame, bench)) == want and {(50, 6), (51, 21), (52, 20), (55, 21)} <= set(want)
+    assert dc.short_copies(empty_docs, bench).count() == 0 and dc.short_copies(frame, bench.where("item_id = 8")).count() == 0
+
+
+def test_pipeline_stage_drops_copies_of_short_items(spark, tmp_path):
+    import corpus_pipeline
+    spark.createDataFrame([(1, "what is the capital of france"), (2, words(random.Random(9), 12))], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "Q: What is the capital of France?"), (2, "what is the capital of spain"), (None, "x"),
+                                  (3, "a " + words(random.Random(9), 12))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {2, None}
