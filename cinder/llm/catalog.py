@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from cinder.llm import (
     decontaminate,
+    divergence,
     edit_fingerprint,
+    fill_middle,
     html_text,
     langid,
     license_scan,
     mixing,
     pii,
+    quality_rules,
     sharding,
     simhash,
     toxicity,
@@ -69,6 +72,18 @@ def op10_short_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.short_copies(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(documents(spark, sf_dir))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_license_scan": op2_license_scan,
@@ -82,9 +97,15 @@ QUERIES = {
     "op9_edit_pairs": op9_edit_pairs,
     "op10_decontamination": op10_decontamination,
     "op10_short_items": op10_short_items,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_divergence": op12_divergence,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE = {
     "op8_sharding": sharding.oracle_sql(),
     "op10_decontamination": decontaminate.oracle_sql(),
+    "op11_fill_middle": fill_middle.oracle_sql(),
+    "op12_divergence": divergence.oracle_sql(),
+    "op13_quality_rules": quality_rules.oracle_sql(),
 }
