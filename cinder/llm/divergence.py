@@ -36,7 +36,7 @@ LEAST_DOCS = 10
 TOP = 10
 SHARE = 1_000_000_000
 SLICE_BYTES = 8 << 20        # of text sorted at a time
-BLOCK_CELLS = 1 << 20        # sources times terms compared at a time
+BLOCK_CELLS = 1 << 16        # sources times terms compared at a time; at least as many terms as sources
 _LEAF = 4096                 # pointers of a part that one plain sort finishes
 _LEAF_BYTES = 48             # if their terms are no longer than this
 
@@ -209,7 +209,8 @@ def _pair_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
     ``kept`` are counts of kept terms, ``groups`` (lang, source, terms, sources, p0) with
     the share of a term that does not occur."""
-    blocks = F.ceil(F.col("terms") * F.col("sources") / F.lit(BLOCK_CELLS)).cast("int")
+    blocks = F.ceil(F.col("terms") * F.col("sources") / F.greatest(
+        F.lit(BLOCK_CELLS).cast("long"), F.col("sources") * F.col("sources"))).cast("int")
     shape = groups.groupBy(F.col("lang").alias("s_lang")).agg(F.first(blocks).alias("blocks"))
     cells = kept.join(shape, F.col("lang") == F.col("s_lang")).select(
         "lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "p")

@@ -16,8 +16,9 @@ other windows by the same tables of the shorter orders.  Texts are lower-cased
 and whole.
 
 Bound: at most ``train_docs`` texts of each language (those with the smallest
-seeded draw) are counted; the counting runs in Spark and only the tree reaches
-the driver.
+seeded draw, as long as they hold at most ``TRAIN_BYTES`` together) are counted.  The
+counting runs in Spark; the tree is a written table, of which the driver gets one order
+at a time as columns of numbers.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from cinder.session import materialise
 
 ORDER = 4
 TRAIN_DOCS = 600            # of each language
+TRAIN_BYTES = 4 << 20       # of each language, longer texts left out
 HOLD_OUT = 5                # remainder 0 of the id's crc32 is never learnt from
 UNKNOWN = "und"
 SEED = 11
@@ -105,32 +107,40 @@ class HashTable:
 
 
 class PpmModel:
-    """Frozen context trees of all languages: code lengths in bits."""
+    """Frozen context trees of all languages: code lengths in bits.
 
-    def __init__(self, languages: list[str], counts: list[dict[int, tuple[np.ndarray, np.ndarray]]]) -> None:
+    Built from order 0 up by ``add_order``; an order's counts are freed before the next one comes.
+    """
+
+    def __init__(self, languages: list[str]) -> None:
         self.languages = languages
-        n = len(languages)
-        self.keys, self.cost, self.contexts, self.escape = [], [], [], []
-        for k in range(ORDER + 1):
-            grams = np.unique(np.concatenate([c[k][0] for c in counts])) if counts else np.zeros(0, np.int64)
-            seen = np.zeros((len(grams), n))
-            for j, c in enumerate(counts):
-                seen[np.searchsorted(grams, c[k][0]), j] = c[k][1]
-            ctx, of = np.unique(grams >> 8, return_inverse=True)
-            total, kinds = np.zeros((len(ctx), n)), np.zeros((len(ctx), n))
-            np.add.at(total, of, seen)
-            np.add.at(kinds, of, seen > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                direct = -np.log2(seen / (total + kinds)[of])
-            if k:
-                lower = self.cost[k - 1][self.keys[k - 1].find(grams & ((1 << (8 * k)) - 1))]
-            else:
-                lower = np.full((len(grams), n), 8.0)
-            self.cost.append(np.where(seen > 0, direct, escape[of] + lower).astype(np.float32))
-            self.keys.append(HashTable(grams))
-            self.contexts.append(HashTable(ctx))
-            self.escape.append(escape.astype(np.float32))
+        self.keys: list[HashTable] = []
+        self.cost: list[np.ndarray] = []
+        self.contexts: list[HashTable] = []
+        self.escape: list[np.ndarray] = []
+
+    def add_order(self, gram: np.ndarray, lang: np.ndarray, n: np.ndarray) -> None:
+        """The next order's rows: ``n`` times the packed window ``gram`` in language number ``lang``."""
+        k, many = len(self.keys), len(self.languages)
+        grams, row = np.unique(gram, return_inverse=True)
+        ctx, of = np.unique(grams >> 8, return_inverse=True)
+        n = n.astype(np.float32)
+        total, kinds = np.zeros((len(ctx), many), np.float32), np.zeros((len(ctx), many), np.float32)
+        np.add.at(total, (of[row], lang), n)
+        np.add.at(kinds, (of[row], lang), np.float32(1))
+        direct = np.log2((total + kinds)[of[row], lang]) - np.log2(n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), np.float32(0))
+        if k:
+            cost = self.cost[k - 1][self.keys[k - 1].find(grams & ((1 << (8 * k)) - 1))]
+        else:
+            cost = np.full((len(grams), many), 8.0, np.float32)
+        cost += escape[of]
+        cost[row, lang] = direct
+        self.keys.append(HashTable(grams))
+        self.cost.append(cost)
+        self.contexts.append(HashTable(ctx))
+        self.escape.append(escape)
 
     def costs(self, windows: np.ndarray) -> np.ndarray:
         """Bits of each window's last byte under each language."""
@@ -192,7 +202,7 @@ class PpmModel:
 
 
 def training_sample(docs: DataFrame, train_docs: int) -> DataFrame:
-    """(lang, text) of at most ``train_docs`` learnable texts of each language."""
+    """(lang, text) of at most ``train_docs`` learnable texts of each language and ``TRAIN_BYTES`` of them."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                        & (id_remainder(F.col("doc_id"), HOLD_OUT) != 0))
     # Written first (a row for each language), so that its real size is known and texts are
@@ -203,8 +213,11 @@ def training_sample(docs: DataFrame, train_docs: int) -> DataFrame:
     few = drawn.join(sizes, F.col("lang") == F.col("of_lang")).where(
         F.col("draw") / F.lit(float(1 << 52)) * F.col("n") < 2.0 * train_docs)
     by_draw = Window.partitionBy("lang").orderBy("draw", "text")
-    return (few.withColumn("nth", F.row_number().over(by_draw)).where(F.col("nth") <= train_docs)
-            .select("lang", "text"))
+    first = few.withColumn("nth", F.row_number().over(by_draw)).where(F.col("nth") <= train_docs)
+    # Texts up to the limit count towards it in the order of their draws.
+    upto = Window.partitionBy("lang").orderBy("nth")
+    return (first.withColumn("bytes", F.octet_length("text")).where(F.col("bytes") <= TRAIN_BYTES)
+            .withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= TRAIN_BYTES).select("lang", "text"))
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> PpmModel:
@@ -216,14 +229,17 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> PpmModel:
                     yield pd.DataFrame({"lang": lang, "k": k, "gram": keys, "n": n})
 
     parts = training_sample(docs, train_docs).mapInPandas(partial, "lang string, k int, gram long, n long")
-    tree = parts.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(tree["lang"].unique())
-    counts = []
-    for lang in languages:
-        own = tree[tree["lang"] == lang].sort_values("gram")
-        counts.append({k: (part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64))
-                       for k in range(ORDER + 1) for part in [own[own["k"] == k]]})
-    return PpmModel(languages, counts)
+    tree = materialise(parts.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")), "lang-tree")
+    languages = sorted(r["lang"] for r in tree.select("lang").distinct().collect())     # one row a language
+    model = PpmModel(languages)
+    if not languages:
+        return model
+    number = F.array_position(F.array(*[F.lit(name) for name in languages]), F.col("lang")) - 1
+    for k in range(ORDER + 1):
+        # Arrow columns of one order at a time: numbers only, no row objects on the driver.
+        rows = tree.where(F.col("k") == k).select("gram", number.cast("int").alias("lang"), "n").toArrow()
+        model.add_order(*(rows.column(c).to_numpy() for c in ("gram", "lang", "n")))
+    return model
 
 
 def with_language(docs: DataFrame, model: PpmModel, to: str = "__lang") -> DataFrame:

@@ -12,7 +12,8 @@ all its documents plus a subset of them that fills the remaining budget:
 * of each (source, length) the wanted number of documents is selected by a
   seeded draw: those with the smallest draws.  The cut draw is found from
   sqrt(n) buckets of about sqrt(n) rows each, so a (source, length) that holds a
-  third of all rows is neither sorted nor held by one task.
+  third of all rows is neither sorted nor held by one task; equal rows, which share
+  their draw, count as one row with a number.
 
 The choice is one row for each (source, length), joined back to the documents;
 the programme sees a source's distinct lengths only (at most as many as its
@@ -157,7 +158,7 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: i
             fit, "source string, size long, n long, source_size long, target double, whole long, take long"), "mix-plan")
 
     # The cut: bucket the draws of each (source, size), find the bucket that holds
-    # the wanted rank, and rank the rows of that one bucket.
+    # the wanted rank, and rank the different draws of that one bucket.
     some = plan.where("take > 0 and take < n").select(
         F.col("source").alias("c_source"), F.col("size").alias("c_size"), "take",
         F.ceil(F.sqrt("n")).alias("buckets"))
@@ -171,44 +172,69 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: i
             .where("upto >= take and upto - rows < take")
             .select(F.col("c_source").alias("e_source"), F.col("c_size").alias("e_size"),
                     F.col("bucket").alias("e_bucket"), (F.col("take") - F.col("upto") + F.col("rows")).alias("nth")))
-    in_edge = bucketed.join(edge, F.col("c_source").eqNullSafe(F.col("e_source"))
-                            & (F.col("c_size") == F.col("e_size")) & (F.col("bucket") == F.col("e_bucket")))
-    ranked = in_edge.withColumn("rank", F.row_number().over(
-        Window.partitionBy("c_source", "c_size", "bucket").orderBy("draw")))
-    cuts = ranked.where("rank = nth").select("c_source", "c_size", F.col("draw").alias("cut"))
+    # Equal rows share their draw: they collapse to one row with their number before the window.
+    in_edge = (bucketed.join(edge, F.col("c_source").eqNullSafe(F.col("e_source"))
+                             & (F.col("c_size") == F.col("e_size")) & (F.col("bucket") == F.col("e_bucket")))
+               .groupBy("c_source", "c_size", "nth", "draw").agg(F.count("*").alias("copies")))
+    upto = F.sum("copies").over(Window.partitionBy("c_source", "c_size").orderBy("draw"))
+    cuts = (in_edge.withColumn("upto", upto).where("upto >= nth and upto - copies < nth")
+            .select("c_source", "c_size", F.col("draw").alias("cut"), (F.col("nth") - F.col("upto") + F.col("copies")).alias("at_cut"),
+                    F.col("copies")))
     top = float(1 << 53)
     return materialise(
         plan.join(cuts, same, "left").select(
             F.col("source").alias("p_source"), F.col("size").alias("p_size"), "source_size", "target", "whole",
-            F.when(F.col("take") == F.col("n"), F.lit(int(top))).otherwise(F.col("cut")).alias("cut")), "mix-choice")
+            F.when(F.col("take") == F.col("n"), F.lit(int(top))).otherwise(F.col("cut")).alias("cut"),
+            F.when(F.col("at_cut") < F.col("copies"), F.col("at_cut")).alias("at_cut")), "mix-choice")
 
 
-def _with_plan(sized: DataFrame, plan: DataFrame, source: str, size: str, draw: str) -> DataFrame:
-    return sized.join(plan, F.col(source).eqNullSafe(F.col("p_source")) & (F.col(size) == F.col("p_size"))).withColumn(
-        "__times", F.col("whole") + F.when(F.col(draw) <= F.col("cut"), 1).otherwise(0))
+def _chosen(rows: DataFrame, plan: DataFrame, source: str, size: str, draw: str) -> DataFrame:
+    """``rows`` with the plan's columns as ``__p_...`` and ``__times``.
+
+    Where only ``at_cut`` of several rows with the draw of the cut are taken, these rows
+    are written and numbered: by counts of each file part, then inside the parts, so that
+    any number of equal rows spreads over tasks.
+    """
+    p = plan.select(*[F.col(c).alias(f"__p_{c.removeprefix('p_')}") for c in plan.columns])
+    placed = rows.join(p, F.col(source).eqNullSafe(F.col("__p_source")) & (F.col(size) == F.col("__p_size")))
+    once = F.coalesce(F.col(draw) <= F.col("__p_cut"), F.lit(False))
+    plain = placed.withColumn("__times", F.col("__p_whole") + once.cast("long"))
+    if plan.where("at_cut is not null").isEmpty():
+        return plain
+    tied = F.coalesce((F.col(draw) == F.col("__p_cut")) & F.col("__p_at_cut").isNotNull(), F.lit(False))
+    ties = materialise(placed.where(tied).withColumn("__row", F.monotonically_increasing_id()), "mix-ties").withColumn(
+        "__part", F.shiftright("__row", 33))
+    key = ["__p_source", "__p_size"]
+    parts = ties.groupBy(*key, "__part").agg(F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("__p_source").alias("__q_source"), F.col("__p_size").alias("__q_size"),
+                         F.col("__part").alias("__q_part"), before.alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(*key, "__part").orderBy("__row")) + F.col("__before")
+    numbered = (ties.join(parts, F.col("__p_source").eqNullSafe(F.col("__q_source")) & (F.col("__p_size") == F.col("__q_size"))
+                          & (F.col("__part") == F.col("__q_part")))
+                .withColumn("__times", F.col("__p_whole") + (nth <= F.col("__p_at_cut")).cast("long")))
+    return plain.where(~tied).unionByName(numbered.select(*plain.columns))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of ``docs``.
 
     Null texts have size 0; a null source is a source of its own, the last; a
-    null doc_id is drawn like any other; rows equal in id and text share their
-    draw, so they are taken or left together; an empty table gives no rows.
+    null doc_id is drawn like any other; of rows equal in id and text, which share their
+    draw, as many are taken as the budget wants; an empty table gives no rows.
     """
     sized = materialise(_sized(docs.select("doc_id", "source", "text"), seed).select(
         "doc_id", "source", F.col("__size").alias("size"), F.col("__draw").alias("draw")), "mix-sizes")
-    return _with_plan(sized, plan_mix(sized, weights, max_repeat), "source", "size", "draw").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("__times")).alias("taken"))
+    return _chosen(sized, plan_mix(sized, weights, max_repeat), "source", "size", "draw").select(
+        "doc_id", "size", F.col("__p_source_size").alias("source_size"), F.col("__p_target").alias("target"),
+        (F.col("size") * F.col("__times")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them: rows repeated, or left out where nothing is taken."""
     sized = materialise(_sized(docs.select("doc_id", "source", "text"), seed).select(
         "source", F.col("__size").alias("size"), F.col("__draw").alias("draw")), "mix-sizes")
-    plan = plan_mix(sized, weights, max_repeat).select(
-        F.col("p_source").alias("__p_source"), F.col("p_size").alias("__p_size"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    taken = _sized(docs, seed).join(
-        plan, F.col("source").eqNullSafe(F.col("__p_source")) & (F.col("__size") == F.col("__p_size")))
-    times = (F.col("__whole") + F.when(F.col("__draw") <= F.col("__cut"), 1).otherwise(0)).cast("int")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(
+    taken = _chosen(_sized(docs, seed), plan_mix(sized, weights, max_repeat), "source", "__size", "__draw")
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(
         *[F.col(f"`{c}`") for c in docs.columns])

@@ -67,8 +67,9 @@ def sharded(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     ``shard_id, shard_depth, shard_page, shard_bytes``.
 
     ``shard_id``: ``s`` and the prefix bits, then ``.page`` for overflow pages
-    after the first.  ``shard_bytes``: of the bucket.  A row above the limit has
-    a page to itself.  Null texts have 0 bytes; null ids share one key; repeated
+    after the first.  ``shard_bytes``: of the bucket.  A row above half the limit
+    has a page to itself where a key needs pages, the others fill theirs by half on
+    average or more.  Null texts have 0 bytes; null ids share one key; repeated
     rows share a key and spread over pages if needed; columns of these names
     that ``rows`` has are replaced; an empty table gives no rows.
     """
@@ -90,19 +91,24 @@ def sharded(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         paged = placed.withColumn("shard_page", F.lit(0).cast("long"))
     else:
         over = materialise(placed.where(too_large).withColumn("__row", F.monotonically_increasing_id()), "shard-overflow")
-        part = F.shiftright("__row", 33)
-        sums = over.groupBy(F.col("__hash").alias("__h"), part.alias("__p")).agg(F.sum("__bytes").alias("__sum"), F.max("__bytes").alias("__top"))
-        before = Window.partitionBy("__h").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("__h", "__p", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"),
-                           F.max("__top").over(Window.partitionBy("__h")).alias("__most"))
+        # A row above half the limit has a page to itself; the others fill pages by running bytes,
+        # each page holding those that begin in it, so that it stays below the limit.
+        part, large = F.shiftright("__row", 33), F.col("__bytes") * 2 > limit
+        over = over.withColumns({"__part": part, "__large": large.cast("long"), "__small": F.when(large, 0).otherwise(F.col("__bytes"))})
+        sums = over.groupBy(F.col("__hash").alias("__h"), F.col("__part").alias("__p")).agg(
+            F.sum("__small").alias("__sum"), F.max("__small").alias("__top"), F.sum("__large").alias("__count"))
+        key, before = Window.partitionBy("__h"), Window.partitionBy("__h").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+        sums = sums.select("__h", "__p", zero(F.sum("__sum").over(before)).alias("__before"), zero(F.sum("__count").over(before)).alias("__counted"),
+                           F.max("__top").over(key).alias("__most"), F.sum("__sum").over(key).alias("__all"))
         own = Window.partitionBy("__hash", "__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
-        pages = (over.withColumn("__part", part)
-                 .withColumn("__own", F.coalesce(F.sum("__bytes").over(own), F.lit(0)))
+        room = F.lit(limit) - F.col("__most")
+        pages = (over.withColumns({"__own": zero(F.sum("__small").over(own)), "__nth": zero(F.sum("__large").over(own))})
                  .join(sums, (F.col("__hash") == F.col("__h")) & (F.col("__part") == F.col("__p")))
-                 .withColumn("shard_page", F.floor((F.col("__before") + F.col("__own"))
-                                                   / F.greatest(F.lit(limit) - F.col("__most"), F.lit(1)))))
+                 .withColumn("shard_page", F.when(F.col("__large") == 1, F.ceil(F.col("__all") / room) + F.col("__counted") + F.col("__nth"))
+                             .otherwise(F.floor((F.col("__before") + F.col("__own")) / room))))
         paged = placed.where(~too_large).withColumn("shard_page", F.lit(0).cast("long")).unionByName(
-            pages.drop("__row", "__part", "__own", "__h", "__p", "__before", "__most"))
+            pages.select(*placed.columns, "shard_page"))
     bits = F.when(F.col("__shard.depth") == 0, F.lit("")).otherwise(
         F.expr("lpad(bin(__shard.prefix), __shard.depth, '0')"))
     return paged.select(

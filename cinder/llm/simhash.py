@@ -118,7 +118,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: in
     """``docs`` with one row left of each component: the one with the smallest doc_id.
 
     Rows with a null doc_id belong to no group and stay; of rows that repeat a
-    doc_id one stays.
+    doc_id one stays: the one with the smallest text, then the smallest other columns.
     """
     groups = simhash_components(docs, shingle, max_bits).where("doc_id is not null")
     gone = materialise(
@@ -129,4 +129,8 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: in
     if again.isEmpty():
         return left
     once = left.join(again.select(F.col("doc_id").alias("__again")), F.col("doc_id") == F.col("__again"), "left_semi")
-    return drop_ids(left, again).unionByName(once.dropDuplicates(["doc_id"]))
+    # Ordered by content, so that reruns keep the same row; equal rows are the same whichever stays.
+    rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    one = once.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]),
+                                              F.struct(F.coalesce("text", F.lit("")), F.col("text").isNotNull(), *rest)).alias("__one"))
+    return drop_ids(left, again).unionByName(one.select("__one.*"))

@@ -27,6 +27,16 @@ def brute_code_length(trees, text):
     return bits
 
 
+def model_of(train):
+    """The frozen model of {language: texts}."""
+    model = langid.PpmModel(sorted(train))
+    counts = [langid.count_contexts(train[name]) for name in sorted(train)]
+    for k in range(langid.ORDER + 1):
+        rows = [(g, i, n) for i, c in enumerate(counts) for g, n in zip(*c[k], strict=True)]
+        model.add_order(*map(np.array, zip(*rows, strict=True)))
+    return model
+
+
 def brute_trees(texts):
     trees = {}
     for t in texts:
@@ -39,14 +49,14 @@ def brute_trees(texts):
 
 def test_code_lengths_equal_a_walk_of_the_tree():
     train = {"de": ["der die das und", "über die straße", "aaab"], "en": ["the cat and the dog", "then", "zz top"]}
-    model = langid.PpmModel(sorted(train), [langid.count_contexts(train[k]) for k in sorted(train)])
+    model = model_of(train)
     texts = ["die katze", "the the the", "über zz", "q", "日本", "a" * 50]
     want = [[brute_code_length(brute_trees(train[k]), t) for k in sorted(train)] for t in texts]
     assert np.allclose(model.code_lengths(texts), want, rtol=1e-4)
 
 
 def test_long_texts_are_scored_whole():
-    model = langid.PpmModel(["x", "y"], [langid.count_contexts(["ab" * 50]), langid.count_contexts(["ba ab " * 20])])
+    model = model_of({"x": ["ab" * 50], "y": ["ba ab " * 20]})
     text = "ab ba " * 400_000                       # over two blocks
     short = "ab ba " * 100
     per = (model.code_lengths([short * 2]) - model.code_lengths([short])) / 100
@@ -67,6 +77,17 @@ def test_held_out_accuracy(spark, named):
     assert all(0 <= r.score <= 1 for r in named.values())
 
 
+def test_training_texts_are_bounded_in_number_and_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ab " * (i % 40), "x") for i in range(1, 400)] + [(1000, "z " * 9000, "y")],
+                                 "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 1000)
+    rows = langid.training_sample(docs, 50).collect()
+    held = sum(len(r.text) for r in rows if r.lang == "x")
+    assert 800 < held <= 1000 and all(r.lang == "x" for r in rows)
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 1 << 20)
+    assert sum(r.lang == "x" for r in langid.training_sample(docs, 50).collect()) == 50
+
+
 def test_odd_rows(odd_docs, odd_rows, empty_docs, clashing_docs):
     got = langid.identify(odd_docs).collect()
     assert len(got) == len(odd_rows)

@@ -76,6 +76,30 @@ def test_a_source_far_below_its_share(spark):
     assert abs(taken["b"] - want["b"]) <= 1 and abs(taken[None] - want[None]) <= 25
 
 
+def test_repeated_rows_are_counted_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    same = (7, "w " * 40, "b")
+    rows = [same] * 400 + [(1000 + i, "w " * int(rng.integers(1, 60)), "b") for i in range(500)]
+    rows += [(None, "x y z", "b")] * 200 + [(5000 + i, "w " * 30, "a") for i in range(300)] + [(9000, "v " * 25, "c")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    own, taken = defaultdict(int), defaultdict(int)
+    source = {r[0]: r[2] for r in rows}
+    for r in got:
+        own[source[r.doc_id]] += r.size
+        taken[source[r.doc_id]] += r.taken
+    want = brute_targets(own)
+    assert all(abs(taken[s] - want[s]) <= max(len(r[1].split()) for r in rows if r[2] == s) for s in want), (taken, want)
+    once = [r.taken // r.size for r in got if r.doc_id == 7]
+    assert max(once) - min(once) <= 1
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
+    times = defaultdict(int)
+    for r in mixing.mixed(docs).collect():
+        times[r.doc_id] += 1
+    assert all(times[d] == sum(r.taken // r.size for r in got if r.doc_id == d) for d in source)
+
+
 def test_odd_rows(odd_docs, odd_rows, empty_docs, clashing_docs):
     got = mixing.mix(odd_docs).collect()
     assert len(got) == len(odd_rows)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 from cinder.llm import sharding
@@ -58,3 +59,22 @@ def test_odd_rows(odd_docs, odd_rows, empty_docs, clashing_docs):
     out = sharding.sharded(clashing_docs, 1000)
     assert out.columns[:len(clashing_docs.columns)] == clashing_docs.columns and out.count() == len(odd_rows)
     assert sharding.shard_list(empty_docs).count() == 0
+
+
+def test_an_oversize_row_does_not_split_the_rest(spark):
+    rows = [(None, "x" * 10) for _ in range(50)] + [(None, "y" * 3000)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 1000).collect()
+    assert len({r.shard_id for r in got}) == 2 and len(got) == 51
+
+
+def test_pages_are_half_full_on_average(spark):
+    rng = random.Random(9)
+    rows = [(1, "x" * rng.choice([0, 5, 80, 400, 499, 900])) for _ in range(600)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 1000).collect()
+    load, large = {}, {r.shard_id for r in got if len(r.text) > 500}
+    for r in got:
+        load[r.shard_id] = load.get(r.shard_id, 0) + len(r.text)
+    assert max(load.values()) <= 1000 and len(got) == 600
+    assert len(large) == sum(len(r.text) > 500 for r in got)
+    small = [v for k, v in load.items() if k not in large]
+    assert len(small) <= sum(small) / 501 + 1
