@@ -17,7 +17,10 @@ inside ``iframe``, ``audio``, ``video``, ``canvas``, ``noembed``, ``noframes`` a
 (``alt``, ``value``, ``placeholder``, ``title``), style sheets unread.  ``details``
 and ``dialog`` count as open.
 
-No recursion, so depth is no limit; pages are rendered one by one inside Arrow
+A ``reversed`` list counts down where it has a ``start``.
+
+No recursion, so depth is no limit, and a tag finds its element by name in a step, so
+the time grows with the page and its output; pages are rendered one by one inside Arrow
 batches.
 """
 
@@ -25,6 +28,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,12 +54,16 @@ IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option":
                "thead": ("tr", "td", "th", "caption", "thead", "tbody", "tfoot"),
                "tbody": ("tr", "td", "th", "caption", "thead", "tbody", "tfoot"),
                "tfoot": ("tr", "td", "th", "caption", "thead", "tbody", "tfoot")}
+# End tags of a table's parts look as far as their table, all others as far as the cell or table around them.
+TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
+CELLS = ("td", "th", "caption", "table")
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist")}
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
 _CSS_OPAQUE = re.compile(r"/\*.*?(?:\*/|$)|\"(?:[^\"\\]|\\.)*\"?|'(?:[^'\\]|\\.)*'?|\([^()]*\)?", re.S)
 _SPAN = re.compile(r"\s*(\d{1,3})")
+_NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
 _SELECT_END = re.compile(r"<(/?)(?:select|input|textarea|keygen)(?=[\s/>])", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -84,20 +93,24 @@ def _style(value: str) -> dict[str, str]:
     return out
 
 
+_Cell = tuple[list[str], int, int]           # lines, columns and rows that it spans
+
+
 class _Box:
     """A block being filled: finished lines, the open line, and what lists and tables need."""
 
-    __slots__ = ("cells", "chosen", "gap", "inline", "item", "lines", "options", "pre", "rows", "span", "tag", "whole")
+    __slots__ = ("cells", "chosen", "gap", "inline", "item", "lines", "options", "pre", "rows", "span", "step", "tag", "whole")
 
     def __init__(self, tag: str, pre: bool) -> None:
         self.tag, self.pre = tag, pre
         self.lines: list[str] = []
         self.inline: list[str] = []
         self.gap = False                     # a blank line is due before the next line
-        self.item = 0
-        self.rows: list[list[tuple[list[str], int]]] = []
-        self.cells: list[tuple[list[str], int]] = []
-        self.span = 1
+        self.item = 0                        # of a list: the last item's number; of an item: its own, if given
+        self.step = 1
+        self.rows: list[list[_Cell]] = []
+        self.cells: list[_Cell] = []
+        self.span = (1, 1)
         self.options: list[tuple[str, bool, bool]] = []      # of a select: text, chosen, may be chosen unasked
         self.chosen = self.whole = False                     # a list box, or a chosen option; a select with an end tag
 
@@ -118,24 +131,43 @@ class _Box:
         self.gap = spaced
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+def _grid(rows: list[list[_Cell]]) -> list[list[tuple[int, list[str], int]]]:
+    """Each row's cells as (column, lines, columns): a cell that spans rows keeps later cells out of its columns."""
+    out = []
+    taken: dict[int, int] = {}               # rows that a column is still covered for
+    for row in rows:
+        placed, col, below = [], 0, {}
+        for lines, span, deep in row:
+            while any(taken.get(c, 0) > 0 for c in range(col, col + span)):
+                col += 1
+            placed.append((col, lines, span))
+            if deep > 1:
+                below.update(dict.fromkeys(range(col, col + span), deep - 1))
+            col += span
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | below
+        out.append(placed)
+    return out
+
+
+def _table(rows: list[list[_Cell]]) -> list[str]:
     """Cells in aligned columns, two spaces apart; a spanning cell does not widen its columns."""
+    grid = _grid(rows)
     width: list[int] = []
-    for row in rows:
-        col = 0
-        for lines, span in row:
+    for row in grid:
+        for col, lines, span in row:
             width += [0] * (col + span - len(width))
             if span == 1:
                 width[col] = max([width[col], *map(len, lines)])
-            col += span
+    start = [0]
+    for w in width:
+        start.append(start[-1] + w + 2)
     out = []
-    for row in rows:
-        for i in range(max([len(lines) for lines, _ in row], default=0)):
-            line, col = "", 0
-            for lines, span in row:
-                room = sum(width[col:col + span]) + 2 * (span - 1)
-                line += (lines[i] if i < len(lines) else "").ljust(room) + "  "
-                col += span
+    for row in grid:
+        for i in range(max([len(lines) for _, lines, _ in row], default=0)):
+            line = ""
+            for col, lines, _ in row:
+                line = line.ljust(start[col]) if len(line) <= start[col] else line + "  "
+                line += lines[i] if i < len(lines) else ""
             out.append(line.rstrip())
     return out
 
@@ -146,6 +178,7 @@ def render(page: str | None) -> str:
     root = _Box("root", False)
     boxes = [root]
     opened: list[tuple[str, bool, int, bool]] = []     # tag, has a box, hides (-1: shows again), unseen around it
+    places: dict[str, list[int]] = {}                  # where elements of a name stand in ``opened``
     hidden = 0
     drawings: list[bool] = []                          # open svg elements: inside a part that shows text?
     foreign = 0                                        # open svg and math elements
@@ -153,9 +186,18 @@ def render(page: str | None) -> str:
     next_end: re.Match[str] | None = None              # where the last select seen ends
     unseen = False                                     # by visibility, which an inner element may set again
 
+    def enter(name: str, boxed: bool, hides: int) -> None:
+        places.setdefault(name, []).append(len(opened))
+        opened.append((name, boxed, hides, unseen))
+
+    def nearest(names: Iterable[str]) -> int:
+        """The place of the innermost open element of ``names``; -1 for none."""
+        return max([places[n][-1] for n in names if places.get(n)], default=-1)
+
     def close() -> None:
         nonlocal hidden, unseen, foreign
         tag, boxed, hides, unseen = opened.pop()
+        places[tag].pop()
         if hides < 0 and not hidden:
             boxes[-1].inline.append(" ")
         hidden -= hides
@@ -176,9 +218,9 @@ def render(page: str | None) -> str:
     def place(box: _Box, into: _Box) -> None:
         tag, lines = box.tag, box.lines
         if tag in ("td", "th"):
-            into.cells.append((lines, box.span))
+            into.cells.append((lines, *box.span))
         elif tag == "tr":
-            box.cells += [(lines, 1)] if lines else []
+            box.cells += [(lines, 1, 1)] if lines else []
             into.rows.append(box.cells)
         elif tag in ("thead", "tbody", "tfoot"):
             into.rows += box.rows
@@ -203,7 +245,7 @@ def render(page: str | None) -> str:
                 box.add(_table([*box.rows, box.cells] if box.cells else box.rows), False)
             into.flush()
             if tag == "li":
-                into.item += 1
+                into.item = box.item if box.step == 0 else into.item + into.step
                 mark = f"{into.item}. " if into.tag == "ol" else "- "
                 into.add([(mark if i == 0 else " " * len(mark)) + s if s else "" for i, s in enumerate(lines)], False)
             elif tag in ("ul", "ol", "menu") and any(b.tag == "li" for b in boxes[-1:]):
@@ -215,12 +257,9 @@ def render(page: str | None) -> str:
 
     def close_to(tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
         """Close the outermost open element of ``tags`` above the nearest of ``scope``, with all in it."""
-        to = -1
-        for i in range(len(opened) - 1, -1, -1):
-            if opened[i][0] in scope:
-                break
-            if opened[i][0] in tags:
-                to = i
+        floor = nearest(scope)
+        above = [places[t][i] for t in tags if places.get(t) and (i := bisect(places[t], floor)) < len(places[t])]
+        to = min(above, default=-1)
         while to >= 0 and len(opened) > to:
             close()
 
@@ -256,10 +295,10 @@ def render(page: str | None) -> str:
                 if opened and opened[-1][0] == "head":
                     close()
                 boxes[-1].inline.append("" if hidden else "\n" if boxes[-1].pre else "\0")
-            elif any(o[0] == name for o in opened):
-                while opened[-1][0] != name:
+            elif places.get(name) and places[name][-1] >= nearest(("table",) if name in TABLE_PARTS else CELLS):
+                to = places[name][-1]                  # an end tag does not reach out of the cell or table around it
+                while len(opened) > to:
                     close()
-                close()
             continue
         rest = token[3] or ""
         if foreign and name in BREAKS_OUT:
@@ -280,7 +319,7 @@ def render(page: str | None) -> str:
         elif opened and opened[-1][0] == "head" and name not in IN_HEAD:
             close()                                    # so does any other element
         if name in ("td", "th") and (not opened or opened[-1][0] != "tr"):
-            opened.append(("tr", True, False, unseen))         # implied row
+            enter("tr", True, 0)                       # implied row
             boxes.append(_Box("tr", False))
         if name in VOID:
             if not hidden:
@@ -320,10 +359,16 @@ def render(page: str | None) -> str:
                 selects.append(box)
             elif name == "option":
                 box.chosen, box.whole = "selected" in attributes, "disabled" not in attributes
-            if name in ("td", "th") and (span := _SPAN.match(attributes.get("colspan", ""))):
-                box.span = max(1, int(span[1]))
+            if name in ("td", "th"):
+                box.span = tuple(max(1, int(m[1]) if (m := _SPAN.match(attributes.get(a, ""))) else 1) for a in ("colspan", "rowspan"))
+            elif name == "ol":
+                box.step = -1 if "reversed" in attributes and "start" in attributes else 1
+                first = _NUMBER.match(attributes.get("start", ""))
+                box.item = (int(first[1]) if first else 1) - box.step
+            elif name == "li" and (value := _NUMBER.match(attributes.get("value", ""))):
+                box.item, box.step = int(value[1]), 0
             boxes.append(box)
-        opened.append((name, boxed, hides, unseen))
+        enter(name, boxed, hides)
         hidden += hides
         if "visibility" in style and style["visibility"] in ("hidden", "collapse", "visible"):
             unseen = style["visibility"] != "visible"

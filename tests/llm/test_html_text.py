@@ -113,3 +113,30 @@ def test_odd_rows(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_lines) for r in got) == [(0, "", 0), (1, "", 0), (2, "a", 1), (2, "a", 1)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_end_tags_stay_in_their_cell():
+    page = "<table><tr><td>a</div></td><td>b</td></tr></table>"
+    assert render("<div>" + page + "c</div>").split("\n") == ["a  b", "", "c"]
+    assert render("<table><tr><td><b>x</p></span></td><td>y</td></tr></table>") == "x  y"
+    assert render("<table><tr><td>in<table><tr><td>i</td></tr></table></td><td>o</td></tr></table>").split("\n") == ["in  o", "", "i"]
+
+
+def test_cells_that_span_rows():
+    page = "<table><tr><td rowspan=2>aa</td><td>b</td><td>c</td></tr><tr><td>d</td><td>e</td></tr><tr><td>f</td><td>g</td></tr></table>"
+    assert render(page).split("\n") == ["aa  b  c", "    d  e", "f   g"]
+    page = "<table><tr><td>a</td><td rowspan=3>b</td></tr><tr><td colspan=2>wide one</td></tr><tr><td>x</td><td>y</td></tr></table>"
+    assert render(page).split("\n")[2] == "x     y"
+
+
+def test_list_numbers():
+    assert render("<ol start=5><li>a<li value=9>b<li>c</ol>").split("\n") == ["5. a", "9. b", "10. c"]
+    assert render("<ol start=3 reversed><li>a<li>b</ol><ol><li>c</ol>").split("\n") == ["3. a", "2. b", "", "1. c"]
+
+
+def test_time_grows_with_the_page():
+    import time
+    for page in ("<div>x</span>" * 8000, "<span><table><tr><td>" + "<div>x</span>" * 8000, "<div><p>y" * 8000, "<table><tr><td>" * 1500):
+        began = time.process_time()
+        text = render(page)
+        assert time.process_time() - began < 1.5 and text.count("x") + text.count("y") == page.count("x") + page.count("y")
