@@ -17,7 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
-from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -30,10 +30,13 @@ from cinder.schema import CATEGORICAL, FEATURES
 B1_CATEGORIES = [str(i) for i in range(0, 100)]
 FIT_THREADS = 4
 MAX_BINS = 128          # >= categories + 1 (unseen bucket) so b1 stays categorical
-MAX_ROUNDS = 3000       # of boosting; a fit ends when validation rows (``VALIDATION``) gain less than 1% by a round
+MAX_ROUNDS = 3000       # of boosting; a fit ends at the first round that does not lower the error of the
+VALIDATION_TOL = 0.0    # validation rows (``VALIDATION``) by more than this share
 VALIDATION = "is_val"
 PERMUTATION_REPEATS = 5
-DEPENDENCE_POINTS = 30
+DEPENDENCE_POINTS = (30, 50)
+DEPENDENCE_FEATURES = 9
+BAGS = 10
 
 
 def category_indexer(col: str = "b1") -> StringIndexerModel:
@@ -43,7 +46,7 @@ def category_indexer(col: str = "b1") -> StringIndexerModel:
 
 
 def with_category_string(df: DataFrame, col: str = "b1") -> DataFrame:
-    return df.withColumn(f"{col}_str", F.rint(F.col(col)).cast("int").cast("string"))
+    return df.withColumn(f"{col}_str", F.rint(F.col(col)).try_cast("int").cast("string"))
 
 
 def feature_stages(features=FEATURES) -> list:
@@ -79,7 +82,7 @@ def gbt_classifier(label_col: str, weight_col: str | None = None, max_depth: int
     """L3 defaults: depth 4, min child 100, subsample 0.5; early stop on ``validation_col``."""
     g = GBTClassifier(labelCol=label_col, featuresCol="features", maxDepth=max_depth,
                       minInstancesPerNode=min_instances, subsamplingRate=subsample, maxIter=max_iter,
-                      stepSize=step, seed=seed, maxBins=MAX_BINS, validationIndicatorCol=validation_col)
+                      stepSize=step, seed=seed, maxBins=MAX_BINS, validationIndicatorCol=validation_col, validationTol=VALIDATION_TOL)
     return g.setWeightCol(weight_col) if weight_col else g
 
 
@@ -125,33 +128,24 @@ class RecallAtThreshold(Evaluator):
         return True
 
 
-def tree_prefix_margins(model, df: DataFrame, features_col: str = "features") -> DataFrame:
-    """K9: raw margins of every prefix of the boosted ensemble (each tree is a
-    transformer; prefix sums add one column per tree)."""
-    trees, weights = model.trees, model.treeWeights
-    d = df
-    acc = F.lit(0.0)
-    for i, (t, w) in enumerate(zip(trees, weights)):
-        t = t.copy().setFeaturesCol(features_col).setPredictionCol(f"_t{i}")
-        d = t.transform(d)
-        acc = acc + F.lit(w) * F.col(f"_t{i}")
-        d = d.withColumn(f"m{i + 1}", acc)
-    return d.drop(*[f"_t{i}" for i in range(len(trees))])
-
-
 def logistic_pipeline(label_col: str, features, reg: float = 0.01, weight_col: str | None = None) -> Pipeline:
-    """Standardised L2 logistic regression."""
+    """Standardised L2 logistic regression; a categorical feature as an indicator for each code."""
     lr = LogisticRegression(labelCol=label_col, featuresCol="scaled", regParam=reg, elasticNetParam=0.0)
     if weight_col:
         lr = lr.setWeightCol(weight_col)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="skip"),
+    cats = [f for f in features if f in CATEGORICAL]
+    coded = [category_indexer(c) for c in cats]
+    if cats:
+        coded.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in cats], outputCols=[f"{c}_hot" for c in cats], handleInvalid="keep"))
+    inputs = [f for f in features if f not in cats] + [f"{c}_hot" for c in cats]
+    return Pipeline(stages=[*coded, VectorAssembler(inputCols=inputs, outputCol="raw", handleInvalid="skip"),
                             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), lr])
 
 
 def gbt_regressor(label_col: str, weight_col: str | None = None, max_depth: int = 4,
                   max_iter: int = MAX_ROUNDS, validation_col: str = VALIDATION) -> GBTRegressor:
     g = GBTRegressor(labelCol=label_col, featuresCol="features", maxDepth=max_depth, maxIter=max_iter, seed=42,
-                     maxBins=MAX_BINS, validationIndicatorCol=validation_col)
+                     maxBins=MAX_BINS, validationIndicatorCol=validation_col, validationTol=VALIDATION_TOL)
     return g.setWeightCol(weight_col) if weight_col else g
 
 

@@ -17,20 +17,24 @@ from cinder.functions.cleaning import clean_training
 from cinder.functions.hashing import hash32
 from cinder.functions.labels import confusion_label
 from cinder.operators.coarse import annual_composite, coarse_grid
+from cinder.operators import logistic, trees
+from cinder.operators.geometry import coord_to_cell
 from cinder.operators.masks import prob_rescale
-from cinder.operators.metrics import (area_match_threshold, curve_summary, metrics_at_thresholds, quantile_at,
-                                      regression_metrics)
-from cinder.operators.models import (DEPENDENCE_POINTS, PERMUTATION_REPEATS, RecallAtThreshold, auc_pr_evaluator, category_indexer,
-                                     class_weight_col, feature_stages, fit_many, fit_pipeline, gbt_classifier,
-                                     gbt_regressor, logistic_pipeline, prepare, score, tree_prefix_margins,
-                                     with_category_string, with_validation)
+from cinder.operators.metrics import (area_match_threshold, confusion_metrics, curve_summary, metrics_at_thresholds, pr_curve, quantile_at,
+                                      regression_metrics, threshold_choice)
+from cinder.operators.models import (BAGS, DEPENDENCE_FEATURES, DEPENDENCE_POINTS, PERMUTATION_REPEATS, RecallAtThreshold,
+                                     auc_pr_evaluator, category_indexer, class_weight_col, feature_stages, fit_many, fit_pipeline,
+                                     gbt_classifier, gbt_regressor, logistic_pipeline, prepare, score, with_category_string,
+                                     with_validation)
 from cinder.operators.ranking import bucketed_rank, exact_quantiles
-from cinder.operators.sampling import balanced_sample, class_guard, kfold_assign, loyo_folds, role_in_fold
+from cinder.operators.sampling import class_guard, kfold_assign, loyo_folds, role_in_fold
 from cinder.plans.common import obs
 from cinder.plans.registry import query
-from cinder.schema import FEATURES
+from cinder.plans.sqlgen import rnd, round_doubles
+from cinder.schema import FEATURES, PIXEL_BURN_THRESHOLD
 from cinder.session import checkpoint_dir, cut_lineage, scratch_path
-from cinder.sources.tables import with_obs
+from cinder.sources.files import input_stamp
+from cinder.sources.tables import read_table, with_obs
 
 KEY = ["grid_row", "grid_col", "year", "month"]
 LABEL = "burned_pixel"
@@ -39,10 +43,16 @@ NUMERIC = [f for f in FEATURES if f != "b1"]
 _CACHE: dict = {}
 
 
+def _kept_by(spark, name: str, sf: str) -> tuple:
+    """What a table or model is kept under: its name, the session's folder, and the files it is derived from."""
+    stamps = tuple(input_stamp(spark, f"{sf.rstrip('/')}/{t}.parquet") for t in ("lineitem", "part"))
+    return name, sf, checkpoint_dir(spark), stamps
+
+
 def _materialised(spark, name: str, sf: str, build):
-    """Build once per input folder and cut lineage with a reliable checkpoint in
+    """Build once per state of the input files and cut lineage with a reliable checkpoint in
     the shared checkpoint folder (every fit re-reads it many times)."""
-    k = (name, sf, checkpoint_dir(spark))
+    k = _kept_by(spark, name, sf)
     if k not in _CACHE:
         _CACHE[k] = cut_lineage(build())
     return _CACHE[k]
@@ -96,7 +106,7 @@ def q_stage1_train(spark, sf):
 
 
 def _stage1_model(spark, sf):
-    k = ("stage1", sf, checkpoint_dir(spark))
+    k = _kept_by(spark, "stage1", sf)
     if k not in _CACHE:
         cells = _cells(spark, sf)
         m = fit_pipeline(cells, gbt_classifier("burned_label", min_instances=5, subsample=1.0))
@@ -122,7 +132,7 @@ def q_stage1_score(spark, sf):
 def _loyo_models(spark, sf, weighted: bool):
     """L3/L4: one model per held-out year (train = other years' 'train' role);
     threshold = area match on the 'val' role."""
-    k = ("loyo", sf, weighted, checkpoint_dir(spark))
+    k = _kept_by(spark, f"loyo-{weighted}", sf)
     if k in _CACHE:
         return _CACHE[k]
     t = training_table(spark, sf)
@@ -148,19 +158,21 @@ def _loyo_models(spark, sf, weighted: bool):
     return _CACHE[k]
 
 
-def _loyo_summary(spark, sf, weighted: bool):
+def _scored_by_year(spark, sf, weighted: bool):
+    """Every row with the score of its own year's model and that model's threshold: one scan."""
     models = _loyo_models(spark, sf, weighted)
-    t = training_table(spark, sf)
-    parts = []
-    for y, (path, thr) in sorted(models.items()):
-        s = score(PipelineModel.load(path), t.where(F.col("year") == y))
-        if not weighted:
-            s = s.withColumn("p", prob_rescale("p"))
-        parts.append(s.groupBy("year").agg(
-            F.sum(LABEL).cast("bigint").alias("tabular_obs_pixels"),
-            F.sum((F.col("p") >= thr).cast("int")).cast("bigint").alias("tabular_pred_pixels"),
-            F.sum("p").alias("expected_pixels")).withColumn("val_threshold", F.lit(thr)))
-    return reduce(lambda a, b: a.unionByName(b), parts).withColumnRenamed("year", "test_year")
+    forests = {int(y): trees.load(spark, path) for y, (path, _) in models.items()}
+    s = trees.score_by_key(training_table(spark, sf), forests, "year")
+    limits = F.create_map(*[F.lit(v) for y, (_, t) in sorted(models.items()) for v in (int(y), float(t))])
+    return (s if weighted else s.withColumn("p", prob_rescale("p"))).withColumn("threshold", F.try_element_at(limits, F.col("year")))
+
+
+def _loyo_summary(spark, sf, weighted: bool):
+    s = _scored_by_year(spark, sf, weighted)
+    return s.groupBy(F.col("year").alias("test_year")).agg(
+        F.sum(LABEL).cast("bigint").alias("tabular_obs_pixels"),
+        F.sum((F.col("p") >= F.col("threshold")).cast("int")).cast("bigint").alias("tabular_pred_pixels"),
+        F.sum("p").alias("expected_pixels"), F.first("threshold").alias("val_threshold"))
 
 
 @query("stage2_loyo")
@@ -177,18 +189,11 @@ def q_stage2_unweighted(spark, sf):
 
 @query("loyo_score")
 def q_loyo_score(spark, sf):
-    """Attach each year's model (registry table) to that year's months
-    and score; counts per (year, month)."""
-    models = _loyo_models(spark, sf, True)
-    reg = spark.createDataFrame([(int(y), p, float(t)) for y, (p, t) in models.items()],
-                                "year int, model_path string, threshold double")
-    t = training_table(spark, sf)
-    parts = []
-    for row in reg.collect():                                  # one row per model
-        s = score(PipelineModel.load(row["model_path"]), t.where(F.col("year") == row["year"]))
-        parts.append(s.select("year", "month", (F.col("p") >= row["threshold"]).cast("int").alias("pred")))
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    return u.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("pred").cast("bigint").alias("n_pred"))
+    """Every month scored by its year's model (node tables by year, one scan of the
+    months); counts per (year, month)."""
+    s = _scored_by_year(spark, sf, True)
+    return s.groupBy("year", "month").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("p") >= F.col("threshold")).cast("int")).cast("bigint").alias("n_pred"))
 
 
 def _temporal(spark, sf):
@@ -240,41 +245,61 @@ def q_random_search(spark, sf):
     return spark.createDataFrame(rows, "maxDepth int, minInstancesPerNode int, mean_average_precision double")
 
 
+RATIOS = list(range(1, 11))             # negatives for each positive
+
+
 @query("logreg_by_zone")
 def q_logreg_by_zone(spark, sf):
-    """Per-zone standardised L2 logistic regression (zones with both classes in the
-    fitted rows), scored on the rows held out of the fit."""
-    rows = training_table(spark, sf)
-    t = rows.where("not is_val")
-    zones = [r[0] for r in class_guard(t, ["zone_id"], LABEL).orderBy("zone_id").collect()]   # bounded: zones
-
-    def fit_one(z, _):
-        d = t.where(F.col("zone_id") == z)
-        m = logistic_pipeline(LABEL, NUMERIC).fit(d)
-        s = m.transform(rows.where(F.col("is_val") & (F.col("zone_id") == z))).withColumn("p", vector_to_array("probability")[1])
-        c = curve_summary(s, LABEL, "p")
-        return c.withColumn("zone_id", F.lit(z))
-
-    res = fit_many({z: None for z in zones}, fit_one)
-    return reduce(lambda a, b: a.unionByName(b), res.values())
+    """A standardised L2 logistic model for every zone and negative:positive ratio, all in
+    one grouped fit, land cover as an indicator for each code; max-F1 threshold on the
+    validation rows, metrics on the zone's fixed test rows.  Zones with one class are left out."""
+    t = training_table(spark, sf)
+    t = t.join(class_guard(t, ["zone_id"], LABEL), "zone_id")
+    d = cut_lineage(logistic.ratio_roles(t, "zone_id", KEY, LABEL, RATIOS).where("role is not null"))
+    codes = {"b1": logistic.indicator_columns(d, "b1")}
+    x = logistic.design(FEATURES, codes)
+    fit = logistic.fit_groups(d.where("role = 'train'"), "zone_id", LABEL, x, F.col("from_ratio"), len(RATIOS))
+    s = logistic.score_groups(d.where("role <> 'train'"), logistic.model_table(spark, fit, "zone_id"), "zone_id", x)
+    g = ["zone_id", "m"]
+    judged = s.where((F.col("role") == "test") | (F.col("from_ratio") <= F.col("m"))).select(*g, "role", LABEL, "p")
+    chosen = threshold_choice(pr_curve(judged.where("role = 'val'"), LABEL, "p", g), "max_f1", group_cols=g).select(
+        *g, "threshold", F.col("f1").alias("val_f1"))
+    test = judged.where("role = 'test'")
+    hit, y = F.col("p") >= F.col("threshold"), F.col(LABEL) == 1
+    at = confusion_metrics(test.join(chosen, g).groupBy(*g, "threshold", "val_f1").agg(
+        F.count_if(hit & y).alias("TP"), F.count_if(hit & ~y).alias("FP"), F.count_if(~hit & y).alias("FN"))).drop("TP", "FP", "FN")
+    auc = curve_summary(test, LABEL, "p", g).withColumnsRenamed({"n_pos": "n_pos_test", "n_neg": "n_neg_test"})
+    first = F.explode(F.sequence(F.col("from_ratio"), F.lit(len(RATIOS) - 1))).alias("m")
+    n = lambda role, label: F.count_if((F.col("role") == role) & (F.col(LABEL) == label)).alias(f"n_{('neg', 'pos')[label]}_{role}")
+    sizes = d.where("role <> 'test'").select("zone_id", first, "role", LABEL, "n_pos_tv", "n_neg_tv").groupBy(*g).agg(
+        F.first("n_pos_tv").alias("n_pos_tv"), F.first("n_neg_tv").alias("n_neg_tv"),
+        *[n(role, label) for role in ("train", "val") for label in (1, 0)])
+    ratio = F.get(F.array(*map(F.lit, RATIOS)), F.col("m"))
+    got = sizes.withColumns({"neg_pos_ratio": ratio, "eff_neg_pos_ratio": F.least(ratio * F.col("n_pos_tv"), F.col("n_neg_tv")) / F.col("n_pos_tv")})
+    return got.join(at, g).join(auc, g).drop("m")
 
 
 @query("balanced_bagging")
 def q_balanced_bagging(spark, sf):
-    """N hash-balanced bags -> N models -> averaged probability."""
+    """Balanced bags -> models -> averaged probability.  A row's bags are bits of one
+    number: all bags for a positive, for a negative those whose draw (a hash of the key and
+    the bag) is below n_pos / n_neg.  All models score the test rows in one scan."""
     train, test = _temporal(spark, sf)
+    share = train.select(F.sum(LABEL) / F.sum(1 - F.col(LABEL))).scalar()          # scalar subquery
+    draw = lambda b: F.pmod(F.xxhash64(F.lit(b), *KEY), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    bits = reduce(lambda a, c: a.bitwiseOR(c), [
+        F.when((F.col(LABEL) == 1) | (draw(b) < share), F.lit(1 << b)).otherwise(F.lit(0)) for b in range(BAGS)])
+    bags = cut_lineage(train.withColumn("bags", bits))
 
     def fit_one(b, _):
-        bag = balanced_sample(train, KEY, LABEL, ratio=1.0, salt=f"bag{b}")
-        m = fit_pipeline(bag, gbt_classifier(LABEL))
-        return score(m, test).select(*KEY, F.col("p").alias(f"p{b}"))
+        path = scratch_path(spark, f"bag_{b}")
+        fit_pipeline(bags.where(F.col("bags").bitwiseAND(F.lit(1 << b)) != 0), gbt_classifier(LABEL)).write().overwrite().save(path)
+        return path
 
-    res = fit_many({b: None for b in range(3)}, fit_one)
-    j = test.select(*KEY, LABEL)
-    for b in range(3):
-        j = j.join(res[b], KEY)
-    j = j.withColumn("p", (F.col("p0") + F.col("p1") + F.col("p2")) / 3)
-    return curve_summary(j, LABEL, "p", ["year"])
+    paths = fit_many({b: None for b in range(BAGS)}, fit_one)
+    s = trees.score_models(test, {str(b): trees.load(spark, path) for b, path in paths.items()})
+    p = F.aggregate("scores", F.lit(0.0), lambda a, v: a + v["p"]) / F.lit(float(BAGS))
+    return curve_summary(s.select("year", LABEL, p.alias("p")), LABEL, "p", ["year"])
 
 
 @query("class_weight_sweep")
@@ -285,34 +310,43 @@ def q_class_weight_sweep(spark, sf):
 
     def fit_one(w, _):
         tw = train.withColumn("w", F.when(F.col(LABEL) == 1, F.lit(float(w))).otherwise(1.0))
-        m = logistic_pipeline(LABEL, NUMERIC, weight_col="w").fit(tw)
-        s = m.transform(test).withColumn("p", vector_to_array("probability")[1])
+        m = logistic_pipeline(LABEL, FEATURES, weight_col="w").fit(prepare(tw))
+        s = m.transform(prepare(test)).withColumn("p", vector_to_array("probability")[1])
         return metrics_at_thresholds(s, LABEL, "p", [0.5]).withColumn("pos_weight", F.lit(float(w)))
 
     res = fit_many({w: None for w in (1.0, 10.0, float(ratio))}, fit_one)
     return reduce(lambda a, b: a.unionByName(b), res.values())
 
 
-def _global_model(spark, sf):
-    k = ("global", sf, checkpoint_dir(spark))
+def _save_global(spark, sf) -> str:
+    """Where the all-years model is saved."""
+    k = _kept_by(spark, "global", sf)
     if k not in _CACHE:
         t = class_weight_col(training_table(spark, sf), LABEL)
         m = fit_pipeline(t, gbt_classifier(LABEL, "w"))
         path = scratch_path(spark, "global_model")
         m.write().overwrite().save(path)
         _CACHE[k] = path
-    return PipelineModel.load(_CACHE[k])
+    return _CACHE[k]
 
 
-def _past_model(spark, sf):
-    """The model of all years but the test years, for what is judged on those."""
-    k = ("past", sf, checkpoint_dir(spark))
+def _global_model(spark, sf):
+    return PipelineModel.load(_save_global(spark, sf))
+
+
+def _save_past(spark, sf) -> str:
+    """Where the model of all years but the test years is saved, for what is judged on those."""
+    k = _kept_by(spark, "past", sf)
     if k not in _CACHE:
         train, _ = _temporal(spark, sf)
         path = scratch_path(spark, "past_model")
         fit_pipeline(class_weight_col(train, LABEL), gbt_classifier(LABEL, "w")).write().overwrite().save(path)
         _CACHE[k] = path
-    return PipelineModel.load(_CACHE[k])
+    return _CACHE[k]
+
+
+def _past_model(spark, sf):
+    return PipelineModel.load(_save_past(spark, sf))
 
 
 @query("stage2_ranked")
@@ -349,41 +383,81 @@ def q_global_model(spark, sf):
 
 @query("batch_score")
 def q_batch_score(spark, sf):
-    """Score every pixel-month with the saved model; model name column,
-    probability and class, summarised per (year, month)."""
-    o = obs(spark, sf)
-    s = score(_global_model(spark, sf), o.select(*KEY, *FEATURES)).withColumn("model", F.lit("global_v1"))
-    return s.groupBy("model", "year", "month").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_prob"),
-                                                   F.sum((F.col("p") >= 0.5).cast("int")).alias("n_pred"))
+    """Every pixel-month scored by several saved models (the global one and each
+    leave-one-year-out one) in one scan; probability and class by each model's threshold,
+    summarised per (model, year, month)."""
+    models = {"global": (_save_global(spark, sf), 0.5)}
+    models |= {f"without_{y}": m for y, m in sorted(_loyo_models(spark, sf, True).items())}
+    s = trees.score_models(obs(spark, sf).select(*KEY, *FEATURES), {n: trees.load(spark, path) for n, (path, _) in models.items()})
+    limits = F.create_map(*[F.lit(v) for n, (_, t) in models.items() for v in (n, float(t))])
+    each = s.select("year", "month", F.explode("scores").alias("s")).select(
+        F.col("s.model").alias("model"), "year", "month", F.col("s.p").alias("p"))
+    return each.groupBy("model", "year", "month").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_prob"),
+        F.sum((F.col("p") >= F.try_element_at(limits, F.col("model"))).cast("int")).cast("bigint").alias("n_pred"))
+
+
+# --- a second product on its own grid: cells of 0.4 degrees, not a multiple of the pixels ---
+ALT = {"x0": -150.1, "dx": 0.4, "y0": 65.15, "dy": -0.4, "width": 26, "height": 14}
+
+
+def _second_product(spark, sf):
+    """Burned fraction per cell and month of the second product, from the orders alone."""
+    o = read_table(spark, sf, "orders").where("o_orderdate is not null")
+    return o.groupBy(
+        ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % ALT["height"]).cast("int").alias("alt_row"),
+        (F.col("o_custkey") % ALT["width"]).cast("int").alias("alt_col"),
+        F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(
+        F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("alt_fraction"))
+
+
+def _on_second_product(spark, sf, pixels):
+    """``pixels`` with the label of the second product's cell that holds the pixel's centre,
+    same year and month; pixels outside its grid or without a value there are left out."""
+    at = coord_to_cell(pixels, "longitude", "latitude", ALT["x0"], ALT["dx"], ALT["y0"], ALT["dy"], ALT["width"], ALT["height"],
+                       "alt_row", "alt_col")
+    return at.join(_second_product(spark, sf), ["alt_row", "alt_col", "year", "month"]).withColumn(
+        "alt_label", (F.col("alt_fraction") > PIXEL_BURN_THRESHOLD).cast("int"))
+
+
+_ALT_SQL = f"""
+alt AS (SELECT CAST((o_custkey * 7 + o_orderkey) % {ALT["height"]} AS INTEGER) AS alt_row, CAST(o_custkey % {ALT["width"]} AS INTEGER) AS alt_col,
+               CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+               avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 WHEN o_orderstatus IS NOT NULL THEN 0.0 END) AS alt_fraction
+        FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2, 3, 4),
+onto AS (SELECT o.*, alt.alt_fraction, CAST(alt.alt_fraction > {PIXEL_BURN_THRESHOLD} AS INTEGER) AS alt_label
+         FROM obs o JOIN alt ON alt.year = o.year AND alt.month = o.month
+          AND alt.alt_row = CAST(floor((latitude - {ALT["y0"]}) / ({ALT["dy"]})) AS INTEGER)
+          AND alt.alt_col = CAST(floor((longitude - ({ALT["x0"]})) / {ALT["dx"]}) AS INTEGER))"""
+
+
+@query("transfer_labels", with_obs(f"""
+SELECT year, count(*) AS n, CAST(sum(alt_label) AS BIGINT) AS n_alt, CAST(sum(label) AS BIGINT) AS n_own,
+       CAST(sum(label * alt_label) AS BIGINT) AS n_both, {rnd('avg(alt_fraction)')} AS mean_alt_fraction
+FROM onto GROUP BY year""", _ALT_SQL))
+def q_transfer_labels(spark, sf):
+    """A second product on its own grid snapped to the pixels of the first: pixels, labels and agreement by year."""
+    j = _on_second_product(spark, sf, obs(spark, sf))
+    return round_doubles(j.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("alt_label").cast("bigint").alias("n_alt"), F.sum("label").cast("bigint").alias("n_own"),
+        F.sum(F.col("label") * F.col("alt_label")).cast("bigint").alias("n_both"), F.avg("alt_fraction").alias("mean_alt_fraction")))
 
 
 @query("transfer_score")
 def q_transfer_score(spark, sf):
-    """Model trained on one burned-area product applied to another
-    product's labels (fraction >= 0.7)."""
+    """The model of the first product's years up to 1997, applied to the later years and
+    judged by the labels of a second product, which come from other tables on another grid."""
     t = training_table(spark, sf)
     m = fit_pipeline(t.where("year <= 1997"), gbt_classifier(LABEL))
-    s = score(m, t.where("year > 1997")).withColumn("alt_label", (F.col("fraction") >= 0.7).cast("int"))
-    return metrics_at_thresholds(s, "alt_label", "p", [0.5], ["year"])
+    own = obs(spark, sf).where("year > 1997").select(*KEY, "longitude", "latitude", *FEATURES)
+    return metrics_at_thresholds(score(m, _on_second_product(spark, sf, own)), "alt_label", "p", [0.5], ["year"])
 
 
 @query("best_iteration")
 def q_best_iteration(spark, sf):
     """K9: IoU of every prefix of the boosted ensemble on years outside the fit; argmax."""
-    m = _past_model(spark, sf)
-    gbt = m.stages[-1]
     _, test = _temporal(spark, sf)
-    feats = m.transform(prepare(test)).select(LABEL, "features")
-    d = tree_prefix_margins(gbt, feats)
-    n = len(gbt.trees)
-    aggs = []
-    for i in range(1, n + 1):
-        pred = (F.col(f"m{i}") >= 0).cast("int")     # p >= 0.5 <=> margin >= 0
-        tp = F.sum(((pred == 1) & (F.col(LABEL) == 1)).cast("int"))
-        fp = F.sum(((pred == 1) & (F.col(LABEL) == 0)).cast("int"))
-        fn = F.sum(((pred == 0) & (F.col(LABEL) == 1)).cast("int"))
-        aggs.append(F.struct(F.lit(i).alias("iteration"), F.try_divide(tp.cast("double"), tp + fp + fn).alias("iou")))
-    r = d.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    r = trees.prefix_metrics(test, trees.load(spark, _save_past(spark, sf)), LABEL)
     return r.withColumn("is_best", F.col("iteration") == r.orderBy(F.col("iou").desc(), "iteration")
                         .select("iteration").limit(1).scalar())
 
@@ -430,18 +504,20 @@ def q_permutation_importance(spark, sf):
 
 @query("partial_dependence")
 def q_partial_dependence(spark, sf):
-    """Partial dependence in log-odds of the two weather features over a quantile
-    grid, averaged over all rows (grid exploded on the rows: a generator)."""
-    m = _global_model(spark, sf)
-    t = training_table(spark, sf)
-    outs = []
-    for feat in ["temperature_2m", "fine_fuel_moisture_code"]:
-        at = [i / (DEPENDENCE_POINTS - 1) for i in range(DEPENDENCE_POINTS)]
-        qs = exact_quantiles(t, feat, at).first()                           # one row, a value for each point
-        grid = F.array(*[F.lit(v) for v in sorted({float(v) for v in qs})])
-        g = t.withColumn("grid_value", F.explode(grid)).withColumn(feat, F.col("grid_value"))
-        s = score(m, g)
-        p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col("p")))
-        outs.append(s.groupBy("grid_value").agg(F.avg(F.log(p / (1 - p))).alias("mean_logodds"))
-                    .withColumn("feature", F.lit(feat)))
-    return outs[0].unionByName(outs[1])
+    """Partial dependence in log-odds of the most important features, over grids of 30 and 50
+    quantiles.  Rows that reach each leaf with one feature left free are counted in one
+    pass; no row is copied for a grid point, and the values are those of replacing the
+    feature in every row."""
+    model, t = _global_model(spark, sf), training_table(spark, sf)
+    forest = trees.load(spark, _save_global(spark, sf))
+    gain = dict(zip(forest.names, model.stages[-1].featureImportances.toArray().tolist()))
+    top = sorted(gain, key=lambda f: (-gain[f], f))[:DEPENDENCE_FEATURES]
+    places = {n: [i / (n - 1) for i in range(n)] for n in DEPENDENCE_POINTS}
+    probs = sorted({p for at in places.values() for p in at})
+    long = t.unpivot([], top, "feature", "value")
+    held = {r["feature"]: dict(zip(probs, list(r)[1:])) for r in exact_quantiles(long, "value", probs, ["feature"]).collect()}   # top rows
+    grids = {(f, n): sorted({float(held[f][p]) for p in at}) for f in top for n, at in places.items()}
+    every = {f: sorted({v for n in places for v in grids[f, n]}) for f in top}
+    margin = {f: dict(zip(every[f], m)) for f, m in trees.partial_dependence(t, forest, every).items()}
+    rows = [(f, n, v, float(2 * margin[f][v])) for (f, n), grid in grids.items() for v in grid]
+    return spark.createDataFrame(rows, "feature string, grid_points int, grid_value double, mean_logodds double")

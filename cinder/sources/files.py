@@ -67,9 +67,8 @@ def write_partitioned(df: DataFrame, path: str, partition_cols, mode: str = "app
     Rows are dealt by the partition columns, so each task writes few files per
     partition; adaptive execution splits partitions that are large."""
     check_unique_columns(df)
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (df.hint("rebalance", *partition_cols).write.mode(mode).partitionBy(*partition_cols).parquet(path))
+    (df.hint("rebalance", *partition_cols).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_cols).parquet(path))
 
 
 def safe_name(c: Column) -> Column:
@@ -87,6 +86,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def input_stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(bytes, files, time of the last change) of a file or folder: what derived tables are kept by."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    content = fs.getContentSummary(p)
+    return content.getLength(), content.getFileCount(), fs.getFileStatus(p).getModificationTime()
+
+
 def existing_partitions(spark: SparkSession, path: str, partition_cols) -> DataFrame:
     """Partition values already present under ``path``; none if nothing was written
     there yet.  Any other failure to read is an error."""

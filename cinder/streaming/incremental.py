@@ -28,14 +28,9 @@ from cinder.session import materialise
 from cinder.schema import PIXEL_KEY
 from cinder.sources.files import path_exists
 
-def _dynamic(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-
-
 def incremental_ingest(spark: SparkSession, landing: str, target: str, checkpoint: str,
                        schema: T.StructType, partition_cols=("year", "month"), key=PIXEL_KEY) -> None:
     """Ingest every file that has landed since the last run, then stop."""
-    _dynamic(spark)
     src = spark.readStream.schema(schema).parquet(landing).select("*", "_metadata.file_modification_time")
     keys = list(dict.fromkeys([*key, *partition_cols]))
     rest = [c for c in schema.fieldNames() if c not in keys]
@@ -57,14 +52,13 @@ def incremental_ingest(spark: SparkSession, landing: str, target: str, checkpoin
 
 def _overwrite_partitions(rows: DataFrame, target: str, partition_cols) -> None:
     (materialise(rows, "stream-merge").hint("rebalance", *partition_cols)
-     .write.mode("overwrite").partitionBy(*partition_cols).parquet(target))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(target))
 
 
 def incremental_annual_mask(spark: SparkSession, landing: str, target: str, checkpoint: str,
                             schema: T.StructType, value_col: str = "p", threshold: float = 0.5,
                             key=PIXEL_KEY) -> None:
     """Fold newly landed monthly scores into the annual max / mask table."""
-    _dynamic(spark)
     src = spark.readStream.schema(schema).parquet(landing)
     keys = [*key, "year"]
 
