@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinder.schema import METRES_PER_DEGREE
@@ -155,7 +155,7 @@ def project_lonlat(df: DataFrame, lon_col: str, lat_col: str, crs: str) -> DataF
     return df.withColumns({"proj_x": x, "proj_y": y})
 
 
-# --- B12 / E6: bucketed point-in-polygon -------------------------------------
+# --- B12 / E6: point-in-polygon by a cover of cells ---------------------------
 
 def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
     """Even-odd ray cast over ring edges (first vertex repeated at the end).
@@ -181,30 +181,105 @@ def point_in_rings(px: Column, py: Column, rings: Column) -> Column:
     return F.aggregate(rings, F.lit(False), lambda inside, ring: inside != point_in_ring(px, py, ring))
 
 
+LEVEL_BITS = 3          # a cell of one level is 8 cells of the level below, along its row
+LEVELS = 8              # up to 8^7 cells in a row
+_PAD = 1e-9             # of a cell: edges this near a cell's side count for both cells
+
+
+def _edges(zones: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each edge of each ring."""
+    ends = F.col("ring")
+    pair = F.transform(F.sequence(F.lit(0), F.size(ends) - 2), lambda i: F.struct(F.get(ends, i).alias("a"), F.get(ends, i + 1).alias("b")))
+    rings = zones.select(*keys, F.explode("rings").alias("ring")).where(F.size("ring") >= 2)
+    e = rings.select(*keys, F.explode(pair).alias("e"))
+    return e.select(*keys, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+
+
+def polygon_cover(zones: DataFrame, cell: float, zone_cols=("zone_id",)) -> DataFrame:
+    """Cells that cover each zone: (zone_cols, level, cy, cx, border).
+
+    Level 0 cells are squares of side ``cell``; a cell of level l is 8^l of them side by
+    side in one row.  Border cells (level 0) are those an edge passes; between two border
+    cells of a row no edge runs, so the cells there are all inside or all outside, by the
+    number of edges that the row's middle line crosses up to them; runs inside are cut
+    into few aligned cells of growing level.  Rows grow with the length of the border in
+    cells (and the logarithm of the runs), not with the area.
+    """
+    b, keys = float(cell), list(zone_cols)
+    index = lambda v: F.floor(v / F.lit(b)).try_cast("int")
+    e = _edges(zones, keys)
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    rows = e.withColumn("cy", F.explode(F.sequence(index(low - _PAD * b), index(high + _PAD * b))))
+    # The edge's part within the row of cells, and whether it crosses the row's middle line (as the ray cast counts).
+    slope = F.when(F.col("by") != F.col("ay"), (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
+    x_at = lambda y: F.col("ax") + slope * (F.greatest(low, F.least(high, y)) - F.col("ay"))
+    bottom, top, mid = F.col("cy") * b - _PAD * b, (F.col("cy") + 1) * b + _PAD * b, (F.col("cy") + 0.5) * b
+    one, two = F.coalesce(x_at(bottom), F.col("ax")), F.coalesce(x_at(top), F.col("bx"))
+    crosses = (F.col("ay") >= mid) != (F.col("by") >= mid)
+    rows = rows.select(*keys, "cy", F.least(one, two).alias("x1"), F.greatest(one, two).alias("x2"),
+                       F.when(crosses, index(x_at(mid))).alias("at"))
+    cells = rows.select(*keys, "cy", "at", F.explode(F.sequence(index(F.col("x1") - _PAD * b), index(F.col("x2") + _PAD * b))).alias("cx"))
+    border = cells.groupBy(*keys, "cy", "cx").agg(F.sum((F.col("at") == F.col("cx")).cast("int")).alias("n"))
+    along = Window.partitionBy(*keys, "cy").orderBy("cx")                  # the border cells of one row of one zone
+    walk = border.select(*keys, "cy", "cx", F.sum(F.coalesce("n", F.lit(0))).over(along).alias("before"), F.lead("cx").over(along).alias("next"))
+    runs = walk.where("before % 2 = 1 and next > cx + 1").select(*keys, "cy", (F.col("cx") + 1).alias("lo"), (F.col("next") - 1).alias("hi"))
+
+    def first(level: int) -> Column:
+        return F.ceil(F.col("lo") / F.lit(float(1 << (LEVEL_BITS * level)))).cast("int")
+
+    def last(level: int) -> Column:
+        return (F.floor((F.col("hi") + 1) / F.lit(float(1 << (LEVEL_BITS * level)))) - 1).cast("int")
+
+    def at_level(level: int, lo: Column, hi: Column) -> Column:
+        return F.transform(F.sequence(lo, hi), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cx")))
+
+    parts = []
+    for level in range(LEVELS):
+        own, wide = (first(level), last(level)), 1 << LEVEL_BITS
+        if level == LEVELS - 1:
+            rest = [own]
+        else:                                            # what the level above does not hold: at its left and its right
+            up = first(level + 1) <= last(level + 1)
+            rest = [(own[0], F.when(up, first(level + 1) * wide - 1).otherwise(own[1])),
+                    (F.when(up, (last(level + 1) + 1) * wide).otherwise(own[1] + 1), own[1])]
+        for lo, hi in rest:
+            parts.append(F.when(lo <= hi, at_level(level, lo, hi)))
+    pieces = F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull()))
+    inner = runs.select(*keys, "cy", F.explode(pieces).alias("p")).select(*keys, F.col("p.level").alias("level"), "cy", F.col("p.cx").alias("cx"), F.lit(False).alias("border"))
+    return border.select(*keys, F.lit(0).alias("level"), "cy", "cx", F.lit(True).alias("border")).unionByName(inner)
+
+
 def polygon_zone(points: DataFrame, x_col: str, y_col: str, zones: DataFrame,
                  bucket_deg: float = 1.0, zone_cols=("zone_id",)) -> DataFrame:
     """Assign each point the zones whose ``rings`` contain it (inner semantics).
 
     ``zones``: ``zone_cols`` (one row per zone) and ``rings``, an array of closed
-    rings: any number of parts and holes.  Zones without a ring hold no point.
+    rings: any number of parts and holes.  Zones without a ring hold no point; points
+    without both coordinates are in no zone.
 
-    Plan: explode the bbox of every zone into the ``bucket_deg`` buckets it covers,
-    equi-join points to buckets on ``(bx, by)``, keep bbox hits, and only then join
-    the rings by zone for the exact ray cast, so no bucket row carries a ring.  No
-    join is hinted: Spark broadcasts a side by its bytes or shuffles both.
+    Plan: zones become cells (:func:`polygon_cover`), points look up their cell at each
+    level that occurs, by equi-join.  Points of inner cells are done; only points of
+    border cells get the rings, by zone, for the exact ray cast.  No join is hinted:
+    Spark broadcasts a side by its bytes or shuffles both.
     """
     b, keys = float(bucket_deg), list(zone_cols)
-    span = lambda axis: F.transform(F.flatten("rings"), lambda p: p[axis])
-    box = zones.select(*keys, F.array_min(span("x")).alias("minx"), F.array_max(span("x")).alias("maxx"),
-                       F.array_min(span("y")).alias("miny"), F.array_max(span("y")).alias("maxy"))
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / b).cast("int"), F.floor(F.col(hi) / b).cast("int")))
-    box = box.withColumn("bx", cells("minx", "maxx")).withColumn("by", cells("miny", "maxy"))
-    px, py = F.col(x_col), F.col(y_col)
-    near = (points.withColumns({"bx": F.floor(px / b).cast("int"), "by": F.floor(py / b).cast("int")})
-            .join(box, ["bx", "by"])
-            .where(px.between(F.col("minx"), F.col("maxx")) & py.between(F.col("miny"), F.col("maxy"))))
-    inside = near.join(zones.select(*keys, "rings"), keys).where(point_in_rings(px, py, F.col("rings")))
-    return inside.select(*points.columns, *keys)
+    zones = zones.dropna(subset=keys)
+    px, py = F.col(x_col).cast("double"), F.col(y_col).cast("double")
+    cover = polygon_cover(zones, b, keys).withColumnsRenamed({k: f"_z{i}" for i, k in enumerate(keys)})
+    levels = cover.select(F.sort_array(F.collect_set("level"))).scalar()      # those that occur: one small array
+    cell = lambda v: F.floor(v / b).try_cast("long")
+    at = (points.where(px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py))
+          .withColumn("_levels", levels).withColumn("_level", F.explode("_levels")).drop("_levels")
+          .withColumns({"_cy": cell(py), "_cx": F.call_function("shiftright", cell(px), F.col("_level") * LEVEL_BITS)}))
+    near = at.join(cover, (F.col("_level") == F.col("level")) & (F.col("_cy") == F.col("cy")) & (F.col("_cx") == F.col("cx")))
+    # The ray cast's zone: null in inner cells, which need no rings.
+    near = near.withColumn("_ray", F.when(F.col("border"), F.col("_z0")))
+    rings = zones.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.col("rings").alias("_rings"))
+    same = F.col("_ray") == F.col("_r0")
+    for i in range(1, len(keys)):
+        same = same & (F.col(f"_z{i}") == F.col(f"_r{i}"))
+    inside = near.join(rings, same, "left").where(~F.col("border") | F.coalesce(point_in_rings(px, py, F.col("_rings")), F.lit(False)))
+    return inside.select(*points.columns, *[F.col(f"_z{i}").alias(k) for i, k in enumerate(keys)])
 
 
 # --- B13 / B14: square-cell masks --------------------------------------------
@@ -252,6 +327,35 @@ def burn_fraction_monthly(fine: DataFrame, factor: int, nodata_as_zero: bool = T
                       F.try_divide(nb.cast("double"), denom).alias("burn_fraction"))
 
 
+def overlap_resample(fine: DataFrame, fine_grid: dict, coarse_grid: dict, value_col: str, keys: tuple = ()) -> DataFrame:
+    """Average of a fine grid on any coarser one, each fine cell split over the cells
+    it overlaps by the shared part of its area.
+
+    ``fine``: ``fine_row, fine_col, keys, value_col`` (null: no data).  Grids are dicts of
+    ``x0, dx, y0, dy, width, height``; they need not nest or share an origin.  Returns per
+    coarse cell ``grid_row, grid_col, keys, value_col`` (mean over the covered part with
+    data, null without any), ``weight`` (fine cells' area with data in it, in fine cells)
+    and ``covered`` (with or without data).  A fine cell inside the coarse grid gives
+    weights that sum to 1, so sums of ``value * weight`` are kept; parts outside are left out.
+
+    Rows are split per axis by two generators of a few cells each; one grouped sum."""
+    def parts(index: str, axis: str, size: str) -> Column:
+        # Edges in units of coarse cells; a negative step on both grids gives ascending units too.
+        unit = lambda k: (F.lit(fine_grid[f"{axis}0"] - coarse_grid[f"{axis}0"]) + (F.col(index) + k) * F.lit(fine_grid[f"d{axis}"])) / F.lit(coarse_grid[f"d{axis}"])
+        one, two = unit(0), unit(1)
+        low, high = F.least(one, two), F.greatest(one, two)
+        whole = F.sequence(F.floor(low).cast("int"), (F.ceil(high) - 1).cast("int"))
+        split = F.transform(whole, lambda c: F.struct(c.alias("cell"), ((F.least(high, c + 1.0) - F.greatest(low, c.cast("double"))) / (high - low)).alias("w")))
+        return F.filter(split, lambda p: (p["w"] > 0) & p["cell"].between(0, coarse_grid[size] - 1))
+
+    d = (fine.withColumn("_r", F.explode(parts("fine_row", "y", "height"))).withColumn("_c", F.explode(parts("fine_col", "x", "width"))))
+    w, v = F.col("_r.w") * F.col("_c.w"), F.col(value_col).cast("double")
+    known = F.when(v.isNotNull() & ~F.isnan(v), w)
+    return d.groupBy(F.col("_r.cell").alias("grid_row"), F.col("_c.cell").alias("grid_col"), *keys).agg(
+        F.try_divide(F.sum(known * v), F.sum(known)).alias(value_col),
+        F.coalesce(F.sum(known), F.lit(0.0)).alias("weight"), F.sum(w).alias("covered"))
+
+
 # --- B9 / B11: nearest resample ----------------------------------------------
 
 def nearest_resample(target: DataFrame, source: DataFrame, src_grid: dict, value_cols: list[str],
