@@ -327,6 +327,9 @@ def burn_fraction_monthly(fine: DataFrame, factor: int, nodata_as_zero: bool = T
                       F.try_divide(nb.cast("double"), denom).alias("burn_fraction"))
 
 
+_SLIVER = 1e-9         # a share below it is rounding where two cells' sides meet
+
+
 def overlap_resample(fine: DataFrame, fine_grid: dict, coarse_grid: dict, value_col: str, keys: tuple = ()) -> DataFrame:
     """Average of a fine grid on any coarser one, each fine cell split over the cells
     it overlaps by the shared part of its area.
@@ -346,7 +349,7 @@ def overlap_resample(fine: DataFrame, fine_grid: dict, coarse_grid: dict, value_
         low, high = F.least(one, two), F.greatest(one, two)
         whole = F.sequence(F.floor(low).cast("int"), (F.ceil(high) - 1).cast("int"))
         split = F.transform(whole, lambda c: F.struct(c.alias("cell"), ((F.least(high, c + 1.0) - F.greatest(low, c.cast("double"))) / (high - low)).alias("w")))
-        return F.filter(split, lambda p: (p["w"] > 0) & p["cell"].between(0, coarse_grid[size] - 1))
+        return F.filter(split, lambda p: (p["w"] > _SLIVER) & p["cell"].between(0, coarse_grid[size] - 1))
 
     d = (fine.withColumn("_r", F.explode(parts("fine_row", "y", "height"))).withColumn("_c", F.explode(parts("fine_col", "x", "width"))))
     w, v = F.col("_r.w") * F.col("_c.w"), F.col(value_col).cast("double")

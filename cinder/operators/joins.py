@@ -60,3 +60,22 @@ def join_sources(sources: list[DataFrame], keys, month_col: str = "month") -> Da
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), usable)
     values = [c for c in u.columns if c not in keys]
     return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
+
+
+def write_store(sources: dict[str, DataFrame], table: str, path: str, keys, buckets: int, month_col: str = "month") -> None:
+    """Keep predictor sources in one table, bucketed and sorted by the pixel-month key,
+    a folder for each source.  Values of a source go into its own columns (others are null,
+    which Parquet keeps for nothing); a further source is one more append with the same
+    buckets.  Sources without ``month_col`` are skipped, rows with NULL or < 1 months dropped."""
+    usable = {n: s.where(F.col(month_col).isNotNull() & (F.col(month_col) >= 1)).withColumn("source", F.lit(n))
+              for n, s in sources.items() if month_col in s.columns}
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), usable.values())
+    (rows.repartition(buckets, *keys).write.mode("append").partitionBy("source").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(table))
+
+
+def merge_store(store: DataFrame, keys) -> DataFrame:
+    """The full outer join of all sources of a store: one grouped aggregate that its buckets
+    already serve, so nothing is shuffled.  Keys with a null in them are kept, as groups."""
+    values = [c for c in store.columns if c not in (*keys, "source")]
+    return store.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])

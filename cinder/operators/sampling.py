@@ -211,6 +211,9 @@ def class_guard(df: DataFrame, group_cols, label_col: str = "label") -> DataFram
               .where(F.col("_k") == 2).drop("_k"))
 
 
-def hash_order(df: DataFrame, key_cols, salt: str = "shuffle") -> DataFrame:
-    """H8: a reproducible shuffle (only where order matters, e.g. file layout)."""
-    return df.orderBy(hash32(salt, *key_cols), *key_cols)
+def shuffle_place(df: DataFrame, key_cols, salt: str = "shuffle", out: str = "place") -> DataFrame:
+    """H8: a reproducible shuffle as a column: each row's place (from 1) in the order of a hash
+    of its key.  Places come from bucket counts, so no task sorts all rows; readers of a
+    stored table take any range of places as a random sample without replacement."""
+    h = hash32(salt, *key_cols)
+    return bucketed_rank(df, [], h, list(key_cols), out=out, bucket=_hash_bucket(h))

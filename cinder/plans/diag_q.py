@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cinder.functions.labels import confusion_label, ternary_label
 from cinder.operators.diagnostics import (box_stats, class_balance, climatology, confusion_by_year,
-                                          covariate_shift, hist_by_class, missing_rate, obs_vs_pred_by_year,
+                                          covariate_shift, density_by_class, hist_by_class, missing_rate, obs_vs_pred_by_year,
                                           robust_scale, summer_means, unique_burned_pixels)
 from cinder.plans.common import obs
 from cinder.plans.registry import query
@@ -98,6 +98,24 @@ def q_hist_by_class(spark, sf):
     return round_doubles(hist_by_class(obs(spark, sf), "temperature_2m", "label", 260.0, 5.0, 10))
 
 
+_DENSE = [f for f in FEATURES if f != "b1"]
+
+
+@query("density_by_class", with_obs(f"""
+SELECT feature, label, point, {rnd('x')} AS x, {rnd('sum(c * exp(-0.5 * power((x - (lo + (bin + 0.5) * w)) / h, 2)) / (n * h * sqrt(2 * pi())))')} AS density
+FROM (SELECT e.*, c.bin, c.c, g.point, lo + g.point * (hi - lo) / 199.0 AS x, (hi - lo) / 512.0 AS w
+      FROM e JOIN c USING (feature, label) CROSS JOIN (SELECT CAST(range AS INTEGER) AS point FROM range(200)) g) t
+GROUP BY feature, label, point, x""", f"""
+u AS (SELECT feature, label, value FROM (UNPIVOT (SELECT label, {', '.join(_DENSE)} FROM obs) ON {', '.join(_DENSE)} INTO NAME feature VALUE value) t),
+s AS (SELECT feature, label, count(*) AS n, min(value) AS mn, max(value) AS mx, stddev_samp(value) * power(count(*), -0.2) AS h FROM u GROUP BY 1, 2),
+e AS (SELECT feature, label, n, h, mn - 3 * h AS lo, mx + 3 * h AS hi FROM s WHERE h > 0),
+c AS (SELECT u.feature, u.label, least(511, CAST(floor((value - lo) / ((hi - lo) / 512.0) + 1e-9) AS INTEGER)) AS bin, count(*) AS c
+      FROM u JOIN e ON u.feature = e.feature AND u.label = e.label GROUP BY 1, 2, 3)"""))
+def q_density_by_class(spark, sf):
+    """Kernel density of every numeric predictor by class."""
+    return round_doubles(density_by_class(obs(spark, sf), _DENSE, "label"))
+
+
 _MISS = ["burned_pixel", "fwi", *FEATURES]
 _MISS_SRC = ("(SELECT CASE WHEN fraction > 0.5 THEN 1.0 WHEN fraction < 0.5 THEN 0.0 END AS burned_pixel, "
              "CASE WHEN grid_col % 9 = 0 THEN NULL ELSE fire_weather_index END AS fwi, "

@@ -10,12 +10,12 @@ from cinder.operators.coarse import annual_composite
 from cinder.operators.diagnostics import climatology
 from cinder.operators.geometry import (WGS84_A, WGS84_F, bilinear_resample, burn_fraction_monthly,
                                        coord_to_cell, geographic_pixel_area_m2, grid_guard,
-                                       lonlat_from_xy, nearest_resample, pixel_centers, project_lonlat)
+                                       lonlat_from_xy, nearest_resample, overlap_resample, pixel_centers, project_lonlat)
 from cinder.operators.masks import annual_mask
 from cinder.plans.common import AREA_SQL, obs
 from cinder.plans.registry import query
 from cinder.plans.sqlgen import rnd, round_doubles
-from cinder.schema import PIXEL_AREA_HA_4KM
+from cinder.schema import FEATURES, PIXEL_AREA_HA_4KM
 from cinder.sources.tables import (GRID_COLS, GRID_DX, GRID_DY, GRID_ROWS, GRID_X0, GRID_Y0, read_table,
                                    with_obs)
 
@@ -25,17 +25,17 @@ FINE_DX, FINE_DY = GRID_DX / FACTOR, GRID_DY / FACTOR
 COARSE = {"x0": GRID_X0, "dx": GRID_DX, "y0": GRID_Y0, "dy": GRID_DY, "width": GRID_COLS, "height": GRID_ROWS}
 
 
+BANDS = ["fraction", *FEATURES]
+
+
 @query("bands_to_columns", with_obs(
-    f"SELECT {', '.join(KEY)}, {rnd('max(CASE WHEN band = ' + repr('DEM') + ' THEN value END)')} AS DEM, "
-    f"{rnd('max(CASE WHEN band = ' + repr('slope') + ' THEN value END)')} AS slope, "
-    f"{rnd('max(CASE WHEN band = ' + repr('fraction') + ' THEN value END)')} AS fraction "
-    "FROM (UNPIVOT (SELECT grid_row, grid_col, year, month, DEM, slope, fraction FROM obs) "
-    "ON DEM, slope, fraction INTO NAME band VALUE value) u GROUP BY 1, 2, 3, 4"))
+    f"SELECT {', '.join(KEY)}, " + ", ".join(f"{rnd(f'max(CASE WHEN band = {b!r} THEN value END)')} AS {b}" for b in BANDS)
+    + f" FROM (UNPIVOT (SELECT {', '.join([*KEY, *BANDS])} FROM obs) ON {', '.join(BANDS)} INTO NAME band VALUE value) u GROUP BY 1, 2, 3, 4"))
 def q_bands_to_columns(spark, sf):
-    """B1: long (pixel, band, value) -> one column per band (pivot with the
+    """B1: long (pixel, band, value) of every band -> one column per band (pivot with the
     band list given, so no extra pass to discover values)."""
-    long = obs(spark, sf).unpivot(KEY, ["DEM", "slope", "fraction"], "band", "value")
-    wide = long.groupBy(*KEY).pivot("band", ["DEM", "slope", "fraction"]).agg(F.max("value"))
+    long = obs(spark, sf).unpivot(KEY, BANDS, "band", "value")
+    wide = long.groupBy(*KEY).pivot("band", BANDS).agg(F.max("value"))
     return round_doubles(wide)
 
 
@@ -171,6 +171,31 @@ def q_burn_fraction_nodata(spark, sf):
     return round_doubles(burn_fraction_monthly(_fine(spark, sf), FACTOR, nodata_as_zero=False))
 
 
+# A coarse grid whose cells the fine ones do not nest in: other size, other origin.
+OTHER = {"x0": -150.13, "dx": 0.41, "y0": 65.09, "dy": -0.37, "width": 25, "height": 15}
+
+
+@query("burn_fraction_overlap", f"""
+WITH {_FINE_SQL.strip()},
+m AS (SELECT fine_row, fine_col, year, CASE WHEN doy IS NOT NULL THEN CAST(doy > 0 AS DOUBLE) END AS v FROM fine),
+r AS (SELECT DISTINCT fine_row, ({GRID_Y0} - {OTHER["y0"]} + fine_row * ({FINE_DY})) / ({OTHER["dy"]}) AS lo,
+             ({GRID_Y0} - {OTHER["y0"]} + (fine_row + 1) * ({FINE_DY})) / ({OTHER["dy"]}) AS hi FROM m),
+c AS (SELECT DISTINCT fine_col, ({GRID_X0} - ({OTHER["x0"]}) + fine_col * {FINE_DX}) / {OTHER["dx"]} AS lo,
+             ({GRID_X0} - ({OTHER["x0"]}) + (fine_col + 1) * {FINE_DX}) / {OTHER["dx"]} AS hi FROM m),
+rw AS (SELECT fine_row, k AS grid_row, (least(hi, k + 1.0) - greatest(lo, CAST(k AS DOUBLE))) / (hi - lo) AS w
+       FROM r, (SELECT CAST(range AS INTEGER) AS k FROM range({OTHER["height"]})) t WHERE k >= floor(lo) AND k <= ceil(hi) - 1),
+cw AS (SELECT fine_col, k AS grid_col, (least(hi, k + 1.0) - greatest(lo, CAST(k AS DOUBLE))) / (hi - lo) AS w
+       FROM c, (SELECT CAST(range AS INTEGER) AS k FROM range({OTHER["width"]})) t WHERE k >= floor(lo) AND k <= ceil(hi) - 1)
+SELECT grid_row, grid_col, year, {rnd('sum(CASE WHEN v IS NOT NULL THEN rw.w * cw.w * v END) / nullif(sum(CASE WHEN v IS NOT NULL THEN rw.w * cw.w END), 0)')} AS burn_fraction,
+       {rnd('coalesce(sum(CASE WHEN v IS NOT NULL THEN rw.w * cw.w END), 0)')} AS weight, {rnd('sum(rw.w * cw.w)')} AS covered
+FROM m JOIN rw ON rw.fine_row = m.fine_row JOIN cw ON cw.fine_col = m.fine_col WHERE rw.w > 1e-9 AND cw.w > 1e-9 GROUP BY 1, 2, 3""")
+def q_burn_fraction_overlap(spark, sf):
+    """Burned fraction of cells of another grid, each fine cell split over the cells it overlaps."""
+    grid = {"x0": GRID_X0, "dx": FINE_DX, "y0": GRID_Y0, "dy": FINE_DY}
+    burned = _fine(spark, sf).withColumn("burn_fraction", F.when(F.col("doy").isNotNull(), (F.col("doy") > 0).cast("double")))
+    return round_doubles(overlap_resample(burned, grid, OTHER, "burn_fraction", ("year",)))
+
+
 def _fine_centres(spark, sf):
     f = _fine(spark, sf).select("fine_row", "fine_col", "year")
     return f.withColumns({"x": F.lit(GRID_X0) + (F.col("fine_col") + 0.5) * FINE_DX,

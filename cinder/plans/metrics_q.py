@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinder.operators.masks import annual_max, area_multi_threshold
@@ -97,6 +98,25 @@ def q_average_precision(spark, sf):
     return round_doubles(curve_summary(_scored(spark, sf), "label", "p", ["year"]).select("year", "average_precision"))
 
 
+_MODELS = ["score", "u_score", "fire_weather_index"]
+
+
+@query("average_precision_by_model", with_obs(f"""
+SELECT model, year, {rnd('sum(tp * tp_cum / (tp_cum + fp_cum)) / nullif(sum(tp), 0)')} AS average_precision,
+       CAST(rank() OVER (PARTITION BY year ORDER BY {rnd('sum(tp * tp_cum / (tp_cum + fp_cum)) / nullif(sum(tp), 0)')} DESC, model) AS INTEGER) AS place
+FROM (SELECT *, sum(tp) OVER w AS tp_cum, sum(fp) OVER w AS fp_cum
+      FROM (SELECT model, year, p, sum(label) AS tp, sum(1 - label) AS fp
+            FROM (UNPIVOT (SELECT year, label, {', '.join(_MODELS)} FROM obs) ON {', '.join(_MODELS)} INTO NAME model VALUE p) u GROUP BY 1, 2, 3) c
+      WINDOW w AS (PARTITION BY model, year ORDER BY p DESC)) t
+GROUP BY model, year"""))
+def q_average_precision_by_model(spark, sf):
+    """The scores of several models side by side: average precision by model and year, ranked within the year."""
+    long = obs(spark, sf).unpivot(["year", "label"], _MODELS, "model", "p")
+    ap = round_doubles(curve_summary(long, "label", "p", ["model", "year"]).select("model", "year", "average_precision"))
+    by = Window.partitionBy("year").orderBy(F.col("average_precision").desc(), "model")        # a row for each model
+    return ap.withColumn("place", F.rank().over(by))
+
+
 def _choice_sql(order: str) -> str:
     return with_obs(f"""
 SELECT year, {rnd('threshold')} AS threshold, {rnd('precision')} AS precision, {rnd('recall')} AS recall, {rnd('f1')} AS f1

@@ -8,7 +8,7 @@ from cinder.functions.hashing import sql_hash32
 from cinder.functions.labels import fraction_bin
 from cinder.operators.sampling import (balanced_sample, bernoulli_split, cap_rows, class_guard,
                                        equal_bins, kfold_assign, loyo_folds, nested_negative_sweep,
-                                       stratified_split, unequal_bins, CHECKSUM_MOD)
+                                       shuffle_place, stratified_split, unequal_bins, CHECKSUM_MOD)
 from cinder.plans.common import obs
 from cinder.plans.registry import query
 from cinder.schema import NEG_POS_RATIO_FULL
@@ -185,3 +185,9 @@ def q_sample_n(spark, sf):
 def q_class_guard(spark, sf):
     """Zones whose sample has both classes."""
     return class_guard(_strong(spark, sf), ["zone_id"])
+
+
+@query("shuffle_place", with_obs(f"SELECT {K}, row_number() OVER (ORDER BY {sql_hash32('shuffle', K)}, {K}) AS place FROM obs"))
+def q_shuffle_place(spark, sf):
+    """H8: every pixel-month's place in a reproducible shuffle."""
+    return shuffle_place(obs(spark, sf), KEY).select(*KEY, "place")

@@ -10,9 +10,9 @@ from cinder.plans.flagship import ZONAL_SQL, zonal_burned_area_df
 from cinder.plans.registry import query
 from cinder.plans.sqlgen import rnd, round_doubles
 from cinder.session import scratch_path
-from cinder.sources.files import (SOURCE_NAME_PATTERN, existing_partitions, grid_fill, incremental_todo,
+from cinder.sources.files import (SOURCE_NAME_PATTERN, done_units, existing_partitions, grid_fill, incremental_todo,
                                   json_after_header, parse_year_month, pick_by_priority, read_csv,
-                                  read_projected, schema_inspect, write_csv, write_partitioned, write_per_zone)
+                                  read_projected, schema_inspect, write_csv, write_partitioned, write_per_zone, write_units)
 from cinder.sources.tables import GRID_COLS, GRID_ROWS, read_table, with_obs
 
 KEY = ["grid_row", "grid_col", "year", "month"]
@@ -141,6 +141,19 @@ def q_incremental_todo(spark, sf):
     return incremental_todo(todo, existing_partitions(spark, path, ["year", "month"]), ["year", "month"])
 
 
+@query("resume_by_manifest", with_obs("SELECT DISTINCT year, month FROM obs WHERE NOT (year <= 1996 AND NOT (year = 1995 AND month <= 3))"))
+def q_resume_by_manifest(spark, sf):
+    """A10: units left after a stop: some are committed, some written without a commit, and
+    some damaged after it; only whole committed units count as done."""
+    o = obs(spark, sf).select(*KEY, "fraction")
+    data, manifest = scratch_path(spark, "units"), scratch_path(spark, "manifest")
+    write_units(o.where("year <= 1996"), data, manifest, ["year", "month"])
+    write_partitioned(o.where("year = 1997 AND grid_col < 20"), data, ["year", "month"], "append")      # stopped half way
+    write_partitioned(o.where("year = 1995 AND month <= 3 AND grid_row < 10"), data, ["year", "month"], "append")   # written twice in part
+    done = done_units(spark, data, manifest, ["year", "month"], o.schema)
+    return incremental_todo(o.select("year", "month").distinct(), done, ["year", "month"])
+
+
 _ZONAL_SCHEMA = T.StructType([T.StructField("zone_id", T.IntegerType()), T.StructField("ecoregion", T.StringType()),
                               T.StructField("year", T.IntegerType()), T.StructField("burned_mha", T.DoubleType())])
 

@@ -9,7 +9,7 @@ from cinder.functions.hashing import hash_uniform, sql_hash_uniform
 from cinder.functions.labels import confusion_label
 from cinder.operators.coarse import annual_composite, coarse_grid
 from cinder.operators.geometry import cell_mask, geographic_pixel_area_m2, pixel_centers, snap
-from cinder.operators.joins import (attach_bands, join_predictions, join_sources, label_to_pixels)
+from cinder.operators.joins import (attach_bands, join_predictions, join_sources, label_to_pixels, merge_store, write_store)
 from cinder.operators.masks import annual_mask, annual_mask_dynamic
 from cinder.operators.metrics import area_match_threshold
 from cinder.operators.zonal import (MHA_PER_M2, area_by_year_total, area_error_report, area_per_cell,
@@ -18,6 +18,7 @@ from cinder.operators.zonal import (MHA_PER_M2, area_by_year_total, area_error_r
 from cinder.plans.common import AREA_SQL, obs, pixel_table
 from cinder.plans.registry import query
 from cinder.plans.sqlgen import annual_composite_ctes, coarse_grid_ctes, rnd, round_doubles
+from cinder.session import scratch_path
 from cinder.sources.tables import GRID_DX, GRID_DY, GRID_X0, GRID_Y0, read_table, with_obs, zones
 
 K = "grid_row, grid_col, year, month"
@@ -247,6 +248,30 @@ def q_join_predictors(spark, sf):
     return round_doubles(out)
 
 
+# Thirteen sources: (name, columns, rows that it has).  A source's columns carry its name.
+SOURCES = [
+    ("TERRAIN", ["DEM", "slope", "aspect"], "grid_row % 7 <> 3"), ("COVER", ["b1"], "month <= 6"), ("HUMIDITY", ["relative_humidity"], "grid_col % 2 = 0"),
+    ("RAIN", ["total_precipitation_sum"], "grid_col % 3 <> 1"), ("MEAN_T", ["temperature_2m"], "grid_col % 2 = 1"), ("LEAST_T", ["temperature_2m_min"], "month > 2"),
+    ("MOST_T", ["temperature_2m_max"], "month < 12"), ("BUI", ["build_up_index"], "grid_row % 3 <> 0"), ("DC", ["drought_code"], "grid_row % 4 <> 0"),
+    ("DMC", ["duff_moisture_code"], "grid_row % 5 <> 0"), ("FFMC", ["fine_fuel_moisture_code"], "year > 1993"), ("FWI", ["fire_weather_index"], "grid_col % 5 <> 2"),
+    ("ISI", ["initial_fire_spread_index"], "year < 1998")]
+STORE_BUCKETS = 8
+
+
+@query("predictor_store", with_obs(
+    f"SELECT {K}, " + ", ".join(f"{rnd(f'CASE WHEN {rows} THEN {c} END')} AS {n}__{c}" for n, cols, rows in SOURCES for c in cols)
+    + " FROM obs WHERE " + " OR ".join(f"({rows})" for _, _, rows in SOURCES)))
+def q_predictor_store(spark, sf):
+    """The full outer join of all 13 predictor sources from a store bucketed by the
+    pixel-month key: the merge plans no shuffle."""
+    o = obs(spark, sf)
+    sources = {n: prefix_columns(o.where(rows).select(*KEY, *cols), n, KEY) for n, cols, rows in SOURCES}
+    path = scratch_path(spark, "store")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    write_store(sources, table, path, KEY, STORE_BUCKETS)
+    return round_doubles(merge_store(spark.table(table), KEY))
+
+
 @query("annual_mask_dynamic", with_obs(f"""
 SELECT a.grid_row, a.grid_col, a.year, CAST(a.amax >= q.threshold AS INTEGER) AS burned
 FROM (SELECT grid_row, grid_col, year, max(p) AS amax FROM s GROUP BY 1, 2, 3) a

@@ -8,10 +8,14 @@ overwrite so a re-run replaces exactly the partitions it recomputes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinder.session import materialise
+
 # --- fixed values: source file-name pattern (year, month) ---------------------
 SOURCE_NAME_PATTERN = r"cems_e5l_firecci_(\d{4})_(\d{1,2})_new_fwi_with_fraction\.tif$"
 TIME_LIKE_PATTERN = "(?i)year|time|date"
@@ -103,6 +107,37 @@ def existing_partitions(spark: SparkSession, path: str, partition_cols) -> DataF
     return spark.createDataFrame([], schema)
 
 
+def _unit_state(df: DataFrame, units: Sequence[str]) -> DataFrame:
+    """Rows and an order-free checksum of each unit."""
+    rest = [F.col(f"`{c}`") for c in sorted(df.columns) if c not in units]
+    return df.groupBy(*units).agg(F.count(F.lit(1)).alias("unit_rows"),
+                                  F.sum(F.xxhash64(*rest).cast("decimal(38,0)")).alias("unit_checksum"))
+
+
+def write_units(df: DataFrame, path: str, manifest: str, units: Sequence[str]) -> None:
+    """A10: write (or replace) whole units of a partitioned dataset, then commit them.
+
+    A manifest row (unit, rows, checksum of the rows that were meant) is appended only
+    after all data of this call are in place; a stop before leaves units uncommitted."""
+    units = list(units)
+    state = materialise(_unit_state(df, units), "manifest-rows")
+    write_partitioned(df, path, units, "overwrite")
+    state.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(manifest)
+
+
+def done_units(spark: SparkSession, path: str, manifest: str, units: Sequence[str], schema: T.StructType) -> DataFrame:
+    """A10: units whose files hold what the manifest's last row for them says; a unit that
+    was written in part, damaged or never committed is not among them."""
+    units = list(units)
+    if not path_exists(spark, manifest) or not path_exists(spark, path):
+        return spark.createDataFrame([], T.StructType([f for f in schema.fields if f.name in units])).select(*units)
+    last = spark.read.parquet(manifest).groupBy(*units).agg(
+        F.max_by(F.struct("unit_rows", "unit_checksum"), "committed_at").alias("meant"))
+    held = _unit_state(spark.read.schema(schema).parquet(path), units)
+    both = held.join(last, units)
+    return both.where((F.col("unit_rows") == F.col("meant.unit_rows")) & F.col("unit_checksum").eqNullSafe(F.col("meant.unit_checksum"))).select(*units)
+
+
 def incremental_todo(todo: DataFrame, done: DataFrame, keys) -> DataFrame:
     """Keys still to process (left anti join)."""
     return todo.join(done, list(keys), "left_anti")
