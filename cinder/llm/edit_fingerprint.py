@@ -254,7 +254,7 @@ def _fine() -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """(bucket, lead, doc_id, text): documents dealt by ranges of doc_id, each range with the
+    """(bucket, lead, doc_id, text, has_id): documents dealt by ranges of doc_id, each range with the
     first document of the one after it (``lead``), so that every document's successor by
     descending id stands in its own range.
 
@@ -264,15 +264,15 @@ def next_documents(docs: DataFrame) -> DataFrame:
     """
     ids = docs.select("doc_id").where("doc_id is not null")
     coarse_cuts, ranges = _ranges(ids)
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "has_id").where("doc_id is not null")
             .withColumn("coarse", _place(F.col("doc_id"), coarse_cuts))
             .join(F.broadcast(ranges), F.col("coarse") == F.col("in_coarse"))
             .withColumn("own", F.col("coarse") * F.col("side") + _fine()))
     own = F.struct(F.col("own").alias("bucket"), F.lit(0).alias("lead"))
     also = F.transform(F.filter("heads", lambda h: h["head"] == F.col("doc_id")),
                        lambda h: F.struct(h["closes"].alias("bucket"), F.lit(1).alias("lead")))
-    return (rows.select("doc_id", "text", F.explode(F.concat(F.array(own), also)).alias("at"))
-            .select("at.bucket", "at.lead", "doc_id", "text"))
+    return (rows.select("doc_id", "text", "has_id", F.explode(F.concat(F.array(own), also)).alias("at"))
+            .select("at.bucket", "at.lead", "doc_id", "text", "has_id"))
 
 
 def compare_next(docs: DataFrame) -> DataFrame:
@@ -280,8 +280,8 @@ def compare_next(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty.  Rows that repeat a doc_id follow one another in
     the order of their texts; of the last of them the successor is the next id.
-    Rows with a null doc_id have no place in the order and are left out.  A single
-    document follows itself.  An empty table gives no rows.
+    Rows with a null doc_id come after all others, as if they shared one smallest id;
+    rows of one id are compared in one task.  A single document follows itself.  An empty table gives no rows.
     """
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None                 # the last row waits for its successor
@@ -293,7 +293,7 @@ def compare_next(docs: DataFrame) -> DataFrame:
             after = fingerprints_of(texts[-1:])[0]
             prints = [*out["fingerprint"], *after]
             out["near_next"] = [likeness(a, b) for a, b in zip(prints, prints[1:], strict=False)]
-            out.insert(0, "doc_id", list(rows["doc_id"])[:-1])
+            out.insert(0, "doc_id", rows["doc_id"].astype("Int64").where(rows["has_id"])[:-1])
             same = (rows["bucket"].to_numpy()[:-1] == rows["bucket"].to_numpy()[1:]) & (rows["lead"].to_numpy()[:-1] == 0)
             return out[same]
 
@@ -306,8 +306,11 @@ def compare_next(docs: DataFrame) -> DataFrame:
                 if last > first:
                     yield done(rows.iloc[first:last + 1].reset_index(drop=True))
 
-    rows = next_documents(docs).repartition("bucket").sortWithinPartitions(
-        "bucket", "lead", F.col("doc_id").desc(), "text")
+    # A null id stands below every other; whether a row has one is told beside it.
+    least = F.lit(-(1 << 63)).cast("long")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), "text", F.col("doc_id").isNotNull().alias("has_id"))
+    rows = next_documents(keyed).repartition("bucket").sortWithinPartitions(
+        "bucket", "lead", F.col("doc_id").desc(), F.col("has_id").desc(), "text")
     return rows.mapInPandas(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
                                      "edited_fingerprint string, near_edited double, near_next double")
 
@@ -472,13 +475,17 @@ def _piece_pairs(texts: DataFrame, share: float) -> DataFrame:
 
 
 def edit_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
-    """(a, b, distance): ids a < b of different texts within an edit distance of ``share`` of the
-    longer text, found by bit-sampled banding and by certain pieces, and verified exactly.
-
-    Equal texts collapse to their smallest doc_id first.  Each band is 5 digits
-    sampled with a fixed seed; texts that share a band and whose fingerprints are
-    alike in at least ``LIKE`` of their digits are verified, and so are all that share
-    a piece which the allowed edits cannot avoid, so that every pair is found.
+    """(a, b, distance): ids a < b of texts within an edit distance of ``share`` of the longer
+    text, found by bit-sampled banding and by certain pieces, and verified exactly.
+
+    Equal texts collapse to their smallest doc_id first: each copy has one row with that id
+    and distance 0 (membership), links between different texts are between these ids.
+    Each band is 5 digits sampled with a fixed seed, none of a step that the walk does not
+    reach; texts that share a band and whose reached digits are alike in at least ``LIKE``
+    are verified, and so are all that share a piece which the allowed edits cannot avoid,
+    so that every pair is found.  Texts too short to differ by one allowed edit from any
+    other are in neither join.  Null and empty texts and null ids have no rows; an empty
+    table gives none.
     """
     if not 0 <= share < 1:
         raise ValueError("share must be at least 0 and below 1")
@@ -486,16 +493,21 @@ def edit_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
         for batch in batches:
             yield batch.assign(fingerprint=fingerprints_of(list(batch["text"]))[0])
 
-    texts = (docs.where("doc_id is not null and text <> ''").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-             .select("doc_id", "text"))
+    named = docs.where("doc_id is not null and text <> ''").select("doc_id", "text")
+    texts = named.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("ids"))
+    copies = (named.join(texts.where("ids > 1").select(F.col("text").alias("of_text"), F.col("doc_id").alias("rep")), F.col("text") == F.col("of_text"))
+              .where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(0).cast("long").alias("distance")).distinct())
+    # The longest text within the distance must allow an edit.
+    texts = texts.where(F.floor(F.lit(share) * F.floor(F.char_length("text") / F.lit(1 - share) + 2)) >= 1).select("doc_id", "text")
     printed = materialise(texts.mapInPandas(prints, "doc_id long, text string, fingerprint string"), "edit-prints")
     rng = random.Random(SEED)
     picks = [rng.sample(range(1, SAMPLES + 1), BAND_DIGITS) for _ in range(BANDS)]
     bands = printed.select("doc_id", "fingerprint", F.explode(F.array(*[
-        F.concat(F.lit(f"{i}:"), *[F.substring("fingerprint", at, 1) for at in pick]) for i, pick in enumerate(picks)])).alias("band"))
+        F.concat(F.lit(f"{i}:"), *[F.substring("fingerprint", at, 1) for at in pick]) for i, pick in enumerate(picks)])).alias("band")).where("instr(band, '-') = 0")
     x, y = bands.alias("x"), bands.alias("y")
-    alike = F.expr(f"""size(filter(sequence(1, {SAMPLES}),
-        i -> substring(x.fingerprint, i, 1) = substring(y.fingerprint, i, 1))) >= {LIKE * SAMPLES}""")
+    reached = lambda both: f"size(filter(sequence(1, {SAMPLES}), i -> {both}))"
+    one, two = "substring(x.fingerprint, i, 1)", "substring(y.fingerprint, i, 1)"
+    alike = F.expr(f"""{reached(f"{one} = {two} and {one} <> '-'")} >= {LIKE} * {reached(f"{one} <> '-' or {two} <> '-'")}""")
     pairs = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & alike)
              .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
              .unionByName(_piece_pairs(printed.select("doc_id", "text"), share)).distinct())
@@ -507,4 +519,4 @@ def edit_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
         return pd.Series([edit_distance_within(s, t, int(share * max(len(s), len(t)))) for s, t in zip(a, b, strict=True)], dtype="Int64")
 
     return (pairs.join(left, "a").join(right, "b").withColumn("distance", distance("text_a", "text_b"))
-            .where("distance is not null").select("a", "b", "distance"))
+            .where("distance is not null").select("a", "b", "distance").unionByName(copies))

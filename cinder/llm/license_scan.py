@@ -22,11 +22,21 @@ from pyspark.sql import functions as F
 # Phrases whose places count, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Wording of common notices (label, template).
+# Wording of common notices (label, template), one-line notices first, then whole licence texts.
+_NO_WARRANTY = (
+    "this software is provided by the {{who:1-12}} as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the {{who:1-12}} be liable for any "
+    "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or "
+    "services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict "
+    "liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+    "possibility of such damage")
+_BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+    "the documentation and or other materials provided with the distribution ")
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at {{place:1-12}}"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by", "licensed under [[a]] cc by # [[#]]"),
     ("cc-by-nc", "licensed under [[a]] cc by nc # [[#]]"),
     ("cc-by-nc-nd", "licensed under [[a]] cc by nc nd # [[#]]"),
@@ -34,14 +44,46 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under [[a]] cc by sa # [[#]]"),
     ("cc0", "has waived all copyright and related or neighboring rights to"),
     ("gpl", "[[this {{what:1-3}} is]] licensed under the gnu [[{{kind:1-1}}]] general public license [[version # [[#]]]]"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "released under the isc license"),
+    ("isc", "licensed under the isc license"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("public-domain", "this is free and unencumbered software released into the public domain"),
     ("reserved", "[[copyright [[c]] {{holder:1-8}}]] all rights reserved"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+                   "obtain a copy of the license at {{place:1-12}} unless required by applicable law or agreed to in writing software distributed "
+                   "under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the "
+                   "license for the specific language governing permissions and limitations under the license"),
+    ("bsd-2-clause", _BSD_START + _NO_WARRANTY),
+    ("bsd-3-clause", _BSD_START + "[[3]] neither the name of {{who:1-12}} nor the names of its contributors may be used to endorse or promote products "
+                     "derived from this software without specific prior written permission " + _NO_WARRANTY),
+    ("gpl", "this {{what:1-3}} is free software you can redistribute it and or modify it under the terms of the gnu [[{{kind:1-1}}]] general public "
+            "license as published by the free software foundation either version # [[#]] of the license or at your option any later version this "
+            "{{what:1-3}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+            "merchantability or fitness for a particular purpose see the gnu [[{{kind:1-1}}]] general public license for more details"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
+            "above copyright notice and this permission notice appear in all copies the software is provided as is and {{who:1-6}} disclaims all "
+            "warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{who:1-6}} be "
+            "liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+            "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this "
+            "software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
+            "software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+            "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
+            "the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in "
+            "all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied "
+            "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall "
+            "{{who:1-8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of "
+            "or in connection with the software or the use or other dealings in the software"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this "
+                "file you can obtain one at {{place:1-10}}"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+                  "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the {{who:1-4}} be held liable for any damages "
+             "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+             "applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must "
+             "not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment "
+             "in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and "
+             "must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution"),
 ]
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

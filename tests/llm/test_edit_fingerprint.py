@@ -68,8 +68,33 @@ def test_edit_pairs_are_verified(spark):
     docs = [(i, words(rng, 150, "abcdefghijklmnop")) for i in range(20)]
     docs += [(100 + i, t[:50] + "zz" + t[52:200] + t[203:]) for i, t in docs[:10]] + [(200, docs[0][1]), (None, "x"), (300, None)]
     got = {(r.a, r.b): r.distance for r in ef.edit_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    want = {(i, 100 + i) for i in range(10)}
-    assert set(got) <= want and len(got) >= 8 and all(d <= 5 for d in got.values())
+    want = {(i, 100 + i) for i in range(10)} | {(0, 200)}
+    assert set(got) <= want and len(got) >= 9 and all(d <= 5 for d in got.values()) and got[0, 200] == 0
+
+
+def test_copies_are_members_and_short_texts_have_no_partner(spark):
+    rng = random.Random(12)
+    t = words(rng, 60, "abcdefgh")
+    docs = [(1, t), (2, t), (3, t + "x"), (4, t + "x"), *[(10 + i, "hello" if i % 2 else "hella") for i in range(40)]]
+    got = {(r.a, r.b): r.distance for r in ef.edit_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {(1, 2): 0, (3, 4): 0, (1, 3): 1} | {(10, 10 + i): 0 for i in range(2, 40, 2)} | {(11, 11 + i): 0 for i in range(2, 40, 2)}
+    assert got == want
+
+
+def test_rows_without_an_id_come_last(spark):
+    rows = [(5, "five five"), (3, "three three three"), (None, "b none"), (None, "a none"), (-7, "minus")]
+    got = ef.compare_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    order = ["five five", "three three three", "minus", "a none", "b none"]          # descending ids, then null ids by text
+    want = expected(dict(zip(range(5, 0, -1), order)))
+    by_sha = {v[1]: v for v in want.values()}
+    assert len(got) == 5 and all(tuple(r)[1:] == by_sha[r.edited_sha256] for r in got)
+    assert sorted(str(r.doc_id) for r in got) == ["-7", "3", "5", "None", "None"]
+
+
+def test_edit_pairs_on_odd_rows(odd_docs, empty_docs, clashing_docs):
+    got = sorted(map(tuple, ef.edit_pairs(clashing_docs).collect()))
+    assert got == sorted(map(tuple, ef.edit_pairs(odd_docs).collect())) and (4, 5, 0) in got and (6, 7, 5) in got
+    assert ef.edit_pairs(empty_docs).count() == 0
 
 
 def slow_distance(a, b):
@@ -135,12 +160,15 @@ def test_edit_pairs_of_the_documents_equal_brute_force(spark):
         for b, t in rows[i + 1:]:
             if (d := ef.edit_distance_within(s, t, int(0.05 * max(len(s), len(t))))) is not None:
                 want[a, b] = d
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        if r.text and texts[r.text] != r.doc_id:
+            want[texts[r.text], r.doc_id] = 0
     assert {(r.a, r.b): r.distance for r in op9_edit_pairs(spark, "/root/testdata/sf0.001").collect()} == want
 
 
 def test_odd_rows(odd_docs, odd_rows, empty_docs, clashing_docs):
     got = ef.compare_next(clashing_docs).collect()
-    assert len(got) == len([r for r in odd_rows if r[0] is not None])
+    assert len(got) == len(odd_rows)
     by_id = {r.doc_id: r for r in got}
     assert by_id[1].fingerprint == "-" * 128 and by_id[10].n_chars == 200_000
     assert ef.compare_next(empty_docs).count() == 0

@@ -41,6 +41,41 @@ def test_markup():
         ls.TemplateAutomaton([("x", "a [[b")])
 
 
+BODIES = [(label, t) for label, t in ls.TEMPLATES if len(t.split()) > 25]
+
+
+def written_out(template, word="acme"):
+    """A text that the template accepts: no optional region, the least number of replaced words."""
+    while "[[" in template:
+        template = re.sub(r"\[\[[^\[\]]*\]\]", "", template)
+    return re.sub(r"\{\{\w+:(\d+)-\d+\}\}", lambda m: " ".join([word] * int(m[1])), template).replace("#", "3").split()
+
+
+@pytest.mark.parametrize(("label", "template"), BODIES)
+def test_whole_licence_texts_must_match_to_the_end(label, template):
+    text = written_out(template)
+    whole = lambda ws: {m[0] for m in AUTOMATON.matches(ls.words_of(" ".join(ws))) if m[2] - m[1] == len(text)}
+    assert whole(text) == {label}
+    for at in range(0, len(text), max(1, len(text) // 12)):
+        if text[at] in ("acme", "3"):
+            continue
+        changed = [*text[:at], "except", *text[at + 1:]]
+        assert not whole(changed), (label, text[at])                       # a word of the wording replaced
+    assert not whole(text[:-1])
+
+
+def test_a_licence_with_a_changed_condition_is_not_that_licence():
+    mit = next(t for label, t in BODIES if label == "mit")
+    text = " ".join(written_out(mit))
+    assert "mit" in labels(text)
+    assert "mit" not in labels(text.replace("without restriction including", "without restriction except selling it including"))
+    assert "mit" not in labels("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+                               "documentation files the software to deal in the software without restriction except selling it")
+    bsd2, bsd3 = (" ".join(written_out(t)) for label, t in BODIES if label.startswith("bsd"))
+    assert labels(bsd2) == ["bsd-2-clause"] and labels(bsd3) == ["bsd-3-clause"]
+    assert labels(bsd2.replace("must retain", "need not retain")) == []
+
+
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     got = {r.doc_id: r for r in op2_license_scan(spark, "/root/testdata/sf0.01").collect()}
