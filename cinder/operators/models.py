@@ -31,7 +31,7 @@ B1_CATEGORIES = [str(i) for i in range(0, 100)]
 FIT_THREADS = 4
 MAX_BINS = 128          # >= categories + 1 (unseen bucket) so b1 stays categorical
 MAX_ROUNDS = 3000       # of boosting; a fit ends at the first round that does not lower the error of the
-VALIDATION_TOL = 0.0    # validation rows (``VALIDATION``) by more than this share
+VALIDATION_TOL = 0.01  # validation rows (``VALIDATION``) by at least this share
 VALIDATION = "is_val"
 PERMUTATION_REPEATS = 5
 DEPENDENCE_POINTS = (30, 50)
@@ -46,7 +46,7 @@ def category_indexer(col: str = "b1") -> StringIndexerModel:
 
 
 def with_category_string(df: DataFrame, col: str = "b1") -> DataFrame:
-    return df.withColumn(f"{col}_str", F.rint(F.col(col)).try_cast("int").cast("string"))
+    return df.withColumn(f"{col}_str", F.rint(F.nanvl(F.col(col).cast("double"), F.lit(None))).cast("int").cast("string"))
 
 
 def feature_stages(features=FEATURES) -> list:
