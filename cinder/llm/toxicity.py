@@ -3,7 +3,10 @@
 Only documents carry labels, so tokens are labelled from them: over the labelled
 sample Spark counts in how many toxic and clean ones each token
 feature (the word, its first 4 and 5 letters, its last 4) occurs; evidence is a
-feature of which enough toxic and hardly any clean documents have a token.  A
+feature that hardly any clean documents hold and more toxic ones than chance
+explains (a likelihood ratio against the share of toxic documents).  Near copies
+are no independent finds: a feature counts at most once for each pair of
+neighbouring words, so a group of copies of one text makes no evidence.  A
 token of a toxic document that has an evidence feature is labelled toxic, all
 other tokens clean.  The field has two tags, emission weights on evidence
 features and a bias, and transition weights; it is fitted by gradient ascent on
@@ -28,14 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinder.llm.common import id_remainder, unit_draw
 from cinder.session import materialise
 
 FOLDS, HELD_OUT = 4, 2       # the remainder of the id's crc32 that is never learnt from
-LEAST_TOXIC, LEAST_SHARE = 4, 0.015    # toxic documents that a feature must occur in: so many, and this share of all
+SURPRISE = 16.0              # least likelihood ratio (G squared, one degree of freedom): four standard deviations
 EVIDENCE = 0.9               # share of toxic ones among the documents that hold a feature
 VOCABULARY = 50_000
 TRAIN_DOCS = 10_000
@@ -207,6 +210,13 @@ class Field:
         return toxic, pairs
 
 
+def _surprise(found: Column, clean: Column, rate: float) -> Column:
+    """Likelihood ratio of ``found`` toxic and ``clean`` clean documents against a share ``rate`` of toxic ones."""
+    held = found + clean
+    part = lambda n, share: F.when(n > 0, n * F.log(n / (held * F.lit(share)))).otherwise(F.lit(0.0))
+    return F.when(found > held * F.lit(rate), 2 * (part(found, rate) + part(clean, 1 - rate))).otherwise(F.lit(0.0))
+
+
 def _evidence(known: DataFrame) -> tuple[list[str], int, int]:
     """The evidence features, from document counts over the labelled sample."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,12 +230,32 @@ def _evidence(known: DataFrame) -> tuple[list[str], int, int]:
     sizes = known.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     toxic = int(sizes["t"] or 0)
     clean = int(sizes["n"]) - toxic
+    if not toxic or not clean:
+        return [], toxic, clean
+    rate = toxic / (toxic + clean)
     counts = known.select("text", "toxic").mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     held = F.col("toxic") + F.col("clean")
-    rows = (counts.where(F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic))
-            .withColumn("pure", (F.col("toxic") + 0.5) / (held + 1.0)).where(F.col("pure") >= EVIDENCE)
-            .orderBy(F.col("toxic").desc(), "feature").limit(VOCABULARY).select("feature").collect())
+    likely = materialise(counts.where((F.col("toxic") + 0.5) / (held + 1.0) >= EVIDENCE)
+                         .where(_surprise(F.col("toxic"), F.col("clean"), rate) >= SURPRISE)
+                         .orderBy(F.col("toxic").desc(), "feature").limit(VOCABULARY), "toxic-likely")
+    shared = known.sparkSession.sparkContext.broadcast(frozenset(r["feature"] for r in likely.select("feature").collect()))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = shared.value
+        for batch in batches:
+            for text in batch["text"]:
+                words = ["", *_TOKEN.findall(text.lower()), ""]
+                rows = {(f, f"{before} {after}") for before, word, after in zip(words, words[1:-1], words[2:], strict=False)
+                        for f in features(word) if f in wanted}
+                yield pd.DataFrame(list(rows), columns=["of_feature", "beside"])
+
+    varied = (known.where("toxic = 1").select("text").mapInPandas(places, "of_feature string, beside string")
+              .groupBy("of_feature").agg(F.countDistinct("beside").alias("places")))
+    rows = (likely.join(varied, F.col("feature") == F.col("of_feature"))
+            .where(_surprise(F.least("toxic", "places"), F.col("clean"), rate) >= SURPRISE)
+            .orderBy(F.col("toxic").desc(), "feature").select("feature").collect())
+    shared.destroy()
     return [r["feature"] for r in rows], toxic, clean
 
 
@@ -273,8 +303,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, offsets) for each row of ``docs``.
 
     Null and empty texts score 0; a null doc_id is neither held out nor learnt
-    from; labels that contradict each other count as toxic; without toxic
-    training rows every score is 0.  Repeated rows stay.
+    from; labels that contradict each other count as toxic; without toxic or
+    without clean training rows every score is 0.  Repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 

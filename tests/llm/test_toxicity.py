@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -64,6 +65,39 @@ def test_held_out_accuracy(spark):
             assert texts[d].lower()[s:e].isalnum() or "_" in texts[d][s:e]
 
 
+def _made_docs(spark, toxic_texts, clean_texts):
+    texts = list(toxic_texts) + list(clean_texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i < len(toxic_texts))) for i in range(len(texts))],
+                                   "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_three_hundred_rare_terms_are_learnt(spark):
+    rng = random.Random(3)
+    plain = ["".join(rng.choices("aeiounrst", k=6)) for _ in range(400)]
+    rude = ["".join(rng.choices("bcdfgklmpvwxz", k=8)) for _ in range(300)]
+    text = lambda terms: " ".join(x for t in terms for x in (*rng.choices(plain, k=6), t)) + " " + " ".join(rng.choices(plain, k=6))
+    toxic = [text([rude[(4 * i + j) % 300] for j in range(4)]) for i in range(1200)]     # each term in 16 of 1,200
+    clean = [" ".join(rng.choices(plain, k=30)) for _ in range(6000)]
+    rows = toxicity.score(*_made_docs(spark, toxic, clean)).where("held_out").collect()
+    found = sum(r.predicted for r in rows if r.doc_id < len(toxic))
+    false = sum(r.predicted for r in rows if r.doc_id >= len(toxic))
+    assert found >= 0.9 * sum(r.doc_id < len(toxic) for r in rows) and false <= 0.02 * found
+
+
+def test_words_of_near_copies_are_no_evidence(spark):
+    rng = random.Random(4)
+    plain = ["".join(rng.choices("aeiounrst", k=6)) for _ in range(400)]
+    base = "some rarely quoted words stand between plain ones"
+    toxic = [f"{plain[0]} {base} {plain[1]} {plain[i]} awful {plain[i + 1]}" for i in range(200)]
+    clean = [" ".join(rng.choices(plain, k=30)) for _ in range(1000)]
+    docs, labels = _made_docs(spark, toxic, clean)
+    extra = spark.createDataFrame([(90_001, "rarely quoted words stand"), (90_002, f"{plain[7]} awful {plain[9]}")], docs.schema)
+    rows = {r.doc_id: r.score for r in toxicity.score(docs.unionByName(extra), labels).where("doc_id > 90000").collect()}
+    assert rows[90_001] < 0.3 <= rows[90_002]
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, empty_docs, clashing_docs):
     labels = spark.createDataFrame([(4, None, 1), (None, 1, 1), (100, 1, None), (101, 0, 0), (101, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.score(clashing_docs, labels).collect()
