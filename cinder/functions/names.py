@@ -35,38 +35,41 @@ def sanitize_names(df: DataFrame, name_col: str, group_cols, position_col: str,
                         .otherwise(F.concat(F.col("_base"), F.lit("_"), k.cast("string")))).drop("_base")
 
 
-def substrings(c: Column) -> Column:
-    """All non-empty substrings of a string (names are short: L(L+1)/2 items)."""
+def _anchor(c: Column) -> Column:
+    """The start of a name, as long as the greatest power of two up to its length ('' for '')."""
     n = F.length(c)
-    return F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(F.sequence(i, F.greatest(n, i)),
-                              lambda j: F.substr(c, i, j - i + F.lit(1)))))
+    return F.substring(c, F.lit(1), F.when(n > 0, F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")).otherwise(F.lit(0)))
+
+
+def _grams(c: Column) -> Column:
+    """All different substrings whose length is a power of two, and '': L log L items for a name of L characters."""
+    n = F.length(c)
+    sizes = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor(F.log2(n)).cast("int")),
+                                      lambda e: F.pow(F.lit(2), e).cast("int"))).otherwise(F.array().cast("array<int>"))
+    of_size = lambda size: F.transform(F.sequence(F.lit(1), n - size + F.lit(1)), lambda i: F.substr(c, i, size))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(sizes, of_size))))
 
 
 def match_names(wanted: DataFrame, available: DataFrame, wanted_col: str = "wanted",
                 avail_col: str = "name", avail_pos: str = "position", group_cols=()) -> DataFrame:
     """For each wanted name, the available band with the same normalised
-    name, else the first band (by position) whose normalised name contains or is
-    contained in it.
+    name, else the first band (by position, then name) whose normalised name
+    contains or is contained in it.
 
-    Every step is an equi-join: the substring tests become joins on the
-    exploded substrings of the other side's normalised name, so no pairwise
-    comparison of names is planned."""
+    A name inside another one starts with an anchor, which is one of the other's
+    power-of-two substrings and over half of the name, so both directions are
+    equi-joins with the containment test on top.  The first hit is a minimum, not a
+    window.  NULL names match nothing; a name without letters and digits is inside
+    every other; wanted names without a match have no row."""
     g = list(group_cols)
     w = wanted.select(*g, wanted_col, normalize_name(wanted_col).alias("_wn"))
     a = available.select(*g, avail_col, avail_pos, normalize_name(avail_col).alias("_an"))
-    out = [*g, wanted_col, F.col(avail_col).alias("matched"), avail_pos]
-    exact = (w.join(a.withColumnRenamed("_an", "_wn"), [*g, "_wn"])
-              .select(*out, F.lit(0).alias("_prio")))
-    # wanted inside available: explode substrings of the available names
-    a_sub = a.select(*g, avail_col, avail_pos,
-                     F.explode(F.array_distinct(substrings(F.col("_an")))).alias("_wn"))
-    f1 = w.join(a_sub, [*g, "_wn"]).select(*out)
-    # available inside wanted: explode substrings of the wanted names
-    w_sub = w.select(*g, wanted_col, F.explode(F.array_distinct(substrings(F.col("_wn")))).alias("_an"))
-    f2 = w_sub.join(a, [*g, "_an"]).select(*out)
-    fuzzy = f1.unionByName(f2).withColumn("_prio", F.lit(1))
-    u = exact.unionByName(fuzzy)
-    win = Window.partitionBy(*g, wanted_col).orderBy("_prio", avail_pos)
-    return u.withColumn("_r", F.row_number().over(win)).where("_r = 1").drop("_r", "_prio")
+    keyed = lambda names, key: names.withColumn("_key", key)
+    inside = keyed(w, _anchor(F.col("_wn"))).join(keyed(a, F.explode(_grams(F.col("_an")))), [*g, "_key"]).where(
+        F.contains("_an", "_wn"))
+    around = keyed(w, F.explode(_grams(F.col("_wn")))).join(keyed(a, _anchor(F.col("_an"))), [*g, "_key"]).where(
+        F.contains("_wn", "_an"))
+    hit = F.struct((F.col("_wn") != F.col("_an")).cast("int").alias("prio"), F.col(avail_pos).alias("at"), F.col(avail_col).alias("name"))
+    first = (inside.select(*g, wanted_col, hit.alias("_hit")).unionByName(around.select(*g, wanted_col, hit.alias("_hit")))
+             .groupBy(*g, wanted_col).agg(F.min("_hit").alias("_hit")))
+    return first.select(*g, wanted_col, F.col("_hit.name").alias("matched"), F.col("_hit.at").alias(avail_pos))
