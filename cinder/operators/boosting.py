@@ -1,4 +1,4 @@
-"""Boosted trees with patience: many models in one grouped fit.
+"""Boosted trees with patience: many models in one grouped fit.
 
 A search or a leave-one-year-out run fits dozens of models to parts of the same rows.
 Here all of them grow side by side, and one level of one round is one pass over the rows:
@@ -7,8 +7,8 @@ each task adds up gradient and curvature by (model, node, feature, bin), the sum
 sees splits only, so a pass costs about the same for one model as for a hundred.
 
 * A model fits the rows its split marks with 1, watches those marked 2 and leaves out the
-  rest.  It ends when the watched loss has not improved for ``patience`` rounds and keeps
-  the rounds up to the best one; without watched rows it runs all rounds.
+  rest.  It ends when the watched loss has not improved by ``least_improvement`` within
+  ``patience`` rounds and keeps the rounds up to the best one; without watched rows it runs all rounds.
 * Newton steps with L1 and L2 penalties on leaves, least gain and least curvature of a
   child, drawn rows and columns for each tree; the first tree is the base rate.
 * Missing values go right.  Categories are ordered by their gradient in each node.
@@ -16,9 +16,9 @@ sees splits only, so a pass costs about the same for one model as for a hundred.
 Scale: rows become blocks of bytes (one a bin, 15 a row) with a margin of four bytes a
 model, kept in memory and disk and written to the shared folder every ``KEEP_EVERY`` rounds,
 so a lost executor costs at most so many rounds of its own blocks.  A task's sums are
-bounded by models x nodes x bins; the reducer adds them one batch at a time.  Gradients
-are rounded to 2^-20, so sums are exact and a fit does not depend on how rows are dealt.
-Cuts come from one sketch over all rows.
+bounded by models x nodes x bins, a reducer's by its part of them.  Gradients
+are rounded to 2^-20, so sums are exact and, with equal cuts, a fit does not depend on
+how rows are dealt.  Cuts come from one sketch over all rows.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ PATIENCE = 200
 KEEP_EVERY = 20
 LEAST_IMPROVEMENT = 1e-6
 _UNIT = float(1 << 20)
+_TOGETHER = 256        # sums sent in one batch
 _WIDTH = max(BINS + 1, len(B1_CATEGORIES) + 1)
 # Functions that run in tasks travel with the job: executors need no copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -186,8 +187,9 @@ def _sums(specs: Sequence[Spec], place: Sequence[int], live: dict[int, _Tree], l
                     for node in np.unique(at):
                         k = m, first + int(node)
                         total[k] = total.get(k, 0) + both[node]
-        for (m, node), v in total.items():
-            yield pd.DataFrame({"model": [m], "node": [node], "sums": [v.tobytes()]})
+        done = [(m, node, v.tobytes()) for (m, node), v in total.items()]
+        for i in range(0, len(done), _TOGETHER):
+            yield pd.DataFrame(done[i:i + _TOGETHER], columns=["model", "node", "sums"])
     return add
 
 
@@ -224,24 +226,26 @@ def best_split(g: np.ndarray, h: np.ndarray, s: Spec, categorical: Sequence[bool
 
 
 def _choose(specs: Sequence[Spec], categorical: Sequence[bool], round_: int):
-    """The sums of a (model, node) added up, and its best split."""
-    def choose(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, node = int(key[0]), int(key[1])
-        total = 0.0
-        for b in batches:
-            for v in b["sums"]:
-                total = total + np.frombuffer(v)
+    """The sums of each (model, node) of a partition added up, and their best splits."""
+    def split(m: int, node: int, total: np.ndarray) -> tuple:
         if node < 0:
-            row = (m, node, -1, None, float(total[0] / total[1]) if total[1] else None, 0.0, 0.0, 0.0)
-        else:
-            s, d = specs[m], len(categorical)
-            g, h = total.reshape(2, d, _WIDTH) / _UNIT
-            n = max(1, int(np.ceil(s.columns * d)))
-            open_ = sorted(np.random.default_rng([round_, m]).permutation(d)[:n].tolist())
-            got = best_split(g, h, s, categorical, open_)
-            f, left, gl, hl = got if got else (-1, None, 0.0, 0.0)
-            row = (m, node, f, None if left is None else left.tolist(), float(g[0].sum()), float(h[0].sum()), float(gl), float(hl))
-        yield pd.DataFrame([row], columns=["model", "node", "feature", "bins", "g", "h", "gl", "hl"])
+            return m, node, -1, None, float(total[0] / total[1]) if total[1] else None, 0.0, 0.0, 0.0
+        s, d = specs[m], len(categorical)
+        g, h = total.reshape(2, d, _WIDTH) / _UNIT
+        n = max(1, int(np.ceil(s.columns * d)))
+        open_ = sorted(np.random.default_rng([round_, m]).permutation(d)[:n].tolist())
+        got = best_split(g, h, s, categorical, open_)
+        f, left, gl, hl = got if got else (-1, None, 0.0, 0.0)
+        return m, node, f, None if left is None else left.tolist(), float(g[0].sum()), float(h[0].sum()), float(gl), float(hl)
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for m, node, v in zip(b["model"], b["node"], b["sums"]):
+                k = int(m), int(node)
+                total[k] = total.get(k, 0) + np.frombuffer(v)
+        if total:
+            yield pd.DataFrame([split(*k, v) for k, v in total.items()], columns=["model", "node", "feature", "bins", "g", "h", "gl", "hl"])
     return choose
 
 
@@ -285,7 +289,8 @@ def _forest(grown: Sequence[_Tree], base: float, s: Spec, cuts: Sequence[np.ndar
 
 
 def fit_groups(df: DataFrame, label: str, specs: dict[str, Spec], key_cols: Sequence[str], features: Sequence[str] = tuple(FEATURES),
-               rounds: int = ROUNDS, patience: int = PATIENCE) -> dict[str, Fitted]:
+               rounds: int = ROUNDS, patience: int = PATIENCE,
+               least_improvement: float = LEAST_IMPROVEMENT) -> dict[str, Fitted]:
     """All models of ``specs`` in one fit.  Labels are 0 or 1, or any number for ``squared``
     models; rows without a label are left out.  ``key_cols`` decide which rows a tree draws,
     so rows that repeat a key are drawn together.  A model without rows to fit is its base
@@ -303,7 +308,8 @@ def fit_groups(df: DataFrame, label: str, specs: dict[str, Spec], key_cols: Sequ
     for m, (s, i) in enumerate(zip(each, place)):
         n, p = sizes[f"n{i}"], sizes[f"p{i}"]
         if n:
-            mean = (s.positive_weight * (sizes[f"s{i}"] or 0.0) + (sizes[f"z{i}"] or 0.0)) / (s.positive_weight * p + n - p)
+            weight = s.positive_weight * p + n - p
+            mean = (s.positive_weight * (sizes[f"s{i}"] or 0.0) + (sizes[f"z{i}"] or 0.0)) / weight if weight else 0.5
             share = min(max(mean, 1e-6), 1 - 1e-6)
             base[m] = mean if s.squared else np.log(share / (1 - share))
     state = cut_lineage(_blocks(df, label, each, splits, key_cols, names, cuts, base))
@@ -315,7 +321,7 @@ def fit_groups(df: DataFrame, label: str, specs: dict[str, Spec], key_cols: Sequ
     def done(m: int) -> bool:
         if len(losses[m]) <= patience:
             return False
-        return min(losses[m][-patience:]) > min(losses[m][:-patience]) - LEAST_IMPROVEMENT
+        return min(losses[m][-patience:]) > min(losses[m][:-patience]) - least_improvement
 
     for r in range(rounds + 1):
         round_trees = {m: _Tree.empty(each[m].depth) for m in live}
@@ -325,7 +331,7 @@ def fit_groups(df: DataFrame, label: str, specs: dict[str, Spec], key_cols: Sequ
             if not todo:
                 break
             part = state.mapInPandas(_sums(each, place, todo, level, r, level == 0), "model int, node int, sums binary")
-            found = part.groupBy("model", "node").applyInPandas(
+            found = part.repartition("model", "node").mapInPandas(
                 _choose(each, categorical, r), "model int, node int, feature int, bins array<int>, g double, h double, gl double, hl double").collect()
             if level == 0:
                 if held is not None:                          # the blocks before this round's

@@ -157,6 +157,29 @@ def score_by_key(df: DataFrame, forests: dict[int, Forest], key: str, to: str =
     return df.withColumn(to, score(F.col(key), *[F.col(n).cast("double") for n in names]))
 
 
+def score_models_by_key(df: DataFrame, forests: dict[int, dict[str, Forest]], key: str, to: str = "scores") -> DataFrame:
+    """``df`` with ``to``: (model, p) for the models that the row's ``key`` names, an empty
+    array for none, from one scan: out-of-fold scores of a whole search."""
+    shared = df.sparkSession.sparkContext.broadcast({k: {n: vars(f) for n, f in named.items()} for k, named in forests.items()})
+    names = next(iter(next(iter(forests.values())).values())).names
+
+    @F.pandas_udf("array<double>")
+    def score(which: pd.Series, *columns: pd.Series) -> pd.Series:
+        x, out = matrix(dict(zip(names, columns)), names), np.empty(len(which), object)
+        for k, named in shared.value.items():
+            own = np.flatnonzero((which == k).to_numpy())
+            if len(own):
+                p = np.stack([Forest(**v).scores(x[own]) for v in named.values()], axis=1)
+                for i, row in zip(own, p):
+                    out[i] = row
+        return pd.Series(out)
+
+    models = F.coalesce(*[F.when(F.col(key) == k, F.array(*map(F.lit, named))) for k, named in forests.items()])
+    p = score(F.col(key), *[F.col(n).cast("double") for n in names])
+    return df.withColumn(to, F.coalesce(F.arrays_zip(models.alias("model"), p.alias("p")),
+                                        F.array().cast("array<struct<model:string,p:double>>")))
+
+
 def _added_up(df: DataFrame, names: Sequence[str], count: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
     """The sum of ``count(batch)`` over all rows: a task gives its total once."""
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

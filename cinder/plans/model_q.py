@@ -18,11 +18,12 @@ from cinder.functions.hashing import hash32
 from cinder.functions.labels import confusion_label
 from cinder.operators.coarse import annual_composite, coarse_grid
 from cinder.operators import logistic, trees
+from cinder.operators.boosting import Spec, fit_groups
 from cinder.operators.geometry import coord_to_cell
 from cinder.operators.masks import prob_rescale
 from cinder.operators.metrics import (area_match_threshold, confusion_metrics, curve_summary, metrics_at_thresholds, pr_curve, quantile_at,
                                       regression_metrics, threshold_choice)
-from cinder.operators.models import (BAGS, DEPENDENCE_FEATURES, DEPENDENCE_POINTS, PERMUTATION_REPEATS, RecallAtThreshold,
+from cinder.operators.models import (BAGS, DEPENDENCE_FEATURES, DEPENDENCE_POINTS, PERMUTATION_REPEATS,
                                      auc_pr_evaluator, category_indexer, class_weight_col, feature_stages, fit_many, fit_pipeline,
                                      gbt_classifier, gbt_regressor, logistic_pipeline, prepare, score, with_category_string,
                                      with_validation)
@@ -87,22 +88,46 @@ def _cells(spark, sf):
         .withColumn("burned_label", F.col("burned_label").cast("double")), ["year", "ID"], "burned_label"))
 
 
-STAGE1_GRID = [{"maxDepth": d, "stepSize": s} for d in (2, 3, 4) for s in (0.05, 0.1, 0.2)]
+# --- searches: every draw and fold is a model of one grouped fit ---
+STAGE1_GRID = [dict(depth=d, step=s, rows=r, columns=c, l2=l, positive_weight=w)
+               for d in (2, 3, 4) for s in (0.05, 0.1, 0.2) for r in (0.6, 0.8, 1.0) for c in (0.6, 0.8, 1.0)
+               for l in (0.1, 1.0, 5.0) for w in (0.5, 1.0, 2.0, 4.0)]
+STAGE1_DRAWS, STAGE1_FOLDS = 30, 5
+STOP = dict(patience=10, least_improvement=1e-3)      # of the watched rows' loss; the reference waits 200 rounds
+
+
+def _out_of_fold(df, label: str, draws: list[dict], k: int, keys):
+    """(rows with fold, model, p) scored by models that left the row's fold out, and the fits by
+    (draw, fold).  Every draw and fold is fitted in one grouped fit; ``is_val`` rows are watched."""
+    folds = cut_lineage(kfold_assign(df, keys, k, label))
+    fit = folds.withColumns({f"fit_{i}": F.when(F.col("fold") == i, 0).when(F.col("is_val"), 2).otherwise(1) for i in range(k)})
+    specs = {f"{j}_{i}": Spec(f"fit_{i}", **d) for j, d in enumerate(draws) for i in range(k)}
+    fits = fit_groups(fit, label, specs, keys, **STOP)
+    forests = {i: {str(j): fits[f"{j}_{i}"].forest for j in range(len(draws))} for i in range(k)}
+    s = trees.score_models_by_key(folds, forests, "fold").select(label, "fold", F.explode("scores").alias("s"))
+    return s.select(label, "fold", F.col("s.model").cast("int").alias("draw"), F.col("s.p").alias("p")), fits
+
+
+def _search(spark, draws: list[dict], fits: dict, k: int, judged, value: str):
+    """A row a draw: its parameters, the mean of ``judged`` (draw, fold, value) and of the rounds kept."""
+    rounds = [sum(fits[f"{j}_{i}"].rounds for i in range(k)) / k for j in range(len(draws))]
+    rows = [(j, *[float(v) for v in d.values()], r) for j, (d, r) in enumerate(zip(draws, rounds))]
+    drawn = spark.createDataFrame(rows, "draw int, " + ", ".join(f"{n} double" for n in draws[0]) + ", mean_rounds double")
+    return drawn.join(judged.groupBy("draw").agg(F.avg(value).alias(f"mean_{value}")), "draw", "left")
+
+
+def _recall(s, label: str, groups):
+    hit = (F.col("p") >= 0.5) & (F.col(label) == 1)
+    return s.groupBy(*groups).agg(F.try_divide(F.count_if(hit).cast("double"), F.count_if(F.col(label) == 1)).alias("recall"),
+                                  F.count(F.lit(1)).alias("n"))
 
 
 @query("stage1_train")
 def q_stage1_train(spark, sf):
-    """L1: stage-1 cell model, hashed random search x 3-fold CV, recall-selected."""
-    cells = prepare(cut_lineage(kfold_assign(_cells(spark, sf), ["year", "ID"], 3, "burned_label")))
-    gbt = gbt_classifier("burned_label", min_instances=5, subsample=1.0)
-    pipe = Pipeline(stages=feature_stages() + [gbt])
-    draws = _draws(STAGE1_GRID, 3, "stage1")
-    maps = [{gbt.maxDepth: d["maxDepth"], gbt.stepSize: d["stepSize"]} for d in draws]
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=RecallAtThreshold("burned_label", 0.5),
-                        numFolds=3, foldCol="fold", parallelism=4)
-    m = cv.fit(cells)
-    rows = [(i, d["maxDepth"], float(d["stepSize"]), float(v)) for i, (d, v) in enumerate(zip(draws, m.avgMetrics))]
-    return spark.createDataFrame(rows, "draw int, maxDepth int, stepSize double, mean_recall double")
+    """L1: stage-1 cell model: 30 hashed draws x 5 folds in one grouped fit, selected by recall."""
+    draws = _draws(STAGE1_GRID, STAGE1_DRAWS, "stage1")
+    s, fits = _out_of_fold(_cells(spark, sf), "burned_label", draws, STAGE1_FOLDS, ["year", "ID"])
+    return _search(spark, draws, fits, STAGE1_FOLDS, _recall(s, "burned_label", ["draw", "fold"]), "recall")
 
 
 def _stage1_model(spark, sf):
@@ -129,41 +154,43 @@ def q_stage1_score(spark, sf):
                     confusion_label(F.col("burned_label").cast("int"), "pred_label").alias("pred_obs"))
 
 
-def _loyo_models(spark, sf, weighted: bool):
-    """L3/L4: one model per held-out year (train = other years' 'train' role);
-    threshold = area match on the 'val' role."""
-    k = _kept_by(spark, f"loyo-{weighted}", sf)
-    if k in _CACHE:
-        return _CACHE[k]
-    t = training_table(spark, sf)
-    folds = cut_lineage(loyo_folds(t, KEY, label_col=LABEL))
-    years = [r[0] for r in t.select("year").distinct().orderBy("year").collect()]   # a few values
-
-    def fit_one(y, _):
-        d = folds.withColumn("role", role_in_fold(y)).drop("roles")
-        train = d.where("role <> 'test'").withColumn("is_val", F.col("role") == "val")
-        if weighted:
-            train = class_weight_col(train, LABEL)
-        gbt = gbt_classifier(LABEL, "w" if weighted else None)
-        m = fit_pipeline(train, gbt)
-        path = scratch_path(spark, f"loyo_{y}")
-        m.write().overwrite().save(path)
-        val = score(m, d.where("role = 'val'"))
-        if not weighted:
-            val = val.withColumn("p", prob_rescale("p"))
-        thr = area_match_threshold(val, LABEL, "p").first()["threshold"]
-        return path, float(thr)
+LOYO = dict(depth=4, step=0.3, least_weight=100.0, least_gain=5.0, rows=0.5, columns=0.5)
 
-    _CACHE[k] = fit_many({y: None for y in years}, fit_one)
-    return _CACHE[k]
+
+def _loyo_models(spark, sf, weighted: bool):
+    """L3/L4: (model, threshold) by held-out year: fitted to the other years' 'train' rows,
+    boosted until their 'val' rows gain nothing; threshold = area match on those.  The
+    weighted (n_neg / n_pos) and unweighted models of all years are one grouped fit."""
+    k = _kept_by(spark, "loyo", sf)
+    if k not in _CACHE:
+        t = training_table(spark, sf)
+        folds = cut_lineage(loyo_folds(t, KEY, label_col=LABEL))
+        by_year = {r["year"]: (r["n"], r["p"]) for r in folds.groupBy("year").agg(      # a few rows
+            F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("p")).collect()}
+        n, p = (sum(v[i] for v in by_year.values()) for i in (0, 1))
+        role = lambda y: F.when(role_in_fold(y) == "train", 1).when(role_in_fold(y) == "val", 2).otherwise(0)
+        fit = folds.withColumns({f"fit_{y}": role(y) for y in by_year}).drop("roles")
+        specs = {}
+        for y, (ny, py) in sorted(by_year.items()):
+            ratio = (n - ny - p + py) / (p - py) if p > py else 1.0
+            specs |= {f"weighted_{y}": Spec(f"fit_{y}", positive_weight=ratio, **LOYO), f"plain_{y}": Spec(f"fit_{y}", **LOYO)}
+        fits = fit_groups(fit, LABEL, specs, KEY, **STOP)
+        s = trees.score_models(folds, {m: f.forest for m, f in fits.items()}).select(LABEL, "roles", F.explode("scores").alias("s"))
+        of = F.split("s.model", "_")
+        seen = F.exists("roles", lambda r: (r["fold_year"] == of[1].cast("int")) & (r["role"] == "val"))
+        val = s.where(seen).select(LABEL, F.col("s.model").alias("model"),
+                                   F.when(of[0] == "plain", prob_rescale("s.p")).otherwise(F.col("s.p")).alias("p"))
+        limits = {r["model"]: float(r["threshold"]) for r in area_match_threshold(val, LABEL, "p", ["model"]).collect()}
+        _CACHE[k] = {m: (f.forest, limits[m], f.rounds) for m, f in fits.items()}
+    kind = "weighted" if weighted else "plain"
+    return {int(m.split("_")[1]): v[:2] for m, v in _CACHE[k].items() if m.startswith(kind)}
 
 
 def _scored_by_year(spark, sf, weighted: bool):
     """Every row with the score of its own year's model and that model's threshold: one scan."""
     models = _loyo_models(spark, sf, weighted)
-    forests = {int(y): trees.load(spark, path) for y, (path, _) in models.items()}
-    s = trees.score_by_key(training_table(spark, sf), forests, "year")
-    limits = F.create_map(*[F.lit(v) for y, (_, t) in sorted(models.items()) for v in (int(y), float(t))])
+    s = trees.score_by_key(training_table(spark, sf), {y: f for y, (f, _) in models.items()}, "year")
+    limits = F.create_map(*[F.lit(v) for y, (_, t) in sorted(models.items()) for v in (y, t)])
     return (s if weighted else s.withColumn("p", prob_rescale("p"))).withColumn("threshold", F.try_element_at(limits, F.col("year")))
 
 
@@ -386,9 +413,9 @@ def q_batch_score(spark, sf):
     """Every pixel-month scored by several saved models (the global one and each
     leave-one-year-out one) in one scan; probability and class by each model's threshold,
     summarised per (model, year, month)."""
-    models = {"global": (_save_global(spark, sf), 0.5)}
+    models = {"global": (trees.load(spark, _save_global(spark, sf)), 0.5)}
     models |= {f"without_{y}": m for y, m in sorted(_loyo_models(spark, sf, True).items())}
-    s = trees.score_models(obs(spark, sf).select(*KEY, *FEATURES), {n: trees.load(spark, path) for n, (path, _) in models.items()})
+    s = trees.score_models(obs(spark, sf).select(*KEY, *FEATURES), {n: f for n, (f, _) in models.items()})
     limits = F.create_map(*[F.lit(v) for n, (_, t) in models.items() for v in (n, float(t))])
     each = s.select("year", "month", F.explode("scores").alias("s")).select(
         F.col("s.model").alias("model"), "year", "month", F.col("s.p").alias("p"))
@@ -464,19 +491,9 @@ def q_best_iteration(spark, sf):
 
 @query("oof_scores")
 def q_oof_scores(spark, sf):
-    """Stratified 3-fold out-of-fold probabilities; recall per fold."""
-    cells = _cells(spark, sf).withColumn("lab", F.col("burned_label").cast("int"))
-    f = kfold_assign(cells, ["year", "ID"], 3, "lab")
-
-    def fit_one(k, _):
-        m = fit_pipeline(f.where(F.col("fold") != k), gbt_classifier("burned_label", min_instances=5, subsample=1.0))
-        return score(m, f.where(F.col("fold") == k))
-
-    res = fit_many({k: None for k in range(3)}, fit_one)
-    oof = reduce(lambda a, b: a.unionByName(b), res.values())
-    return oof.groupBy("fold").agg(
-        F.try_divide(F.sum(((F.col("p") >= 0.5) & (F.col("lab") == 1)).cast("int")).cast("double"),
-                     F.sum("lab")).alias("recall"), F.count(F.lit(1)).alias("n"))
+    """Stratified 5-fold out-of-fold probabilities; recall per fold."""
+    s, _ = _out_of_fold(_cells(spark, sf), "burned_label", [dict(rows=0.8)], 5, ["year", "ID"])
+    return _recall(s, "burned_label", ["fold"])
 
 
 @query("permutation_importance")
