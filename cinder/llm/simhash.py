@@ -12,6 +12,8 @@ one step away.  Two vectors at Manhattan distance 0, 1 or 2 share a cell, and
 the roles (own cell, one step down, one step up) are matched so that a pair
 meets in one cell, or two.  The join is an equi-join on the cell (33 narrow rows
 for each distinct fingerprint), never all pairs; copies collapse before it.
+Both sides are shuffled: Spark's estimate of a side is that of the fingerprints
+before the 33 rows, by which it would send 33 times its limit through the driver.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def near_pairs(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     role = (((xs == 0) & (ys == 0) & ordered)                        # equal count vectors
             | ((xs < 0) & (ys < 0) & (xs != ys) & ordered)           # one up, one down
             | ((xs < 0) & (ys >= 0)))                                # x has one or two bits more
-    return (x.join(y, (F.col("x.cell") == F.col("y.cell")) & role & near)
+    return (x.join(y.hint("merge"), (F.col("x.cell") == F.col("y.cell")) & role & near)
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
             .distinct())
 
@@ -108,9 +110,9 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits:
     points = materialise(
         fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-points")
     joined = connected_components(near_pairs(points, max_bits))
-    classes = (points.join(joined, points.rep == joined.node, "left")
+    classes = (points.join(joined.hint("merge"), points.rep == joined.node, "left")
                .select(F.col("fp").alias("class_fp"), F.coalesce("label", "rep").alias("component_id")))
-    return (fps.join(classes, fps.fp == classes.class_fp, "left")
+    return (fps.join(classes.hint("merge"), fps.fp == classes.class_fp, "left")
             .select("doc_id", "fp", "component_id"))
 
 

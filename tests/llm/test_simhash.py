@@ -6,6 +6,7 @@ import xxhash
 from cinder.llm import simhash
 from cinder.llm.catalog import op5_simhash
 from cinder.llm.components import connected_components
+from cinder.session import materialise
 
 from .helpers import plain_rows
 
@@ -59,6 +60,12 @@ def test_near_pairs_are_all_pairs_within_two_bits(spark):
     assert got == want and len(want) > 100
 
 
+def test_range_join_sends_no_side_through_the_driver(spark):
+    points = materialise(spark.range(20_000).selectExpr("id * 7919 AS fp", "id AS rep"), "test-points")
+    plan = simhash.near_pairs(points)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(3, 3), (None, 5)]
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
