@@ -86,6 +86,13 @@ class Forest:
         return 1 / (1 + np.exp(-2 * m)) if self.classifier else m
 
 
+def constant(p: float, features: Sequence[str] = tuple(FEATURES)) -> Forest:
+    """A classifier of one leaf that scores every row with ``p``, kept off 0 and 1."""
+    share, own = min(max(p, 1e-6), 1 - 1e-6), np.zeros(1, int)
+    return Forest(own, np.ones(1), own - 1, np.full(1, np.inf), own - 1, np.zeros((1, 1), bool), own, own,
+                  np.array([np.log(share / (1 - share)) / 2]), True, tuple(features))
+
+
 def load(spark: SparkSession, path: str, features: Sequence[str] = tuple(FEATURES)) -> Forest:
     """The ensemble at the end of a saved pipeline."""
     nodes = spark.read.parquet(f"{path}/stages/*_GBT*/data").select("treeID", "nodeData.*").select(
