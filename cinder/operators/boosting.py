@@ -154,16 +154,24 @@ class _Block:
         return (z ^ (z >> np.uint64(31))) < np.uint64(int(share * ((1 << 64) - 1)))
 
 
-def _sums(specs: Sequence[Spec], place: Sequence[int], live: dict[int, _Tree], level: int, round_: int, watch: bool):
+def _places(categorical: Sequence[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, bin) of each place in the sums of a node: a numeric feature has fewer bins than a category codes."""
+    n = np.where(categorical, _WIDTH, BINS + 1)
+    return np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(0), *map(np.arange, n)])
+
+
+def _sums(specs: Sequence[Spec], categorical: Sequence[bool], place: Sequence[int], live: dict[int, _Tree], level: int, round_: int, watch: bool):
     """The task's part of one level: gradient and curvature by (model, node), and with
     ``watch`` the loss of watched rows as node -1."""
+    feature, _ = _places(categorical)
+    first_of, width = np.searchsorted(feature, np.arange(len(categorical))), len(feature)
+
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for r in batch.itertuples(index=False):
                 b = _Block.read(r)
-                code = b.bins + np.arange(b.bins.shape[1]) * _WIDTH
-                width = b.bins.shape[1] * _WIDTH
+                code = b.bins + first_of
                 for m, tree in live.items():
                     s, role, f = specs[m], b.roles[:, place[m]], b.margin[:, m].astype(float)
                     w = np.where(b.y > 0, s.positive_weight, 1.0)
@@ -208,30 +216,44 @@ def _leaf(g: float, h: float, s: Spec) -> float:
 def best_split(g: np.ndarray, h: np.ndarray, s: Spec, categorical: Sequence[bool], open_: Sequence[int]):
     """(feature, bins that go left, left sums) of the split with the greatest gain, or None;
     ties go to the first feature and the fewest bins on the left."""
+    def gains(gf, hf):
+        gl, hl = np.cumsum(gf, axis=-1), np.cumsum(hf, axis=-1)
+        gr, hr = gl[..., -1:] - gl, hl[..., -1:] - hl
+        ok = (hl >= s.least_weight) & (hr >= s.least_weight) & (hl > 0) & (hr > 0)
+        gain = (_worth(gl, hl, s) + _worth(gr, hr, s) - _worth(gl[..., -1:], hl[..., -1:], s)) / 2
+        return np.where(ok, gain, -np.inf), gl, hl
+
     best, found = max(s.least_gain, 0.0) + 1e-9, None
+    numeric = [f for f in open_ if not categorical[f]]
+    if numeric:                                               # all at once: their bins keep their order
+        every = gains(g[numeric, :BINS + 1], h[numeric, :BINS + 1])
     for f in open_:
-        gf, hf = g[f], h[f]
-        order = np.arange(_WIDTH)
         if categorical[f]:
-            seen = np.flatnonzero(hf > 0)
-            order = seen[np.argsort(gf[seen] / (hf[seen] + s.l2), kind="stable")]
-        gl, hl = np.cumsum(gf[order])[:-1], np.cumsum(hf[order])[:-1]
-        gr, hr = gf.sum() - gl, hf.sum() - hl
-        ok = (hl >= s.least_weight) & (hr >= s.least_weight) & (hl > 0) & (hr > 0)
-        gain = np.where(ok, (_worth(gl, hl, s) + _worth(gr, hr, s) - _worth(gf.sum(), hf.sum(), s)) / 2, -np.inf)
-        if len(gain) and gain.max() > best:
-            i = int(gain.argmax())
+            seen = np.flatnonzero(h[f] > 0)
+            if not len(seen):
+                continue
+            order = seen[np.argsort(g[f][seen] / (h[f][seen] + s.l2), kind="stable")]
+            gain, gl, hl = gains(g[f][order], h[f][order])
+        else:
+            order = np.arange(BINS + 1)
+            gain, gl, hl = (v[numeric.index(f)] for v in every)
+        i = int(gain.argmax())
+        if gain[i] > best:
             best, found = float(gain[i]), (f, order[:i + 1], gl[i], hl[i])
     return found
 
 
 def _choose(specs: Sequence[Spec], categorical: Sequence[bool], round_: int):
     """The sums of each (model, node) of a partition added up, and their best splits."""
+    places = _places(categorical)
+
     def split(m: int, node: int, total: np.ndarray) -> tuple:
         if node < 0:
             return m, node, -1, None, float(total[0] / total[1]) if total[1] else None, 0.0, 0.0, 0.0
         s, d = specs[m], len(categorical)
-        g, h = total.reshape(2, d, _WIDTH) / _UNIT
+        both = np.zeros((2, d, _WIDTH))
+        both[:, *places] = total.reshape(2, -1) / _UNIT
+        g, h = both
         n = max(1, int(np.ceil(s.columns * d)))
         open_ = sorted(np.random.default_rng([round_, m]).permutation(d)[:n].tolist())
         got = best_split(g, h, s, categorical, open_)
@@ -330,7 +352,7 @@ def fit_groups(df: DataFrame, label: str, specs: dict[str, Spec], key_cols: Sequ
             todo = {m: round_trees[m] for m in open_ if each[m].depth > level}
             if not todo:
                 break
-            part = state.mapInPandas(_sums(each, place, todo, level, r, level == 0), "model int, node int, sums binary")
+            part = state.mapInPandas(_sums(each, categorical, place, todo, level, r, level == 0), "model int, node int, sums binary")
             found = part.repartition("model", "node").mapInPandas(
                 _choose(each, categorical, r), "model int, node int, feature int, bins array<int>, g double, h double, gl double, hl double").collect()
             if level == 0:
