@@ -164,6 +164,27 @@ def score_by_key(df: DataFrame, forests: dict[int, Forest], key: str, to: str =
     return df.withColumn(to, score(F.col(key), *[F.col(n).cast("double") for n in names]))
 
 
+def score_replaced(df: DataFrame, forest: Forest, other: str, to: str = "scores") -> DataFrame:
+    """``df`` with ``to``: (feature, p) of the row as it is (feature '') and with each feature in
+    turn taken from its column named ``other`` + feature, from one scan and without copies of the row."""
+    shared = df.sparkSession.sparkContext.broadcast(vars(forest))
+    names = forest.names
+
+    @F.pandas_udf("array<double>")
+    def score(*columns: pd.Series) -> pd.Series:
+        own = Forest(**shared.value)
+        x, y = (matrix(dict(zip(names, part)), names) for part in (columns[:len(names)], columns[len(names):]))
+        out = [own.scores(x)]
+        for j in range(len(names)):
+            x[:, j], kept = y[:, j], x[:, j].copy()
+            out.append(own.scores(x))
+            x[:, j] = kept
+        return pd.Series(list(np.stack(out, axis=1)))
+
+    p = score(*[F.col(n).cast("double") for n in [*names, *[other + n for n in names]]])
+    return df.withColumn(to, F.arrays_zip(F.array(*map(F.lit, ["", *names])).alias("feature"), p.alias("p")))
+
+
 def score_models_by_key(df: DataFrame, forests: dict[int, dict[str, Forest]], key: str, to: str = "scores") -> DataFrame:
     """``df`` with ``to``: (model, p) for the models that the row's ``key`` names, an empty
     array for none, from one scan: out-of-fold scores of a whole search."""
