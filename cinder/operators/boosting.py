@@ -5,9 +5,12 @@ Here all of them grow side by side, and one level of one round is one pass over
 each task adds up gradient and curvature by (model, node, feature, bin), the sums of a
 (model, node) meet in a shuffle, and its best split is found where they meet.  The driver
 sees splits only, so a pass costs about the same for one model as for a hundred.
+Where the rows are few (``ALONE_ROWS``; a coarse grid's cells), the start of a pass costs
+more than the pass: there a task grows one model to its end from a broadcast of the rows,
+with the same functions and the same result, and any number of rounds is one job.
 
 * A model fits the rows its split marks with 1, watches those marked 2 and leaves out the
-  rest.  It ends when the watched loss has not improved by ``least_improvement`` within
+  rest.  It ends when the watched loss has not improved by more than ``least_improvement`` within
   ``patience`` rounds and keeps the rounds up to the best one; without watched rows it runs all rounds.
 * Newton steps with L1 and L2 penalties on leaves, least gain and least curvature of a
   child, drawn rows and columns for each tree; the first tree is the base rate.
@@ -23,6 +26,7 @@ how rows are dealt.  Cuts come from one sketch over all rows.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -42,6 +46,7 @@ BINS = 32              # of a numeric feature
 ROUNDS = 3000
 PATIENCE = 200
 KEEP_EVERY = 20
+ALONE_ROWS = 1 << 17   # up to so many rows (36 bytes each) a task fits a whole model
 LEAST_IMPROVEMENT = 1e-6
 _UNIT = float(1 << 20)
 _TOGETHER = 256        # sums sent in one batch
@@ -85,6 +90,18 @@ class _Tree:
         n = (2 << depth) - 1
         return cls(np.full(n, -1), np.zeros((n, _WIDTH), bool), np.zeros(n))
 
+    def grow(self, s: Spec, node: int, feature: int, bins, g: float, h: float, gl: float, hl: float) -> bool:
+        """Split a node if a feature was found; whether it was."""
+        if node == 0:
+            self.value[0] = _leaf(g, h, s)
+        if feature < 0:
+            return False
+        self.feature[node] = feature
+        self.left[node, bins] = True
+        self.value[2 * node + 1] = _leaf(gl, hl, s)
+        self.value[2 * node + 2] = _leaf(g - gl, h - hl, s)
+        return True
+
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The node each row has come to."""
         at = np.zeros(len(bins), int)
@@ -109,7 +126,7 @@ def _cuts(df: DataFrame, names: Sequence[str]) -> list[np.ndarray]:
     return [np.unique(np.array(got[n] or [], float)) if n in numeric else np.zeros(0) for n in names]
 
 
-def _blocks(df: DataFrame, label: str, specs: Sequence[Spec], splits: Sequence[str], key_cols: Sequence[str],
+def _blocks(df: DataFrame, label: str, splits: Sequence[str], key_cols: Sequence[str],
             names: Sequence[str], cuts: Sequence[np.ndarray], base: np.ndarray) -> DataFrame:
     """Rows as blocks: an Arrow batch of rows is one row of byte strings."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +159,8 @@ class _Block:
     @classmethod
     def read(cls, r) -> _Block:
         of = lambda b, kind: np.frombuffer(b, kind).reshape(r.n, -1)
-        return cls(of(r.bins, np.uint8), of(r.y, float)[:, 0], of(r.roles, np.int8), of(r.draw, np.uint64)[:, 0], of(r.margin, np.float32))
+        margin = of(r.margin, np.float32) if hasattr(r, "margin") else np.zeros((r.n, 0), np.float32)
+        return cls(of(r.bins, np.uint8), of(r.y, float)[:, 0], of(r.roles, np.int8), of(r.draw, np.uint64)[:, 0], margin)
 
     def drawn(self, share: float, seed: int) -> np.ndarray:
         """A fixed draw of the rows by their keys."""
@@ -160,6 +178,38 @@ def _places(categorical: Sequence[bool]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(0), *map(np.arange, n)])
 
 
+def _watched(b: _Block, s: Spec, role: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Loss and weight of the watched rows at margins ``f``."""
+    on = role == 2
+    w = np.where(b.y[on] > 0, s.positive_weight, 1.0)
+    loss = (b.y[on] - f[on]) ** 2 if s.squared else np.logaddexp(0, f[on]) - b.y[on] * f[on]
+    return np.array([np.rint(w * loss * _UNIT).sum(), np.rint(w * _UNIT).sum()])
+
+
+def _drawn(b: _Block, s: Spec, role: np.ndarray, f: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, gradient, curvature) of the rows that a tree draws."""
+    on = np.flatnonzero((role == 1) & b.drawn(s.rows, seed))
+    w = np.where(b.y[on] > 0, s.positive_weight, 1.0)
+    p = f[on] if s.squared else 1 / (1 + np.exp(-f[on]))
+    return on, np.rint(w * (p - b.y[on]) * _UNIT), np.rint(w * (1.0 if s.squared else p * (1 - p)) * _UNIT)
+
+
+def _by_node(b: _Block, code: np.ndarray, tree: _Tree, level: int, width: int, on: np.ndarray, g: np.ndarray,
+             h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(node of this level, sums of gradient and curvature by place) of drawn rows."""
+    at = tree.nodes(b.bins[on])
+    first = (1 << level) - 1
+    keep = at >= first                                       # rows whose node is of this level
+    on, g, h, at = on[keep], g[keep], h[keep], at[keep] - first
+    if not len(on):
+        return
+    slot = (code[on] + at[:, None] * width).ravel()
+    n = width << level
+    both = np.stack([np.bincount(slot, np.repeat(v, b.bins.shape[1]), n).reshape(-1, width) for v in (g, h)], axis=1)
+    for node in np.unique(at):
+        yield first + int(node), both[node]
+
+
 def _sums(specs: Sequence[Spec], categorical: Sequence[bool], place: Sequence[int], live: dict[int, _Tree], level: int, round_: int, watch: bool):
     """The task's part of one level: gradient and curvature by (model, node), and with
     ``watch`` the loss of watched rows as node -1."""
@@ -174,27 +224,11 @@ def _sums(specs: Sequence[Spec], categorical: Sequence[bool], place: Sequence[in
                 code = b.bins + first_of
                 for m, tree in live.items():
                     s, role, f = specs[m], b.roles[:, place[m]], b.margin[:, m].astype(float)
-                    w = np.where(b.y > 0, s.positive_weight, 1.0)
                     if watch and (role == 2).any():
-                        on = role == 2
-                        loss = (b.y[on] - f[on]) ** 2 if s.squared else np.logaddexp(0, f[on]) - b.y[on] * f[on]
-                        total[m, -1] = total.get((m, -1), 0) + np.array([np.rint(w[on] * loss * _UNIT).sum(), np.rint(w[on] * _UNIT).sum()])
-                    on = np.flatnonzero((role == 1) & b.drawn(s.rows, round_ * len(specs) + m + 1))
-                    at = tree.nodes(b.bins[on])
-                    first = (1 << level) - 1
-                    keep = at >= first                       # rows whose node is of this level
-                    on, at = on[keep], at[keep] - first
-                    if not len(on):
-                        continue
-                    p = f[on] if s.squared else 1 / (1 + np.exp(-f[on]))
-                    g = np.rint(w[on] * (p - b.y[on]) * _UNIT)
-                    h = np.rint(w[on] * (1.0 if s.squared else p * (1 - p)) * _UNIT)
-                    slot = (code[on] + at[:, None] * width).ravel()
-                    n = width << level
-                    both = np.stack([np.bincount(slot, np.repeat(v, b.bins.shape[1]), n).reshape(-1, width) for v in (g, h)], axis=1)
-                    for node in np.unique(at):
-                        k = m, first + int(node)
-                        total[k] = total.get(k, 0) + both[node]
+                        total[m, -1] = total.get((m, -1), 0) + _watched(b, s, role, f)
+                    drawn = _drawn(b, s, role, f, round_ * len(specs) + m + 1)
+                    for node, v in _by_node(b, code, tree, level, width, *drawn):
+                        total[m, node] = total.get((m, node), 0) + v
         done = [(m, node, v.tobytes()) for (m, node), v in total.items()]
         for i in range(0, len(done), _TOGETHER):
             yield pd.DataFrame(done[i:i + _TOGETHER], columns=["model", "node", "sums"])
@@ -243,6 +277,19 @@ def best_split(g: np.ndarray, h: np.ndarray, s: Spec, categorical: Sequence[bool
     return found
 
 
+def _split(s: Spec, categorical: Sequence[bool], places: tuple, seed: list[int], total: np.ndarray) -> tuple:
+    """(feature or -1, bins that go left, sums of the node, sums on the left) from a node's sums."""
+    d = len(categorical)
+    both = np.zeros((2, d, _WIDTH))
+    both[:, *places] = total.reshape(2, -1) / _UNIT
+    g, h = both
+    n = max(1, int(np.ceil(s.columns * d)))
+    open_ = sorted(np.random.default_rng(seed).permutation(d)[:n].tolist())
+    got = best_split(g, h, s, categorical, open_)
+    f, left, gl, hl = got if got else (-1, None, 0.0, 0.0)
+    return f, None if left is None else left.tolist(), float(g[0].sum()), float(h[0].sum()), float(gl), float(hl)
+
+
 def _choose(specs: Sequence[Spec], categorical: Sequence[bool], round_: int):
     """The sums of each (model, node) of a partition added up, and their best splits."""
     places = _places(categorical)
@@ -250,15 +297,7 @@ def _choose(specs: Sequence[Spec], categorical: Sequence[bool], round_: int):
     def split(m: int, node: int, total: np.ndarray) -> tuple:
         if node < 0:
             return m, node, -1, None, float(total[0] / total[1]) if total[1] else None, 0.0, 0.0, 0.0
-        s, d = specs[m], len(categorical)
-        both = np.zeros((2, d, _WIDTH))
-        both[:, *places] = total.reshape(2, -1) / _UNIT
-        g, h = both
-        n = max(1, int(np.ceil(s.columns * d)))
-        open_ = sorted(np.random.default_rng([round_, m]).permutation(d)[:n].tolist())
-        got = best_split(g, h, s, categorical, open_)
-        f, left, gl, hl = got if got else (-1, None, 0.0, 0.0)
-        return m, node, f, None if left is None else left.tolist(), float(g[0].sum()), float(h[0].sum()), float(gl), float(hl)
+        return m, node, *_split(specs[m], categorical, places, [round_, m], total)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -271,6 +310,55 @@ def _choose(specs: Sequence[Spec], categorical: Sequence[bool], round_: int):
     return choose
 
 
+def _done(losses: list[float], patience: int, least: float) -> bool:
+    return len(losses) > patience and min(losses[-patience:]) >= min(losses[:-patience]) - least
+
+
+def _whole(specs: Sequence[Spec], categorical: Sequence[bool], place: Sequence[int], live: Sequence[int], base: np.ndarray, cuts: Sequence[np.ndarray],
+           features: Sequence[str], shared, rounds: int, patience: int, least: float):
+    """Whole models, each grown to its end by the task that has its number in ``live``: the
+    rounds of the passes, on one block of all rows.  The driver gets the nodes that rows can reach."""
+    places = _places(categorical)
+    first_of, width = np.searchsorted(places[0], np.arange(len(categorical))), len(places[0])
+
+    def grown(m: int, b: _Block) -> tuple[list[_Tree], list[float]]:
+        s, role, code, trees, losses = specs[m], b.roles[:, place[m]], b.bins + first_of, [], []
+        margin = np.full(len(b.y), base[m], np.float32)
+        for r in range(rounds + 1):
+            f = margin.astype(float)
+            if (role == 2).any():
+                loss, weight = _watched(b, s, role, f)
+                if weight:
+                    losses.append(float(loss / weight))
+            if r == rounds or _done(losses, patience, least):
+                break
+            tree, drawn = _Tree.empty(s.depth), _drawn(b, s, role, f, r * len(specs) + m + 1)
+            for level in range(s.depth):
+                found = [(node, *_split(s, categorical, places, [r, m], v)) for node, v in _by_node(b, code, tree, level, width, *drawn)]
+                if not any([tree.grow(s, *x) for x in found]):
+                    break
+            trees.append(tree)
+            margin += tree.value[tree.nodes(b.bins)].astype(np.float32)
+        return trees, losses
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = None
+        for batch in batches:
+            for i in batch["id"]:
+                b = b or _Block(*[np.concatenate(part) for part in zip(*shared.value)], np.zeros(0))
+                m = live[int(i)]
+                trees, losses = grown(m, b)
+                kept = _best(trees, losses)
+                forest = _forest(trees[:kept], base[m], specs[m], cuts, features)
+                yield pd.DataFrame({"model": [m], "fitted": [pickle.dumps((vars(forest), kept, np.array(losses)))]})
+    return fit
+
+
+def _best(trees: Sequence[_Tree], losses: Sequence[float]) -> int:
+    """Rounds kept."""
+    return int(np.argmin(losses)) if losses else len(trees)
+
+
 def _moved(grown: dict[int, _Tree]):
     """Blocks with the margins after one more round."""
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,25 +376,34 @@ def _moved(grown: dict[int, _Tree]):
 
 def _forest(grown: Sequence[_Tree], base: float, s: Spec, cuts: Sequence[np.ndarray], features: Sequence[str]) -> Forest:
     names = _names(features)
-    size = [1, *[len(t.feature) for t in grown]]
-    root = np.cumsum([0, *size[:-1]])
     feature = np.concatenate([[-1], *[t.feature for t in grown]])
     value = np.concatenate([[base], *[t.value for t in grown]])
     goes = np.concatenate([np.zeros((1, _WIDTH), bool), *[t.left for t in grown]])
-    within = np.concatenate([np.arange(n) for n in size])
-    first = np.repeat(root, size)
+    heap = [1, *[len(t.feature) for t in grown]]
+    within = np.concatenate([np.arange(n) for n in heap])
+    start = np.repeat(np.cumsum([0, *heap[:-1]]), heap)
+    met = within == 0                                        # nodes that rows can come to
+    for i in range(1, max(heap)):
+        child = np.flatnonzero(within == i)
+        up = start[child] + (i - 1) // 2
+        met[child] = met[up] & (feature[up] >= 0)
+    to = np.cumsum(met) - 1
+    feature, value, goes = feature[met], value[met], goes[met]
+    down = np.where(feature >= 0, (start + 2 * within + 1)[met], 0)
+    root = to[np.flatnonzero(within == 0)]
     own = np.arange(len(feature))
     kind = np.array([n in CATEGORICAL for n in names])
     tests = np.flatnonzero((feature >= 0) & kind[np.maximum(feature, 0)])
-    category = np.full(len(feature), -1)
+    category = np.full(len(feature), -1, np.int32)
     category[tests] = np.arange(len(tests))
     threshold = np.full(len(feature), np.inf)
     for i in np.flatnonzero((feature >= 0) & (category < 0)):
         threshold[i] = cuts[feature[i]][goes[i].sum() - 1]
     left_of = goes[tests] if len(tests) else np.zeros((1, 1), bool)
-    left = np.where(feature >= 0, first + 2 * within + 1, own)
-    right = np.where(feature >= 0, first + 2 * within + 2, own)
-    return Forest(root, np.full(len(size), 1.0 if s.squared else 0.5), feature, threshold, category, left_of, left, right, value,
+    left = np.where(feature >= 0, to[down], own)
+    right = np.where(feature >= 0, to[np.minimum(down + 1, len(to) - 1)], own)
+    return Forest(root, np.full(len(root), 1.0 if s.squared else 0.5), feature.astype(np.int16), threshold, category, left_of,
+                  left.astype(np.int32), right.astype(np.int32), value,
                   not s.squared, tuple(features))
 
 
@@ -323,7 +420,7 @@ def fit_groups(df: DataFrame, label: str, specs: dict[str, Spec], key_cols: Sequ
     categorical = [n in CATEGORICAL for n in names]
     y, labelled = F.col(label).cast("double"), df.where(F.col(label).isNotNull())
     cuts = _cuts(labelled, names)
-    sizes = labelled.select(*[a.alias(f"{k}{i}") for i, c in enumerate(splits) for k, a in (
+    sizes = labelled.select(F.count(F.lit(1)).alias("rows"), *[a.alias(f"{k}{i}") for i, c in enumerate(splits) for k, a in (
         ("n", F.count_if(F.col(c) == 1)), ("p", F.count_if((F.col(c) == 1) & (y > 0))),
         ("s", F.sum(F.when((F.col(c) == 1) & (y > 0), y))), ("z", F.sum(F.when((F.col(c) == 1) & (y <= 0), y))))]).first()
     base = np.zeros(len(each))
@@ -334,17 +431,26 @@ def fit_groups(df: DataFrame, label: str, specs: dict[str, Spec], key_cols: Sequ
             mean = (s.positive_weight * (sizes[f"s{i}"] or 0.0) + (sizes[f"z{i}"] or 0.0)) / weight if weight else 0.5
             share = min(max(mean, 1e-6), 1 - 1e-6)
             base[m] = mean if s.squared else np.log(share / (1 - share))
-    state = cut_lineage(_blocks(df, label, each, splits, key_cols, names, cuts, base))
+    state = _blocks(df, label, splits, key_cols, names, cuts, base)
+    if sizes["rows"] <= ALONE_ROWS:
+        live = [m for m in range(len(each)) if sizes[f"n{place[m]}"]]
+        got = {}
+        if live:
+            spark, blocks = df.sparkSession, [_Block.read(r) for r in state.drop("margin").collect()]
+            shared = spark.sparkContext.broadcast([(b.bins, b.y, b.roles, b.draw) for b in blocks])
+            fit = _whole(each, categorical, place, live, base, cuts, features, shared, rounds, patience, least_improvement)
+            for r in spark.range(0, len(live), 1, len(live)).mapInPandas(fit, "model int, fitted binary").collect():
+                arrays, kept, losses = pickle.loads(r["fitted"])
+                got[r["model"]] = Fitted(Forest(**arrays), kept, losses.tolist())
+            shared.unpersist()
+        none = {m: Fitted(_forest([], base[m], s, cuts, features), 0) for m, s in enumerate(each) if m not in live}
+        return {name: none[m] if m in none else got[m] for m, name in enumerate(specs)}
+    state = cut_lineage(state)
     grown: list[list[_Tree]] = [[] for _ in each]
     losses: list[list[float]] = [[] for _ in each]
     live = {m for m in range(len(each)) if sizes[f"n{place[m]}"]}
     held = None
 
-    def done(m: int) -> bool:
-        if len(losses[m]) <= patience:
-            return False
-        return min(losses[m][-patience:]) > min(losses[m][:-patience]) - least_improvement
-
     for r in range(rounds + 1):
         round_trees = {m: _Tree.empty(each[m].depth) for m in live}
         open_ = set(live)
@@ -362,22 +468,15 @@ def fit_groups(df: DataFrame, label: str, specs: dict[str, Spec], key_cols: Sequ
                 for f in found:
                     if f["node"] < 0 and f["g"] is not None:
                         losses[f["model"]].append(f["g"])
-                live = {m for m in live if not done(m)} if r < rounds else set()
+                live = {m for m in live if not _done(losses[m], patience, least_improvement)} if r < rounds else set()
                 open_ = set(live)
             grew = set()
             for f in found:
                 m, node, s = f["model"], f["node"], each[f["model"]]
                 if node < 0 or m not in live:
                     continue
-                tree = round_trees[m]
-                if node == 0:
-                    tree.value[0] = _leaf(f["g"], f["h"], s)
-                if f["feature"] >= 0:
+                if round_trees[m].grow(s, *f[1:]):
                     grew.add(m)
-                    tree.feature[node] = f["feature"]
-                    tree.left[node, f["bins"]] = True
-                    tree.value[2 * node + 1] = _leaf(f["gl"], f["hl"], s)
-                    tree.value[2 * node + 2] = _leaf(f["g"] - f["gl"], f["h"] - f["hl"], s)
             open_ &= grew
         if not live:
             break
@@ -397,6 +496,6 @@ def fit_groups(df: DataFrame, label: str, specs: dict[str, Spec], key_cols: Sequ
         held.unpersist()
     out = {}
     for m, name in enumerate(specs):
-        kept = int(np.argmin(losses[m])) if losses[m] else len(grown[m])
+        kept = _best(grown[m], losses[m])
         out[name] = Fitted(_forest(grown[m][:kept], base[m], each[m], cuts, features), kept, losses[m])
     return out
